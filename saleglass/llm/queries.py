@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from saleglass.llm import mixing, sharding
+from saleglass.llm import mixing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_mixing": mixing.op4_mixing,
+    "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
 }
 
 SQL = {

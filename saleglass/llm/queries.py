@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from saleglass.llm import mixing, quality, sharding, toxicity
+from saleglass.llm import mixing, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_mixing": mixing.op4_mixing,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
 }

@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is the sum of a word vector (words seen often enough in training) and of character vectors (hashed
-first and last three bytes), so that unseen words have an input too. The network reads windows of ``WINDOW`` words
+first five and seven and last three bytes), so that unseen words and compounds have an input too. The network reads windows of ``WINDOW`` words
 that begin every ``STRIDE`` words; attention pools the states of both directions into one logit a window, and a
 document's score is that of its highest window. Every window of every whole text is scored.
 
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from saleglass.llm.common import documents, slices, text_or_empty
 
 WINDOW, STRIDE = 32, 16
-WIDTH, HIDDEN, HASHES = 12, 8, 256
-TRAIN_ROWS, TRAIN_CHARS, VOCABULARY, LEAST_SEEN = 1800, 2500, 20_000, 3
+WIDTH, HIDDEN = 12, 8
+#: Character inputs: how they are cut from a word, and the bits of their hash.
+PIECES = {"head5": (slice(0, 5), 12), "head7": (slice(0, 7), 12), "tail": (slice(-3, None), 8)}
+TRAIN_ROWS, TRAIN_CHARS, VOCABULARY, LEAST_SEEN = 1500, 4000, 20_000, 3
 EPOCHS, BATCH, RATE = 6, 48, 0.01
 THRESHOLD = 0.7
 OFF = np.float32(-30.0)
@@ -51,7 +53,10 @@ class Codes(dict):
 
     @staticmethod
     def code(word: bytes, word_id: int = 0) -> int:
-        return (word_id << 16) | ((crc32(word[:3]) % HASHES) << 8) | (crc32(word[-3:]) % HASHES)
+        found = word_id
+        for cut, bits in PIECES.values():
+            found = (found << bits) | (crc32(word[cut]) & ((1 << bits) - 1))
+        return found
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.limit + len(self.base):
@@ -61,6 +66,15 @@ class Codes(dict):
         return found
 
 
+def parts_of(codes: np.ndarray) -> dict[str, np.ndarray]:
+    """The ids that a code holds, by table."""
+    out = {}
+    for name, (_, bits) in reversed(PIECES.items()):
+        out[name] = codes & ((1 << bits) - 1)
+        codes = codes >> bits
+    return {"word": codes} | out
+
+
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For texts that lie one after another: word index of each place of each window (-1: none), and its text."""
     counts = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE)), 0)
@@ -99,7 +113,7 @@ class Network:
                 u[d * h : (d + 1) * h, (g * 2 + d) * h : (g * 2 + d + 1) * h] = self.p["u"][d][:, g * h : (g + 1) * h]
         half = np.ones(6 * h, np.float32)
         half[: 4 * h] = 0.5  # a logistic gate is a tanh of half the input
-        self.tables = {k: np.ascontiguousarray((self.p[k] @ wx) * half, np.float32) for k in ("word", "head", "tail")}
+        self.tables = {k: np.ascontiguousarray((self.p[k] @ wx) * half, np.float32) for k in ("word", *PIECES)}
         self.tables["word"] += self.p["bx"][gates] * half
         self.tables["u"] = u * half
         return self
@@ -107,9 +121,9 @@ class Network:
     def window_logits(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
         h, t = HIDDEN, self.tables
         x = np.empty((len(codes) + 1, 6 * h), np.float32)
-        np.take(t["word"], codes >> 16, 0, out=x[:-1])
-        x[:-1] += t["head"][(codes >> 8) & 255]
-        x[:-1] += t["tail"][codes & 255]
+        x[:-1] = 0
+        for k, ids in parts_of(codes).items():
+            x[:-1] += t[k][ids]
         x[-1] = 0
         x[-1, : 2 * h] = OFF  # no word: the update gate is shut
         ahead = np.tile(np.repeat([True, False], h), 3)
@@ -162,7 +176,7 @@ def _forward(p: dict, codes: np.ndarray, place: np.ndarray) -> dict:
     h, n = HIDDEN, len(place)
     c = np.where(place >= 0, codes[place], 0)
     none = place < 0
-    e = p["word"][c >> 16] + p["head"][(c >> 8) & 255] + p["tail"][c & 255]
+    e = sum(p[k][ids] for k, ids in parts_of(c).items())
     x = e @ p["wx"] + p["bx"]
     x[none, :h] = x[none, 3 * h : 4 * h] = OFF
     run = {"c": c, "none": none, "e": e, "steps": ([], []), "h": np.zeros((n, WINDOW, 2 * h), np.float32)}
@@ -208,7 +222,7 @@ def _backward(p: dict, run: dict, dlogit: np.ndarray) -> dict:
     g["wx"] = np.einsum("ntk,ntj->kj", run["e"], dx)
     de = (dx @ p["wx"].T)[~run["none"]]
     c = run["c"][~run["none"]]
-    for k, ids in (("word", c >> 16), ("head", (c >> 8) & 255), ("tail", c & 255)):
+    for k, ids in parts_of(c).items():
         np.add.at(g[k], ids, de)
     return g
 
@@ -219,11 +233,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
         return Network([], {}, float(labels[0]) if labels else 0.0)
     words = [words_of(t) for t in texts]
     y = np.array(labels, np.float32)
-    seen, bad = Counter(), Counter()
-    for w, label in zip(words, labels, strict=True):
-        seen.update(set(w))
-        if label:
-            bad.update(set(w))
+    seen = Counter(w for text in words for w in set(text))
     vocabulary = [w for w, _ in sorted(((w, n) for w, n in seen.items() if n >= LEAST_SEEN), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
     rng = np.random.default_rng(seed)
 
@@ -233,8 +243,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     h = HIDDEN
     p = {
         "word": normal(len(vocabulary) + 1, WIDTH, scale=0.1),
-        "head": normal(HASHES, WIDTH, scale=0.02),
-        "tail": normal(HASHES, WIDTH, scale=0.02),
+        **{k: normal(1 << bits, WIDTH, scale=0.02) for k, (_, bits) in PIECES.items()},
         "wx": normal(WIDTH, 6 * h, scale=WIDTH**-0.5),
         "bx": np.zeros(6 * h, np.float32),
         "u": normal(2, h, 3 * h, scale=h**-0.5),
@@ -242,13 +251,16 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
         "out": normal(2 * h, scale=0.3),
         "bias": np.zeros(1, np.float32),
     }
-    n_bad, n_good = float(y.sum()), float(len(y) - y.sum())
-    for i, w in enumerate(vocabulary):  # start the first coordinate at the word's log odds between the labels
-        odds = np.log(((bad[w] + 0.1) / (n_bad + 1)) / ((seen[w] - bad[w] + 0.1) / (n_good + 1)))
-        p["word"][i + 1, 0] = np.clip(odds, -1, 4)
     codes = Codes(vocabulary)
     flat = np.array([codes[w] for text in words for w in text], np.int64)
-    place, text = windows(np.array([len(w) for w in words], np.int64))
+    sizes = np.array([len(w) for w in words], np.int64)
+    of_text, rate_bad = np.repeat(np.arange(len(words)), sizes), float(y.mean())
+    for i, (k, ids) in enumerate(parts_of(flat).items()):  # start a coordinate at how far an input stands with label 1
+        texts_with = np.unique(ids * len(words) + of_text)
+        with_id, label = texts_with // len(words), y[texts_with % len(words)]
+        n, bad = np.bincount(with_id, minlength=len(p[k])), np.bincount(with_id, label, minlength=len(p[k]))
+        p[k][:, i] = np.clip((bad - n * rate_bad) / np.sqrt(n * rate_bad * (1 - rate_bad) + 1) / 5, -0.5, 2)
+    place, text = windows(sizes)
     first = np.searchsorted(text, np.arange(len(words) + 1))
     usable = np.flatnonzero(np.diff(first) > 0)
     m, s, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0

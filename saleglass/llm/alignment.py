@@ -71,3 +71,31 @@ def similarity(a: Sequence[Hashable], b: Sequence[Hashable], least: float) -> fl
         return 1.0
     found = edit_distance(a, b, int(longer * (1 - least) + 1e-9))
     return None if found is None else 1 - found / longer
+
+
+def _ends(match: dict[Hashable, int], n: int, text: Sequence[Hashable]) -> tuple[int, int]:
+    """Least edit distance of a pattern of ``n`` symbols to a part of ``text``, and where the first such part ends."""
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    plus, minus, dist, best = full, 0, n, (n, 0)
+    for j, s in enumerate(text):
+        eq = match.get(s, 0)
+        diagonal = ((((eq & plus) + plus) & full) ^ plus) | eq | minus
+        up = minus | (full & ~(diagonal | plus))
+        down = plus & diagonal
+        dist += bool(up & last) - bool(down & last)
+        up, down = (up << 1) & full, (down << 1) & full
+        plus = down | (full & ~(diagonal | up))
+        minus = up & diagonal
+        if dist < best[0]:
+            best = dist, j + 1
+    return best
+
+
+def find(pattern: Sequence[Hashable], text: Sequence[Hashable], limit: int) -> tuple[int, int, int] | None:
+    """The part of ``text`` nearest to ``pattern`` as (distance, start, end), if the distance is at most ``limit``."""
+    dist, end = _ends(positions(pattern), len(pattern), text)
+    if dist > limit or not pattern:
+        return None
+    back = list(reversed(text[:end]))
+    _, length = _ends(positions(list(reversed(pattern))), len(pattern), back)
+    return dist, end - length, end

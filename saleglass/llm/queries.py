@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from saleglass.llm import mixing, near_dedup, quality, sharding, toxicity
+from saleglass.llm import decontamination, licenses, mixing, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op3_licenses": licenses.op3_licenses,
     "op4_mixing": mixing.op4_mixing,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_quality": quality.op6_quality,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from saleglass.llm import decontamination, licenses, mixing, near_dedup, quality, sharding, toxicity
+from saleglass.llm import decontamination, licenses, mixing, near_dedup, quality, sharding, token_output, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_token_output": token_output.op8_token_output,
 }
 
 SQL = {

@@ -3,8 +3,13 @@
 A text is its lower-cased words; k-mers are five words in a row, labelled with how often they have occurred so far.
 For each of ``BANDS`` hash functions the ``PICKS`` labelled k-mers of smallest hash are taken and kept in text order;
 equal picks in equal order make a candidate. Lengths may differ by the similarity asked for at most, so the band key
-also holds the class of the length (and of the next one). Texts of a band are compared with the smallest of them;
-those that don't match it go on by two band keys at once, then choose a leader anew until none are left to compare.
+also holds the class of the length (and of the next one). Texts of a band are compared with the smallest of them.
+
+Texts that shared a band with others but didn't match its leader go on by a filter that loses nothing: similar texts
+have so many words in common that they share one of their rarest ones (``1 - LEAST`` of the words and one more, rarity
+counted among these texts). Texts that share such a word choose a leader, those that don't match it choose anew, until
+no two are left to compare.
+
 A link is a word edit similarity of ``LEAST`` or more. Classes are the connected components of links.
 """
 
@@ -15,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saleglass.llm.alignment import similarity
@@ -136,10 +141,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("leader", "node", "leader_text", "text").mapInArrow(run, "leader long, node long")
 
 
-def _led(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of groups of two or more, with the smallest node of the group."""
-    led = rows.groupBy(*keys).agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
-    return rows.join(led, keys)
+def _rarest(texts: DataFrame, least: float) -> DataFrame:
+    """(node, key) for the rarest labelled words of each text, by length class; see the module's notes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                h = np.sort(stable_hash(words))
+                at = np.arange(len(h))
+                new = np.ones(len(h), bool)
+                new[1:] = h[1:] != h[:-1]
+                label = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+                keys = pa.array(mixed(h + label * _MIX).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(h), pa.int64()), keys, pa.array([len(h)] * len(h), pa.int64())], names=["node", "word", "n"])
+
+    words = keep(texts.mapInArrow(run, "node long, word long, n long"), "near-words")
+    rare = words.join(words.groupBy("word").agg(F.count("*").alias("texts")).where("texts > 1"), "word", "left")
+    order = Window.partitionBy("node").orderBy(F.coalesce("texts", F.lit(1)), "word")  # the words of one text
+    first = rare.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.floor(F.col("n") * (1 - least) + 1e-9) + 1)
+    size_class = F.floor(F.log("n") / F.lit(math.log(1 / least))).cast("int")
+    classed = first.where("texts > 1").select("node", "word", F.explode(F.array(size_class, size_class + 1)).alias("c"))
+    return classed.select("node", F.xxhash64("word", "c").alias("key"))
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    """Rows (node, key) of keys with two nodes or more, with the smallest node of the key."""
+    led = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
+    return rows.join(led, "key")
+
+
+def _links(rows: DataFrame, texts: DataFrame, least: float, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare each row (key, node, leader) with its leader, but for pairs ``tested`` before.
+    Gives the links, the pairs compared, and the rows (node, key) that aren't linked to their leader."""
+    followers = rows.where("node <> leader")
+    pairs = followers.select("leader", "node").distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["leader", "node"], "left_anti")
+    pairs = keep(pairs, "near-pairs")
+    return keep(_verified(pairs, texts, least), "near-links"), pairs, followers
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -163,33 +203,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     banded = banded.select("node", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"), "k.band", "k.key")
     banded = banded.withColumn("key", F.xxhash64("key", "size_class")).select("node", "key")
-    led = keep(_led(banded, ["key"]), "near-bands")
-    pairs = led.where("node <> leader").select("leader", "node").distinct()
+    led = keep(_led(banded), "near-bands")
 
     wanted = led.select("node").distinct().join(nodes.select("node", "atom"), "node")
     rows = source.select(F.xxhash64("id", "atom").alias("row"), "atom")
     chosen = rows.groupBy("atom").agg(F.min("row").alias("row")).join(wanted, "atom").select("row", "node")
     texts = keep(source.select(F.xxhash64("id", "atom").alias("row"), "text").join(chosen, "row").dropDuplicates(["node"]).select("node", "text"), "near-texts")
 
-    links = tested = None
-    open_rows, keys = led, ["key"]
-    while True:
-        if tested is not None:
-            pairs = pairs.join(tested, ["leader", "node"], "left_anti")
-        found = keep(_verified(pairs, texts, least), "near-links")
-        links = found if links is None else links.unionByName(found)
-        rest = open_rows.where("node <> leader").join(links, ["leader", "node"], "left_anti").drop("leader")
-        tested = open_rows.where("node <> leader").select("leader", "node").distinct() if tested is None else tested.unionByName(pairs)
-        if keys == ["key"]:  # two keys in common from here on
-            groups = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "key")
-            pair_up = groups.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("all"))  # at most 2 x BANDS keys
-            rest = pair_up.select("node", F.explode("all").alias("key"), "all").select("node", "key", F.explode("all").alias("key2")).where("key < key2")
-            keys = ["key", "key2"]
-        open_rows = keep(_led(rest, keys), "near-bands")
-        pairs = open_rows.where("node <> leader").select("leader", "node").distinct()
-        tested = keep(tested, "near-tested")
-        if open_rows.isEmpty():
-            break
+    links, tested, followers = _links(led, texts, least)
+    rest = followers.join(links, ["leader", "node"], "left_anti").select("node", "key")
+    nodes_left = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("node").distinct()
+    open_rows = keep(_led(_rarest(texts.join(nodes_left, "node", "left_semi"), least)), "near-open")
+    while not open_rows.isEmpty():
+        found, pairs, followers = _links(open_rows, texts, least, tested)
+        links, tested = links.unionByName(found), tested.unionByName(pairs)
+        rest = followers.join(links, ["leader", "node"], "left_anti").select("node", "key")
+        open_rows = keep(_led(rest), "near-open")
 
     links = keep(links.distinct(), "near-links")
     classes = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))

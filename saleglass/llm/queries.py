@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from saleglass.llm import decontamination, licenses, mixing, near_dedup, quality, sharding, token_output, toxicity
+from saleglass.llm import decontamination, html_main, licenses, mixing, near_dedup, quality, sharding, token_output, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_output": token_output.op8_token_output,
+    "op9_html_extraction": html_main.op9_html_extraction,
 }
 
 SQL = {

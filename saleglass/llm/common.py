@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that tasks don't need it installed."""
+    if spark.conf.get("spark.saleglass.shipped", None) == spark.sparkContext.applicationId:
+        return
+    package = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="saleglass-")) / "saleglass.zip"
+    with zipfile.ZipFile(at, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(at))
+    spark.conf.set("spark.saleglass.shipped", spark.sparkContext.applicationId)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

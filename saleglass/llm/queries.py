@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from saleglass.llm import decontamination, html_main, licenses, mixing, near_dedup, quality, sharding, token_output, toxicity
+from saleglass.llm.common import ship
 
-QUERIES = {
+_RUN = {
     "op1_sharding": sharding.op1_sharding,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_licenses": licenses.op3_licenses,
@@ -16,6 +17,17 @@ QUERIES = {
     "op9_html_extraction": html_main.op9_html_extraction,
 }
 
+
+def _shipped(run):
+    def query(spark, sf_dir):
+        ship(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
+QUERIES = {name: _shipped(run) for name, run in _RUN.items()}
+
 SQL = {
     "op4_mixing": mixing.OP4_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from saleglass.llm import decontamination, html_main, licenses, mixing, near_dedup, quality, sharding, token_output, toxicity
+from saleglass.llm import decontamination, html_main, licenses, mixing, near_dedup, quality, sharding, suffix_dedup, token_output, toxicity
 from saleglass.llm.common import ship
 
 _RUN = {
@@ -15,6 +15,7 @@ _RUN = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_output": token_output.op8_token_output,
     "op9_html_extraction": html_main.op9_html_extraction,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 

@@ -295,9 +295,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int =
     """Train on at most ``rows`` documents of each label that are not held out and have at most ``chars`` characters,
     the first in the order of a hash of their id. Null labels and texts without a word teach nothing."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    pool = docs.select("doc_id", text_or_empty("text").alias("text")).where(F.length("text").between(1, chars)).join(known, "doc_id")
-    pool = pool.withColumn("h", F.xxhash64("doc_id"))
-    sample = [r for label in (0, 1) for r in pool.where(F.col("toxic") == label).orderBy("h", "doc_id", "text").limit(rows).collect()]
+    sizes = docs.select("doc_id", F.length("text").alias("n")).where(F.col("n").between(1, chars)).join(known, "doc_id")
+    sizes = sizes.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
+    chosen = [sizes.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(rows) for label in (0, 1)]
+    picked = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic", "h")  # at most twice ``rows``
+    texts = docs.select("doc_id", text_or_empty("text").alias("text")).where(F.length("text").between(1, chars))
+    sample = sorted(texts.join(F.broadcast(picked), "doc_id").collect(), key=lambda r: (r["toxic"], r["h"], r["doc_id"], r["text"]))
     return train([r["text"] for r in sample], [r["toxic"] for r in sample])
 
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,20 +188,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_c
     leaks, for the nearest part. Items without words (null, empty) leak nowhere, null and empty texts hold no leak.
     Repeated rows are reported again, an empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id {item_kind}, n_edits int, n_item_words int, first_word int, end_word int"
+    out = None
+    for shared in item_blocks(benchmark):
+        part = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_runner(shared, least), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def item_blocks(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """Items as (id, words), in broadcasts of about ``BLOCK_WORDS`` words."""
     items = benchmark.select("item_id", "text").dropDuplicates().where("text is not null")
     n_blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (5 * BLOCK_WORDS)))
-    parts = []
     for block in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast([(r["item_id"], words_of(r["text"])) for r in rows])
-        parts.append(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_runner(shared, least), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], words_of(r["text"])) for r in rows])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that hold no benchmark item, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def filtered(shared: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, least)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[t for t, *_ in index.leaks(batch.column(at).to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for shared in item_blocks(benchmark):
+        docs = docs.mapInArrow(filtered(shared), docs.schema)
+    return docs
 
 
 def _runner(shared, least: float):

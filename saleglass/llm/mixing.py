@@ -118,9 +118,9 @@ def route(patterns: dict[Pattern, int], quotas: dict[str, int], laps: int = 2) -
 
 
 def mix(sized: DataFrame, quotas: dict[str, int], laps: int = 2, seed: str = "mix", cells: int = 4096) -> DataFrame:
-    """Select documents of ``sized`` (id, members array of source keys, size) to the quotas.
+    """Select documents of ``sized`` (id, row, members array of source keys, size) to the quotas.
 
-    Returns id, members, size, taken (words, repeats counted) and parts (source, words). In each pattern the documents
+    Returns id, row (as given), members, size, taken (words, repeats counted) and parts (source, words). In each pattern the documents
     stand in the order of MD5(seed:id); the routed amounts are laid along that line, lap after lap. A document is read
     whole but for those at the ends of an amount, which are read in part, so quotas are met to the word where supply
     allows. Ties of the order (repeated ids) are broken by size. Documents without members or words take nothing. An
@@ -129,7 +129,7 @@ def mix(sized: DataFrame, quotas: dict[str, int], laps: int = 2, seed: str = "mi
     The driver holds one number per pattern and source; the number of patterns must be a matter of metadata.
     """
     spark = sized.sparkSession
-    known = sized.select("id", F.array_sort(F.array_distinct("members")).alias("members"), F.col("size").cast("long").alias("size"))
+    known = sized.select("id", "row", F.array_sort(F.array_distinct("members")).alias("members"), F.col("size").cast("long").alias("size"))
     known = known.withColumn("u", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
     known = known.withColumn("cell", F.pmod(F.conv(F.substring("u", 1, 6), 16, 10).cast("long"), F.lit(cells)).cast("int"))
     sums = keep(known.groupBy("members", "cell").agg(F.sum("size").alias("size")), "mix-cells")
@@ -145,7 +145,7 @@ def mix(sized: DataFrame, quotas: dict[str, int], laps: int = 2, seed: str = "mi
     plan = spark.createDataFrame(rows, "members array<string>, pattern_size long, segments array<struct<source:string,a:long,b:long>>")
     before = Window.partitionBy("members").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("members", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    run = Window.partitionBy("members", "cell").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("members", "cell").orderBy("u", "id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lined = known.join(offsets, ["members", "cell"], "left").join(plan, "members", "left")
     lined = lined.withColumn("at", F.col("offset") + F.sum("size").over(run) - F.col("size"))
 
@@ -159,7 +159,7 @@ def mix(sized: DataFrame, quotas: dict[str, int], laps: int = 2, seed: str = "mi
     )
     lined = lined.withColumn("parts", F.filter(parts, lambda x: x["words"] > 0))
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
-    return lined.select("id", "members", "size", taken.alias("taken"), "parts")
+    return lined.select("id", "row", "members", "size", taken.alias("taken"), "parts")
 
 
 def source_key(col: str):
@@ -167,13 +167,18 @@ def source_key(col: str):
     return F.coalesce(F.concat(F.lit("a"), F.col(col)), F.lit("b"))
 
 
+def row_key():
+    return F.xxhash64("doc_id", F.md5(text_or_empty("text")))
+
+
 def mix_sources(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: str = "mix") -> DataFrame:
     """Mix ``docs`` (doc_id, source, text): sources by code point, null last, weigh ``weights`` in turn.
 
-    Returns doc_id, size (words; null text 0), source_size, target and taken. Every row of ``docs`` is returned.
+    Returns doc_id, row (a hash of id and text), size (words; null text 0), source_size, target and taken. Every row of
+    ``docs`` is returned.
     """
     sized = keep(
-        docs.select(F.col("doc_id").alias("id"), F.array(source_key("source")).alias("members"), F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size")),
+        docs.select(F.col("doc_id").alias("id"), row_key().alias("row"), F.array(source_key("source")).alias("members"), F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size")),
         "mix-sizes",
     )
     totals = {r["s"]: r["size"] for r in sized.groupBy(F.col("members")[0].alias("s")).agg(F.sum("size").alias("size")).collect()}
@@ -181,11 +186,27 @@ def mix_sources(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5,
     targets = capped_targets(totals, weighed, share, ceiling)
     mixed = mix(sized, {s: int(t) for s, t in targets.items()}, laps=math.ceil(ceiling), seed=seed)
     table = docs.sparkSession.createDataFrame([(s, totals[s], float(targets[s])) for s in totals], "s string, source_size long, target double")
-    return mixed.join(table, mixed["members"][0] == table["s"], "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixed.join(table, mixed["members"][0] == table["s"], "left").select(F.col("id").alias("doc_id"), "row", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as mixed: a row for each time a document is read, with its columns. A document read in part keeps its
+    first words, joined by spaces, and its n_chars follow if there are any."""
+    taken = mix_sources(docs, **options).where("taken > 0").select("row", "size", "taken").groupBy("row").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("n"))
+    names = docs.columns
+    # repeated rows share what they take
+    both = docs.select(F.struct("*").alias("doc"), row_key().alias("row")).join(taken.select("row", "size", F.ceil(F.col("taken") / F.col("n")).alias("taken")), "row")
+    laps = F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")) - 1), lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size"))))
+    read = both.select("doc", "size", laps.alias("words"))
+    head = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    whole = F.col("words") == F.col("size")
+    text = F.when(whole, F.col("doc.text")).otherwise(head)
+    columns = [text.alias("text") if c == "text" else F.when(whole, F.col("doc.n_chars")).otherwise(F.length(head)).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`") for c in names]
+    return read.select(*columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir))
+    return mix_sources(documents(spark, sf_dir)).drop("row")
 
 
 OP4_SQL = r"""

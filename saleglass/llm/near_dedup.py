@@ -183,7 +183,7 @@ def _links(rows: DataFrame, texts: DataFrame, least: float, tested: DataFrame |
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """Every row of ``docs`` as id, class_id, keeper (the first row of its class), n_links.
+    """Every row of ``docs`` as id, class_id, keeper (the first row of its class), n_links, and atom (MD5 of the text).
 
     class_id is the smallest id in the class. n_links counts the different texts that the text was verified against.
     Equal texts share a class without being compared; null counts as the empty text. Texts without a word meet equal
@@ -228,8 +228,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = keep(source.select("id", "atom").withColumn("nth", F.monotonically_increasing_id()).join(classed, "atom"), "near-members")
     # nulls first, as everywhere in Spark's order
     heads = members.groupBy("class").agg(F.min(F.struct("id", "nth")).alias("head"))
-    return members.join(heads, "class").select(F.col("id").alias(id_col), F.col("head.id").alias("class_id"), (F.col("nth") == F.col("head.nth")).alias("keeper"), "n_links")
+    return members.join(heads, "class").select(F.col("id").alias(id_col), F.col("head.id").alias("class_id"), (F.col("nth") == F.col("head.nth")).alias("keeper"), "n_links", "atom")
+
+
+def one_of_each(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of near duplicates, with all columns of ``docs``."""
+    row = F.xxhash64(F.col(id_col), "atom").alias("row")
+    keepers = near_classes(docs, id_col, text_col, least).where("keeper").select(row)
+    with_row = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col(id_col), F.md5(text_or_empty(text_col))).alias("row"))
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("row"))  # repeated rows
+    return with_row.join(keepers, "row", "left_semi").withColumn("nth", nth).where("nth = 1").select("doc.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(documents(spark, sf_dir))
+    return near_classes(documents(spark, sf_dir)).drop("atom")

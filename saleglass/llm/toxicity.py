@@ -319,6 +319,20 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
+def without_toxic(docs: DataFrame, network: Network, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that score below ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = shared.value
+        codes = Codes(network.vocabulary)
+        for batch in batches:
+            yield batch.filter(pa.array(network.scores(batch.column(at).to_pylist(), codes) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     network = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

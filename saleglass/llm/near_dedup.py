@@ -7,8 +7,8 @@ also holds the class of the length (and of the next one). Texts of a band are co
 
 Texts that shared a band with others but didn't match its leader go on by a filter that loses nothing: similar texts
 have so many words in common that they share one of their rarest ones (``1 - LEAST`` of the words and one more, rarity
-counted among these texts). Texts that share such a word choose a leader, those that don't match it choose anew, until
-no two are left to compare.
+counted among these texts). Of texts that share such a word the first few are leaders for the others; those that match
+none choose four times as many, until none are left.
 
 A link is a word edit similarity of ``LEAST`` or more. Classes are the connected components of links.
 """
@@ -165,21 +165,30 @@ def _rarest(texts: DataFrame, least: float) -> DataFrame:
     return classed.select("node", F.xxhash64("word", "c").alias("key"))
 
 
-def _led(rows: DataFrame) -> DataFrame:
-    """Rows (node, key) of keys with two nodes or more, with the smallest node of the key."""
-    led = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
-    return rows.join(led, "key")
+def _led(rows: DataFrame, leaders: int) -> DataFrame:
+    """Rows (node, key) of keys with two nodes or more against each of the key's ``leaders`` smallest nodes before
+    them: node, key, leader, open (whether the node isn't a leader itself)."""
+    if leaders == 1:
+        led = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
+        return rows.join(led, "key").where("node <> leader").select("node", "key", "leader", F.lit(True).alias("open"))
+    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node")))
+    first = ranked.where(F.col("nth") <= leaders).select("key", F.col("node").alias("leader"))
+    return ranked.join(first, "key").where("leader < node").select("node", "key", "leader", (F.col("nth") > leaders).alias("open"))
 
 
-def _links(rows: DataFrame, texts: DataFrame, least: float, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compare each row (key, node, leader) with its leader, but for pairs ``tested`` before.
-    Gives the links, the pairs compared, and the rows (node, key) that aren't linked to their leader."""
-    followers = rows.where("node <> leader")
-    pairs = followers.select("leader", "node").distinct()
+def _links(led: DataFrame, texts: DataFrame, least: float, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Compare rows with their leaders, but for pairs ``tested`` before. Gives the links and the pairs compared."""
+    pairs = led.select("leader", "node").distinct()
     if tested is not None:
         pairs = pairs.join(tested, ["leader", "node"], "left_anti")
     pairs = keep(pairs, "near-pairs")
-    return keep(_verified(pairs, texts, least), "near-links"), pairs, followers
+    return keep(_verified(pairs, texts, least), "near-links"), pairs
+
+
+def _unmatched(led: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (node, key) that are open and linked to no leader of their key."""
+    matched = led.join(links, ["leader", "node"], "left_semi").select("node", "key")
+    return led.where("open").select("node", "key").distinct().join(matched, ["node", "key"], "left_anti")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -203,22 +212,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     banded = banded.select("node", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"), "k.band", "k.key")
     banded = banded.withColumn("key", F.xxhash64("key", "size_class")).select("node", "key")
-    led = keep(_led(banded), "near-bands")
+    led = keep(_led(banded, 1), "near-bands")
 
-    wanted = led.select("node").distinct().join(nodes.select("node", "atom"), "node")
+    wanted = led.select(F.explode(F.array("node", "leader")).alias("node")).distinct().join(nodes.select("node", "atom"), "node")
     rows = source.select(F.xxhash64("id", "atom").alias("row"), "atom")
     chosen = rows.groupBy("atom").agg(F.min("row").alias("row")).join(wanted, "atom").select("row", "node")
     texts = keep(source.select(F.xxhash64("id", "atom").alias("row"), "text").join(chosen, "row").dropDuplicates(["node"]).select("node", "text"), "near-texts")
 
-    links, tested, followers = _links(led, texts, least)
-    rest = followers.join(links, ["leader", "node"], "left_anti").select("node", "key")
+    links, tested = _links(led, texts, least)
+    rest = _unmatched(led, links)
     nodes_left = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("node").distinct()
-    open_rows = keep(_led(_rarest(texts.join(nodes_left, "node", "left_semi"), least)), "near-open")
-    while not open_rows.isEmpty():
-        found, pairs, followers = _links(open_rows, texts, least, tested)
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
-        rest = followers.join(links, ["leader", "node"], "left_anti").select("node", "key")
-        open_rows = keep(_led(rest), "near-open")
+    leaders = 4
+    led = keep(_led(_rarest(texts.join(nodes_left, "node", "left_semi"), least), leaders), "near-rare")
+    while not led.isEmpty():
+        found, pairs = _links(led, texts, least, tested)
+        links, tested, leaders = links.unionByName(found), tested.unionByName(pairs), 4 * leaders
+        led = keep(_led(_unmatched(led, links), leaders), "near-rare")
 
     links = keep(links.distinct(), "near-links")
     classes = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))

@@ -28,7 +28,7 @@ WIDTH, HIDDEN = 12, 8
 #: Character inputs: how they are cut from a word, and the bits of their hash.
 PIECES = {"head5": (slice(0, 5), 12), "head7": (slice(0, 7), 12), "tail": (slice(-3, None), 8)}
 TRAIN_ROWS, TRAIN_CHARS, VOCABULARY, LEAST_SEEN = 1500, 4000, 20_000, 3
-EPOCHS, BATCH, RATE = 6, 48, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 300, 48, 0.01
 THRESHOLD = 0.7
 OFF = np.float32(-30.0)
 
@@ -167,7 +167,7 @@ class Network:
             best = np.full(b - a, -np.inf)
             for i in range(0, len(place), 2048):
                 np.maximum.at(best, text[i : i + 2048], self.window_logits(flat, place[i : i + 2048]))
-            out[a:b] = 1 / (1 + np.exp(-np.clip(best, -60, 60)))
+            out[a:b] = np.where(best == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(best, -60, 60))))
         return out
 
 
@@ -264,8 +264,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     first = np.searchsorted(text, np.arange(len(words) + 1))
     usable = np.flatnonzero(np.diff(first) > 0)
     m, s, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(usable))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(usable)
         for i in range(0, len(order), BATCH):
             docs = order[i : i + BATCH]

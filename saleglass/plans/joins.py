@@ -1 +1,272 @@
-"""Queries."""
+"""Joins of sales, parses, runs and the reference checklist; set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from saleglass.functions import stats
+from saleglass.operators import catalogue as cat
+from saleglass.registry import query
+from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, RUNS_SQL, SERIES_SQL, cards, checklist, flat, runs, sales, segments, table
+
+W = f"WITH {FLAT_SQL}"
+WR = f"WITH {RUNS_SQL}"
+WK = f"WITH {FLAT_SQL}, {CHECKLIST_SQL}"
+
+
+@query("j_sales_left_cards", f"{W} SELECT f.item_id, c.card_key, c.item_id IS NOT NULL AS parsed FROM flat f LEFT JOIN cards c USING (item_id)")
+def j_sales_left_cards(spark, sf):
+    c = cards(spark, sf).select("item_id", "card_key", F.lit(True).alias("parsed"))
+    return sales(spark, sf).select("item_id").join(c, "item_id", "left").withColumn("parsed", F.coalesce("parsed", F.lit(False)))
+
+
+@query("j_sales_inner_cards", f"{W} SELECT item_id, price_cents, card_key FROM cards")
+def j_sales_inner_cards(spark, sf):
+    return sales(spark, sf).select("item_id", "price_cents").join(cards(spark, sf).select("item_id", "card_key"), "item_id")
+
+
+@query("j_unparsed_anti", f"{W} SELECT item_id, title FROM flat WHERE starts_with(item_id, '7')")
+def j_unparsed_anti(spark, sf):
+    return sales(spark, sf).select("item_id", "title").join(cards(spark, sf).select("item_id"), "item_id", "left_anti")
+
+
+@query("j_touched_semi", f"{W} SELECT item_id, card_key FROM flat WHERE card_key IN (SELECT card_key FROM flat WHERE sold_date >= DATE '2001-10-01')")
+def j_touched_semi(spark, sf, since="2001-10-01"):
+    rows = flat(spark, sf)
+    touched = rows.where(F.col("sold_date") >= F.lit(since).cast("date")).select("card_key").distinct()
+    return rows.join(touched, "card_key", "left_semi").select("item_id", "card_key")
+
+
+@query("j_segments_runs", f"{WR} SELECT r.target_date, s.segment_id, s.status, s.items FROM segments s JOIN (SELECT * FROM runs ORDER BY target_date DESC LIMIT 10) r USING (run_id)", dates="target_date")
+def j_segments_runs(spark, sf, last=10):
+    r = runs(spark, sf).orderBy(F.desc("target_date")).limit(last).select("run_id", "target_date")
+    return segments(spark, sf).join(F.broadcast(r), "run_id").select("target_date", "segment_id", "status", "items")
+
+
+BANDS = ((None, 10.0), (10.0, 50.0), (50.0, 200.0), (200.0, None))
+
+
+@query("j_band_range", "SELECT CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 WHEN value < 200 THEN 2 ELSE 3 END AS band, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def j_band_range(spark, sf):
+    bands = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(BANDS)], "band int, lo double, hi double")
+    inside = (F.col("value") >= F.coalesce("lo", F.lit(float("-inf")))) & (F.col("value") < F.coalesce("hi", F.lit(float("inf"))))
+    return table(spark, sf, "events").select("value").join(F.broadcast(bands), inside).groupBy("band").agg(F.count("*").alias("n"))  # a few bands
+
+
+@query("j_day_spine_anti", f"{WR} SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '2024-01-30' - 19, DATE '2024-01-30', INTERVAL 1 DAY) t(d) WHERE CAST(d AS DATE) NOT IN (SELECT target_date FROM runs WHERE status = 'ok')", dates="day")
+def j_day_spine_anti(spark, sf, as_of="2024-01-30", days=20):
+    end = F.lit(as_of).cast("date")
+    spine = spark.range(1).select(F.explode(F.sequence(F.date_sub(end, days - 1), end)).alias("day"))
+    done = runs(spark, sf).where("status = 'ok'").select(F.col("target_date").alias("day"))
+    return spine.join(done, "day", "left_anti")
+
+
+def parsed(spark, sf):
+    """Parsed attributes as the checklist joins see them; numbers partly missing, partly wrong."""
+    n = F.split("item_id", "-")
+    wrong = n[1].cast("int") == 6
+    return cards(spark, sf).select("item_id", "year", "set_name", "player", "parallel", F.when(wrong, F.concat(F.lit("X"), "card_number")).otherwise(F.col("card_number")).alias("card_number"))
+
+
+PARSED_SQL = "parsed AS (SELECT item_id, year, set_name, player, parallel, CASE WHEN split_part(item_id, '-', 2) = '6' THEN 'X' || card_number ELSE card_number END AS card_number FROM cards)"
+
+
+def folded_number(c):
+    x = F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    return F.when(x != "", x)
+
+
+def folded_name(c):
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
+def candidates(p, check):
+    """Printed cards that a parse can be: by number if it has one, else by parallel; the player agrees where known.
+    Both branches are equi joins on year and set."""
+    k = check.select("year", "set_name", folded_number("card_number").alias("number"), folded_name("player").alias("who"), F.col("parallel").alias("print"), "subset", F.col("card_number").alias("spelling"), "print_run", F.col("card_key").alias("printed"))
+    p = p.select("item_id", "year", "set_name", folded_number("card_number").alias("number"), folded_name("player").alias("own"), "parallel")
+    numbered = p.where("number is not null").join(k, ["year", "set_name", "number"])
+    rest = p.where("number is null").drop("number").join(k, ["year", "set_name"]).where(F.col("parallel").isNull() | (F.col("parallel") == F.col("print")))
+    columns = ["item_id", "printed", "spelling", "subset", "print_run", "own", "who"]
+    return numbered.select(*columns).unionByName(rest.select(*columns)).where(F.col("own").isNull() | (F.col("own") == F.col("who"))).drop("own", "who")
+
+
+CAND_SQL = f"""{PARSED_SQL}, cand AS (SELECT p.item_id, k.card_key AS printed, k.card_number AS spelling, k.subset, k.print_run FROM parsed p JOIN checklist k ON p.year = k.year AND p.set_name = k.set_name
+  AND CASE WHEN p.card_number IS NOT NULL THEN p.card_number = k.card_number ELSE p.parallel IS NULL OR p.parallel = k.parallel END AND (p.player IS NULL OR p.player = k.player))"""
+
+
+@query("j_checklist_candidates", f"{WK}, {CAND_SQL} SELECT item_id, printed FROM cand")
+def j_checklist_candidates(spark, sf):
+    return candidates(parsed(spark, sf), checklist(spark, sf)).select("item_id", "printed")
+
+
+@query("j_resolve_number", f"{WK}, {CAND_SQL} SELECT item_id, any_value(c.spelling) AS card_number FROM cand c JOIN parsed p USING (item_id) WHERE p.card_number IS NULL GROUP BY 1 HAVING count(DISTINCT c.spelling) = 1")
+def j_resolve_number(spark, sf):
+    p = parsed(spark, sf).where("card_number is null")
+    found = candidates(p, checklist(spark, sf)).groupBy("item_id").agg(F.min("spelling").alias("card_number"), F.max("spelling").alias("other"))
+    return found.where(F.col("card_number") == F.col("other")).drop("other")
+
+
+def verified(p, check):
+    """True: printed. False: not printed. Null: product not covered, or no number and no candidate."""
+    n = candidates(p, check).groupBy("item_id").agg(F.count("*").alias("n"))
+    covered = check.select("year", "set_name").distinct().withColumn("covered", F.lit(True))
+    rows = p.join(covered, ["year", "set_name"], "left").join(n, "item_id", "left")
+    return rows.select("item_id", F.when(F.col("covered").isNull(), None).when(F.col("n") > 0, True).when(F.col("card_number").isNull(), None).otherwise(False).alias("printed"))
+
+
+@query("j_verify", f"""{WK}, {CAND_SQL} SELECT p.item_id, CASE WHEN k.year IS NULL THEN NULL WHEN c.n > 0 THEN true WHEN p.card_number IS NULL THEN NULL ELSE false END AS printed
+  FROM parsed p LEFT JOIN (SELECT DISTINCT year, set_name FROM checklist) k ON p.year = k.year AND p.set_name = k.set_name LEFT JOIN (SELECT item_id, count(*) AS n FROM cand GROUP BY 1) c ON p.item_id = c.item_id""")
+def j_verify(spark, sf):
+    return verified(parsed(spark, sf), checklist(spark, sf))
+
+
+@query("j_identify", f"{WK}, {CAND_SQL} SELECT item_id, min(printed) AS printed FROM cand GROUP BY 1 HAVING count(DISTINCT coalesce(subset, '-')) = 1")
+def j_identify(spark, sf):
+    none = F.coalesce("subset", F.lit("-"))
+    return candidates(parsed(spark, sf), checklist(spark, sf)).groupBy("item_id").agg(F.min("printed").alias("printed"), F.min(none).alias("a"), F.max(none).alias("b")).where("a = b").select("item_id", "printed")
+
+
+@query("j_enrich", f"""{WK}, {CAND_SQL}, s AS (SELECT item_id, min(subset) AS subset, count(DISTINCT coalesce(subset, '-')) AS ns, min(spelling) AS spelling, count(DISTINCT spelling) AS nn, min(print_run) AS print_run, count(DISTINCT print_run) AS nr FROM cand GROUP BY 1)
+  SELECT p.item_id, CASE WHEN s.ns = 1 THEN s.subset END AS subset, CASE WHEN s.nn = 1 THEN s.spelling ELSE p.card_number END AS card_number, CASE WHEN s.nr = 1 THEN s.print_run END AS print_run FROM parsed p LEFT JOIN s USING (item_id)""")
+def j_enrich(spark, sf):
+    def agreed(c):
+        same = F.min(F.coalesce(F.col(c).cast("string"), F.lit("-"))) == F.max(F.coalesce(F.col(c).cast("string"), F.lit("-")))
+        return F.when(same, F.min(c)).alias(f"new_{c}")
+
+    p, check = parsed(spark, sf), checklist(spark, sf)
+    summary = candidates(p, check).groupBy("item_id").agg(agreed("subset"), agreed("spelling"), agreed("print_run"))
+    return p.join(summary, "item_id", "left").select("item_id", F.col("new_subset").alias("subset"), F.coalesce("new_spelling", "card_number").alias("card_number"), F.col("new_print_run").alias("print_run"))
+
+
+@query("j_checklist_known_sales", f"{WK} SELECT k.card_key, count(*) AS sales FROM checklist k JOIN flat f ON k.card_key = f.card_key GROUP BY 1")
+def j_checklist_known_sales(spark, sf):
+    return checklist(spark, sf).select("card_key").join(flat(spark, sf).select("card_key"), "card_key").groupBy("card_key").agg(F.count("*").alias("sales"))
+
+
+def word_windows(text, sizes):
+    """All runs of ``sizes`` words of a lower-cased text, once each."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
+    runs_ = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in sizes]
+    return F.array_distinct(F.concat(*runs_))
+
+
+@query("j_roster_contains", f"{W} SELECT item_id, player AS name FROM flat")
+def j_roster_contains(spark, sf):
+    names = table(spark, sf, "part").select(F.lower("p_name").alias("name")).distinct()
+    return flat(spark, sf).select("item_id", F.explode(word_windows(F.col("title"), (2, 3))).alias("name")).join(names, "name").select("item_id", "name")
+
+
+@query("j_second_player", f"{W}, p AS (SELECT DISTINCT lower(p_name) AS name FROM part) SELECT item_id, least(a, b) || ' / ' || greatest(a, b) AS players FROM (SELECT item_id, player AS a, (SELECT min(name) FROM p WHERE name > 'old') AS b FROM flat) WHERE a <> b")
+def j_second_player(spark, sf):
+    names = table(spark, sf, "part").select(F.lower("p_name").alias("name")).distinct()
+    other = names.where("name > 'old'").agg(F.min("name").alias("other"))
+    titles = flat(spark, sf).select("item_id", "player", "title").crossJoin(other).select("item_id", "player", F.concat_ws(" & ", "title", "other").alias("title"))  # one row
+    hits = titles.select("item_id", F.explode(word_windows(F.col("title"), (2,))).alias("name")).join(names, "name")
+    both = hits.groupBy("item_id").agg(F.array_sort(F.collect_set("name")).alias("n"))  # names of one title
+    return both.where(F.size("n") > 1).select("item_id", F.array_join("n", " / ").alias("players"))
+
+
+@query("j_reconcile_readings", f"""{W} SELECT item_id, (a_set = set_name)::INT + (a_year = year)::INT AS agreed, (a_set <> set_name)::INT + (a_year <> year)::INT AS conflicts,
+  CASE WHEN a_set <> set_name OR a_year <> year THEN greatest(0.1, round(confidence - 0.15, 3)) ELSE least(1.0, round(confidence + 0.05 * ((a_set = set_name)::INT + (a_year = year)::INT), 3)) END AS confidence
+  FROM (SELECT *, CASE WHEN price_cents % 7 = 0 THEN 'Other' ELSE set_name END AS a_set, CASE WHEN price_cents % 11 = 0 THEN year + 1 ELSE year END AS a_year FROM flat)""")
+def j_reconcile_readings(spark, sf):
+    rows = flat(spark, sf)
+    reading = rows.select("item_id", F.when(F.col("price_cents") % 7 == 0, "Other").otherwise(F.col("set_name")).alias("a_set"), F.when(F.col("price_cents") % 11 == 0, F.col("year") + 1).otherwise(F.col("year")).alias("a_year"))
+    both = rows.select("item_id", "set_name", "year", "confidence").join(reading, "item_id", "left")
+    fields = [("a_set", "set_name"), ("a_year", "year")]
+    agreed = sum(((F.col(a) == F.col(b)).cast("int") for a, b in fields), F.lit(0))
+    conflicts = sum(((F.col(a) != F.col(b)).cast("int") for a, b in fields), F.lit(0))
+    up = F.least(F.lit(1.0), F.round(F.col("confidence") + 0.05 * agreed, 3))
+    return both.select("item_id", agreed.alias("agreed"), conflicts.alias("conflicts"), F.when(conflicts > 0, F.greatest(F.lit(0.1), F.round(F.col("confidence") - 0.15, 3))).otherwise(up).alias("confidence"))
+
+
+@query("j_parsed_vs_restored", f"{W} SELECT item_id, CASE WHEN price_cents % 5 = 0 THEN price_cents + 1 ELSE price_cents END AS price_cents FROM flat")
+def j_parsed_vs_restored(spark, sf):
+    local = sales(spark, sf).select("item_id", "price_cents", F.lit(0).alias("seq"))
+    remote = local.where("price_cents % 5 = 0").select("item_id", (F.col("price_cents") + 1).alias("price_cents"), F.lit(1).alias("seq"))
+    return local.unionByName(remote).groupBy("item_id").agg(F.max_by("price_cents", "seq").alias("price_cents"))
+
+
+@query("s_done_intersect", f"{WR} SELECT target_date FROM runs WHERE status = 'ok' INTERSECT SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'error'", dates="target_date")
+def s_done_intersect(spark, sf):
+    return runs(spark, sf).where("status = 'ok'").select("target_date").intersect(table(spark, sf, "events").where("event_type = 'error'").select(F.to_date("ts")))
+
+
+@query("s_watermark_union", f"{W} SELECT max(d) AS watermark FROM (SELECT max(sold_date) AS d FROM flat UNION ALL SELECT max(sold_date) FROM cards)", dates="watermark")
+def s_watermark_union(spark, sf):
+    c = cards(spark, sf).select("item_id").join(sales(spark, sf).select("item_id", "sold_date"), "item_id")
+    return sales(spark, sf).agg(F.max("sold_date").alias("d")).unionAll(c.agg(F.max("sold_date"))).agg(F.max("d").alias("watermark"))
+
+
+@query("s_dedupe_last", f"{W} SELECT item_id, price_cents + CASE WHEN price_cents % 3 = 0 THEN 7 ELSE 0 END AS price_cents FROM flat")
+def s_dedupe_last(spark, sf):
+    s = sales(spark, sf).select("item_id", "price_cents", F.lit(1).alias("seq"))
+    again = s.where("price_cents % 3 = 0").select("item_id", (F.col("price_cents") + 7).alias("price_cents"), F.lit(2).alias("seq"))
+    last = Window.partitionBy("item_id").orderBy(F.desc("seq"))
+    return s.unionByName(again).withColumn("r", F.row_number().over(last)).where("r = 1").select("item_id", "price_cents")
+
+
+@query("s_vocab_except", "SELECT DISTINCT lower(p_name) AS term FROM part WHERE p_name NOT LIKE 'old%'")
+def s_vocab_except(spark, sf):
+    terms = table(spark, sf, "part").select(F.lower("p_name").alias("term")).distinct()
+    return terms.join(terms.where("term like 'old%'"), "term", "left_anti")
+
+
+@query("s_distinct_facets", "SELECT DISTINCT user_id AS page, event_type AS aspect, json_extract_string(props, '$.k') AS value FROM events")
+def s_distinct_facets(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").alias("page"), F.col("event_type").alias("aspect"), F.get_json_object("props", "$.k").alias("value")).dropDuplicates(["page", "aspect", "value"])
+
+
+@query("s_band_edges", f"""{WR}, e AS (SELECT DISTINCT price_lo AS x FROM segments UNION SELECT DISTINCT price_hi FROM segments UNION SELECT DISTINCT round(sqrt(greatest(price_lo, 0.99) * price_hi), 2) FROM segments WHERE status = 'capped')
+  SELECT lag(x) OVER (ORDER BY x) AS lo, x AS hi FROM e UNION ALL SELECT max(x), NULL FROM e""")
+def s_band_edges(spark, sf):
+    return band_suggestions(segments(spark, sf))
+
+
+def band_suggestions(s):
+    """Consecutive bands with open ends, cut at all edges and at the geometric middle of capped bands."""
+    middle = F.round(F.sqrt(F.greatest("price_lo", F.lit(0.99)) * F.col("price_hi")), 2)
+    edges = s.select(F.col("price_lo").alias("x")).union(s.select("price_hi")).union(s.where("status = 'capped'").select(middle)).distinct()
+    w = Window.orderBy("x")  # edges are few
+    return edges.select(F.lag("x").over(w).alias("lo"), F.col("x").alias("hi")).unionAll(edges.agg(F.max("x").alias("lo")).select("lo", F.lit(None).cast("double").alias("hi")))
+
+
+@query("b_band_suggestions", f"""{WR}, e AS (SELECT DISTINCT price_lo AS x FROM segments UNION SELECT DISTINCT price_hi FROM segments UNION SELECT DISTINCT round(sqrt(greatest(price_lo, 0.99) * price_hi), 2) FROM segments WHERE status = 'capped')
+  SELECT count(*) + 1 AS bands, min(x) AS first_edge, max(x) AS last_edge FROM e""")
+def b_band_suggestions(spark, sf):
+    return band_suggestions(segments(spark, sf)).agg(F.count("*").alias("bands"), F.min("hi").alias("first_edge"), F.max("lo").alias("last_edge"))
+
+
+@query("b_adaptive_bands", """WITH RECURSIVE v AS (SELECT value FROM events), b AS (
+    SELECT 0 AS depth, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM (VALUES (0.0, 100.0), (100.0, 300.0), (300.0, 600.0)) t(lo, hi)
+    UNION ALL SELECT depth + 1, u.lo, u.hi FROM (SELECT b.*, sqrt(greatest(b.lo, 0.99) * b.hi) AS m FROM b WHERE depth < 3 AND (SELECT count(*) FROM v WHERE value >= b.lo AND value < b.hi) >= 1500) s, LATERAL (SELECT s.lo AS lo, s.m AS hi UNION ALL SELECT s.m, s.hi) u)
+  SELECT depth, round(lo, 4) AS lo, round(hi, 4) AS hi, n, n >= 1500 AS still_capped FROM (SELECT b.*, (SELECT count(*) FROM v WHERE value >= b.lo AND value < b.hi) AS n FROM b) WHERE n < 1500 OR depth = 3""")
+def b_adaptive_bands(spark, sf, threshold=1500, most_depth=3):
+    return adaptive_bands(table(spark, sf, "events").select("value"), [(0.0, 100.0), (100.0, 300.0), (300.0, 600.0)], threshold, most_depth)
+
+
+def adaptive_bands(values, bands, threshold, most_depth):
+    """Split bands of ``threshold`` rows or more at their geometric middle, ``most_depth`` times at most. All sub-bands
+    that can arise are laid out first and counted in one pass; those whose parents weren't all full fall away."""
+    spark = values.sparkSession
+    laid, level = [], [(lo, hi, None) for lo, hi in bands]
+    for depth in range(most_depth + 1):
+        nxt = []
+        for lo, hi, parent in level:
+            i = len(laid)
+            laid.append((i, parent, depth, lo, hi))
+            floor = max(lo, 0.99)
+            mid = (floor * hi) ** 0.5 if floor < hi else (lo + hi) / 2
+            nxt += [(lo, mid, i), (mid, hi, i)]
+        level = nxt
+    frame = spark.createDataFrame(laid, "i int, parent int, depth int, lo double, hi double")
+    n = values.join(F.broadcast(frame), (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi"))).groupBy("i").agg(F.count("*").alias("n"))  # a few bands
+    counted = frame.join(n, "i", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    alive = counted.withColumn("ok", F.col("parent").isNull())
+    for depth in range(1, most_depth + 1):
+        up = alive.select(F.col("i").alias("parent"), (F.col("ok") & (F.col("n") >= threshold)).alias("full"))
+        alive = alive.join(up, "parent", "left").withColumn("ok", F.when(F.col("depth") == depth, F.coalesce("full", F.lit(False))).otherwise(F.col("ok"))).drop("full")
+    leaf = F.col("ok") & ((F.col("n") < threshold) | (F.col("depth") == most_depth))
+    return alive.where(leaf).select("depth", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "n", (F.col("n") >= threshold).alias("still_capped"))

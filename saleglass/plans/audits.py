@@ -1 +1,218 @@
-"""Queries."""
+"""Data-quality audits, triage, review samples and learned vocabularies."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from saleglass.functions import stats
+from saleglass.functions.text import folded_person, same_person
+from saleglass.operators import catalogue as cat
+from saleglass.registry import query
+from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, cards, checklist, flat, table
+
+W = f"WITH {FLAT_SQL}"
+BUCKETS = ((0.0, 0.2), (0.2, 0.4), (0.4, 0.6), (0.6, 0.8), (0.8, 1.01))
+
+
+def audit_coverage(rows):
+    """Cards, keyed ones, groups and confidence buckets in one pass by key."""
+    by_key = rows.groupBy("card_key").agg(F.count("*").alias("n"), *(F.count_if((F.col("confidence") >= lo) & (F.col("confidence") < hi)).alias(f"b{i}") for i, (lo, hi) in enumerate(BUCKETS)))
+    keyed = F.col("card_key").isNotNull()
+    return by_key.agg(
+        F.sum("n").alias("cards"), F.sum(F.when(keyed, F.col("n")).otherwise(0)).alias("keyed"), F.count_if(keyed).alias("groups"), F.count_if(keyed & (F.col("n") == 1)).alias("singletons"),
+        F.sum(F.when(keyed & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("grouped_sales"), *(F.sum(f"b{i}").alias(f"b{i}") for i in range(5)),
+    ).withColumn("key_rate", stats.rounded(F.col("keyed") / F.col("cards"), 3))
+
+
+@query("a_audit_coverage", f"""{W}, g AS (SELECT card_key, count(*) AS n FROM flat WHERE card_key IS NOT NULL GROUP BY 1)
+  SELECT count(*) AS cards, count(card_key) AS keyed, (SELECT count(*) FROM g) AS groups, (SELECT count(*) FROM g WHERE n = 1) AS singletons, (SELECT sum(n) FROM g WHERE n > 1)::BIGINT AS grouped_sales,
+  """ + ", ".join(f"count(*) FILTER (WHERE confidence >= {lo} AND confidence < {hi}) AS b{i}" for i, (lo, hi) in enumerate(BUCKETS)) + ", floor(count(card_key) / count(*)::DOUBLE * 1000 + 0.5) / 1000.0 AS key_rate FROM flat")
+def a_audit_coverage(spark, sf):
+    return audit_coverage(flat(spark, sf))
+
+
+def _named(spark, sf):
+    """Names as sellers vary them: one line in nine swaps two letters, one in ten names somebody else."""
+    n = F.split("item_id", "-")
+    typo = n[0].cast("int") % 9 == 0
+    other = n[0].cast("int") % 10 == 1
+    name = F.when(other, "somebody else").when(typo, F.concat("player", F.lit("s"))).otherwise(F.col("player"))
+    return flat(spark, sf).where("card_key is not null").select("card_key", "item_id", "title", name.alias("name"))
+
+
+NAMED_SQL = "named AS (SELECT card_key, item_id, title, CASE WHEN split_part(item_id, '-', 1)::INT % 10 = 1 THEN 'somebody else' WHEN split_part(item_id, '-', 1)::INT % 9 = 0 THEN player || 's' ELSE player END AS name, player FROM flat WHERE card_key IS NOT NULL)"
+#: Names of a key here are its player, that name with an s, or somebody else; the leader is the most frequent.
+LED_SQL = f"""{NAMED_SQL}, k AS (SELECT card_key, name, any_value(player) AS player, count(*) AS n FROM named GROUP BY 1, 2), l AS (SELECT card_key, arg_max(name, (n, -length(name))) AS leader, any_value(player) AS player FROM k GROUP BY 1)"""
+
+
+def by_leader(rows):
+    """(key, folded name, n) with the most frequent folded name of its key; ties to the shortest."""
+    k = rows.withColumn("fold", folded_person("name")).groupBy("card_key", "fold").agg(F.count("*").alias("n"))
+    top = k.groupBy("card_key").agg(F.max_by("fold", F.struct("n", -F.length("fold"))).alias("leader"))
+    return k.join(top, "card_key")
+
+
+@query("a_contradictory", f"""{W}, {LED_SQL}, d AS (SELECT card_key, sum(n) AS sales, sum(n) FILTER (WHERE (name = 'somebody else') <> (leader = 'somebody else')) AS dissent FROM k JOIN l USING (card_key) GROUP BY 1)
+  SELECT card_key, sales::BIGINT AS sales, dissent::BIGINT AS dissent, floor(dissent / sales::DOUBLE * 100 + 0.5) / 100.0 AS share FROM d WHERE dissent > 0 AND dissent / sales::DOUBLE >= 0.1""")
+def a_contradictory(spark, sf):
+    d = by_leader(_named(spark, sf)).groupBy("card_key").agg(F.sum("n").alias("sales"), F.sum(F.when(~same_person(F.col("fold"), F.col("leader")), F.col("n"))).alias("dissent"))
+    return d.where((F.col("dissent") > 0) & (F.col("dissent") / F.col("sales") >= 0.1)).withColumn("share", stats.rounded(F.col("dissent") / F.col("sales"), 2))
+
+
+@query("a_messy_names", f"{W}, {NAMED_SQL} SELECT card_key, count(*) AS sales, count(DISTINCT name) AS variants FROM named GROUP BY 1 HAVING count(DISTINCT name) >= 2 AND bool_and(name <> 'somebody else')")
+def a_messy_names(spark, sf):
+    rows = _named(spark, sf)
+    led = by_leader(rows).groupBy("card_key").agg(F.sum("n").alias("sales"), F.count("*").alias("variants"), F.bool_and(same_person(F.col("fold"), F.col("leader"))).alias("one"))
+    return led.where("one and variants >= 2").select("card_key", "sales", "variants")
+
+
+@query("a_wide_spread", f"{W} SELECT card_key, grade_label, count(*) AS sales, max(price_cents) / 100.0 AS high, floor(max(price_cents) / median(price_cents) * 10 + 0.5) / 10.0 AS ratio FROM labelled WHERE card_key IS NOT NULL AND best_offer = 0 AND currency = 'USD' GROUP BY 1, 2 HAVING count(*) >= 5 AND max(price_cents) / median(price_cents) >= 2.5")
+def a_wide_spread(spark, sf, least=2.5):
+    rows = flat(spark, sf).where(stats.priced() & (F.col("best_offer") == 0) & F.col("card_key").isNotNull()).withColumn("grade_label", stats.grade_label())
+    g = rows.groupBy("card_key", "grade_label").agg(F.count("*").alias("sales"), (F.max("price_cents") / 100.0).alias("high"), (F.max("price_cents") / F.median("price_cents")).alias("ratio"))
+    return g.where((F.col("sales") >= 5) & (F.col("ratio") >= least)).withColumn("ratio", stats.rounded(F.col("ratio"), 1))
+
+
+@query("a_number_split", f"""{W}, g AS (SELECT year, lower(set_name) AS s, lower(replace(player, ' ', '')) AS p, lower(parallel) AS pa, count(*) FILTER (WHERE card_number IS NULL) AS missing, count(DISTINCT upper(card_number)) AS numbers FROM flat GROUP BY 1, 2, 3, 4)
+  SELECT sum(missing) FILTER (WHERE numbers = 1)::BIGINT AS recoverable, sum(missing) FILTER (WHERE numbers > 1)::BIGINT AS ambiguous, count(*) FILTER (WHERE missing > 0 AND numbers > 0) AS groups FROM g""")
+def a_number_split(spark, sf):
+    g = flat(spark, sf).groupBy("year", F.lower("set_name").alias("s"), folded_person("player").alias("p"), F.lower("parallel").alias("pa")).agg(F.count_if(F.col("card_number").isNull()).alias("missing"), F.count_distinct(F.upper("card_number")).alias("numbers"))
+    return g.agg(F.sum(F.when(F.col("numbers") == 1, F.col("missing"))).alias("recoverable"), F.sum(F.when(F.col("numbers") > 1, F.col("missing"))).alias("ambiguous"), F.count_if((F.col("missing") > 0) & (F.col("numbers") > 0)).alias("groups"))
+
+
+@query("a_vocab_gaps", f"{W} SELECT word, count(*) AS n FROM (SELECT unnest(string_split(player || ' ' || lower(parallel), ' ')) AS word FROM flat) WHERE length(word) >= 3 AND word NOT IN ('red', 'new', 'old') GROUP BY 1")
+def a_vocab_gaps(spark, sf, known=("red", "new", "old")):
+    words = flat(spark, sf).select(F.explode(F.split(F.concat_ws(" ", "player", F.lower("parallel")), " ")).alias("word"))
+    return words.where((F.length("word") >= 3) & ~F.col("word").isin(*known)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("a_audit_report", f"""{W}, {LED_SQL}, d AS (SELECT card_key, sum(n) AS sales, sum(n) FILTER (WHERE (name = 'somebody else') <> (leader = 'somebody else')) AS dissent FROM k JOIN l USING (card_key) GROUP BY 1),
+  b AS (SELECT sum(dissent) AS bad, count(*) AS groups FROM d WHERE dissent > 0 AND dissent / sales::DOUBLE >= 0.1) SELECT groups AS contradictory_groups, bad::BIGINT AS bad_sales, floor(bad / (SELECT count(*) FROM named)::DOUBLE * 10000 + 0.5) / 10000.0 AS known_bad_rate FROM b""")
+def a_audit_report(spark, sf):
+    bad = a_contradictory(spark, sf).agg(F.count("*").alias("contradictory_groups"), F.sum("dissent").alias("bad_sales"))
+    total = _named(spark, sf).agg(F.count("*").alias("n"))
+    return bad.crossJoin(total).select("contradictory_groups", "bad_sales", stats.rounded(F.col("bad_sales") / F.col("n"), 4).alias("known_bad_rate"))  # one row each
+
+
+TRIAGE = "SELECT card_key, count(card_number) = 0 AS numberless, count(*) AS sales, count(*) FILTER (WHERE grader IS NOT NULL AND image_url IS NOT NULL) AS readable, count(image_url) AS photos FROM flat WHERE card_key IS NOT NULL GROUP BY 1"
+
+
+@query("a_triage", f"""{W}, t AS ({TRIAGE}) SELECT count(*) AS groups, sum(sales)::BIGINT AS sales, count(*) FILTER (WHERE sales >= 3) AS three_or_more, count(*) FILTER (WHERE readable > 0) AS readable_groups, count(*) FILTER (WHERE readable = 0) AS person_only, count(*) FILTER (WHERE photos > 0) AS with_photo FROM t WHERE numberless""")
+def a_triage(spark, sf):
+    photo = F.col("image_url").isNotNull()
+    t = flat(spark, sf).where("card_key is not null").groupBy("card_key").agg((F.count("card_number") == 0).alias("numberless"), F.count("*").alias("sales"), F.count_if(photo & F.col("grader").isNotNull()).alias("readable"), F.count_if(photo).alias("photos"))
+    return t.where("numberless").agg(F.count("*").alias("groups"), F.sum("sales").alias("sales"), F.count_if(F.col("sales") >= 3).alias("three_or_more"), F.count_if(F.col("readable") > 0).alias("readable_groups"), F.count_if(F.col("readable") == 0).alias("person_only"), F.count_if(F.col("photos") > 0).alias("with_photo"))
+
+
+@query("a_triage_coverage", f"{W} SELECT count(*) AS sales, count(image_url) AS with_photo, count(grader) AS graded, count(*) FILTER (WHERE image_url IS NOT NULL AND grader IS NOT NULL) AS both FROM flat")
+def a_triage_coverage(spark, sf):
+    return flat(spark, sf).agg(F.count("*").alias("sales"), F.count("image_url").alias("with_photo"), F.count("grader").alias("graded"), F.count_if(F.col("image_url").isNotNull() & F.col("grader").isNotNull()).alias("both"))
+
+
+@query("a_review_queue", f"{W} SELECT card_key, count(*) AS sales, min(sold_date) AS first_sold, max(sold_date) AS last_sold, count(image_url) AS photos, array_to_string(list_sort(list(DISTINCT title))[1:4], '|') AS titles FROM flat WHERE card_key IS NOT NULL GROUP BY 1 HAVING count(card_number) = 0 AND count(*) >= 3", dates="first_sold last_sold")
+def a_review_queue(spark, sf, least=3):
+    q = flat(spark, sf).where("card_key is not null").groupBy("card_key").agg(F.count("*").alias("sales"), F.min("sold_date").alias("first_sold"), F.max("sold_date").alias("last_sold"), F.count("image_url").alias("photos"), F.count("card_number").alias("numbers"), F.array_join(F.slice(F.array_sort(F.collect_set("title")), 1, 4), "|").alias("titles"))
+    return q.where((F.col("numbers") == 0) & (F.col("sales") >= least)).drop("numbers")
+
+
+@query("a_bucket_titles", f"{W} SELECT card_key, title FROM (SELECT card_key, title, row_number() OVER (PARTITION BY card_key ORDER BY length(title), title) AS r FROM (SELECT DISTINCT card_key, title FROM flat WHERE card_key IN (SELECT card_key FROM flat GROUP BY 1 HAVING count(card_number) = 0))) WHERE r <= 5")
+def a_bucket_titles(spark, sf):
+    rows = flat(spark, sf).where("card_key is not null")
+    flagged = rows.groupBy("card_key").agg(F.count("card_number").alias("n")).where("n = 0").select("card_key")
+    titles = rows.join(flagged, "card_key", "left_semi").select("card_key", "title").distinct()
+    r = F.row_number().over(Window.partitionBy("card_key").orderBy(F.length("title"), "title"))
+    return titles.withColumn("r", r).where("r <= 5").select("card_key", "title")
+
+
+@query("a_review_score", f"""{W}, m AS (SELECT CASE price_cents % 10 WHEN 0 THEN 'n' WHEN 1 THEN 'skip' WHEN 2 THEN '' ELSE 'Y' END AS mark FROM flat), s AS (SELECT count(*) FILTER (WHERE mark = 'Y') AS yes, count(*) FILTER (WHERE mark = 'n') AS no, count(*) FILTER (WHERE mark = 'skip') AS skipped, count(*) FILTER (WHERE mark = '') AS blank FROM m)
+  SELECT yes, no, skipped, blank, floor(yes / (yes + no)::DOUBLE * 10000 + 0.5) / 10000.0 AS accuracy, floor(1.96 * sqrt(yes / (yes + no)::DOUBLE * (1 - yes / (yes + no)::DOUBLE) / (yes + no)) * 10000 + 0.5) / 10000.0 AS margin FROM s""")
+def a_review_score(spark, sf):
+    mark = F.lower(F.trim(F.when(F.col("price_cents") % 10 == 0, "n").when(F.col("price_cents") % 10 == 1, "skip").when(F.col("price_cents") % 10 == 2, "").otherwise("Y")))
+    s = flat(spark, sf).select(mark.alias("m")).agg(F.count_if(F.col("m").isin("y", "yes", "1")).alias("yes"), F.count_if(F.col("m").isin("n", "no", "0")).alias("no"), F.count_if(F.col("m").isin("skip", "?")).alias("skipped"), F.count_if(F.col("m") == "").alias("blank"))
+    n = F.col("yes") + F.col("no")
+    p = F.col("yes") / n
+    return s.select("*", stats.rounded(p, 4).alias("accuracy"), stats.rounded(1.96 * F.sqrt(p * (1 - p) / n), 4).alias("margin"))
+
+
+@query("margin_of_error", f"{W} SELECT set_name, floor(1.96 * sqrt(avg(best_offer) * (1 - avg(best_offer)) / count(*)) * 10000 + 0.5) / 10000.0 AS margin FROM flat GROUP BY 1")
+def margin_of_error(spark, sf):
+    p = F.avg("best_offer")
+    return flat(spark, sf).groupBy("set_name").agg(stats.rounded(1.96 * F.sqrt(p * (1 - p) / F.count("*")), 4).alias("margin"))
+
+
+@query("a_photo_agreement", f"{W} SELECT count(*) FILTER (WHERE price_cents % 13 = 0) AS no_label, count(*) FILTER (WHERE price_cents % 13 > 0 AND price_cents % 7 > 0) AS agreed, count(*) FILTER (WHERE price_cents % 13 > 0 AND price_cents % 7 = 0) AS conflicted FROM flat")
+def a_photo_agreement(spark, sf):
+    rows = flat(spark, sf).select("set_name", F.when(F.col("price_cents") % 13 > 0, F.when(F.col("price_cents") % 7 == 0, "Other").otherwise(F.col("set_name"))).alias("read"))
+    return rows.agg(F.count_if(F.col("read").isNull()).alias("no_label"), F.count_if(F.col("read") == F.col("set_name")).alias("agreed"), F.count_if(F.col("read") != F.col("set_name")).alias("conflicted"))
+
+
+@query("a_parser_delta", f"{W}, b AS (SELECT count(card_key) AS keyed, count(DISTINCT card_key) AS groups FROM flat), a AS (SELECT count(card_key) AS keyed, count(DISTINCT card_key) AS groups FROM flat WHERE price_cents % 4 > 0) SELECT b.keyed - a.keyed AS keyed_delta, b.groups - a.groups AS groups_delta, CASE WHEN b.keyed > a.keyed THEN 'better' WHEN b.keyed < a.keyed THEN 'worse' ELSE 'same' END AS verdict FROM a, b")
+def a_parser_delta(spark, sf):
+    rows = flat(spark, sf)
+    both = rows.select(F.col("card_key").alias("new"), F.when(F.col("price_cents") % 4 > 0, F.col("card_key")).alias("old")).agg(F.count("new").alias("kn"), F.count("old").alias("ko"), F.count_distinct("new").alias("gn"), F.count_distinct("old").alias("go"))
+    d = F.col("kn") - F.col("ko")
+    return both.select(d.alias("keyed_delta"), (F.col("gn") - F.col("go")).alias("groups_delta"), F.when(d > 0, "better").when(d < 0, "worse").otherwise("same").alias("verdict"))
+
+
+@query("a_learn_names", f"""{W}, w AS (SELECT year, set_name, unnest(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS name FROM (SELECT year, set_name, string_split(player, ' ') AS x FROM flat))
+  SELECT name, count(*) AS sightings, count(DISTINCT (year, set_name)) AS contexts FROM w GROUP BY 1 HAVING count(DISTINCT (year, set_name)) >= 3 AND count(*) >= 8""")
+def a_learn_names(spark, sf, contexts=3, sightings=8):
+    x = F.split("player", " ")
+    windows = F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.array_join(F.slice(x, i, 2), " "))
+    w = flat(spark, sf).where(F.size(x) >= 2).select("year", "set_name", F.explode(windows).alias("name")).where(~F.col("name").rlike(r"(?i)\b(jr|sr|ii|iii|iv|v)$"))
+    return w.groupBy("name").agg(F.count("*").alias("sightings"), F.count_distinct(F.struct("year", "set_name")).alias("contexts")).where((F.col("contexts") >= contexts) & (F.col("sightings") >= sightings))
+
+
+@query("a_learn_inserts", f"{W} SELECT parallel AS phrase, count(*) AS seen, count(DISTINCT player) AS names FROM flat WHERE parallel IS NOT NULL GROUP BY 1 HAVING count(*) >= 6 AND count(DISTINCT player) >= 4")
+def a_learn_inserts(spark, sf):
+    seen = flat(spark, sf).select("item_id", F.concat_ws(" ", "year", "parallel", "player").alias("title"), "player").select("player", F.regexp_extract("title", r"^\d+ (\S+)", 1).alias("phrase"))
+    known = table(spark, sf, "part").select(F.col("p_name").alias("phrase")).distinct()
+    return seen.join(known, "phrase", "left_anti").groupBy("phrase").agg(F.count("*").alias("seen"), F.count_distinct("player").alias("names")).where("seen >= 6 and names >= 4")
+
+
+@query("a_facet_harvest", "SELECT event_type AS aspect, json_extract_string(props, '$.k') AS value, max(user_id) AS n FROM events GROUP BY 1, 2")
+def a_facet_harvest(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("aspect"), F.get_json_object("props", "$.k").alias("value")).agg(F.max("user_id").alias("n"))
+
+
+@query("a_facet_vocab", "SELECT CASE WHEN event_type IN ('click', 'view') THEN 'sets' ELSE 'names' END AS bucket, json_extract_string(props, '$.k') AS value, max(user_id) AS n FROM events GROUP BY 1, 2 HAVING max(user_id) >= 20")
+def a_facet_vocab(spark, sf, least=20):
+    buckets = F.create_map(*(F.lit(x) for pair in (("click", "sets"), ("view", "sets")) for x in pair))
+    rows = a_facet_harvest(spark, sf).withColumn("bucket", F.coalesce(buckets[F.col("aspect")], F.lit("names")))
+    return rows.groupBy("bucket", "value").agg(F.max("n").alias("n")).where(F.col("n") >= least)
+
+
+@query("w_facet_topk", "SELECT aspect, value, n FROM (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY n DESC, value) AS r FROM (SELECT event_type AS aspect, json_extract_string(props, '$.k') AS value, max(user_id) AS n FROM events GROUP BY 1, 2)) WHERE r <= 5")
+def w_facet_topk(spark, sf, k=5):
+    r = F.row_number().over(Window.partitionBy("aspect").orderBy(F.desc("n"), "value"))
+    return a_facet_harvest(spark, sf).withColumn("r", r).where(F.col("r") <= k).drop("r")
+
+
+WK = f"WITH {CHECKLIST_SQL}"
+
+
+@query("a_checklist_vocab", f"{WK} SELECT 'parallel' AS kind, parallel AS term FROM checklist UNION SELECT 'subset', subset FROM checklist WHERE subset IS NOT NULL UNION SELECT 'set', set_name FROM checklist")
+def a_checklist_vocab(spark, sf):
+    c = checklist(spark, sf)
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(col).alias("term")) for k, col in (("parallel", "parallel"), ("subset", "subset"), ("set", "set_name")))))
+    return c.select(kinds.alias("x")).select("x.*").where("term is not null").distinct()
+
+
+@query("a_checklist_stats", f"{WK} SELECT count(*) AS cards, count(DISTINCT set_name) AS sets, min(year) AS first_year, max(year) AS last_year, count(DISTINCT subset) AS inserts, count(DISTINCT parallel) AS parallels, count(DISTINCT (year, set_name)) AS products FROM checklist")
+def a_checklist_stats(spark, sf):
+    c = checklist(spark, sf)
+    return c.agg(F.count("*").alias("cards"), F.count_distinct("set_name").alias("sets"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count_distinct("subset").alias("inserts"), F.count_distinct("parallel").alias("parallels"), F.count_distinct(F.struct("year", "set_name")).alias("products"))
+
+
+@query("a_checklist_sets", f"{WK} SELECT year, set_name, count(*) AS cards FROM checklist GROUP BY 1, 2")
+def a_checklist_sets(spark, sf):
+    return checklist(spark, sf).groupBy("year", "set_name").agg(F.count("*").alias("cards"))
+
+
+@query("a_vocab_grid", f"""{W}, g AS (SELECT c.config, card_key, count(*) AS n FROM flat JOIN (VALUES ('short', 3), ('long', 9)) c(config, most) ON split_part(item_id, '-', 2)::INT <= c.most GROUP BY 1, 2) SELECT config, sum(n) FILTER (WHERE card_key IS NOT NULL)::BIGINT AS keyed, count(card_key) FILTER (WHERE n > 1) AS grouped FROM g GROUP BY 1""")
+def a_vocab_grid(spark, sf):
+    configs = F.explode(F.array(*(F.struct(F.lit(n).alias("config"), F.lit(m).alias("most")) for n, m in (("short", 3), ("long", 9)))))
+    rows = flat(spark, sf).select("card_key", F.split("item_id", "-")[1].cast("int").alias("line"), configs.alias("c")).where("line <= c.most")
+    g = rows.groupBy("c.config", "card_key").agg(F.count("*").alias("n"))
+    return g.groupBy("config").agg(F.sum(F.when(F.col("card_key").isNotNull(), F.col("n"))).alias("keyed"), F.count_if(F.col("card_key").isNotNull() & (F.col("n") > 1)).alias("grouped"))

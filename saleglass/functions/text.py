@@ -49,3 +49,109 @@ def one_typo(a: Column, b: Column) -> Column:
 
 def same_person(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a) | one_typo(a, b)
+
+
+def money_cents(c: str | Column) -> Column:
+    """First amount of money in a text, in cents."""
+    return F.round(F.regexp_replace(F.regexp_extract(_col(c), r"(?:\$|€|£|USD|EUR|GBP|CAD|C \$)\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)", 1), ",", "").try_cast("decimal(18,2)") * 100).cast("long")
+
+
+CURRENCIES = (("C $", "CAD"), ("$", "USD"), ("€", "EUR"), ("£", "GBP"))
+
+
+def currency(c: str | Column) -> Column:
+    sign = F.regexp_extract(_col(c), r"(C \$|\$|€|£|USD|EUR|GBP|CAD)\s*[0-9]", 1)
+    out = F.when(sign.isin("USD", "EUR", "GBP", "CAD"), sign)
+    for s, code in CURRENCIES:
+        out = out.when(sign == s, code)
+    return out
+
+
+def sold_date(c: str | Column) -> Column:
+    """The day in "Sold Jul 30, 2025" or "Sold 30 Jul 2025"."""
+    us = r"(?i)sold\s+([A-Za-z]{3})[a-z]*\s+(\d{1,2}),\s*(\d{4})"
+    eu = r"(?i)sold\s+(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})"
+    x = _col(c)
+
+    def day(pattern, m, d):
+        return F.try_to_timestamp(F.concat_ws(" ", F.initcap(F.regexp_extract(x, pattern, m)), F.regexp_extract(x, pattern, d), F.regexp_extract(x, pattern, 3)), F.lit("MMM d yyyy")).cast("date")
+
+    return F.coalesce(day(us, 1, 2), day(eu, 2, 1))
+
+
+def shipping_cents(c: str | Column) -> Column:
+    x = _col(c)
+    return F.when(x.rlike(r"(?i)free\s+(shipping|delivery|postage)"), F.lit(0).cast("long")).when(x.rlike(r"(?i)\+\s*\S*\s?[0-9.,]+\s*(shipping|delivery|postage)"), money_cents(F.regexp_extract(x, r"\+\s*([^+]*)$", 1)))
+
+
+def bids(c: str | Column) -> Column:
+    return F.regexp_extract(_col(c), r"(?i)(\d+)\s+bids?\b", 1).try_cast("int")
+
+
+HINTS = ("brand new", "pre-owned", "open box", "refurbished", "ungraded", "graded", "new", "used")
+
+
+def condition(c: str | Column) -> Column:
+    out = F.lit(None).cast("string")
+    for h in reversed(HINTS):
+        out = F.when(F.contains(F.lower(_col(c)), F.lit(h)), F.initcap(F.lit(h))).otherwise(out)
+    return out
+
+
+def seller(c: str | Column) -> Column:
+    name = F.trim(F.regexp_extract(_col(c), r"^([^(]+)\(", 1))
+    return F.when(name != "", name).otherwise(F.left(F.trim(_col(c)), F.lit(64)))
+
+
+def result_count(c: str | Column) -> tuple[Column, Column]:
+    n = F.regexp_replace(F.regexp_extract(_col(c), r"([0-9][0-9,]*)\+?\s+results", 1), ",", "").try_cast("long")
+    return n, _col(c).rlike(r"[0-9]\+\s+results")
+
+
+SIZES = (140, 225, 300, 400, 500, 640, 960, 1200, 1600)
+
+
+def image_url(c: str | Column, size: int = 500, host: str = "img.example") -> Column:
+    """Placeholder to null, no query or fragment, https; on the known host no thumbs folder and the nearest size."""
+    snapped = min(SIZES, key=lambda s: (abs(s - size), s))
+    x = F.regexp_replace(F.regexp_replace(F.trim(_col(c)), r"[?#].*$", ""), "^//", "https://")
+    own = F.regexp_replace(F.regexp_replace(x, "/thumbs/", "/"), r"/s-l\d+(\.\w+)$", f"/s-l{snapped}$1")
+    return F.when(_col(c).isNull() | _col(c).rlike(r"(?i)^data:|s_1x2\.gif|/blank\.gif|spacer|^\s*$"), None).when(F.contains(x, F.lit(f"//{host}/")), own).otherwise(x)
+
+
+def srcset_best(c: str | Column) -> Column:
+    """Candidate with the highest descriptor, the first of equals."""
+    parts = F.transform(F.split(_col(c), r",\s+"), lambda p, i: F.struct(F.coalesce(F.regexp_extract(p, r"\s([0-9.]+)[wx]\s*$", 1).try_cast("double"), F.lit(1.0)).alias("score"), (-i).alias("pos"), F.regexp_extract(F.trim(p), r"^(\S+)", 1).alias("url")))
+    return F.array_max(F.filter(parts, lambda s: s["url"] != ""))["url"]
+
+
+def deconfused(c: str | Column) -> Column:
+    return F.translate(F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]", ""), "01l5826", "oiisbzg")
+
+
+def number_tail(number: str | Column, tail: str | Column) -> Column:
+    """A number with its "-N" tail: kept if it has letters; an ascending range from 25 or less is no number; else kept."""
+    n, t = _col(number), _col(tail)
+    ascending = (n.try_cast("int") <= 25) & (t.try_cast("int") > n.try_cast("int"))
+    return F.when(t.isNull(), n).when(n.rlike("[A-Za-z]"), F.concat(n, F.lit("-"), t)).when(ascending, None).otherwise(F.concat(n, F.lit("-"), t))
+
+
+def card_key(default_sport: str = "football", least: float = 0.4) -> Column:
+    """Identity of a product from its columns, null if too little is known; see the survey's rules."""
+    c = F.col
+    who = F.when(c("player").isNotNull() & (c("player") != ""), F.concat(folded_person("player"), F.when(c("print_run").isNotNull(), F.concat(F.lit("-r"), c("print_run"))).otherwise(F.lit(""))))
+    core = F.coalesce(F.when(c("card_number").isNotNull() & (c("card_number") != ""), F.concat(F.lit("n"), slug("card_number"))), who)
+    key = F.concat_ws(
+        "-", F.when(c("sport") != default_sport, slug("sport")), c("year").cast("string"), slug("set_name"), F.when(c("subset") != "", slug("subset")), core, F.when(c("parallel") != "", slug("parallel")),
+        F.when(c("is_auto") == 1, "auto"), F.when(c("is_relic") == 1, "patch"),
+    )
+    known = (F.coalesce("confidence", F.lit(0.0)) >= least) & c("year").isNotNull() & (c("set_name") != "") & core.isNotNull()
+    return F.when(known, key)
+
+
+def card_name() -> Column:
+    c = F.col
+    lead = F.array_compact(F.array(c("year").cast("string"), c("set_name"), c("subset"), c("variety"), c("player"), F.concat(F.lit("#"), c("card_number"))))
+    plain = F.when(c("subset").isNull() & c("variety").isNull() & c("unparsed").isNull(), "Base")
+    tail = F.array_compact(F.array(F.coalesce("parallel", plain), F.concat(F.lit("/"), c("print_run")), F.when(c("is_auto") == 1, "Auto"), F.when(c("is_relic") == 1, "Patch")))
+    return F.when(F.size(lead) >= 2, F.array_join(F.concat(lead, tail), " "))

@@ -5,7 +5,7 @@ For each of ``BANDS`` hash functions the ``PICKS`` labelled k-mers of smallest h
 equal picks in equal order make a candidate. Lengths may differ by the similarity asked for at most, so the band key
 also holds the class of the length (and of the next one). Texts of a band are compared with the smallest of them.
 
-Texts that shared a band with others but didn't match its leader go on by a filter that loses nothing: similar texts
+Texts that shared a band with those of other classes but didn't match its leader go on by a filter that loses nothing: similar texts
 have so many words in common that they share one of their rarest ones (``1 - LEAST`` of the words and one more, rarity
 counted among these texts). Of texts that share such a word the first few are leaders for the others; those that match
 none choose four times as many, until none are left.
@@ -221,7 +221,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     links, tested = _links(led, texts, least)
     rest = _unmatched(led, links)
-    nodes_left = rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("node").distinct()
+    # texts of one class needn't be compared again
+    so_far = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    rest = keep(rest.join(so_far, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class")), "near-rest")
+    mixed_keys = rest.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
+    nodes_left = rest.join(mixed_keys, "key").select("node").distinct()
     leaders = 4
     led = keep(_led(_rarest(texts.join(nodes_left, "node", "left_semi"), least), leaders), "near-rare")
     while not led.isEmpty():

@@ -1 +1,115 @@
-"""Queries."""
+"""The title parser, stage by stage, on titles written from known attributes in three orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from saleglass.functions import text as x
+from saleglass.operators.titles import Vocabulary, parse_titles
+from saleglass.registry import query
+from saleglass.sources.bindings import FLAT_SQL, flat, table
+
+W = f"WITH {FLAT_SQL}, k AS (SELECT *, split_part(item_id, '-', 1)::INT AS o, split_part(item_id, '-', 2)::INT AS n FROM flat)"
+
+
+def titles(spark, sf):
+    """item_id and title, with a run on some, a serial on others, flags and lots."""
+    f = flat(spark, sf)
+    o, n = F.split("item_id", "-")[0].cast("int"), F.split("item_id", "-")[1].cast("int")
+    number = F.concat(F.lit("#"), "card_number")
+    run = F.when(n == 2, F.concat(F.lit("/"), F.col("year") % 90 + 10)).when(n == 3, F.concat(F.lit("7/"), F.col("year") % 90 + 10))
+    graded = F.concat_ws(" ", "grader", F.regexp_replace(F.col("grade").cast("string"), r"\.0$", ""))
+    who, what = F.initcap("player"), F.concat_ws(" ", "set_name", F.initcap("parallel"), F.lit("Prizm"))
+    extra = F.concat_ws(" ", F.when(F.col("is_auto") == 1, "Auto"), F.when(F.col("is_rookie") == 1, "RC"), F.when(F.col("is_relic") == 1, "Patch"), F.when(n == 5, "lot of 4"), F.when(n == 4, "zesty"))
+    t = F.when(o % 3 == 0, F.concat_ws(" ", "year", what, who, number, run, extra, graded)).when(o % 3 == 1, F.concat_ws(" ", graded, who, "year", what, number, run, extra)).otherwise(F.concat_ws(" ", number, "year", what, extra, who, run, graded))
+    return f.select("item_id", t.alias("title"))
+
+
+def vocabulary(spark, sf):
+    """Set and parallel names: a few dozen words, whatever the number of sales."""
+    part = table(spark, sf, "part")
+    sets = [r[0] for r in part.select(F.regexp_replace("p_brand", "#", "")).distinct().collect()]
+    return Vocabulary(sets=tuple(sorted(sets)), parallels=tuple(sorted(r[0] for r in part.select(F.concat(F.initcap("p_type"), F.lit(" Prizm"))).distinct().collect())))
+
+
+def parsed(spark, sf):
+    return parse_titles(titles(spark, sf), vocabulary(spark, sf))
+
+
+def _stage(name, sql, *columns):
+    query(name, f"{W} SELECT item_id, {sql} FROM k")(lambda spark, sf: parsed(spark, sf).select("item_id", *columns))
+
+
+def _capital(column):
+    return f"array_to_string(list_transform(string_split({column}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+_stage("t01_grade", "grader, grade", "grader", "grade")
+_stage("t02_card_number", "CASE WHEN n <> 5 THEN card_number END AS card_number", "card_number")
+_stage("t03_serial", "CASE WHEN n = 3 THEN 7 END AS serial, CASE WHEN n IN (2, 3) THEN year % 90 + 10 END AS print_run", "serial", "print_run")
+_stage("t04_year", "year", "year")
+_stage("t06_set", "set_name", "set_name")
+_stage("t09_parallel", f"{_capital('parallel')} || ' Prizm' AS parallel", "parallel")
+_stage("t10_flags", "is_rookie, is_auto, is_relic", "is_rookie", "is_auto", "is_relic")
+_stage("t11_player", f"CASE WHEN n <> 5 THEN {_capital('player')} END AS player", "player")
+_stage("t13_confidence", "(CASE WHEN n = 5 THEN 30 ELSE 85 + CASE WHEN card_number IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN grade IS NOT NULL THEN 5 ELSE 0 END END) / 100.0::DOUBLE AS confidence", "confidence")
+_stage("t15_unparsed", "CASE WHEN n = 4 THEN 'zesty' END AS unparsed", "unparsed")
+_stage("t16_multi_card", "CAST(n = 5 AS INT) AS is_lot", "is_lot")
+
+
+@query("t05_team", "SELECT s_suppkey AS k, n_name AS team FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def t05_team(spark, sf):
+    nation = table(spark, sf, "nation")
+    teams = Vocabulary(teams=tuple(sorted(r[0] for r in nation.select("n_name").collect())))
+    rows = table(spark, sf, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    return parse_titles(rows.select(F.col("s_suppkey").alias("k"), F.concat(F.lit("2020 Select "), F.lower("n_name"), F.lit(" Joe Doe")).alias("title")), teams).select("k", F.upper("team").alias("team"))
+
+
+@query("t07_subset", "SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'Downtown' ELSE 'Color Blast' END AS subset FROM part")
+def t07_subset(spark, sf):
+    title = F.concat_ws(" ", F.lit("2021 Donruss"), F.when(F.col("p_partkey") % 2 == 0, "Downtown").otherwise("Color Blast"), F.initcap("p_name"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), title.alias("title"))
+    return parse_titles(rows, Vocabulary(sets=("Donruss",), subsets=("Downtown", "Color Blast", "Blast"))).select("k", "subset")
+
+
+@query("t08_brand", f"{W} SELECT item_id, CASE WHEN set_name IN ('Brand1', 'Brand2') THEN 'Panini' ELSE 'Topps' END AS brand FROM k")
+def t08_brand(spark, sf):
+    return parsed(spark, sf).select("item_id", F.when(F.col("set_name").isin("Brand1", "Brand2"), "Panini").otherwise("Topps").alias("brand"))
+
+
+@query("t12_second_player", "SELECT p_partkey AS k, 'Joe Doe / ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS players FROM part WHERE p_name > 'k'")
+def t12_second_player(spark, sf):
+    from saleglass.operators.titles import name_runs
+
+    rows = table(spark, sf, "part").where("p_name > 'k'").select(F.col("p_partkey").alias("k"), F.concat(F.initcap("p_name"), F.lit(" / Joe Doe")).alias("title"))
+    return rows.select("k", F.array_join(F.array_sort(F.array_distinct(name_runs(F.col("title")))), " / ").alias("players"))
+
+
+@query("t14_sport", "SELECT p_partkey AS k, 'football' AS sport FROM part")
+def t14_sport(spark, sf):
+    from saleglass.plans.text import sport_of
+
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), sport_of(F.concat(F.col("p_name"), F.lit(" NFL"))).alias("sport"))
+
+
+_ID = "CASE WHEN n <> 5 THEN concat_ws('-', year, lower(set_name), coalesce('n' || card_number, replace(player, ' ', '') || CASE WHEN n IN (2, 3) THEN '-r' || (year % 90 + 10) ELSE '' END), lower(parallel) || '-prizm', CASE WHEN is_auto = 1 THEN 'auto' END, CASE WHEN is_relic = 1 THEN 'patch' END) END"
+
+
+def identified(p):
+    p = p.withColumns({"sport": F.lit("football"), "variety": F.lit(None).cast("string"), "print_run": F.col("print_run").cast("string")})
+    return p.withColumns({"card_key": x.card_key(), "card_name": x.card_name()})
+
+
+@query("t17_identity", f"{W} SELECT item_id, {_ID} AS card_key FROM k")
+def t17_identity(spark, sf):
+    return identified(parsed(spark, sf)).select("item_id", "card_key")
+
+
+@query("t18_reparse", f"{W} SELECT count(*) AS titles, count({_ID}) AS keyed, count(DISTINCT {_ID}) AS groups FROM k")
+def t18_reparse(spark, sf):
+    return identified(parsed(spark, sf)).agg(F.count("*").alias("titles"), F.count("card_key").alias("keyed"), F.count_distinct("card_key").alias("groups"))
+
+
+@query("t19_learned_vocab", f"{W} SELECT item_id, CASE WHEN set_name IN ('Brand1', 'Brand2') THEN set_name END AS set_name FROM k")
+def t19_learned_vocab(spark, sf):
+    return parse_titles(titles(spark, sf), Vocabulary(sets=("Brand1", "Brand2"), parallels=vocabulary(spark, sf).parallels)).select("item_id", "set_name")

@@ -1 +1,206 @@
-"""Queries."""
+"""Keyed merges, incremental export and sinks, each read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from saleglass.functions import stats
+from saleglass.operators import catalogue as cat
+from saleglass.operators import merges as m
+from saleglass.plans import audits, rollups
+from saleglass.registry import query
+from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, RUNS_SQL, cards, checklist, flat, runs, sales, segments, table
+from saleglass.sources.files import new_path
+
+W = f"WITH {FLAT_SQL}"
+WC = f"WITH {FLAT_SQL}, {cat.CATALOGUE_SQL}"
+STATE = ["item_id", "price_cents", "best_offer", "offer_status", "ask_cents", "query_id", "sport"]
+
+
+def _batch(spark, sf):
+    """A batch that repeats some sales, changes prices, and brings new ones; sent twice, the later row counts."""
+    s = sales(spark, sf).select(*STATE).where("price_cents % 3 = 0")
+    first = s.withColumns({"price_cents": F.lit(1).cast("long"), "seq": F.lit(1)})
+    second = s.withColumns({"price_cents": F.col("price_cents") + 500, "query_id": F.lit("late"), "seq": F.lit(2)})
+    new = s.withColumns({"item_id": F.concat(F.lit("new-"), "item_id"), "seq": F.lit(1)})
+    return first.unionByName(second).unionByName(new)
+
+
+@query("m_upsert_sales", f"""{W} SELECT item_id, CASE WHEN price_cents % 3 = 0 AND coalesce(offer_status, '') <> 'found' THEN price_cents + 500 ELSE price_cents END AS price_cents,
+  CASE WHEN price_cents % 3 = 0 THEN coalesce(query_id, 'late') ELSE query_id END AS query_id FROM flat UNION ALL SELECT 'new-' || item_id, price_cents, query_id FROM flat WHERE price_cents % 3 = 0""")
+def m_upsert_sales(spark, sf):
+    return m.upsert_sales(sales(spark, sf).select(*STATE), _batch(spark, sf)).select("item_id", "price_cents", "query_id")
+
+
+@query("m_upsert_cards", f"{W} SELECT item_id, CASE WHEN confidence > 0.5 THEN 'v2' ELSE 'v1' END AS version FROM cards")
+def m_upsert_cards(spark, sf):
+    old = cards(spark, sf).select("item_id", "confidence", F.lit("v1").alias("version"))
+    return m.merge(old, old.where("confidence > 0.5").withColumn("version", F.lit("v2")), "item_id", {}).select("item_id", "version")
+
+
+@query("m_record_offer", f"""{W} SELECT item_id, CASE WHEN best_offer = 1 AND offer_status IS NULL THEN price_cents - 100 ELSE price_cents END AS price_cents, CASE WHEN best_offer = 1 AND offer_status IS NULL THEN price_cents ELSE ask_cents END AS ask_cents,
+  CASE WHEN best_offer = 1 AND offer_status IS NULL THEN 'found' WHEN best_offer = 1 AND offer_status = 'error' THEN 'gone' ELSE offer_status END AS offer_status FROM flat""")
+def m_record_offer(spark, sf):
+    s = sales(spark, sf)
+    offers = s.where("best_offer = 1").select("item_id", F.when(F.col("offer_status") == "error", "gone").otherwise("found").alias("status"), (F.col("price_cents") - 100).alias("accepted_cents"))
+    return m.record_offers(s.select("item_id", "price_cents", "ask_cents", "offer_status"), offers).select("item_id", "price_cents", "ask_cents", "offer_status")
+
+
+@query("m_segment_additive", f"WITH {RUNS_SQL} SELECT run_id || '/' || segment_id AS id, CASE WHEN status = 'retrying' THEN items + 5 ELSE 5 END AS items FROM segments")
+def m_segment_additive(spark, sf):
+    s = segments(spark, sf).select(F.concat_ws("/", "run_id", "segment_id").alias("id"), "status", "pages", "items")
+    again = s.withColumns({"status": F.lit("done"), "pages": F.lit(1).cast("long"), "items": F.lit(5).cast("long")})
+    return m.record_segments(s, again).select("id", "items")
+
+
+@query("m_sync_state", f"{W} SELECT 'api' AS target, strftime(max(sold_date), '%Y-%m-%d') AS watermark, count(*) + 10 AS rows_sent FROM flat")
+def m_sync_state(spark, sf):
+    old = spark.createDataFrame([("api", "1990-01-01", 10)], "target string, watermark string, rows_sent long")
+    sent = sales(spark, sf).agg(F.lit("api").alias("target"), F.date_format(F.max("sold_date"), "yyyy-MM-dd").alias("watermark"), F.count("*").alias("rows_sent"))
+    return m.merge(old, sent, "target", {"watermark": F.greatest("t.watermark", "s.watermark"), "rows_sent": F.col("t.rows_sent") + F.col("s.rows_sent")})
+
+
+@query("m_mark_recollect", f"WITH {RUNS_SQL} SELECT run_id, CASE WHEN status = 'ok' AND day(target_date) % 2 = 0 THEN 'partial' ELSE status END AS status FROM runs")
+def m_mark_recollect(spark, sf):
+    r = runs(spark, sf)
+    days = r.where(F.dayofmonth("target_date") % 2 == 0).select("target_date", F.lit(True).alias("again"))
+    return r.join(days, "target_date", "left").select("run_id", F.when((F.col("status") == "ok") & F.col("again"), "partial").otherwise(F.col("status")).alias("status"))
+
+
+@query("m_resize_images", f"{W} SELECT item_id, image_url || '/s-l500.jpg' AS image_url FROM flat WHERE image_url IS NOT NULL")
+def m_resize_images(spark, sf):
+    from saleglass.functions.text import image_url
+
+    return sales(spark, sf).where("image_url is not null").select("item_id", image_url(F.concat("image_url", F.lit("/s-l225.jpg")), 500, "img").alias("image_url"))
+
+
+@query("m_checklist_upsert", f"WITH {CHECKLIST_SQL} SELECT year, set_name, count(*) AS cards FROM checklist GROUP BY 1, 2")
+def m_checklist_upsert(spark, sf):
+    c = checklist(spark, sf)
+    return m.merge(c, c.where("year > 2000").withColumn("print_run", F.lit(1)), "card_key", {}).groupBy("year", "set_name").agg(F.count("*").alias("cards"))
+
+
+@query("m_incremental_export", f"{WC} SELECT card_key, sales, median_cents, quality FROM cat WHERE card_key IN (SELECT card_key FROM flat WHERE sold_date > DATE '2001-10-01')")
+def m_incremental_export(spark, sf, since="2001-10-01"):
+    rows = flat(spark, sf)
+    touched = rows.where(F.col("sold_date") > F.lit(since).cast("date")).select("card_key").distinct()
+    return cat.catalogue(rows.join(touched, "card_key", "left_semi")).select("card_key", "sales", "median_cents", "quality")
+
+
+def _through(spark, df, name, kind="parquet", **options):
+    path = new_path(spark, name)
+    df.write.format(kind).options(**options).save(path)
+    return path
+
+
+@query("sink_sales_csv", f"{W} SELECT item_id, price_cents / 100.0 AS price, set_name FROM flat WHERE sold_date >= DATE '2001-01-01'")
+def sink_sales_csv(spark, sf, since="2001-01-01"):
+    rows = flat(spark, sf).where(F.col("sold_date") >= F.lit(since).cast("date")).orderBy(F.desc("sold_date"), F.desc("price_cents"), "item_id").select("item_id", (F.col("price_cents") / 100.0).alias("price"), "set_name")
+    return spark.read.schema(rows.schema).csv(_through(spark, rows, "sales", "csv", header=True), header=True)
+
+
+@query("sink_catalogue_csv", f"{WC} SELECT card_key, sales, median_cents / 100.0 AS median_usd FROM cat WHERE quality = 'clean'")
+def sink_catalogue_csv(spark, sf):
+    rows = rollups.sorted_page(cat.catalogue(flat(spark, sf)).where("quality = 'clean'"), "traded", 1_000_000).select("card_key", "sales", (F.col("median_cents") / 100.0).alias("median_usd"))
+    return spark.read.schema(rows.schema).csv(_through(spark, rows, "catalogue", "csv", header=True), header=True)
+
+
+@query("sink_dashboard_json", f"{W} SELECT 'sets' AS dataset, count(*) AS rows FROM (SELECT DISTINCT set_name FROM flat WHERE price_cents IS NOT NULL AND currency = 'USD' LIMIT 60) UNION ALL SELECT 'grades', count(DISTINCT grade_label) FROM labelled WHERE price_cents IS NOT NULL AND currency = 'USD' UNION ALL SELECT 'meta', 1")
+def sink_dashboard_json(spark, sf):
+    out = None
+    for name, rows in (("sets", rollups.a_sets(spark, sf)), ("grades", rollups.a_grades(spark, sf)), ("meta", rollups.a_meta(spark, sf))):
+        back = spark.read.schema(rows.schema).json(_through(spark, rows, name, "json")).agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("sink_upsert_export", f"{W} SELECT card_key, grade_label, count(*) AS sales FROM labelled WHERE price_cents IS NOT NULL AND currency = 'USD' AND card_key IS NOT NULL GROUP BY 1, 2")
+def sink_upsert_export(spark, sf):
+    """Exported twice: the second run replaces rows of the first by key."""
+    rows = cat.card_grades(flat(spark, sf)).withColumn("id", F.concat_ws("|", "card_key", "grade_label"))
+    first = spark.read.parquet(_through(spark, rows, "grades"))
+    again = spark.read.parquet(_through(spark, m.merge(first, rows, "id", {}), "grades"))
+    return again.select("card_key", "grade_label", "sales")
+
+
+@query("sink_review_sample", f"{W} SELECT item_id, '' AS correct, '' AS notes FROM flat WHERE card_key IS NOT NULL AND confidence >= 0.4 ORDER BY md5(item_id || ':1'), item_id LIMIT 100")
+def sink_review_sample(spark, sf):
+    rows = rollups.w_sample(spark, sf).select("item_id", F.lit("").alias("correct"), F.lit("").alias("notes"))
+    return spark.read.schema(rows.schema).csv(_through(spark, rows, "sample", "csv", header=True, emptyValue='""'), header=True, emptyValue="").select("item_id", F.coalesce("correct", F.lit("")).alias("correct"), F.coalesce("notes", F.lit("")).alias("notes"))
+
+
+def _text(spark, rows, name):
+    return spark.read.text(_through(spark, rows.select(F.col(rows.columns[0]).cast("string").alias("value")), name, "text"))
+
+
+@query("sink_roster", f"{W} SELECT DISTINCT player AS value FROM flat")
+def sink_roster(spark, sf):
+    return _text(spark, audits.a_learn_names(spark, sf).select("name").distinct(), "roster")
+
+
+@query("sink_inserts_proposal", f"{W} SELECT parallel || '  # seen ' || count(*) || ', beside ' || count(DISTINCT player) || ' names' AS value FROM flat WHERE parallel IS NOT NULL GROUP BY parallel HAVING count(*) >= 6 AND count(DISTINCT player) >= 4")
+def sink_inserts_proposal(spark, sf):
+    return _text(spark, audits.a_learn_inserts(spark, sf).select(F.format_string("%s  # seen %d, beside %d names", "phrase", "seen", "names")), "inserts")
+
+
+def _new_terms(spark, sf, column, least_words=1):
+    known = table(spark, sf, "part").where("p_partkey % 10 = 0").select(F.lower(column).alias("term")).distinct()
+    terms = table(spark, sf, "part").select(F.lower(column).alias("term")).distinct()
+    return terms.where(F.size(F.split("term", " ")) >= least_words).join(known, "term", "left_anti")
+
+
+for _name, _column, _words in (("sink_vocab_roster", "p_name", 1), ("sink_vocab_sets", "p_name", 2), ("sink_vocab_designations", "p_type", 1)):
+    query(_name, f"SELECT DISTINCT lower({_column}) AS value FROM part WHERE lower({_column}) NOT IN (SELECT lower({_column}) FROM part WHERE p_partkey % 10 = 0) AND len(string_split({_column}, ' ')) >= {_words}")(
+        lambda spark, sf, n=_name, c=_column, w=_words: _text(spark, _new_terms(spark, sf, c, w), n)
+    )
+
+
+@query("src_checklist_csv", "SELECT p_partkey::VARCHAR AS number, CASE WHEN p_partkey % 3 > 0 THEN 'Inserts' END AS subset, CAST(p_partkey % 5 = 0 AS INT) AS is_auto FROM part")
+def src_checklist_csv(spark, sf):
+    k = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(F.concat(F.lit("#"), k).alias("number"), F.when(k % 3 > 0, "Inserts").otherwise("Base Set").alias("section"), F.when(k % 5 == 0, "Autographs").otherwise("Cards").alias("category"))
+    path = _through(spark, rows, "checklist", "csv", header=True, compression="gzip")
+    back = spark.read.schema(rows.schema).csv(path, header=True)
+    return back.select(F.regexp_replace("number", "#", "").alias("number"), F.when(~F.lower("section").isin("base", "base set"), F.col("section")).alias("subset"), F.lower("category").contains("auto").cast("int").alias("is_auto"))
+
+
+@query("src_capture_json", "SELECT (900000000000 + p_partkey)::VARCHAR AS item_id, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents FROM part WHERE p_partkey % 7 > 0")
+def src_capture_json(spark, sf):
+    from saleglass.functions.text import money_cents
+
+    k = F.col("p_partkey")
+    sale = F.struct(F.when(k % 7 == 0, "x1").otherwise((F.lit(900000000000) + k).cast("string")).alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("price"))
+    rows = table(spark, sf, "part").groupBy((k % 50).alias("page")).agg(F.collect_list(sale).alias("sales"))  # a page of sales
+    back = spark.read.schema(rows.schema).json(_through(spark, rows, "capture", "json")).select(F.explode("sales").alias("s"))
+    return back.where(F.col("s.id").rlike(r"^\d+$") & (F.trim("s.title") != "")).select(F.col("s.id").alias("item_id"), money_cents("s.price").alias("price_cents"))
+
+
+@query("src_checklist_json", "SELECT p_partkey AS k, p_name AS player, p_partkey::VARCHAR AS number, CASE WHEN p_partkey % 2 = 0 THEN 99 END AS print_run, 2000 + p_size AS year FROM part")
+def src_checklist_json(spark, sf):
+    k = F.col("p_partkey")
+    card = F.when(k % 2 == 0, F.to_json(F.create_map(F.lit("Card_Number"), F.concat(k.cast("string"), F.lit("/99")), F.lit("Athlete"), F.col("p_name")))).otherwise(F.to_json(F.create_map(F.lit("number"), k.cast("string"), F.lit("playerName"), F.col("p_name"))))
+    rows = table(spark, sf, "part").select(k.alias("k"), F.concat((F.lit(2000) + F.col("p_size")).cast("string"), F.lit(" Select")).alias("set"), card.alias("card"))
+    fields = F.transform_keys(F.from_json("card", "map<string,string>"), lambda key, _: F.regexp_replace(F.lower(key), "_", ""))
+    f = lambda *names: F.coalesce(*(F.try_element_at(fields, F.lit(n)) for n in names))
+    number = f("cardnumber", "number", "no")
+    run = F.regexp_extract(number, r"/(\d+)$", 1)
+    return rows.select("k", f("athlete", "player", "playername").alias("player"), F.regexp_replace(number, r"/\d+$", "").alias("number"), F.nullif(run, F.lit("")).cast("int").alias("print_run"), F.regexp_extract("set", r"\b(\d{4})\b", 1).cast("int").alias("year"))
+
+
+@query("src_index_entries", "SELECT p_partkey AS k, p_name AS name FROM part")
+def src_index_entries(spark, sf):
+    k = F.col("p_partkey")
+    payload = F.when(k % 2 == 0, F.to_json(F.create_map(k.cast("string"), F.struct(F.col("p_name").alias("name"))))).otherwise(F.to_json(F.array(F.struct(k.cast("string").alias("id"), F.col("p_name").alias("name")))))
+    rows = table(spark, sf, "part").select(payload.alias("p"))
+    as_list = rows.where("p like '[%'").select(F.explode(F.from_json("p", "array<struct<id:string,name:string>>")).alias("e")).select(F.col("e.id").cast("long").alias("k"), "e.name")
+    as_map = rows.where("p like '{%'").select(F.explode(F.map_entries(F.from_json("p", "map<string,struct<name:string>>"))).alias("e")).select(F.col("e.key").cast("long").alias("k"), "e.value.name")
+    return as_list.unionByName(as_map)
+
+
+@query("src_saved_files", "SELECT count(*) AS pages, sum(length(html))::BIGINT AS chars FROM pages WHERE html IS NOT NULL")
+def src_saved_files(spark, sf):
+    """Saved pages below a folder, of known suffixes only, read back with the file they came from."""
+    rows = table(spark, sf, "pages").where("html is not null").select(F.to_json(F.struct("html")).alias("value"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(_through(spark, rows, "pages", "text"))
+    pages = files.select(F.input_file_name().alias("file"), F.get_json_object("value", "$.html").alias("html")).where("file <> ''")
+    return pages.agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))

@@ -1 +1,132 @@
-"""Queries."""
+"""Facts from page text: facet links, listing fields, amounts and offers, page states, photo labels, word windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from saleglass.functions import text as x
+from saleglass.registry import query
+from saleglass.sources.bindings import FLAT_SQL, flat, table
+
+W = f"WITH {FLAT_SQL}"
+CONTROL = ("_nkw", "_sacat", "_pgn", "_from", "rt")
+
+
+def facet_links(pages, id_col, html):
+    """(page, aspect, value, count) of links: query pairs without control names, values split at |, count from the text."""
+    links = F.arrays_zip(F.regexp_extract_all(html, F.lit(r'<a href="[^"]*\?([^"]*)"[^>]*>[^<]*'), F.lit(1)).alias("q"), F.regexp_extract_all(html, F.lit(r'<a href="[^"]*\?[^"]*"[^>]*>([^<]*)'), F.lit(1)).alias("t"))
+    rows = pages.select(F.col(id_col), F.posexplode(links).alias("pos", "l"))
+    pairs = rows.select(id_col, "pos", F.regexp_replace(F.regexp_extract("l.t", r"\(([0-9,]+)\)", 1), ",", "").try_cast("long").alias("n"), F.explode(F.split("l.q", "&(?:amp;)?")).alias("pair"))
+    kv = pairs.select(id_col, "pos", "n", F.split("pair", "=", 2)[0].alias("aspect"), F.explode(F.split(F.url_decode(F.split("pair", "=", 2)[1]), r"\|")).alias("value"))
+    kv = kv.where(~F.col("aspect").isin(*CONTROL) & (F.col("value") != ""))
+    return kv.groupBy(id_col, "aspect", "value").agg(F.min_by("n", "pos").alias("n"))
+
+
+@query("g_links_facets", "SELECT user_id AS page, event_type AS aspect, json_extract_string(props, '$.k') || ' x' AS value, arg_min(1000 + event_id, event_id) AS n FROM events GROUP BY 1, 2, 3")
+def g_links_facets(spark, sf):
+    value = F.concat(F.get_json_object("props", "$.k"), F.lit("%20x"))
+    link = F.concat(F.lit('<a href="/s?_nkw=y&amp;'), "event_type", F.lit("="), value, F.lit('" class=f>v ('), F.format_number(F.col("event_id") + 1000, 0), F.lit(")</a>"))
+    pages = table(spark, sf, "events").groupBy(F.col("user_id").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", link.alias("l")))), lambda s: s["l"]), "\n").alias("html"))  # a page of links
+    return facet_links(pages, "page", F.col("html"))
+
+
+@query("g_listing_fields", f"{W} SELECT item_id, price_cents, CASE WHEN bids IS NOT NULL THEN bids END AS bids, best_offer, strftime(sold_date, '%Y-%m-%d') AS day FROM flat")
+def g_listing_fields(spark, sf):
+    tile = F.concat_ws("\n", "title", F.concat(F.lit("$"), F.format_number(F.col("price_cents") / 100.0, 2)), F.concat(F.lit("Sold  "), F.date_format("sold_date", "MMM d, yyyy")), F.concat(F.col("bids").cast("string"), F.lit(" bids")), F.when(F.col("best_offer") == 1, "Best offer accepted"))
+    t = flat(spark, sf).select("item_id", tile.alias("tile"))
+    return t.select("item_id", x.money_cents("tile").alias("price_cents"), x.bids("tile").alias("bids"), F.col("tile").rlike(r"(?i)best\s+offer\s+accepted").cast("int").alias("best_offer"), x.sold_date("tile").alias("day"))
+
+
+AMOUNT = r"(?:[A-Z]{1,2} )?\$[0-9][0-9,]*(?:\.[0-9]{2})?"
+
+
+def money_candidates(pages, id_col, text):
+    """Every dollar amount with up to 70 characters before it (not past the amount before) and 30 after, and its kind."""
+    # cut the text at amounts: piece i stands before amount i
+    amounts = F.regexp_extract_all(text, F.lit(f"({AMOUNT})"), F.lit(1))
+    pieces = F.split(text, AMOUNT)
+    rows = pages.select(F.col(id_col), F.posexplode(F.arrays_zip(amounts.alias("amount"), F.slice(pieces, 1, F.size(amounts)).alias("before"), F.slice(pieces, 2, F.size(amounts)).alias("after"))).alias("pos", "c"))
+    before, after, amount = F.right(F.col("c.before"), F.lit(70)), F.left(F.col("c.after"), F.lit(30)), F.col("c.amount")
+    kind = F.when(amount.rlike(r"^[A-Z]"), "foreign").when(F.concat(before, F.lit(" "), after).rlike(r"(?i)shipping|\btax\b"), "shipping").when(before.rlike(r"(?i)\b(was|list price)\b[^$]*$"), "struck").when(before.rlike(r"(?i)best offer accepted"), "accepted").otherwise("other")
+    return rows.select(id_col, "pos", x.money_cents(amount).alias("cents"), kind.alias("kind"))
+
+
+def _offers(spark, sf):
+    usd = lambda c: F.concat(F.lit("$"), F.format_number(c / 100.0, 2))
+    c = F.col("price_cents")
+    text = F.concat(F.lit("Was "), usd(c), F.lit(". Best offer accepted: "), usd(c - 100), F.lit(" and then a longer line of words that says nothing at all. Next "), usd(c + 7), F.lit(" is it. + "), usd(F.lit(450)), F.lit(" shipping"))
+    return flat(spark, sf).select("item_id", text.alias("text"), "price_cents")
+
+
+@query("g_money_candidates", f"{W} SELECT item_id, p AS pos, CASE p WHEN 0 THEN price_cents WHEN 1 THEN price_cents - 100 WHEN 2 THEN price_cents + 7 ELSE 450 END AS cents, CASE p WHEN 0 THEN 'struck' WHEN 1 THEN 'accepted' WHEN 2 THEN 'other' ELSE 'shipping' END AS kind FROM flat, (VALUES (0), (1), (2), (3)) t(p)")
+def g_money_candidates(spark, sf):
+    return money_candidates(_offers(spark, sf), "item_id", F.col("text"))
+
+
+def read_offers(pages, candidates, id_col):
+    """Exactly one accepted amount from a fifth of the ask up to it: found. More: ambiguous. None: not shown."""
+    ok = (F.col("kind") == "accepted") & (F.col("cents") >= 0.2 * F.col("ask_cents")) & (F.col("cents") < F.col("ask_cents"))
+    seen = candidates.join(pages.select(id_col, "ask_cents"), id_col).groupBy(id_col).agg(F.min(F.when(ok, F.col("cents"))).alias("low"), F.max(F.when(ok, F.col("cents"))).alias("high"))
+    both = pages.join(seen, id_col, "left")
+    state = F.when(F.col("gone"), "gone").when(F.col("low").isNull(), "not_shown").when(F.col("low") == F.col("high"), "found").otherwise("ambiguous")
+    return both.select(id_col, state.alias("state"), F.when(state == "found", F.col("low")).alias("cents"))
+
+
+@query("g_read_offer", f"{W} SELECT item_id, CASE WHEN price_cents % 10 = 0 THEN 'gone' WHEN price_cents % 10 = 1 THEN 'not_shown' ELSE 'found' END AS state, CASE WHEN price_cents % 10 > 1 THEN price_cents - 100 END AS cents FROM flat")
+def g_read_offer(spark, sf):
+    o = _offers(spark, sf)
+    pages = o.select("item_id", F.when(F.col("price_cents") % 10 == 1, F.lit(1)).otherwise(F.col("price_cents")).alias("ask_cents"), (F.col("price_cents") % 10 == 0).alias("gone"))
+    return read_offers(pages, money_candidates(o, "item_id", F.col("text")), "item_id")
+
+
+@query("g_page_state", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'signed_out' WHEN 1 THEN 'bot_check' WHEN 2 THEN 'no_listing' ELSE 'ok' END AS state FROM pages")
+def g_page_state(spark, sf):
+    mark = F.element_at(F.array(*map(F.lit, ("Please sign in to continue", "Pardon our interruption", "This listing was removed", ""))), (F.col("page_id") % 4 + 1).cast("int"))
+    html = F.concat(F.coalesce("html", F.lit("")), mark)
+    state = F.when(html.rlike("(?i)sign in to (continue|see)"), "signed_out").when(html.rlike("(?i)pardon our interruption|are you a robot"), "bot_check").when(html.rlike("(?i)listing (was )?(removed|ended)|no longer available"), "no_listing").otherwise("ok")
+    return table(spark, sf, "pages").select("page_id", state.alias("state"))
+
+
+def group_rows(lines, item="item_id", gap=0.02):
+    """Text detections (text, top, confidence) on one visual row, within ``gap`` of the row's first. One item's
+    detections are few; the fold keeps the row's anchor, which a gap between neighbours wouldn't."""
+    kind = "array<struct<top:double,text:string,confidence:double>>"
+    held = lines.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("top", "text", "confidence"))).cast(kind).alias("d"))
+
+    def step(acc, d):
+        last = F.try_element_at(acc, F.lit(-1))
+        joined = F.struct(last["top"].alias("top"), F.concat_ws(" ", last["text"], d["text"]).alias("text"), F.least(last["confidence"], d["confidence"]).alias("confidence"))
+        return F.when((F.size(acc) > 0) & (d["top"] - last["top"] <= gap + 1e-9), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(d))).cast(kind)
+
+    return held.select(item, F.explode(F.aggregate("d", F.array().cast(kind), step)).alias("r")).select(item, "r.top", "r.text", "r.confidence")
+
+
+@query("w_group_rows", "SELECT p_partkey AS item_id, t AS top, x AS text, c AS confidence FROM part, LATERAL (VALUES (0.1::DOUBLE, p_brand || ' ' || p_type, 0.8::DOUBLE), (0.13::DOUBLE, p_name, 0.7::DOUBLE)) v(t, x, c)")
+def w_group_rows(spark, sf):
+    d = F.explode(F.array(*(F.struct(F.lit(t).alias("top"), F.col(c).alias("text"), F.lit(k).alias("confidence")) for t, c, k in ((0.1, "p_brand", 0.9), (0.115, "p_type", 0.8), (0.13, "p_name", 0.7)))))
+    return group_rows(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), d.alias("d")).select("item_id", "d.*"))
+
+
+@query("x_label_attrs", "SELECT p_partkey AS item_id, 1990 + p_size AS year, p_partkey::VARCHAR AS number, 10.0::DOUBLE AS grade, 0.75::DOUBLE AS confidence FROM part")
+def x_label_attrs(spark, sf):
+    lines = F.explode(F.array(F.struct(F.lit(0.1).alias("top"), F.concat((F.lit(1990) + F.col("p_size")).cast("string"), F.lit(" BRAND #"), F.col("p_partkey").cast("string")).alias("text")), F.struct(F.lit(0.2).alias("top"), F.lit("GEM MT 10").alias("text"))))
+    d = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), lines.alias("l")).select("item_id", "l.top", "l.text", F.lit(0.9).alias("confidence"))
+    label = group_rows(d).groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "text"))), lambda s: s["text"]), "\n").alias("t"))
+    year, number = F.nullif(F.regexp_extract("t", r"\b(19[5-9]\d|20[0-4]\d)\b", 1), F.lit("")).cast("int"), F.nullif(F.regexp_extract("t", r"#(\w+)", 1), F.lit(""))
+    grade = F.nullif(F.regexp_extract("t", r"(?i)\b(?:gem mt|gem mint|mint|nm-mt)\s*(10|[1-9](?:\.5)?)\b", 1), F.lit("")).cast("double")
+    n = year.isNotNull().cast("int") + number.isNotNull().cast("int") + grade.isNotNull().cast("int")
+    return label.select("item_id", year.alias("year"), number.alias("number"), grade.alias("grade"), F.round(0.2 * n + 0.15, 2).alias("confidence"))
+
+
+@query("a_title_words", "SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1 HAVING count(*) >= 50")
+def a_title_words(spark, sf, least=50):
+    w = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    per = w.groupBy("word", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where(F.col("n") >= least)
+
+
+@query("w_last_turn", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
+def w_last_turn(spark, sf):
+    r = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return table(spark, sf, "conversations").withColumn("r", r).where("r = 1").select("conv_id", "turn", "role")

@@ -8,7 +8,7 @@ from saleglass.functions import stats
 from saleglass.operators import catalogue as cat
 from saleglass.operators import merges as m
 from saleglass.plans import audits, rollups
-from saleglass.registry import query
+from saleglass.registry import SQL, query
 from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, RUNS_SQL, cards, checklist, flat, runs, sales, segments, table
 from saleglass.sources.files import new_path
 
@@ -133,7 +133,7 @@ def _text(spark, rows, name):
     return spark.read.text(_through(spark, rows.select(F.col(rows.columns[0]).cast("string").alias("value")), name, "text"))
 
 
-@query("sink_roster", f"{W} SELECT DISTINCT player AS value FROM flat")
+@query("sink_roster", f"SELECT DISTINCT name AS value FROM ({SQL['a_learn_names']})")
 def sink_roster(spark, sf):
     return _text(spark, audits.a_learn_names(spark, sf).select("name").distinct(), "roster")
 

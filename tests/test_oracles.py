@@ -18,7 +18,7 @@ def duck(sf_dir):
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and v != v or v is pd.NaT:
+    if pd.api.types.is_scalar(v) and pd.isna(v):
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()

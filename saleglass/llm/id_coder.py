@@ -35,9 +35,15 @@ class _Range:
     def cut(self, lanes: int) -> None:
         self.low, self.range, self.at = self.low[:lanes], self.range[:lanes], self.at[:lanes]
 
-    def narrow(self, r: np.ndarray, first: np.ndarray, size: np.ndarray | None = None) -> None:
+    def narrow(self, r: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
         self.low += r * first
-        self.range = r if size is None else r * size
+        self.range = r * size
+
+    def narrow_some(self, lanes: np.ndarray, total: np.ndarray, value: np.ndarray) -> None:
+        """Cut to one of ``total`` equal parts."""
+        r = self.range[lanes] // total
+        self.low[lanes] += r * value
+        self.range[lanes] = r
 
     def settle(self) -> None:
         """After each id: the two cuts of one id together need less than the 32 bits that are left before it."""
@@ -47,7 +53,7 @@ class _Range:
             lanes = np.flatnonzero(settled | small)
             if not len(lanes):
                 return
-            cramped = np.flatnonzero(small & ~settled)
+            cramped = np.flatnonzero(small > settled)
             if len(cramped):
                 self.range[cramped] = (~self.low[cramped] + _U(1)) & _LOW_MASK
             self.shift(lanes)
@@ -90,6 +96,14 @@ class _Reader(_Range):
         return np.minimum((self.value - self.low) // r, total - _U(1)), r
 
 
+    def read_some(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
+        r = self.range[lanes] // total
+        value = np.minimum((self.value[lanes] - self.low[lanes]) // r, total - _U(1))
+        self.low[lanes] += r * value
+        self.range[lanes] = r
+        return value
+
+
 class _Model:
     """Predictions and event counts of a row of blocks."""
 
@@ -105,24 +119,28 @@ class _Model:
         self.seen, self.n_seen, self.before, self.last, self.lane = (x[:lanes] for x in (self.seen, self.n_seen, self.before, self.last, self.lane))
 
     def predict(self) -> np.ndarray:
-        """Cumulated frequencies of the events, a row each: 0, order 2, order 1, seen, new."""
+        """Cumulated frequencies of the events, a row each: 0, order 2, order 1, seen, new. ``self.size`` has their own."""
         shift = np.uint32(32 - SLOT_BITS)
         one = self.last * np.uint32(0x9E3779B1)
         two = (one ^ self.before) * np.uint32(0x85EBCA6B)
         self.at = [(x >> shift).astype(np.int64) + self.lane * (1 << SLOT_BITS) for x in (two, one)]
-        held = [s.reshape(-1)[a] for s, a in zip(self.slots, self.at, strict=True)]
+        held = [np.take(s.reshape(-1), a) for s, a in zip(self.slots, self.at, strict=True)]
         self.guess = [h & np.uint32(0x1FFFF) for h in held]
         self.sure = [h >> np.uint32(17) for h in held]
         self.row = self.lane * 16 + (self.sure[0] * np.uint32(4) + self.sure[1])
-        f = self.counts.reshape(-1, 4)[self.row]
+        f = np.take(self.counts.reshape(-1, 4), self.row, 0)
         f *= WEIGHT
         f += self.overall
-        out = np.empty((5, len(self.lane)), _U)
-        out[0] = 0
-        for k in range(4):
-            np.add(out[k], f[:, k], out=out[k + 1])
+        self.size = f.T.astype(_U)
+        out = np.zeros((5, len(self.lane)), _U)
+        np.cumsum(self.size, axis=0, out=out[1:])
         return out
 
+    def cut_of(self, cum: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and size of each block's event among its frequencies."""
+        at = event * len(self.lane) + self.lane
+        return np.take(cum.reshape(-1), at), np.take(self.size.reshape(-1), at)
+
     def learn(self, ids: np.ndarray, event: np.ndarray) -> None:
         self.counts.reshape(-1)[self.row * 4 + event] += np.uint32(1)
         self.overall.reshape(-1)[self.lane * 4 + event] += np.uint32(1)
@@ -173,11 +191,11 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         cum = model.predict()
         coded = x + np.uint32(1)
         event = np.where(model.guess[0] == coded, 0, np.where(model.guess[1] == coded, 1, np.where(seen_at < model.n_seen, 2, 3)))
-        first = cum[event, model.lane]
-        writer.narrow(writer.range // cum[4], first, cum[event + 1, model.lane] - first)
-        open_to = np.where(event == 2, model.n_seen, np.where(event == 3, ALPHABET, 1)).astype(_U)
-        value = np.where(event == 2, seen_at, np.where(event == 3, x, 0)).astype(_U)
-        writer.narrow(writer.range // open_to, value)
+        writer.narrow(writer.range // cum[4], *model.cut_of(cum, event))
+        own = np.flatnonzero(event > 1)
+        if len(own):
+            seen = event[own] == 2
+            writer.narrow_some(own, np.where(seen, model.n_seen[own], ALPHABET).astype(_U), np.where(seen, seen_at[own], x[own]).astype(_U))
         writer.settle()
         model.learn(x, event)
     out = [b""] * len(order)
@@ -206,16 +224,14 @@ def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         cum = model.predict()
         at, r = reader.peek(cum[4])
         event = ((at >= cum[1]).astype(np.int64) + (at >= cum[2])) + (at >= cum[3])
-        first = cum[event, model.lane]
-        reader.narrow(r, first, cum[event + 1, model.lane] - first)
-        open_to = np.where(event == 2, model.n_seen, np.where(event == 3, ALPHABET, 1)).astype(_U)
-        value, r = reader.peek(open_to)
-        reader.narrow(r, value)
+        reader.narrow(r, *model.cut_of(cum, event))
+        x = np.where(event == 0, model.guess[0], model.guess[1]) - np.uint32(1)
+        own = np.flatnonzero(event > 1)
+        if len(own):
+            seen = event[own] == 2
+            value = reader.read_some(own, np.where(seen, model.n_seen[own], ALPHABET).astype(_U)).astype(np.int64)
+            x[own] = np.where(seen, model.seen[own, np.where(seen, value, 0)], value)
         reader.settle()
-        small = value.astype(np.int64)
-        seen = model.seen[model.lane, np.where(event == 2, small, 0)]
-        guessed = np.where(event == 0, model.guess[0], model.guess[1]) - np.uint32(1)
-        x = np.where(event < 2, guessed, np.where(event == 2, seen, small)).astype(np.uint32)
         out[t, :lanes] = x
         model.learn(x, event)
     ids = [np.zeros(0, np.uint16)] * len(order)

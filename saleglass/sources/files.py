@@ -10,5 +10,5 @@ from pyspark.sql import SparkSession
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share (spark.checkpoint.dir), or in a local one where unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="saleglass-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="saleglass-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -185,8 +185,10 @@ def _links(led: DataFrame, texts: DataFrame, least: float, tested: DataFrame | N
     return keep(_verified(pairs, texts, least), "near-links"), pairs
 
 
-def _unmatched(led: DataFrame, links: DataFrame) -> DataFrame:
+def _unmatched(led: DataFrame, links: DataFrame, leaders: int) -> DataFrame:
     """Rows (node, key) that are open and linked to no leader of their key."""
+    if leaders == 1:
+        return led.join(links, ["leader", "node"], "left_anti").select("node", "key")
     matched = led.join(links, ["leader", "node"], "left_semi").select("node", "key")
     return led.where("open").select("node", "key").distinct().join(matched, ["node", "key"], "left_anti")
 
@@ -220,7 +222,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = keep(source.select(F.xxhash64("id", "atom").alias("row"), "text").join(chosen, "row").dropDuplicates(["node"]).select("node", "text"), "near-texts")
 
     links, tested = _links(led, texts, least)
-    rest = _unmatched(led, links)
+    rest = _unmatched(led, links, 1)
     # texts of one class needn't be compared again
     so_far = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
     rest = keep(rest.join(so_far, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class")), "near-rest")
@@ -231,7 +233,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while not led.isEmpty():
         found, pairs = _links(led, texts, least, tested)
         links, tested, leaders = links.unionByName(found), tested.unionByName(pairs), 4 * leaders
-        led = keep(_led(_unmatched(led, links), leaders), "near-rare")
+        led = keep(_led(_unmatched(led, links, leaders // 4), leaders), "near-rare")
 
     links = keep(links.distinct(), "near-links")
     classes = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))

@@ -5,10 +5,12 @@ For each of ``BANDS`` hash functions the ``PICKS`` labelled k-mers of smallest h
 equal picks in equal order make a candidate. Lengths may differ by the similarity asked for at most, so the band key
 also holds the class of the length (and of the next one). Texts of a band are compared with the smallest of them.
 
-Texts that shared a band with those of other classes but didn't match its leader go on by a filter that loses nothing: similar texts
-have so many words in common that they share one of their rarest ones (``1 - LEAST`` of the words and one more, rarity
-counted among these texts). Of texts that share such a word the first few are leaders for the others; those that match
-none choose four times as many, until none are left.
+A band is settled once its texts but for its leader, which met all of them, lie in one component. All other bands' texts, those
+that matched a leader too, go on by a filter that loses nothing: similar texts have so many words in common that they
+share one of their rarest ones (``1 - LEAST`` of the words and one more, in one order of words for all these texts). Of
+texts that share such a word the first few are leaders for those of other components and then leave; four times as many
+follow, until the rest of every word lies in one component. So every pair that shares a band ends in one component
+or is compared.
 
 A link is a word edit similarity of ``LEAST`` or more. Classes are the connected components of links.
 """
@@ -28,6 +30,7 @@ from saleglass.llm.common import documents, keep, slices, text_or_empty
 from saleglass.llm.components import components
 
 KMER, PICKS, BANDS, LEAST = 5, 3, 32, 0.8
+CELLS = 1 << 16
 
 _rng = np.random.default_rng(5)
 _WORD = _rng.integers(1, 2**62, KMER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,39 +144,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("leader", "node", "leader_text", "text").mapInArrow(run, "leader long, node long")
 
 
+def _labelled_words(text: str | None) -> np.ndarray:
+    """Hash of every word of a text, labelled with how often it has occurred so far."""
+    h = np.sort(stable_hash(words_of(text)))
+    at = np.arange(len(h))
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    label = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    return mixed(h + label * _MIX)
+
+
 def _rarest(texts: DataFrame, least: float) -> DataFrame:
-    """(node, key) for the rarest labelled words of each text, by length class; see the module's notes."""
+    """(node, key) for the rarest labelled words of each text, by length class; see the module's notes. Rarity is that
+    of the word's cell of ``CELLS``; any order that is the same for all texts loses nothing."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                total += np.bincount((_labelled_words(text) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "texts"])
+
+    common = np.zeros(CELLS, np.int64)
+    for r in texts.select("node", "text").mapInArrow(count, "cell long, texts long").groupBy("cell").agg(F.sum("texts").alias("texts")).collect():
+        common[r["cell"]] = r["texts"]
+    known = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                h = np.sort(stable_hash(words))
-                at = np.arange(len(h))
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
-                label = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-                keys = pa.array(mixed(h + label * _MIX).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(h), pa.int64()), keys, pa.array([len(h)] * len(h), pa.int64())], names=["node", "word", "n"])
-
-    words = keep(texts.mapInArrow(run, "node long, word long, n long"), "near-words")
-    rare = words.join(words.groupBy("word").agg(F.count("*").alias("texts")).where("texts > 1"), "word", "left")
-    order = Window.partitionBy("node").orderBy(F.coalesce("texts", F.lit(1)), "word")  # the words of one text
-    first = rare.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.floor(F.col("n") * (1 - least) + 1e-9) + 1)
+                words = _labelled_words(text)
+                texts_with = known.value[(words % np.uint64(CELLS)).astype(np.int64)]
+                first = np.lexsort((words, texts_with))[: int(len(words) * (1 - least) + 1e-9) + 1]
+                first = first[texts_with[first] > 1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node] * len(first), pa.int64()), pa.array(words[first].view(np.int64)), pa.array([len(words)] * len(first), pa.int64())], names=["node", "word", "n"]
+                )
+
     size_class = F.floor(F.log("n") / F.lit(math.log(1 / least))).cast("int")
-    classed = first.where("texts > 1").select("node", "word", F.explode(F.array(size_class, size_class + 1)).alias("c"))
+    first = texts.select("node", "text").mapInArrow(run, "node long, word long, n long")
+    classed = first.select("node", "word", F.explode(F.array(size_class, size_class + 1)).alias("c"))
     return classed.select("node", F.xxhash64("word", "c").alias("key"))
 
 
-def _led(rows: DataFrame, leaders: int) -> DataFrame:
-    """Rows (node, key) of keys with two nodes or more against each of the key's ``leaders`` smallest nodes before
-    them: node, key, leader, open (whether the node isn't a leader itself)."""
-    if leaders == 1:
-        led = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
-        return rows.join(led, "key").where("node <> leader").select("node", "key", "leader", F.lit(True).alias("open"))
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-    first = ranked.where(F.col("nth") <= leaders).select("key", F.col("node").alias("leader"))
-    return ranked.join(first, "key").where("leader < node").select("node", "key", "leader", (F.col("nth") > leaders).alias("open"))
+def _led(rows: DataFrame) -> DataFrame:
+    """Rows (node, key) of keys with two nodes or more against the key's smallest node: node, key, leader."""
+    led = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
+    return rows.join(led, "key").where("node <> leader").select("node", "key", "leader")
+
+
+def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (node, key) of keys whose nodes lie in several components, with the component as class."""
+    classed = keep(rows.join(classes, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class")), "near-rest")
+    several = classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
+    return classed.join(several, "key")
 
 
 def _links(led: DataFrame, texts: DataFrame, least: float, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -185,14 +210,6 @@ def _links(led: DataFrame, texts: DataFrame, least: float, tested: DataFrame | N
     return keep(_verified(pairs, texts, least), "near-links"), pairs
 
 
-def _unmatched(led: DataFrame, links: DataFrame, leaders: int) -> DataFrame:
-    """Rows (node, key) that are open and linked to no leader of their key."""
-    if leaders == 1:
-        return led.join(links, ["leader", "node"], "left_anti").select("node", "key")
-    matched = led.join(links, ["leader", "node"], "left_semi").select("node", "key")
-    return led.where("open").select("node", "key").distinct().join(matched, ["node", "key"], "left_anti")
-
-
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """Every row of ``docs`` as id, class_id, keeper (the first row of its class), n_links, and atom (MD5 of the text).
 
@@ -214,7 +231,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     banded = banded.select("node", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"), "k.band", "k.key")
     banded = banded.withColumn("key", F.xxhash64("key", "size_class")).select("node", "key")
-    led = keep(_led(banded, 1), "near-bands")
+    led = keep(_led(banded), "near-bands")
 
     wanted = led.select(F.explode(F.array("node", "leader")).alias("node")).distinct().join(nodes.select("node", "atom"), "node")
     rows = source.select(F.xxhash64("id", "atom").alias("row"), "atom")
@@ -222,21 +239,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = keep(source.select(F.xxhash64("id", "atom").alias("row"), "text").join(chosen, "row").dropDuplicates(["node"]).select("node", "text"), "near-texts")
 
     links, tested = _links(led, texts, least)
-    rest = _unmatched(led, links, 1)
-    # texts of one class needn't be compared again
-    so_far = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    rest = keep(rest.join(so_far, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class")), "near-rest")
-    mixed_keys = rest.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
-    nodes_left = rest.join(mixed_keys, "key").select("node").distinct()
-    leaders = 4
-    led = keep(_led(_rarest(texts.join(nodes_left, "node", "left_semi"), least), leaders), "near-rare")
-    while not led.isEmpty():
-        found, pairs = _links(led, texts, least, tested)
+    classes = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    unsettled = led.join(links, ["leader", "node"], "left_anti").select("key").distinct()
+    nodes_left = _mixed(led.join(unsettled, "key", "left_semi").select("node", "key"), classes).select("node").distinct()
+    rows, leaders = _rarest(keep(texts.join(nodes_left, "node", "left_semi"), "near-rest"), least), 8
+    while True:
+        rows = keep(_mixed(rows, classes), "near-rare")
+        if rows.isEmpty():
+            break
+        ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node")))
+        first = ranked.where(F.col("nth") <= leaders).select("key", F.col("node").alias("leader"), F.col("class").alias("leader_class"))
+        found, pairs = _links(ranked.join(first, "key").where("leader < node and class <> leader_class"), texts, least, tested)
+        rows = ranked.where(F.col("nth") > leaders).select("node", "key")  # the leaders have met all others of their keys
         links, tested, leaders = links.unionByName(found), tested.unionByName(pairs), 4 * leaders
-        led = keep(_led(_unmatched(led, links, leaders // 4), leaders), "near-rare")
+        edges = classes.toDF("a", "b").unionByName(found.toDF("a", "b"))
+        classes = components(edges)
 
     links = keep(links.distinct(), "near-links")
-    classes = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
     degree = links.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classed = nodes.select("node", "atom").join(classes, "node", "left").join(degree, "node", "left")
     classed = classed.select("atom", F.coalesce("component", "node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

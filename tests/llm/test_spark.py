@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from saleglass.llm import common, decontamination, html_main, licenses, mixing, near_dedup, quality, sharding, suffix_dedup, token_output, toxicity
+from saleglass.llm.alignment import similarity
 from tests.llm.test_plain import levenshtein
 
 R = random.Random(4)
@@ -179,6 +180,37 @@ def test_polluted_bands_lose_no_link(spark):
     assert all(classes[2 * i] == classes[2 * i + 1] for i in range(25))
 
 
+def changed(text, places):
+    """Words at the places replaced by ones found nowhere else."""
+    w = text.split()
+    for p in places:
+        w[p] = f"z{R.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_stars_and_chains_lose_no_link(spark):
+    """Variants of one original aren't alike among themselves; of A, B and C only A and C aren't."""
+    texts = []
+    for _ in range(3):
+        star = prose(200)
+        texts += [star, *(changed(star, R.sample(range(200), 24)) for _ in range(40))]
+    for _ in range(30):
+        a = prose(150)
+        b = changed(a, range(100, 120))
+        texts += [a, b, changed(b, range(130, 148))]
+    R.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(df).collect()}
+    words, (_, keys) = [near_dedup.words_of(t) for t in texts], near_dedup.sketch(texts)
+    met = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if (keys[i] == keys[j]).any() and similarity(words[i], words[j], 0.8) is not None:
+                met += 1
+                assert classes[i] == classes[j]
+    assert met > 100 and len(set(classes.values())) >= 33
+
+
 def test_leaks(docs, spark):
     benchmark = spark.createDataFrame([(1, " ".join(BASE.split()[20:60])), (2, None), (3, ""), (4, prose(30))], "item_id long, text string")
     out = decontamination.find_leaks(docs, benchmark).collect()

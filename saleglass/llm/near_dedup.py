@@ -1,6 +1,6 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
-A text is its lower-cased words; k-mers are five words in a row, labelled with how often they have occurred so far.
+A text is its lower-cased words; k-mers are three words in a row, labelled with how often they have occurred so far.
 For each of ``BANDS`` hash functions the ``PICKS`` labelled k-mers of smallest hash are taken and kept in text order;
 equal picks in equal order make a candidate. Lengths may differ by the similarity asked for at most, so the band key
 also holds the class of the length (and of the next one). Texts of a band are compared with the smallest of them.
@@ -29,7 +29,7 @@ from saleglass.llm.alignment import similarity
 from saleglass.llm.common import documents, keep, slices, text_or_empty
 from saleglass.llm.components import components
 
-KMER, PICKS, BANDS, LEAST = 5, 3, 32, 0.8
+KMER, PICKS, BANDS, LEAST = 3, 2, 40, 0.8
 CELLS = 1 << 16
 
 _rng = np.random.default_rng(5)

@@ -19,6 +19,8 @@ GRADERS = "PSA BGS BVG SGC CGC CSG HGA TAG ISA BECKETT".split()
 ROOKIE, AUTO, RELIC = r"(?i)\b(rc|rookie)\b", r"(?i)\b(auto|autograph(ed)?|signed)\b", r"(?i)\b(patch|relic|jersey|memorabilia|swatch)\b"
 LOT = r"(?i)\b(lot of \d+|\d+ card lot|pick your|team set|complete set)\b"
 NOISE = "the and card cards mint gem free shipping rare invest ssp sp lot of".split()
+#: Words behind a "#" that are no card number.
+NOT_A_NUMBER = "psa bgs sgc cgc csg hga tag isa rc ssp mint gem hot rare auto lot nfl psa10 new".split()
 SUFFIXES = "jr sr ii iii iv v".split()
 
 
@@ -34,12 +36,13 @@ class Vocabulary:
         return rf"(?i)\b({'|'.join(re.escape(w) for w in words)})\b" if words else None
 
 
-def claim(df: DataFrame, pattern: str | None, **outputs: int) -> DataFrame:
-    """Groups of the first match as columns (null without one), and the match blanked in ``work``."""
+def claim(df: DataFrame, pattern: str | None, where: Column | None = None, **outputs: int) -> DataFrame:
+    """Groups of the first match as columns (null without one), and the match blanked in ``work``; in rows ``where`` only."""
     if pattern is None:
         return df.withColumns({name: F.lit(None).cast("string") for name in outputs})
     work = F.col("work")
     at, m = F.regexp_instr(work, F.lit(pattern)), F.regexp_extract(work, pattern, 0)
+    at = at if where is None else F.when(where, at).otherwise(0)
     found = df.withColumns({"_at": at, "_m": m, **{name: F.when(at > 0, F.nullif(F.regexp_extract(work, pattern, g), F.lit(""))) for name, g in outputs.items()}})
     blank = F.expr("overlay(work placing repeat(' ', length(_m)) from _at)")
     return found.withColumn("work", F.when(F.col("_at") > 0, blank).otherwise(work)).drop("_at", "_m")
@@ -49,6 +52,18 @@ def flag(df: DataFrame, name: str, pattern: str) -> DataFrame:
     return claim(df, pattern, _f=0).withColumn(name, F.col("_f").isNotNull().cast("int")).drop("_f")
 
 
+def parallels(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Up to three parallels in the vocabulary's spelling, each once, in alphabetical order."""
+    found, out = ["_p1", "_p2", "_p3"], df
+    for name in found:
+        out = claim(out, vocabulary.pattern("parallels"), **{name: 1})
+    if not vocabulary.parallels:
+        return out.withColumn("parallel", F.lit(None).cast("string")).drop(*found)
+    spelling = F.create_map(*(F.lit(x) for p in sorted({p.lower(): p for p in vocabulary.parallels}.items()) for x in p))
+    each = F.array_compact(F.array(*(F.try_element_at(spelling, F.lower(name)) for name in found)))
+    return out.withColumn("parallel", F.nullif(F.array_join(F.array_sort(F.array_distinct(each)), " "), F.lit(""))).drop(*found)
+
+
 def name_runs(work: Column) -> Column:
     """Runs of name-shaped words, as an array of texts."""
     words = F.filter(F.split(F.regexp_replace(work, r"\s{2,}", " | "), r"\s+"), lambda w: w != "")
@@ -76,6 +91,13 @@ def parse_titles(df: DataFrame, vocabulary: Vocabulary, title: str = "title") ->
     out = out.withColumns({"grader": F.when(grader == "BECKETT", "BGS").otherwise(grader), "grade": F.col("_v").cast("double")}).drop("_g", "_v", "_alone")
     out = claim(out, r"(?i)#\s?([A-Z]{0,4}-?\d{1,4}[A-Z]{0,3})(?:-(\d{1,4}))?\b(?!/)(?!\s+(?:overall|draft|pick|ranked|seed)\b)", _n=1, _t=2)
     out = out.withColumn("card_number", number_tail("_n", "_t")).drop("_n", "_t")
+    no = "|".join(NOT_A_NUMBER)
+    for weaker in (
+        r"\b([A-Z]{2,4}-\d{1,4})\b",
+        rf"(?i)#\s?(?!(?:{no})-|[A-Z]{{1,5}}-(?:{no})\b)([A-Z]{{1,5}}-[A-Z]{{1,5}})\b(?!-?\d)",
+        rf"(?i)#\s?(?!(?:{no})\b)([A-Z]{{3,6}})\b(?!-?\d)",
+    ):
+        out = claim(out, weaker, F.col("card_number").isNull(), _n=1).withColumn("card_number", F.coalesce("card_number", F.upper("_n"))).drop("_n")
     out = claim(out, r"\b(\d{1,4})\s*/\s*(\d{1,5})\b", _a=1, _b=2)
     out = claim(out, r"(?<![\d/])/\s*(\d{1,5})\b", _c=1)
     a, b = F.col("_a").cast("int"), F.col("_b").cast("int")
@@ -86,7 +108,7 @@ def parse_titles(df: DataFrame, vocabulary: Vocabulary, title: str = "title") ->
     out = claim(out, vocabulary.pattern("teams"), team=1)
     out = claim(out, vocabulary.pattern("sets"), set_name=1)
     out = claim(out, vocabulary.pattern("subsets"), subset=1)
-    out = claim(out, vocabulary.pattern("parallels"), parallel=1)
+    out = parallels(out, vocabulary)
     for name, pattern in (("is_rookie", ROOKIE), ("is_auto", AUTO), ("is_relic", RELIC), ("is_lot", LOT)):
         out = flag(out, name, pattern)
     out = out.withColumn("player", player(F.col("work")))

@@ -97,6 +97,18 @@ def test_title_with_traps(spark):
     assert none["year"] is None and empty["confidence"] == 0.0 and pick["card_number"] is None
 
 
+def test_numbers_without_digits_or_hash(spark):
+    titles = ["2024 Prizm Joe Doe TRC-15", "2024 Prizm Joe Doe #ror-fm", "2024 Prizm Joe Doe #FMEN", "2024 Prizm Joe Doe #PSA", "2024 Prizm Joe Doe #NFL-AB", "2024 Prizm Joe Doe #12 TRC-15"]
+    p = parse_titles(spark.createDataFrame(list(enumerate(titles)), "i int, title string"), Vocabulary(sets=("Prizm",))).orderBy("i").collect()
+    assert [r["card_number"] for r in p] == ["TRC-15", "ROR-FM", "FMEN", None, None, "12"]
+
+
+def test_parallels_stack_in_one_order(spark):
+    titles = ["2024 Prizm Joe Doe Orange Lazer", "2024 Prizm Joe Doe lazer ORANGE Lazer", "2024 Prizm Joe Doe"]
+    p = parse_titles(spark.createDataFrame(list(enumerate(titles)), "i int, title string"), Vocabulary(sets=("Prizm",), parallels=("Orange", "Lazer"))).orderBy("i").collect()
+    assert [(r["parallel"], r["player"], r["unparsed"]) for r in p] == [("Lazer Orange", "Joe Doe", None)] * 2 + [(None, "Joe Doe", None)]
+
+
 @pytest.mark.parametrize(("day", "want"), [("2023-01-01", "2023-W00"), ("2024-01-01", "2024-W01"), ("2023-01-02", "2023-W01")])
 def test_week_labels(spark, day, want):
     from saleglass.plans.coverage import week

@@ -8,11 +8,12 @@ also holds the class of the length (and of the next one). Texts of a band are co
 A band is settled once its texts but for its leader, which met all of them, lie in one component. All other bands' texts, those
 that matched a leader too, go on by a filter that loses nothing: similar texts have so many words in common that they
 share one of their rarest ones (``1 - LEAST`` of the words and one more, in one order of words for all these texts). Of
-texts that share such a word the first few are leaders for those of other components and then leave; four times as many
+texts that share such a word the first few are leaders for those of other components and then leave; eight times as many
 follow, until the rest of every word lies in one component. So every pair that shares a band ends in one component
 or is compared.
 
-A link is a word edit similarity of ``LEAST`` or more. Classes are the connected components of links.
+Pairs are first held against each other by bags of words, which rule out most unlike texts before any text is read. A
+link is a word edit similarity of ``LEAST`` or more. Classes are the connected components of links.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from saleglass.llm.common import documents, keep, slices, text_or_empty
 from saleglass.llm.components import components
 
 KMER, PICKS, BANDS, LEAST = 3, 2, 40, 0.8
-CELLS = 1 << 16
+CELLS, BAG, SALTS, LEADERS = 1 << 16, 512, 64, 32
 
 _rng = np.random.default_rng(5)
 _WORD = _rng.integers(1, 2**62, KMER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SEEDS = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
+_SEEDS = _rng.integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(2**64 - 1)
 
@@ -56,74 +57,126 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
+def labels_of(keys: np.ndarray) -> np.ndarray:
+    """How often each key has occurred before, in order."""
+    label = np.zeros(len(keys), np.uint64)
+    ordered = np.sort(keys)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice):
+        slot = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
+        at = np.flatnonzero(twice[slot] == keys)
+        order = at[np.argsort(slot[at], kind="stable")]
+        nth = np.arange(len(order))
+        new = np.append(True, slot[order][1:] != slot[order][:-1])
+        label[order] = (nth - np.maximum.accumulate(np.where(new, nth, 0))).astype(np.uint64)
+    return label
+
+
 def labelled_kmers(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every labelled k-mer of each text, one text after another, and how many each has. A text of fewer words
     than a k-mer has one k-mer, of all its words."""
     sizes = np.array([len(w) for w in words], np.int64)
-    flat = stable_hash([w for text in words for w in text])
+    return kmers_of(stable_hash([w for text in words for w in text]), sizes)
+
+
+def kmers_of(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``labelled_kmers`` from the hashes of all words and the number of words of each text."""
     pad = np.concatenate([flat, np.zeros(KMER, np.uint64)])
     first = np.cumsum(sizes) - sizes
     counts = np.where(sizes > 0, np.maximum(1, sizes - KMER + 1), 0)
     total = int(counts.sum())
-    text = np.repeat(np.arange(len(words)), counts)
+    text = np.repeat(np.arange(len(sizes)), counts)
     begin = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + first[text]
     h = np.zeros(total, np.uint64)
     left = sizes[text] - (begin - first[text])
     for k in range(KMER):
         h += np.where(k < left, pad[begin + k], np.uint64(k)) * _WORD[k]
     h = mixed(h)
-    order = np.lexsort((np.arange(total), h, text))
-    new = np.ones(total, bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
-    at = np.arange(total)
-    label = np.empty(total, np.uint64)
-    label[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    return mixed(h + label * _MIX), counts
+    return mixed(h + labels_of(mixed(h + text.astype(np.uint64) * _MIX)) * _MIX), counts
+
 
+def bags(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row a text: how many of its words fall into each of ``BAG`` cells, 255 at most. One word put in, taken out or
+    exchanged changes a row by two at most, so rows that lie further apart belong to texts that aren't similar."""
+    cells = np.repeat(np.arange(len(sizes)) * BAG, sizes) + (flat % np.uint64(BAG)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=len(sizes) * BAG), 255).astype(np.uint8).reshape(-1, BAG)
 
-def sketch(texts: list, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """Number of words and the band keys (row per text) of whole texts."""
+
+def sketch(texts: list, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words, the band keys (row per text) and the bags of words of whole texts."""
     n_words = np.zeros(len(texts), np.int64)
     keys = np.zeros((len(texts), bands), np.uint64)
-    for a, b in slices(texts, 600_000):
+    bag = np.zeros((len(texts), BAG), np.uint8)
+    for a, b in slices(texts, 400_000):
         words = [words_of(t) for t in texts[a:b]]
-        n_words[a:b] = [len(w) for w in words]
-        h, counts = labelled_kmers(words)
+        n_words[a:b] = sizes = np.array([len(w) for w in words], np.int64)
+        flat = stable_hash([w for text in words for w in text])
+        bag[a:b] = bags(flat, sizes)
+        h, counts = kmers_of(flat, sizes)
         filled = np.flatnonzero(counts)
         if not len(filled):
             continue
         counts = counts[filled]
         starts = np.cumsum(counts) - counts
+        place_bits = np.uint64(len(h).bit_length())
+        low_bits = (np.uint64(1) << place_bits) - np.uint64(1)
+        nth = np.arange(len(h), dtype=np.uint64)
         for band in range(bands):
-            v = mixed(h ^ _SEEDS[band])
+            v = h * _SEEDS[band]
+            v |= low_bits  # the last bits hold the place instead
+            v ^= low_bits ^ nth
             places, values = [], []
             for _ in range(PICKS):
                 low = np.minimum.reduceat(v, starts)
-                hit = np.flatnonzero(v == np.repeat(low, counts))
-                rank = np.searchsorted(hit, starts)  # the first place with the smallest value in each text
-                place = hit[rank]
                 spent = low == _LAST
+                place = (low & low_bits).astype(np.int64)
+                place[spent] = 0
                 places.append(np.where(spent, np.int64(2**62), place))
-                values.append(np.where(spent, np.uint64(0), low))
-                v[place] = _LAST
+                values.append(np.where(spent, np.uint64(0), h[place]))
+                v[place[~spent]] = _LAST
             order = np.argsort(np.stack(places), 0, kind="stable")
             picked = np.take_along_axis(np.stack(values), order, 0)
             key = np.full(len(filled), band, np.uint64)
             for row in picked:
                 key = mixed(key * _MIX + row)
             keys[a + filled, band] = key
-    return n_words, keys
+    return n_words, keys, bag
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys = sketch(batch.column(1).to_pylist())
+            n, keys, bag = sketch(batch.column(1).to_pylist())
             flat = pa.array(keys.view(np.int64).ravel())
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, flat)], names=["atom", "n_words", "keys"])
+            rows = pa.array([r.tobytes() for r in bag], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, flat), rows], names=["atom", "n_words", "keys", "bag"])
+
+    return docs.select("atom", "text").mapInArrow(run, "atom string, n_words long, keys array<long>, bag binary")
+
+
+def _with_leader(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """``pairs`` with the columns of their leader's row in ``side``. A leader of many pairs is read in ``SALTS`` parts."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    return salted.join(side.join(salted.select("leader", "salt").distinct(), "leader"), ["leader", "salt"]).drop("salt")
 
-    return docs.select("atom", "text").mapInArrow(run, "atom string, n_words long, keys array<long>")
+
+def _plausible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` whose bags of words don't rule out that they are similar."""
+    bag = texts.select("node", "n_words", "bag")
+    rows = _with_leader(pairs.join(bag, "node"), bag.toDF("leader", "leader_words", "leader_bag"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for i in (4, 5))
+            edits = (np.maximum(n, m) * (1 - least) + 1e-9).astype(np.int64)
+            ok = (np.abs(one - two).sum(1, dtype=np.int64) <= 2 * edits) & (np.abs(n - m) <= edits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["leader", "node"]).filter(pa.array(ok))
+
+    return rows.select("leader", "node", "n_words", "leader_words", "bag", "leader_bag").mapInArrow(run, "leader long, node long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -133,15 +186,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         last, words = None, []
         for batch in batches:
             ok = []
-            for leader, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for leader, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if leader != last:
-                    last, words = leader, words_of(a)
-                ok.append(similarity(words, words_of(b), least) is not None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["leader", "node"]).filter(pa.array(ok))
+                    last, words = leader, words_of(a.as_py())
+                ok.append(similarity(words, words_of(b.as_py()), least) is not None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["leader", "node"]).filter(pa.array(ok, pa.bool_()))
 
-    with_node = pairs.join(texts, "node")
-    both = with_node.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text")), "leader")
-    return both.select("leader", "node", "leader_text", "text").mapInArrow(run, "leader long, node long")
+    rows = _with_leader(pairs.join(texts.select("node", "text"), "node"), texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text")))
+    return rows.select("leader", "node", "leader_text", "text").mapInArrow(run, "leader long, node long")
 
 
 def _labelled_words(text: str | None) -> np.ndarray:
@@ -196,7 +248,7 @@ def _led(rows: DataFrame) -> DataFrame:
 
 def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (node, key) of keys whose nodes lie in several components, with the component as class."""
-    classed = keep(rows.join(classes, "node", "left").select("node", "key", F.coalesce("component", "node").alias("class")), "near-rest")
+    classed = keep(rows.join(classes, "node"), "near-rest")
     several = classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
     return classed.join(several, "key")
 
@@ -207,7 +259,15 @@ def _links(led: DataFrame, texts: DataFrame, least: float, tested: DataFrame | N
     if tested is not None:
         pairs = pairs.join(tested, ["leader", "node"], "left_anti")
     pairs = keep(pairs, "near-pairs")
-    return keep(_verified(pairs, texts, least), "near-links"), pairs
+    likely = keep(_plausible(pairs, texts, least), "near-likely")
+    return keep(_verified(likely, texts, least), "near-links"), pairs
+
+
+def _joined(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``classes`` (node, class) after the links ``found`` between their nodes."""
+    ends = found.join(classes, "node").withColumnRenamed("class", "a").join(classes.toDF("leader", "b"), "leader")
+    moved = components(ends.select("a", "b").where("a <> b").distinct()).toDF("class", "component")
+    return keep(classes.join(moved, "class", "left").select("node", F.coalesce("component", "class").alias("class")), "near-classes")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -220,7 +280,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("atom", F.md5("text"))
     unique = (
-        _sketched(source).groupBy("atom").agg(F.first("n_words").alias("n_words"), F.first("keys").alias("keys"))
+        _sketched(source).groupBy("atom").agg(F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("bag").alias("bag"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = keep(unique, "near-nodes")  # node numbers are fixed by this write
@@ -233,16 +293,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     banded = banded.withColumn("key", F.xxhash64("key", "size_class")).select("node", "key")
     led = keep(_led(banded), "near-bands")
 
-    wanted = led.select(F.explode(F.array("node", "leader")).alias("node")).distinct().join(nodes.select("node", "atom"), "node")
-    rows = source.select(F.xxhash64("id", "atom").alias("row"), "atom")
-    chosen = rows.groupBy("atom").agg(F.min("row").alias("row")).join(wanted, "atom").select("row", "node")
-    texts = keep(source.select(F.xxhash64("id", "atom").alias("row"), "text").join(chosen, "row").dropDuplicates(["node"]).select("node", "text"), "near-texts")
+    wanted = led.select(F.explode(F.array("node", "leader")).alias("node")).distinct().join(nodes.select("node", "atom", "n_words", "bag"), "node")
+    chosen = source.select("id", "atom").groupBy("atom").agg(F.min("id").alias("one")).join(wanted, "atom")
+    chosen = chosen.withColumnRenamed("atom", "own")
+    of_one = source.join(chosen, (F.col("atom") == F.col("own")) & F.col("id").eqNullSafe(F.col("one")))
+    texts = keep(of_one.dropDuplicates(["node"]).select("node", "text", "n_words", "bag"), "near-texts")
 
     links, tested = _links(led, texts, least)
-    classes = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    found = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    classes = keep(texts.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class")), "near-classes")
     unsettled = led.join(links, ["leader", "node"], "left_anti").select("key").distinct()
     nodes_left = _mixed(led.join(unsettled, "key", "left_semi").select("node", "key"), classes).select("node").distinct()
-    rows, leaders = _rarest(keep(texts.join(nodes_left, "node", "left_semi"), "near-rest"), least), 8
+    rows, leaders = _rarest(keep(texts.select("node", "text").join(nodes_left, "node", "left_semi"), "near-rest"), least), LEADERS
     while True:
         rows = keep(_mixed(rows, classes), "near-rare")
         if rows.isEmpty():
@@ -250,15 +312,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node")))
         first = ranked.where(F.col("nth") <= leaders).select("key", F.col("node").alias("leader"), F.col("class").alias("leader_class"))
         found, pairs = _links(ranked.join(first, "key").where("leader < node and class <> leader_class"), texts, least, tested)
-        rows = ranked.where(F.col("nth") > leaders).select("node", "key")  # the leaders have met all others of their keys
-        links, tested, leaders = links.unionByName(found), tested.unionByName(pairs), 4 * leaders
-        edges = classes.toDF("a", "b").unionByName(found.toDF("a", "b"))
-        classes = components(edges)
+        rows = keep(ranked.where(F.col("nth") > leaders).select("node", "key"), "near-rest")  # the leaders have met all others of their keys
+        links, tested, leaders = links.unionByName(found), tested.unionByName(pairs), 8 * leaders
+        if not found.isEmpty():
+            classes = _joined(classes, found)
 
     links = keep(links.distinct(), "near-links")
     degree = links.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classed = nodes.select("node", "atom").join(classes, "node", "left").join(degree, "node", "left")
-    classed = classed.select("atom", F.coalesce("component", "node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classed = classed.select("atom", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     members = keep(source.select("id", "atom").withColumn("nth", F.monotonically_increasing_id()).join(classed, "atom"), "near-members")
     # nulls first, as everywhere in Spark's order
     heads = members.groupBy("class").agg(F.min(F.struct("id", "nth")).alias("head"))
@@ -266,12 +328,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class of near duplicates, with all columns of ``docs``."""
-    row = F.xxhash64(F.col(id_col), "atom").alias("row")
-    keepers = near_classes(docs, id_col, text_col, least).where("keeper").select(row)
-    with_row = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col(id_col), F.md5(text_or_empty(text_col))).alias("row"))
-    nth = F.row_number().over(Window.partitionBy("row").orderBy("row"))  # repeated rows
-    return with_row.join(keepers, "row", "left_semi").withColumn("nth", nth).where("nth = 1").select("doc.*")
+    """One row of each class of near duplicates, with all columns of ``docs``; nulls, empty texts, ties and repeated rows as in
+    ``near_classes``. An empty table stays empty; columns of any name are kept."""
+    keepers = near_classes(docs, id_col, text_col, least).where("keeper").select(F.col(id_col).alias("kept_id"), F.col("atom").alias("kept_atom"))
+    with_row = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.md5(text_or_empty(text_col)).alias("atom"))
+    kept = with_row.join(keepers, (F.col("atom") == F.col("kept_atom")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("id", "atom").orderBy("atom"))  # repeated rows
+    return kept.withColumn("nth", nth).where("nth = 1").select("doc.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

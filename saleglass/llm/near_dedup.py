@@ -5,12 +5,12 @@ For each of ``BANDS`` hash functions the ``PICKS`` labelled k-mers of smallest h
 equal picks in equal order make a candidate. Lengths may differ by the similarity asked for at most, so the band key
 also holds the class of the length (and of the next one). Texts of a band are compared with the smallest of them.
 
-A band is settled once its texts but for its leader, which met all of them, lie in one component. All other bands' texts, those
-that matched a leader too, go on by a filter that loses nothing: similar texts have so many words in common that they
-share one of their rarest ones (``1 - LEAST`` of the words and one more, in one order of words for all these texts). Of
-texts that share such a word the first few are leaders for those of other components and then leave; eight times as many
-follow, until the rest of every word lies in one component. So every pair that shares a band ends in one component
-or is compared.
+A band is settled once its texts lie in one component. Every other band goes on with two leaders more: the text that has
+most links so far (the original of many variants, which aren't alike among themselves, has links from the leaders of all
+its bands, the middle of a chain from both its ends) and one that differs from band to band. A band whose leaders found
+a link goes on for as long as it stays unsettled; one whose leaders found nothing more is left. So the work stays in
+proportion to the rows of the bands, also where thousands of unlike texts share a passage and with it their bands;
+similar texts meet in several bands, each with leaders of its own.
 
 Pairs are first held against each other by bags of words, which rule out most unlike texts before any text is read. A
 link is a word edit similarity of ``LEAST`` or more. Classes are the connected components of links.
@@ -31,7 +31,7 @@ from saleglass.llm.common import documents, keep, slices, text_or_empty
 from saleglass.llm.components import components
 
 KMER, PICKS, BANDS, LEAST = 3, 2, 40, 0.8
-CELLS, BAG, SALTS, LEADERS = 1 << 16, 512, 64, 32
+BAG, SALTS = 512, 64
 
 _rng = np.random.default_rng(5)
 _WORD = _rng.integers(1, 2**62, KMER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -196,50 +196,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return rows.select("leader", "node", "leader_text", "text").mapInArrow(run, "leader long, node long")
 
 
-def _labelled_words(text: str | None) -> np.ndarray:
-    """Hash of every word of a text, labelled with how often it has occurred so far."""
-    h = np.sort(stable_hash(words_of(text)))
-    at = np.arange(len(h))
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    label = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-    return mixed(h + label * _MIX)
-
-
-def _rarest(texts: DataFrame, least: float) -> DataFrame:
-    """(node, key) for the rarest labelled words of each text, by length class; see the module's notes. Rarity is that
-    of the word's cell of ``CELLS``; any order that is the same for all texts loses nothing."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                total += np.bincount((_labelled_words(text) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "texts"])
-
-    common = np.zeros(CELLS, np.int64)
-    for r in texts.select("node", "text").mapInArrow(count, "cell long, texts long").groupBy("cell").agg(F.sum("texts").alias("texts")).collect():
-        common[r["cell"]] = r["texts"]
-    known = texts.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _labelled_words(text)
-                texts_with = known.value[(words % np.uint64(CELLS)).astype(np.int64)]
-                first = np.lexsort((words, texts_with))[: int(len(words) * (1 - least) + 1e-9) + 1]
-                first = first[texts_with[first] > 1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([node] * len(first), pa.int64()), pa.array(words[first].view(np.int64)), pa.array([len(words)] * len(first), pa.int64())], names=["node", "word", "n"]
-                )
-
-    size_class = F.floor(F.log("n") / F.lit(math.log(1 / least))).cast("int")
-    first = texts.select("node", "text").mapInArrow(run, "node long, word long, n long")
-    classed = first.select("node", "word", F.explode(F.array(size_class, size_class + 1)).alias("c"))
-    return classed.select("node", F.xxhash64("word", "c").alias("key"))
-
-
 def _led(rows: DataFrame) -> DataFrame:
     """Rows (node, key) of keys with two nodes or more against the key's smallest node: node, key, leader."""
     led = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
@@ -247,12 +203,29 @@ def _led(rows: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (node, key) of keys whose nodes lie in several components, with the component as class."""
+    """Rows (key, node) of keys whose nodes lie in several components, with the component as class."""
     classed = keep(rows.join(classes, "node"), "near-rest")
     several = classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
     return classed.join(several, "key")
 
 
+def _degree(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+
+
+def _next_led(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (key, node, class, and whether it leads now) against the next two leaders of their key: the text with most links so far, as the original
+    of many variants has, and one that differs from key to key."""
+    of_key = F.xxhash64("key", "node")
+    ranked = rows.join(_degree(links), "node", "left").select("key", "node", "class", F.struct(F.coalesce("n_links", F.lit(0)), of_key).alias("rank"), of_key.alias("chance"))
+    one = F.struct("node", "class")
+    led = ranked.groupBy("key").agg(F.array_distinct(F.array(F.max_by(one, "rank"), F.min_by(one, "chance"))).alias("leds"))
+    was_led = F.array_contains(F.transform("leds", lambda x: x["node"]), F.col("node"))
+    both = rows.join(led, "key").select("key", "node", "class", was_led.alias("was_led"), F.col("leds")[0]["node"].alias("first"), F.explode("leds").alias("led"))
+    both = both.select("key", "node", "class", "was_led", "first", F.col("led.node").alias("leader"), F.col("led.class").alias("leader_class"))
+    return both.where("node <> leader and (not was_led or leader = first)").drop("first")
+
+
 def _links(led: DataFrame, texts: DataFrame, least: float, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Compare rows with their leaders, but for pairs ``tested`` before. Gives the links and the pairs compared."""
     pairs = led.select("leader", "node").distinct()
@@ -303,23 +276,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
     classes = keep(texts.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class")), "near-classes")
     unsettled = led.join(links, ["leader", "node"], "left_anti").select("key").distinct()
-    nodes_left = _mixed(led.join(unsettled, "key", "left_semi").select("node", "key"), classes).select("node").distinct()
-    rows, leaders = _rarest(keep(texts.select("node", "text").join(nodes_left, "node", "left_semi"), "near-rest"), least), LEADERS
+    rows = led.join(unsettled, "key", "left_semi").select("key", "node")
     while True:
-        rows = keep(_mixed(rows, classes), "near-rare")
-        if rows.isEmpty():
+        led = keep(_next_led(_mixed(rows, classes), links), "near-led")
+        found, pairs = _links(led.where("class <> leader_class"), texts, least, tested)
+        if found.isEmpty():
             break
-        ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        first = ranked.where(F.col("nth") <= leaders).select("key", F.col("node").alias("leader"), F.col("class").alias("leader_class"))
-        found, pairs = _links(ranked.join(first, "key").where("leader < node and class <> leader_class"), texts, least, tested)
-        rows = keep(ranked.where(F.col("nth") > leaders).select("node", "key"), "near-rest")  # the leaders have met all others of their keys
-        links, tested, leaders = links.unionByName(found), tested.unionByName(pairs), 8 * leaders
-        if not found.isEmpty():
-            classes = _joined(classes, found)
+        links, tested, classes = links.unionByName(found), tested.unionByName(pairs), _joined(classes, found)
+        of_use = led.join(found, ["leader", "node"], "left_semi").select("key").distinct()
+        rows = led.where("not was_led").select("key", "node").distinct().join(of_use, "key")
 
     links = keep(links.distinct(), "near-links")
-    degree = links.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classed = nodes.select("node", "atom").join(classes, "node", "left").join(degree, "node", "left")
+    classed = nodes.select("node", "atom").join(classes, "node", "left").join(_degree(links), "node", "left")
     classed = classed.select("atom", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     members = keep(source.select("id", "atom").withColumn("nth", F.monotonically_increasing_id()).join(classed, "atom"), "near-members")
     # nulls first, as everywhere in Spark's order

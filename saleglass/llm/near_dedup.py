@@ -7,7 +7,7 @@ also holds the class of the length (and of the next one). Texts of a band are co
 
 A band is settled once its texts lie in one component. Every other band goes on with two leaders more: the text that has
 most links so far (the original of many variants, which aren't alike among themselves, has links from the leaders of all
-its bands, the middle of a chain from both its ends) and one that differs from band to band. A band whose leaders found
+its bands, the middle of a chain from both its ends) and the first in one order of all texts. A band whose leaders found
 a link goes on for as long as it stays unsettled; one whose leaders found nothing more is left. So the work stays in
 proportion to the rows of the bands, also where thousands of unlike texts share a passage and with it their bands;
 similar texts meet in several bands, each with leaders of its own.
@@ -215,9 +215,9 @@ def _degree(links: DataFrame) -> DataFrame:
 
 def _next_led(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Rows (key, node, class, and whether it leads now) against the next two leaders of their key: the text with most links so far, as the original
-    of many variants has, and one that differs from key to key."""
-    of_key = F.xxhash64("key", "node")
-    ranked = rows.join(_degree(links), "node", "left").select("key", "node", "class", F.struct(F.coalesce("n_links", F.lit(0)), of_key).alias("rank"), of_key.alias("chance"))
+    of many variants has, and the first in one order of all texts."""
+    of_key, of_all = F.xxhash64("key", "node"), F.xxhash64("node")
+    ranked = rows.join(_degree(links), "node", "left").select("key", "node", "class", F.struct(F.coalesce("n_links", F.lit(0)), of_key).alias("rank"), of_all.alias("chance"))
     one = F.struct("node", "class")
     led = ranked.groupBy("key").agg(F.array_distinct(F.array(F.max_by(one, "rank"), F.min_by(one, "chance"))).alias("leds"))
     was_led = F.array_contains(F.transform("leds", lambda x: x["node"]), F.col("node"))

@@ -6,12 +6,12 @@ equal strings meet and no task holds more than its share:
 1. Of the ``SPAN`` grams in every string of ``LENGTH`` bytes the one of smallest hash is its anchor; equal strings have
    equal anchors at equal places. Anchors go, with a hash of all bytes that strings around them can have, to the task of
    their hash. Where only one anchor has a hash nothing repeats; where all bytes around are equal, all but the first
-   repeat wholly.
-2. Anchors of one hash that differ in their surroundings bring these bytes along. Their suffixes are merged without
-   sorting them: the interleave of the shards' transforms starts at the far end of the surroundings and is refined
-   byte by byte, each step a stable split by the byte that stands before each suffix (the transform's column). Common
-   prefixes follow from those of the step before: one more than the least between two neighbours that got the same byte.
-   Intervals of common prefix ``LENGTH`` are repeated strings; all but the first of each are marked.
+   repeat wholly. Equal means here that two 64-bit hashes agree, the gram's and that of all bytes around.
+2. Anchors of one hash that differ in their surroundings bring these bytes along. Each shard of them has its
+   Burrows-Wheeler transform, by place as all stand at the same anchor, and the transforms are merged by refining
+   their interleave, a byte a step. Common prefixes follow from those of the step before: one more than the least between
+   two neighbours that got the same byte. Intervals of common prefix ``LENGTH`` are repeated strings; all but the first
+   of each are marked.
 3. Marked starts meet their document, which loses the bytes they cover.
 """
 
@@ -30,7 +30,7 @@ from saleglass.llm.common import documents, keep, text_or_empty
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams in a string; an anchor has up to SPAN - 1 bytes of its string before it
 BEFORE = SPAN - 1
-SLICE_BYTES, SHARD_ROWS, PLACE_BITS = 2_000_000, 30_000, 24
+SLICE_BYTES, SHARD_ROWS, MERGE_ROWS, PLACE_BITS = 2_000_000, 30_000, 4_096, 24
 
 _P = np.uint64(0xD6E8FEB86659FD93)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -124,41 +124,68 @@ def _local(doc_ids: list, texts: list) -> Iterator[tuple[np.ndarray, ...]]:
         yield h, around, doc, place, repeats
 
 
-def merge_transforms(group: np.ndarray, first: np.ndarray, around: np.ndarray) -> np.ndarray:
+def _split(group: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Stable order by group, then byte. Both fit in 16 bits for all but very many groups."""
+    by_byte = np.argsort(byte, kind="stable")
+    return by_byte[np.argsort(group[by_byte], kind="stable")]
+
+
+def transform(group: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Burrows-Wheeler transform of one shard's families, by place since all stand at the same anchor: row k holds the
+    bytes that stand before the suffixes of length k, in the order of these suffixes, and the families in that order."""
+    n, width = around.shape
+    byte, family = np.empty((width, n), np.uint16), np.empty((width, n), np.int32)
+    order = np.arange(n, dtype=np.int32)
+    for k in range(width):
+        family[k], byte[k] = order, around[order, width - 1 - k]
+        order = order[_split(group[order], byte[k])]
+    return byte, family
+
+
+def merge_transforms(group: np.ndarray, first: np.ndarray, around: np.ndarray, rows: int = MERGE_ROWS) -> np.ndarray:
     """Which strings of ``LENGTH`` bytes repeat an earlier one.
 
     ``around``: a row a suffix family, the bytes from ``BEFORE`` before an anchor to ``LENGTH`` after its start, 256
     where the document has none. ``group``: equal for anchors of one hash, in runs. ``first``: a number that orders the
     families by document and place. Returns a row a family; column o: the string that starts o bytes before the anchor.
+
+    Shards of ``rows`` families have a transform each. Only their interleave, the shard of each suffix in the merged order,
+    is refined: each step reads the next byte of every shard's transform in the order of the interleave so far and splits the
+    interleave by it. No suffix is sorted again, and no shard's order is looked at but through its transform.
     """
     n, width = around.shape
     out = np.zeros((n, SPAN), bool)
     if n < 2:
         return out
-    columns = np.ascontiguousarray(around[:, ::-1].T.astype(np.int64))  # the far end first
-    base = group.astype(np.int64) * 257
-    order, common = np.arange(n), np.zeros(n, np.int64)  # common[i]: common prefix of neighbours i - 1 and i
+    group = group.astype(np.uint16 if group[-1] < 1 << 16 else np.int64)
+    starts = np.arange(0, n, rows)
+    parts = [transform(group[a : a + rows], around[a : a + rows]) for a in starts]
+    shard = np.repeat(np.arange(len(starts), dtype=np.uint16), np.diff(np.append(starts, n)))
+    common = np.zeros(n, np.int64)  # common[i]: common prefix of neighbours i - 1 and i
+    at = np.arange(n)  # each suffix's row in the shards' transforms, one shard after another
+    byte, family = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] + a for p, a in zip(parts, starts, strict=True)], 1)
     for step in range(width):
-        byte = columns[step][order]
-        key = base[order] + byte
-        split = np.argsort(key, kind="stable")
-        new_key = key[split]
+        if len(parts) > 1:
+            at[np.argsort(shard, kind="stable")] = np.arange(n)
+        own, own_family = byte[step][at], family[step][at]
+        own_group = group[own_family]
+        split = _split(own_group, own)
+        own, own_group, order = own[split], own_group[split], own_family[split]
         same = np.zeros(n, bool)
-        same[1:] = (new_key[1:] == new_key[:-1]) & (byte[split][1:] != 256)
-        at = np.flatnonzero(same)
+        same[1:] = (own[1:] == own[:-1]) & (own_group[1:] == own_group[:-1]) & (own[1:] != 256)
+        again = np.flatnonzero(same)
         longer = np.zeros(n, np.int64)
-        if len(at):
-            bounds = np.empty(2 * len(at), np.int64)
-            bounds[0::2], bounds[1::2] = split[at - 1] + 1, split[at] + 1
-            padded = np.append(common, 0)
-            longer[at] = np.minimum(np.minimum.reduceat(padded, bounds)[0::2] + 1, LENGTH)
-        order, common = order[split], longer
+        if len(again):
+            bounds = np.empty(2 * len(again), np.int64)
+            bounds[0::2], bounds[1::2] = split[again - 1] + 1, split[again] + 1
+            longer[again] = np.minimum(np.minimum.reduceat(np.append(common, 0), bounds)[0::2] + 1, LENGTH)
+        shard, common = shard[split], longer
         o = step + 1 - LENGTH
         if o >= 0:
-            starts = np.flatnonzero(common < LENGTH)
-            if len(starts) < n:
-                low = np.minimum.reduceat(first[order], starts)
-                repeated = first[order] != np.repeat(low, np.diff(np.append(starts, n)))
+            heads = np.flatnonzero(common < LENGTH)
+            if len(heads) < n:
+                low = np.minimum.reduceat(first[order], heads)
+                repeated = first[order] != np.repeat(low, np.diff(np.append(heads, n)))
                 out[order[repeated], o] = True
     return out
 

@@ -196,6 +196,11 @@ def test_merged_transforms_mark_later_strings():
     around = np.array([list(r) for r in rows], np.uint16)
     around[3, :10] = 256
     marked = s.merge_transforms(np.zeros(12, int), np.arange(12), around)
+    for shard in (1, 5, 7):
+        assert (s.merge_transforms(np.zeros(12, int), np.arange(12), around, shard) == marked).all()
+    group = np.repeat([0, 1], 6)
+    apart = np.concatenate([s.merge_transforms(np.zeros(6, int), np.arange(6), around[k : k + 6]) for k in (0, 6)])
+    assert (s.merge_transforms(group, np.arange(12), around, 4) == apart).all()
     for i in range(12):
         for o in range(s.SPAN):
             lo = s.BEFORE - o

@@ -162,11 +162,42 @@ def test_main_text_without_boilerplate():
     assert html_main.main_text("<article><h1>A</h1><p>b", ["#root", "article"]) == "A\nb"
 
 
+def host_texts(pages):
+    """Main texts of pages of one host."""
+    w = html_main.merged(*[html_main.as_wrapper(html_main.parse(p)) for p in pages])
+    w = html_main.unflat(html_main.flat(w))
+    return [html_main.main_text(p, html_main.content_path(w), frozenset(html_main.constants(w))) for p in pages]
+
+
 def test_wrappers_fold_repeats_and_mark_optional_parts():
     a = html_main.as_wrapper(html_main.parse("<div><h1>x</h1><p>a</p><p>b</p></div>"))
     b = html_main.as_wrapper(html_main.parse("<div><h1>y</h1><p>a</p><table></table></div>"))
-    div = html_main.merged(a, b)[5][0]
-    assert [(c[0], c[1], c[2], c[3]) for c in div[5]] == [("h1", False, False, None), ("p", True, False, None), ("table", False, True, "")]
+    div = html_main.merged(a, b)[html_main.CHILDREN][0]
+    got = [(c[html_main.SIGN], c[html_main.REPEATED], c[html_main.OPTIONAL], c[html_main.TEXT] == html_main.SLOT) for c in div[html_main.CHILDREN]]
+    assert got == [("h1", False, False, True), ("p", True, False, True), ("table", False, True, False)]
+    many = [html_main.as_wrapper(html_main.parse("<div>" + "".join(R.choice(["<p>x</p>", "<h2>y</h2>", "<table></table>"]) for _ in range(900)) + "</div>")) for _ in range(2)]
+    assert html_main.merged(*many)[html_main.CHILDREN][0][html_main.SIGN] == "div"
+
+
+def test_wrappers_tell_articles_from_what_a_host_repeats():
+    same = "The same long words about this house and all that it offers to its readers. " * 20
+    stories = [" ".join(R.choice("one two three four five six seven".split()) for _ in range(40)) for _ in range(6)]
+    assert host_texts([f"<body><div class=a>{same}</div><div class=b><p>{x}</p></div></body>" for x in stories]) == stories
+    inside = [f"<article><h1>About</h1><p>{x}</p><p>More words {x[:5]}</p><div>Write to us</div></article>" for x in stories]
+    assert host_texts(inside) == [f"About\n{x}\nMore words {x[:5]}" for x in stories]
+    assert host_texts(inside[:1] * 4) == [f"About\n{stories[0]}\nMore words {stories[0][:5]}\nWrite to us"] * 4  # copies of one page
+
+
+def test_main_text_of_names_that_speak_of_states():
+    for open_tag, close in (('<body class="comments-open single"><p>', ""), ('<article class="post comment-enabled"><p>', "</article>"), ('<div class="article-related-post"><p>', "</div>")):
+        assert html_main.main_text(f"{open_tag}Words of it.</p>{close}", None) == "Words of it."
+    assert html_main.main_text('<article>Words<article class="comment">nice</article></article>', None) == "Words"
+
+
+def test_very_deep_and_very_long_pages():
+    deep = "<div>" * 5000 + "<p>ground" + "</div>" * 5000
+    assert host_texts([deep, deep.replace("ground", "floor")]) == ["ground", "floor"]
+    assert html_main.main_text("<main>" + "<p>word</p>" * 30000, None).count("word") == 30000
 
 
 def test_anchors_are_the_first_smallest_grams_of_all_strings():

@@ -303,6 +303,9 @@ def test_html(spark):
     assert all(text[i] == f"t{i}\n{body[i]}" for i in range(8))
     assert text[8] == "" and text[9] == "" and text[10] == "a & b"
     assert html_main.extract(df.limit(0)).count() == 0
+    clash = df.select(df.page_id.alias("host"), df.url.alias("path"), df.html.alias("wrapper"))
+    again = {r["host"]: r["text"] for r in html_main.extract(clash, "host", "path", "wrapper").collect()}
+    assert again == text
 
 
 def test_repeated_bytes_against_brute_force(docs, rows):

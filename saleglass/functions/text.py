@@ -88,13 +88,17 @@ def bids(c: str | Column) -> Column:
     return F.regexp_extract(_col(c), r"(?i)(\d+)\s+bids?\b", 1).try_cast("int")
 
 
-HINTS = ("brand new", "pre-owned", "open box", "refurbished", "ungraded", "graded", "new", "used")
+# Words for a listing's condition, in the order they are looked for, and as they are shown.
+HINTS = (
+    ("brand new", "Brand New"), ("pre-owned", "Pre-Owned"), ("new (other)", "New (Other)"), ("open box", "Open Box"),
+    ("used", "Used"), ("ungraded", "Ungraded"), ("graded", "Graded"), ("like new", "Like New"),
+)
 
 
 def condition(c: str | Column) -> Column:
     out = F.lit(None).cast("string")
-    for h in reversed(HINTS):
-        out = F.when(F.contains(F.lower(_col(c)), F.lit(h)), F.initcap(F.lit(h))).otherwise(out)
+    for hint, shown in reversed(HINTS):
+        out = F.when(F.contains(F.lower(_col(c)), F.lit(hint)), shown).otherwise(out)
     return out
 
 
@@ -108,7 +112,7 @@ def result_count(c: str | Column) -> tuple[Column, Column]:
     return n, _col(c).rlike(r"[0-9]\+\s+results")
 
 
-SIZES = (140, 225, 300, 400, 500, 640, 960, 1200, 1600)
+SIZES = (64, 96, 140, 225, 300, 400, 500, 640, 800, 960, 1200, 1600)
 
 
 def image_url(c: str | Column, size: int = 500, host: str = "img.example") -> Column:

@@ -101,7 +101,8 @@ def sink_sales_csv(spark, sf, since="2001-01-01"):
 
 @query("sink_catalogue_csv", f"{WC} SELECT card_key, sales, median_cents / 100.0 AS median_usd FROM cat WHERE quality = 'clean'")
 def sink_catalogue_csv(spark, sf):
-    rows = rollups.sorted_page(cat.catalogue(flat(spark, sf)).where("quality = 'clean'"), "traded", 1_000_000).select("card_key", "sales", (F.col("median_cents") / 100.0).alias("median_usd"))
+    clean = cat.catalogue(flat(spark, sf)).where("quality = 'clean'").orderBy(F.desc("sales"), "card_key")
+    rows = clean.select("card_key", "sales", (F.col("median_cents") / 100.0).alias("median_usd"))
     return spark.read.schema(rows.schema).csv(_through(spark, rows, "catalogue", "csv", header=True), header=True)
 
 

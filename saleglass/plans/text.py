@@ -86,10 +86,14 @@ def x_best_offer(spark, sf):
     return flat(spark, sf).select("item_id", text.rlike(r"(?i)best\s+offer\s+accepted").cast("int").alias("best_offer"))
 
 
-@query("x_condition", "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Brand New' WHEN 1 THEN 'Ungraded' WHEN 2 THEN 'Graded' END AS condition FROM part")
+@query(
+    "x_condition",
+    """SELECT p_partkey AS k, CASE p_partkey % 9 WHEN 0 THEN 'Brand New' WHEN 1 THEN 'Ungraded' WHEN 2 THEN 'Graded' WHEN 4 THEN 'Pre-Owned'
+       WHEN 5 THEN 'New (Other)' WHEN 6 THEN 'Open Box' WHEN 7 THEN 'Used' WHEN 8 THEN 'Like New' END AS condition FROM part""",
+)
 def x_condition(spark, sf):
-    text = F.element_at(F.array(*map(F.lit, ("Brand new - sealed", "UNGRADED card", "Professionally graded", "as is"))), (F.col("k") % 4 + 1).cast("int"))
-    return _part(spark, sf).select("k", x.condition(text).alias("condition"))
+    said = ("Brand new - sealed", "UNGRADED card", "Professionally graded", "as is", "Pre-owned", "New (other), see", "open BOX", "Used once", "Like new")
+    return _part(spark, sf).select("k", x.condition(F.element_at(F.array(*map(F.lit, said)), (F.col("k") % 9 + 1).cast("int"))).alias("condition"))
 
 
 @query("x_seller", "SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS seller FROM part")
@@ -109,11 +113,18 @@ def x_item_id(spark, sf):
     return _part(spark, sf).select("k", F.regexp_extract(url, r"/itm/(?:[^/?]+/)?(\d{9,})", 1).cast("long").alias("item_id"))
 
 
-@query("x_image_url", "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'https://img.example/g/' || p_partkey || '/s-l500.jpg' WHEN 1 THEN 'https://other.example/s-l64.jpg' END AS url FROM part")
+@query(
+    "x_image_url",
+    """SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'https://img.example/g/' || p_partkey || '/s-l500.jpg' WHEN 1 THEN 'https://other.example/s-l64.jpg'
+       WHEN 3 THEN 'https://img.example/a/s-l800.jpg' WHEN 4 THEN 'https://img.example/a/s-l64.webp' WHEN 5 THEN 'https://img.example/a/s-l96.png' END AS url FROM part""",
+)
 def x_image_url(spark, sf):
     k = F.col("k")
-    url = F.when(k % 3 == 0, F.concat(F.lit("//img.example/thumbs/g/"), k, F.lit("/s-l225.jpg?set_id=8#x"))).when(k % 3 == 1, "https://other.example/s-l64.jpg").otherwise("data:image/gif;base64,R0")
-    return _part(spark, sf).select("k", x.image_url(url, 480).alias("url"))
+    first = F.concat(F.lit("//img.example/thumbs/g/"), k, F.lit("/s-l225.jpg?set_id=8#x"))
+    url = F.when(k % 6 == 0, x.image_url(first, 480)).when(k % 6 == 1, x.image_url(F.lit("https://other.example/s-l64.jpg"), 480)).when(k % 6 == 2, x.image_url(F.lit("data:image/gif;base64,R0"), 480))
+    for rest, name, size in ((3, "s-l225.jpg", 790), (4, "s-l140.webp", 60), (5, "s-l140.png", 100)):
+        url = url.when(k % 6 == rest, x.image_url(F.lit(f"https://img.example/a/{name}"), size))
+    return _part(spark, sf).select("k", url.alias("url"))
 
 
 @query("x_srcset_best", "SELECT p_partkey AS k, 'b' || p_partkey AS url FROM part")
@@ -133,12 +144,12 @@ def x_card_number_tail(spark, sf):
     return _part(spark, sf).select("k", x.number_tail(number, F.when(k % 3 == 0, "7").otherwise((k + 5).cast("string"))).alias("number"))
 
 
-@query("x_one_typo", "SELECT p_partkey AS k, p_partkey % 4 < 3 OR length(p_name) < 1 AS typo FROM part WHERE length(p_name) >= 9")
+@query("x_one_typo", "SELECT p_partkey AS k, CASE WHEN length(p_name) >= 9 THEN p_partkey % 4 < 3 WHEN p_partkey % 4 = 0 THEN length(p_name) = 8 OR p_name[2] = p_name[3] ELSE p_partkey % 4 = 2 AND (length(p_name) = 8 OR p_name[1] = 'q') END AS typo FROM part")
 def x_one_typo(spark, sf):
     a, k = F.col("p_name"), F.col("k")
     swapped = F.concat(a.substr(F.lit(1), F.lit(1)), a.substr(F.lit(3), F.lit(1)), a.substr(F.lit(2), F.lit(1)), a.substr(F.lit(4), F.length(a)))
     b = F.when(k % 4 == 0, swapped).when(k % 4 == 1, a.substr(F.lit(2), F.length(a))).when(k % 4 == 2, F.concat(F.lit("q"), a.substr(F.lit(2), F.length(a)))).otherwise(F.concat(F.lit("qqq"), a.substr(F.lit(4), F.length(a))))
-    return _part(spark, sf).where(F.length("p_name") >= 9).select("k", x.one_typo(a, b).alias("typo"))
+    return _part(spark, sf).select("k", x.one_typo(a, b).alias("typo"))
 
 
 @query("x_same_person", "SELECT p_partkey AS k, p_partkey % 2 = 0 AS same FROM part")
@@ -215,13 +226,13 @@ def x_normalise_set(spark, sf):
     return _part(spark, sf).select("k", F.trim(F.regexp_replace(F.regexp_replace(said, r"^\d{4}(-\d{2,4})?\s+", ""), r"(?i)\s+(football|basketball|baseball|hockey|soccer)$", "")).alias("set_name"))
 
 
-@query("x_run_seconds", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE (event_id % 500)::DOUBLE END AS seconds FROM events WHERE event_id % 500 > 0")
+@query("x_run_seconds", "SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 500 = 0 THEN NULL ELSE (event_id % 500)::DOUBLE END AS seconds FROM events")
 def x_run_seconds(spark, sf):
     start = F.date_trunc("second", F.col("ts").cast("timestamp"))
     end = start + F.make_interval(secs=(F.col("event_id") % 500).cast("decimal(18,6)"))
     text = F.when(F.col("event_id") % 3 == 0, "not a time").otherwise(F.concat(F.date_format(end, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
     seconds = (F.unix_millis(F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))) - F.unix_millis(start)) / 1000.0
-    return table(spark, sf, "events").where("event_id % 500 > 0").select("event_id", F.when(seconds > 0, seconds).alias("seconds"))
+    return table(spark, sf, "events").select("event_id", F.when(seconds > 0, seconds).alias("seconds"))
 
 
 @query("x_lookup_cutoff", f"{W} SELECT count(*) AS n FROM flat WHERE sold_date >= DATE '2001-06-01' - 85")

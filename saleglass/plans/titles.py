@@ -77,19 +77,24 @@ def t08_brand(spark, sf):
     return parsed(spark, sf).select("item_id", F.when(F.col("set_name").isin("Brand1", "Brand2"), "Panini").otherwise("Topps").alias("brand"))
 
 
-@query("t12_second_player", "SELECT p_partkey AS k, 'Joe Doe / ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS players FROM part WHERE p_name > 'k'")
+@query(
+    "t12_second_player",
+    """SELECT p_partkey AS k, array_to_string(list_sort(['Joe Doe', array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')]), ' / ') AS players
+       FROM part""",
+)
 def t12_second_player(spark, sf):
     from saleglass.operators.titles import name_runs
 
-    rows = table(spark, sf, "part").where("p_name > 'k'").select(F.col("p_partkey").alias("k"), F.concat(F.initcap("p_name"), F.lit(" / Joe Doe")).alias("title"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.concat(F.initcap("p_name"), F.lit(" / Joe Doe")).alias("title"))
     return rows.select("k", F.array_join(F.array_sort(F.array_distinct(name_runs(F.col("title")))), " / ").alias("players"))
 
 
-@query("t14_sport", "SELECT p_partkey AS k, 'football' AS sport FROM part")
+@query("t14_sport", "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'football' WHEN 1 THEN 'basketball' END AS sport FROM part")
 def t14_sport(spark, sf):
     from saleglass.plans.text import sport_of
 
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), sport_of(F.concat(F.col("p_name"), F.lit(" NFL"))).alias("sport"))
+    league = F.element_at(F.array(*map(F.lit, (" NFL", " NBA", ""))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), sport_of(F.concat("p_name", league)).alias("sport"))
 
 
 _ID = "CASE WHEN n <> 5 THEN concat_ws('-', year, lower(set_name), coalesce('n' || card_number, replace(player, ' ', '') || CASE WHEN n IN (2, 3) THEN '-r' || (year % 90 + 10) ELSE '' END), lower(parallel) || '-prizm', CASE WHEN is_auto = 1 THEN 'auto' END, CASE WHEN is_relic = 1 THEN 'patch' END) END"

@@ -102,6 +102,16 @@ class Words:
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
 
+_held: dict[str, Words] = {}
+
+
+def words_by(path: str) -> Words:
+    """This process's words of a tokenizer: what one task has tokenized, the next one needn't."""
+    if path not in _held:
+        _held[path] = Words(path)
+    return _held[path]
+
+
 class _Places(dict):
     """Word to its row; rows are given in order of first sight, row 0 is the end id."""
 
@@ -175,7 +185,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     the end id only. An empty table gives no blocks. ``tokenizer_path`` must be there on every machine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, out = Words(tokenizer_path), _Blocks(TaskContext.get().partitionId())
+        words, out = words_by(tokenizer_path), _Blocks(TaskContext.get().partitionId())
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):

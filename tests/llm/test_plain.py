@@ -141,6 +141,24 @@ def test_license_notices_are_found_with_their_spans():
     assert found[0][1][3:] == (2, 7)
 
 
+def test_whole_licenses_against_brute_force():
+    """Each template, also with some words changed, is found at its place; unlike texts and cut ones aren't."""
+    t = licenses.Templates()
+    lead = [f"w{i}" for i in range(2000)]
+    for name, words in t.rows:
+        words = [w.decode() for w in words]
+        changed = [w if i % 17 or len(words) < 40 else "other" for i, w in enumerate(words)]
+        for text in (words, changed):
+            found = list(t.scan([" ".join(lead + text + lead[:50])]))
+            ends = [m[3:] for _, m in found]
+            assert ends and min(e[0] for e in ends) <= 2000 + 1 and max(e[1] for e in ends) >= 2000 + len(words) - 1, name
+            longest = [len(w) for n, w in t.rows if n == name]
+            assert any(m[0] == name or m[1] > min(longest) for _, m in found), name
+        if len(words) > 100:
+            half = [m for _, m in t.scan([" ".join(lead[:40] + words[: len(words) // 3])])]
+            assert all(m[1] < len(words) for m in half)
+
+
 def test_coder_round_trips_and_blocks_are_independent():
     rng = np.random.default_rng(3)
     blocks = [np.zeros(0, np.uint32), np.full(500, 49407, np.uint32), rng.integers(0, 65535, 333).astype(np.uint32), np.tile(rng.integers(0, 99, 40), 20).astype(np.uint32)]

@@ -198,15 +198,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def _led(rows: DataFrame) -> DataFrame:
     """Rows (node, key) of keys with two nodes or more against the key's smallest node: node, key, leader."""
-    led = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader < other").drop("other")
-    return rows.join(led, "key").where("node <> leader").select("node", "key", "leader")
+    led = rows.withColumn("leader", F.min("node").over(Window.partitionBy("key")))
+    return led.where("node <> leader").select("node", "key", "leader")
 
 
 def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (key, node) of keys whose nodes lie in several components, with the component as class."""
     classed = keep(rows.join(classes, "node"), "near-rest")
     several = classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
-    return classed.join(several, "key")
+    return classed.join(several, "key", "left_semi")
 
 
 def _degree(links: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         links, tested, classes = links.unionByName(found), tested.unionByName(pairs), _joined(classes, found)
         of_use = led.join(found, ["leader", "node"], "left_semi").select("key").distinct()
-        rows = led.where("not was_led").select("key", "node").distinct().join(of_use, "key")
+        rows = led.where("not was_led").select("key", "node").distinct().join(of_use, "key", "left_semi")
 
     links = keep(links.distinct(), "near-links")
     classed = nodes.select("node", "atom").join(classes, "node", "left").join(_degree(links), "node", "left")

@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each one of the corpus operators, from raw documents to token blocks."""
+"""The corpus pipeline: five stages, each one of the corpus operators, from raw documents to token blocks.
+
+In every stage a null text counts as the empty one, an empty table gives no rows, and columns beside those used are kept
+as they are (the last stage has its own). ``test_pipeline_stages`` runs the stages one after another.
+"""
 
 from __future__ import annotations
 

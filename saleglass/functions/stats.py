@@ -36,11 +36,6 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.when(n > 0, F.element_at(values, F.least(n - 1, F.rint((n - 1) * share).cast("int")) + 1))
 
 
-def floor_rank(values: Column, share: float) -> Column:
-    n = F.size(values)
-    return F.when(n > 0, F.element_at(values, F.floor((n - 1) * share).cast("int") + 1))
-
-
 def middle(values: Column) -> Column:
     """Mean of the two middle elements of an array, sorted here."""
     s = F.array_sort(values)
@@ -54,6 +49,11 @@ def trend(values: Column) -> Column:
     n = F.size(values)
     half = F.floor(n / 2).cast("int")
     old, new = middle(F.slice(values, 1, half)), middle(F.slice(values, half + 1, F.greatest(n - half, F.lit(0))))
+    return change(old, new, n)
+
+
+def change(old: Column, new: Column, n: Column) -> Column:
+    """Percent from ``old`` to ``new``; null where fewer than four prices stand behind them or the old one is zero."""
     return F.when((n >= COHORT_LEAST) & (old != 0), rounded(100.0 * (new - old) / old, 1))
 
 

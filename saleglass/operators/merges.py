@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key. A key's rows are few: the sendings of one listing."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The last row of each key, chosen in partial aggregates."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(order)).alias("_row")
+    return rows.groupBy(F.col(key).alias("_key")).agg(last).select("_row.*")
 
 
 def merge(target: DataFrame, source: DataFrame, key: str, choose: dict[str, Column]) -> DataFrame:

@@ -107,15 +107,15 @@ def f_all_words(spark, sf, words="brand1 red"):
     return rows.where(F.forall(F.split(F.lit(words.lower()), " +"), lambda w: F.contains(F.col("hay"), w))).select("card_key")
 
 
-def tokens(rows, id_col, text_col):
-    """Inverted index: (token, id), each once."""
-    return rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"), F.col(id_col))
-
-
 def fulltext(rows, id_col, text_col, all_of=(), none_of=()):
-    index = tokens(rows, id_col, text_col)
-    wanted = index.where(F.col("token").isin(*all_of)).groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") == len(set(all_of))).select(id_col)
-    return wanted.join(index.where(F.col("token").isin(*none_of)), id_col, "left_anti") if none_of else wanted
+    """Ids of the texts that hold every word of ``all_of`` and none of ``none_of``; each row is decided where it is."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    held = rows.select(id_col, words.alias("_words"))
+    for w in all_of:
+        held = held.where(F.array_contains("_words", w))
+    for w in none_of:
+        held = held.where(~F.array_contains("_words", w))
+    return held.select(id_col)
 
 
 @query("f_fulltext", """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) SELECT doc_id FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'of') AND NOT list_contains(w, 'idiot')""")

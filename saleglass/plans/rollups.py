@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from saleglass.functions import stats
 from saleglass.operators import catalogue as cat
+from saleglass.operators import ranks
 from saleglass.registry import query
 from saleglass.sources.bindings import FLAT_SQL, RUNS_SQL, SERIES_SQL, flat, runs, series
 
@@ -15,15 +16,28 @@ USD_MEDIAN = "floor(median(price_cents) + 0.5) / 100.0"
 OK = "price_cents IS NOT NULL AND currency = 'USD'"
 
 
-def _p90(cents):
-    return stats.usd(stats.nearest_rank(F.array_sort(F.collect_list(cents)), 0.9))
+MIDDLE = {"lower": ranks.LOWER_MIDDLE, "upper": ranks.UPPER_MIDDLE}
+
+
+def middle():
+    return (F.col("lower") + F.col("upper")) / 2.0
+
+
+def day_prices(rows):
+    """Counts, total and ranked dollar prices of each day."""
+    ok = F.when(stats.priced(), F.col("price_cents"))
+    return ranks.profile(rows, ["sold_date"], ok, MIDDLE | {"p90": ranks.nearest(0.9)})
 
 
 def day_rollup(rows):
     """One row a day: all sales, priced ones, their median, 90th percentile and total in dollars."""
-    ok = F.when(stats.priced(), F.col("price_cents"))
-    return rows.groupBy("sold_date").agg(
-        F.count("*").alias("n"), F.count(ok).alias("priced"), stats.usd(F.median(ok)).alias("median"), _p90(ok).alias("p90"), (F.coalesce(F.sum(ok), F.lit(0)) / 100.0).alias("total")
+    return day_prices(rows).select(
+        "sold_date",
+        F.col("rows").alias("n"),
+        F.col("valued").alias("priced"),
+        stats.usd(middle()).alias("median"),
+        stats.usd(F.col("p90")).alias("p90"),
+        (F.coalesce("total", F.lit(0)) / 100.0).alias("total"),
     )
 
 
@@ -39,10 +53,13 @@ def a_daily(spark, sf):
 @query("a_daily_cents", f"""{W} SELECT sold_date, count(*) AS n, count(*) FILTER (WHERE {OK}) AS priced, trunc(median(price_cents) FILTER (WHERE {OK}))::BIGINT AS median_cents,
   {P90_SQL} AS p90_cents, (sum(price_cents) FILTER (WHERE {OK}))::BIGINT AS total_cents FROM flat WHERE sold_date >= DATE '1998-01-01' GROUP BY sold_date""", dates="sold_date")
 def a_daily_cents(spark, sf, since="1998-01-01"):
-    ok = F.when(stats.priced(), F.col("price_cents"))
-    return flat(spark, sf).where(F.col("sold_date") >= F.lit(since).cast("date")).groupBy("sold_date").agg(
-        F.count("*").alias("n"), F.count(ok).alias("priced"), F.median(ok).cast("long").alias("median_cents"),
-        stats.nearest_rank(F.array_sort(F.collect_list(ok)), 0.9).alias("p90_cents"), F.sum(ok).alias("total_cents"),
+    return day_prices(flat(spark, sf).where(F.col("sold_date") >= F.lit(since).cast("date"))).select(
+        "sold_date",
+        F.col("rows").alias("n"),
+        F.col("valued").alias("priced"),
+        middle().cast("long").alias("median_cents"),
+        F.col("p90").alias("p90_cents"),
+        F.col("total").alias("total_cents"),
     )
 
 
@@ -118,15 +135,23 @@ def a_quality_counts(spark, sf):
     return cat.catalogue(flat(spark, sf)).groupBy("quality").agg(F.count("*").alias("cards"), F.sum("sales").alias("sales"))
 
 
-def histories(rows):
-    """Cards of two sales or more with all their sales in order of time."""
+def histories(rows, most):
+    """The ``most`` cards with most sales (two at least), with all their sales in order of time. Sales are listed for
+    these cards alone."""
     u = cat.usable(rows)
-    out = u.groupBy("card_key").agg(
-        F.count("*").alias("n"), stats.usd(F.median("price_cents")).alias("median"), (F.min("price_cents") / 100.0).alias("low"), (F.max("price_cents") / 100.0).alias("high"),
-        F.min("sold_date").alias("first_sold"), F.max("sold_date").alias("last_sold"),
-        F.array_sort(F.collect_list(F.struct("sold_date", "item_id", (F.col("price_cents") / 100.0).alias("price"), "grade_label"))).alias("points"),
-    ).where("n >= 2")
-    return out.join(cat.judged(u), "card_key", "left")
+    top = u.groupBy("card_key").agg(
+        F.count("*").alias("n"),
+        stats.usd(F.median("price_cents")).alias("median"),
+        (F.min("price_cents") / 100.0).alias("low"),
+        (F.max("price_cents") / 100.0).alias("high"),
+        F.min("sold_date").alias("first_sold"),
+        F.max("sold_date").alias("last_sold"),
+    )
+    top = top.where("n >= 2").orderBy(F.desc("n"), F.desc("median"), "card_key").limit(most)
+    shown = u.join(F.broadcast(top.select("card_key")), "card_key", "left_semi")
+    sale = F.struct("sold_date", "item_id", (F.col("price_cents") / 100.0).alias("price"), "grade_label")
+    points = shown.groupBy("card_key").agg(F.array_sort(F.collect_list(sale)).alias("points"))
+    return top.join(points, "card_key").join(cat.judged(shown), "card_key", "left")
 
 
 @query("a_card_histories", f"""{WC}, h AS (SELECT card_key, count(*) AS n, {USD_MEDIAN} AS median, min(price_cents) / 100.0 AS low, max(price_cents) / 100.0 AS high, min(sold_date) AS first_sold, max(sold_date) AS last_sold,
@@ -134,8 +159,7 @@ def histories(rows):
   SELECT h.*, spread, trend_pct FROM h LEFT JOIN jd USING (card_key) ORDER BY n DESC, median DESC, card_key LIMIT 2500""", dates="first_sold last_sold")
 def a_card_histories(spark, sf):
     line = F.transform("points", lambda p: F.concat_ws(" ", F.date_format(p["sold_date"], "yyyy-MM-dd"), F.round(p["price"] * 100).cast("long").cast("string"), p["grade_label"]))
-    out = histories(flat(spark, sf)).orderBy(F.desc("n"), F.desc("median"), "card_key").limit(2500)
-    return out.select("card_key", "n", "median", "low", "high", "first_sold", "last_sold", F.md5(F.array_join(line, ",")).alias("points_md5"), "spread", "trend_pct")
+    return histories(flat(spark, sf), 2500).select("card_key", "n", "median", "low", "high", "first_sold", "last_sold", F.md5(F.array_join(line, ",")).alias("points_md5"), "spread", "trend_pct")
 
 
 @query("a_card_history", f"""{W} SELECT grade_label, count(*) AS n, min(sold_date) AS first_sold, max(sold_date) AS last_sold, min(price_cents) / 100.0 AS low, max(price_cents) / 100.0 AS high, {USD_MEDIAN} AS median,
@@ -165,10 +189,15 @@ _STATS = "count(*) AS n, list_sort(list(price_cents))[floor((count(*) - 1) * 0.5
 @query("a_price_stats", f"""{W} SELECT best_offer = 1 AND coalesce(offer_status, '') <> 'found' AS is_ask, {_STATS} FROM flat WHERE price_cents IS NOT NULL AND player ILIKE '%widget%' AND grader = 'PSA' GROUP BY 1""")
 def a_price_stats(spark, sf, player="widget", grader="PSA"):
     rows = flat(spark, sf).where(F.col("price_cents").isNotNull() & F.col("player").ilike(f"%{player}%") & (F.col("grader") == grader))
-    s = F.array_sort(F.collect_list("price_cents"))
-    return rows.groupBy(stats.ask_only().alias("is_ask")).agg(
-        F.count("*").alias("n"), stats.floor_rank(s, 0.5).alias("median_cents"), stats.floor_rank(s, 0.1).alias("p10_cents"), stats.floor_rank(s, 0.9).alias("p90_cents"),
-        F.floor(F.sum("price_cents").cast("double") / F.count("*") + 0.5).alias("mean_cents"), F.min("price_cents").alias("low_cents"), F.max("price_cents").alias("high_cents"),
+    picks = {"median_cents": ranks.floored(0.5), "p10_cents": ranks.floored(0.1), "p90_cents": ranks.floored(0.9)}
+    found = ranks.profile(rows.withColumn("is_ask", stats.ask_only()), ["is_ask"], "price_cents", picks)
+    return found.select(
+        "is_ask",
+        F.col("rows").alias("n"),
+        *picks,
+        F.floor(F.col("total").cast("double") / F.col("rows") + 0.5).alias("mean_cents"),
+        F.col("low").alias("low_cents"),
+        F.col("high").alias("high_cents"),
     )
 
 
@@ -177,11 +206,21 @@ def a_price_stats(spark, sf, player="widget", grader="PSA"):
 def a_meta(spark, sf):
     rows = flat(spark, sf)
     ok = F.when(stats.priced(), F.col("price_cents"))
-    by_day = rows.groupBy("sold_date").agg(F.count("*").alias("n")).agg(F.max_by("n", "sold_date").alias("latest_sales"))
-    return rows.agg(
-        F.count("*").alias("total"), F.count(ok).alias("priced"), F.sum("best_offer").alias("best_offers"), F.count_if(F.col("currency") != "USD").alias("non_usd"), F.count_if(F.col("confidence") >= 0.5).alias("confident"),
-        F.count_distinct("sold_date").alias("days"), F.min("sold_date").alias("first_day"), F.max("sold_date").alias("last_day"), stats.usd(F.percentile(ok, F.lit(0.5))).alias("median"),
-    ).crossJoin(by_day)  # one row each
+    by_day = rows.groupBy("sold_date").agg(
+        F.count("*").alias("total"),
+        F.sum("best_offer").alias("best_offers"),
+        F.count_if(F.col("currency") != "USD").alias("non_usd"),
+        F.count_if(F.col("confidence") >= 0.5).alias("confident"),
+    )
+    whole = by_day.agg(
+        *(F.sum(c).alias(c) for c in ("total", "best_offers", "non_usd", "confident")),
+        F.count("sold_date").alias("days"),
+        F.min("sold_date").alias("first_day"),
+        F.max("sold_date").alias("last_day"),
+        F.max_by("total", "sold_date").alias("latest_sales"),
+    )
+    prices = ranks.profile(rows, [], ok, MIDDLE).select(F.col("valued").alias("priced"), stats.usd(middle()).alias("median"))
+    return whole.crossJoin(prices)  # one row each
 
 
 @query("a_summary_served", f"{W} SELECT count(*) AS total, count(price_cents) AS priced, sum(best_offer)::BIGINT AS best_offers, min(sold_date) AS first_day, max(sold_date) AS last_day FROM flat", dates="first_day last_day")
@@ -196,12 +235,12 @@ def st_median_usd(spark, sf):
 
 @query("st_p90_nearest", f"{W} SELECT set_name, list_sort(list(price_cents))[CAST(round_even((count(*) - 1) * 0.9, 0) AS INT) + 1] AS p90 FROM flat GROUP BY 1")
 def st_p90_nearest(spark, sf):
-    return flat(spark, sf).groupBy("set_name").agg(stats.nearest_rank(F.array_sort(F.collect_list("price_cents")), 0.9).alias("p90"))
+    return ranks.profile(flat(spark, sf), ["set_name"], "price_cents", {"p90": ranks.nearest(0.9)}).select("set_name", "p90")
 
 
 @query("st_pct_floor", f"{W} SELECT set_name, list_sort(list(price_cents))[floor((count(*) - 1) * 0.5)::INT + 1] AS p50 FROM flat GROUP BY 1")
 def st_pct_floor(spark, sf):
-    return flat(spark, sf).groupBy("set_name").agg(stats.floor_rank(F.array_sort(F.collect_list("price_cents")), 0.5).alias("p50"))
+    return ranks.profile(flat(spark, sf), ["set_name"], "price_cents", {"p50": ranks.floored(0.5)}).select("set_name", "p50")
 
 
 _S = f"""WITH {SERIES_SQL}, g AS (SELECT card_key, grade_label, min(lpad(CAST(event_id AS VARCHAR), 12, '0')) AS f, list(price_cents ORDER BY sold_date, event_id) FILTER (WHERE price_cents >= 50) AS ps FROM series GROUP BY 1, 2),
@@ -230,8 +269,13 @@ _T = "floor(100.0 * (list_median(ps[len(ps) // 2 + 1:]) - list_median(ps[1:len(p
 
 @query("price_trend", f"WITH {SERIES_SQL}, co AS (SELECT card_key, list(price_cents ORDER BY sold_date, event_id) AS ps FROM series GROUP BY 1) SELECT card_key, CASE WHEN len(ps) >= 4 THEN {_T} END AS trend_pct FROM co")
 def price_trend(spark, sf):
-    rows = series(spark, sf).groupBy("card_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("sold_date", "event_id", "price_cents"))), lambda s: s["price_cents"]).alias("prices"))
-    return rows.select("card_key", stats.trend(F.col("prices")).alias("trend_pct"))
+    rows = ranks.numbered(series(spark, sf), "card_key", "sold_date", "event_id")
+    halves = rows.withColumn("newer", F.col("nth") > F.floor(F.col("of") / 2))
+    found = ranks.profile(halves, ["card_key", "newer"], "price_cents", MIDDLE).withColumn("middle", middle())
+    both = found.groupBy("card_key").agg(
+        F.sum("rows").alias("n"), F.max(F.when(F.col("newer"), F.col("middle"))).alias("new"), F.max(F.when(~F.col("newer"), F.col("middle"))).alias("old")
+    )
+    return both.select("card_key", stats.change(F.col("old"), F.col("new"), F.col("n")).alias("trend_pct"))
 
 
 @query("grade_trend", f"{_S} SELECT k.card_key, CASE WHEN ps IS NOT NULL THEN {_T} END AS trend_pct, coalesce(len(ps), 0)::BIGINT AS trend_sales FROM (SELECT DISTINCT card_key FROM series) k LEFT JOIN co USING (card_key)")

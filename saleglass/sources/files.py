@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir), or in a local one where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="saleglass-")
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir). Where that is unset, a folder of this
+    machine serves a local master; elsewhere executors would write to disks of their own, so it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="saleglass-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from saleglass.operators.merges import last_by
 
 
-def file_stream(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Rows of the files under ``path``; all that are there make one batch unless a number of files is given."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def each_batch(stream: DataFrame, path: str, step: Callable[[DataFrame, int], None]) -> None:
@@ -24,19 +25,14 @@ def each_batch(stream: DataFrame, path: str, step: Callable[[DataFrame, int], No
 
 
 def last_of_each(stream: DataFrame, path: str, key: str, order: str) -> DataFrame:
-    """The last row of each key over all batches: every batch merges into a new version of the table."""
-    spark = stream.sparkSession
-    version = {"n": None}
+    """The last row of each key over all batches. A batch adds its own last rows as one partition, which a repeated batch
+    replaces; the batches meet when they are read."""
 
     def step(batch: DataFrame, n: int) -> None:
-        rows = last_by(batch, key, order)
-        if version["n"] is not None:
-            rows = last_by(spark.read.parquet(f"{path}/v{version['n']}").unionByName(rows), key, order)
-        rows.write.mode("overwrite").parquet(f"{path}/v{n}")
-        version["n"] = n
+        last_by(batch, key, order).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
 
     each_batch(stream, path, step)
-    return spark.read.parquet(f"{path}/v{version['n']}")
+    return last_by(stream.sparkSession.read.parquet(f"{path}/rows").select(*stream.columns), key, order)
 
 
 def windowed(stream: DataFrame, path: str, time: str, keys: list[str], aggregates: list, length: str = "1 day", late: str = "2 days") -> DataFrame:

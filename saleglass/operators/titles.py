@@ -6,13 +6,13 @@ Vocabularies are short lists from the data's metadata; they become alternations,
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleglass.functions.text import number_tail
+from saleglass.functions.vocabulary import any_of
 
 # Graders, words of flags and lots, words that aren't names.
 GRADERS = "PSA BGS BVG SGC CGC CSG HGA TAG ISA BECKETT".split()
@@ -30,10 +30,11 @@ class Vocabulary:
     parallels: tuple[str, ...] = ()
     teams: tuple[str, ...] = ()
     subsets: tuple[str, ...] = ()
+    brands: tuple[str, ...] = ()
 
     def pattern(self, kind: str) -> str | None:
-        words = sorted(getattr(self, kind), key=lambda w: (-len(w), w))
-        return rf"(?i)\b({'|'.join(re.escape(w) for w in words)})\b" if words else None
+        words = getattr(self, kind)
+        return any_of(words) if words else None
 
 
 def claim(df: DataFrame, pattern: str | None, where: Column | None = None, **outputs: int) -> DataFrame:
@@ -81,7 +82,7 @@ def player(work: Column) -> Column:
 
 
 def parse_titles(df: DataFrame, vocabulary: Vocabulary, title: str = "title") -> DataFrame:
-    """``df`` with grader, grade, card_number, serial, print_run, year, team, set_name, subset, parallel, flags, player,
+    """``df`` with grader, grade, card_number, serial, print_run, year, team, set_name, subset, brand, parallel, flags, player,
     is_lot, confidence and unparsed. A null title gives nulls."""
     graders = "|".join(GRADERS)
     out = df.withColumn("work", F.coalesce(title, F.lit("")))
@@ -108,6 +109,7 @@ def parse_titles(df: DataFrame, vocabulary: Vocabulary, title: str = "title") ->
     out = claim(out, vocabulary.pattern("teams"), team=1)
     out = claim(out, vocabulary.pattern("sets"), set_name=1)
     out = claim(out, vocabulary.pattern("subsets"), subset=1)
+    out = claim(out, vocabulary.pattern("brands"), brand=1)
     out = parallels(out, vocabulary)
     for name, pattern in (("is_rookie", ROOKIE), ("is_auto", AUTO), ("is_relic", RELIC), ("is_lot", LOT)):
         out = flag(out, name, pattern)

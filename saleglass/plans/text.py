@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from saleglass.functions import text as x
+from saleglass.functions import vocabulary as v
 from saleglass.registry import query
 from saleglass.sources.bindings import FLAT_SQL, flat, table
 
@@ -158,66 +159,104 @@ def x_same_person(spark, sf):
     return _part(spark, sf).select("k", x.same_person(x.folded_person("p_name"), x.folded_person(other)).alias("same"))
 
 
-SPORT_WORDS = {"football": (("nfl",), ("donruss optic",), ("chiefs", "bears")), "basketball": (("nba",), ("hoops",), ("lakers", "bulls"))}
+def meant(pairs, index):
+    """SQL of what the text in a row means: the last field of the pair whose turn it is."""
+    means = ", ".join("NULL" if p[-1] is None else "'" + p[-1].replace("'", "''") + "'" for p in pairs)
+    return f"list_extract([{means}], CAST({index} % {len(pairs)} + 1 AS BIGINT))"
 
 
-def sport_of(title):
-    """League word 2, exclusive set 2, team 3; the sport with the strictly highest score."""
-    def score(words):
-        def has(ws):
-            return F.lower(title).rlike(rf"\b({'|'.join(ws)})\b").cast("int")
+def told(pairs, index):
+    """The text that stands in a row, by turns; ``meant`` is its twin in SQL."""
+    return F.element_at(F.array(*(F.lit(p[0]) for p in pairs)), (index % len(pairs) + 1).cast("int"))
 
-        return 2 * has(words[0]) + 2 * has(words[1]) + 3 * has(words[2])
 
-    a, b = score(SPORT_WORDS["football"]), score(SPORT_WORDS["basketball"])
-    return F.when(a > b, "football").when(b > a, "basketball")
+SPORTS_SAID = (
+    ("NFL Chiefs hoops", "football"), ("Lakers rookie", "basketball"), ("no sport", None), ("Bears Bulls", None),
+    ("2024 Prizm Football Lakers NBA", "basketball"), ("Stadium Club Yankees", "baseball"), ("Giants", None),
+    ("San Francisco Giants", "baseball"), ("New York Giants", "football"), ("St. Louis Cardinals", "baseball"),
+    ("court kings", "basketball"), ("Rookie Ticket", "football"), ("football hoops Miami", "basketball"),
+    ("World  Series", "baseball"), ("Red Sox", "baseball"), ("Portland Trail Blazers", "basketball"), ("Redskins", "football"),
+    ("MLB NFL", None), ("slam dunk", "basketball"), ("Niners", "football"), ("Seattle SuperSonics", "basketball"),
+    ("Miami Heat", "basketball"), ("heat check", None), ("Expos NBA", "baseball"), ("Sky Box", "basketball"),
+)
 
 
-@query("x_sport_title", "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'football' WHEN 1 THEN 'basketball' END AS sport FROM part")
+@query("x_sport_title", f"SELECT p_partkey AS k, {meant(SPORTS_SAID, 'p_partkey')} AS sport FROM part")
 def x_sport_title(spark, sf):
-    word = F.element_at(F.array(*map(F.lit, ("NFL Chiefs hoops", "Lakers rookie", "no sport", "Bears Bulls"))), (F.col("k") % 4 + 1).cast("int"))
-    return _part(spark, sf).select("k", sport_of(F.concat_ws(" ", "p_name", word)).alias("sport"))
+    return _part(spark, sf).select("k", v.sport_of(F.concat_ws(" ", "p_name", told(SPORTS_SAID, F.col("k")))).alias("sport"))
 
 
-@query("x_sport", "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'football' WHEN 1 THEN 'basketball' WHEN 2 THEN 'tennis' ELSE 'football' END AS sport FROM part")
+@query("x_sport", f"SELECT p_partkey AS k, coalesce({meant(SPORTS_SAID, 'p_partkey')}, CASE WHEN p_partkey % 2 = 0 THEN 'tennis' END, 'football') AS sport FROM part")
 def x_sport(spark, sf):
-    word = F.element_at(F.array(*map(F.lit, ("NFL", "NBA", "", ""))), (F.col("k") % 4 + 1).cast("int"))
-    return _part(spark, sf).select("k", F.coalesce(sport_of(word), F.when(F.col("k") % 4 == 2, "tennis"), F.lit("football")).alias("sport"))
+    title = F.concat_ws(" ", "p_name", told(SPORTS_SAID, F.col("k")))
+    collected_as = F.when(F.col("k") % 2 == 0, "tennis")
+    return _part(spark, sf).select("k", F.coalesce(v.sport_of(title), collected_as, F.lit("football")).alias("sport"))
 
 
-TEAMS = {"niners": "San Francisco 49ers", "chiefs": "Kansas City Chiefs", "kc": "Kansas City Chiefs"}
+TEAMS_SAID = (
+    ("Niners", "San Francisco 49ers"), ("CHIEFS", "Kansas City Chiefs"), ("nobody", None), ("green  bay", "Green Bay Packers"),
+    ("Green Bay Packers", "Green Bay Packers"), ("bucs", "Tampa Bay Buccaneers"), ("Commanders", "Washington Commanders"),
+    ("Redskins", "Washington Redskins"), ("St. Louis Rams", "St. Louis Rams"), ("Jets Bills", "New York Jets"),
+    ("new york giants", "New York Giants"), ("Chief", None), ("49ers", "San Francisco 49ers"), ("Seattle SEAHAWKS", "Seattle Seahawks"),
+)
 
 
-@query("x_team", "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'San Francisco 49ers' WHEN 1 THEN 'Kansas City Chiefs' END AS team FROM part")
+@query("x_team", f"SELECT p_partkey AS k, {meant(TEAMS_SAID, 'p_partkey')} AS team FROM part")
 def x_team(spark, sf):
-    names = F.create_map(*(F.lit(w) for pair in TEAMS.items() for w in pair))
-    word = F.element_at(F.array(*map(F.lit, ("Niners", "KC", "nobody"))), (F.col("k") % 3 + 1).cast("int"))
-    return _part(spark, sf).select("k", names[F.lower(word)].alias("team"))
+    return _part(spark, sf).select("k", v.team_of(F.concat_ws(" ", "p_name", told(TEAMS_SAID, F.col("k")))).alias("team"))
 
 
-@query("x_set_canonical", "SELECT p_partkey AS k, replace(p_brand, '#', '') AS set_name FROM part")
+SETS_SAID = (
+    ("PRIZM", "Prizm"), ("Panini Donruss", "Donruss"), ("donruss  optic", "Donruss Optic"), ("Topps Chrome", "Topps Chrome"),
+    ("Flagship", "Topps"), ("topps flagship chrome", "Topps Chrome"), ("Topps Heritage", "Heritage"), ("Panini One", "Panini One"),
+    ("Panini New  Product", "Panini New Product"), ("bowman's best", "Bowman's Best"), ("Prizm Draft Picks", "Prizm Draft Picks"),
+)
+
+
+@query("x_set_canonical", f"""SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN replace(p_brand, '#', '') ELSE {meant(SETS_SAID, 'p_partkey')} END AS set_name FROM part""")
 def x_set_canonical(spark, sf):
+    """Known names, aliases and brands before known names; names of the table's own sets in any case and spacing."""
     fold = F.regexp_replace(F.lower("name"), r"\s+", "")
-    sets = table(spark, sf, "part").select(F.regexp_replace("p_brand", "#", "").alias("name")).distinct().select(fold.alias("fold"), F.col("name").alias("set_name"))
-    said = _part(spark, sf).select("k", F.regexp_replace(F.upper(F.regexp_replace("p_brand", "#", " ")), r"\s+", "  ").alias("name")).select("k", fold.alias("fold"))
-    return said.join(sets, "fold").select("k", "set_name")
+    sets = table(spark, sf, "part").select(F.regexp_replace("p_brand", "#", "").alias("name")).distinct().select(fold.alias("fold"), F.col("name").alias("own"))
+    spaced = F.regexp_replace(F.upper(F.regexp_replace("p_brand", "#", " ")), r"\s+", "  ")
+    said = _part(spark, sf).select("k", F.when(F.col("k") % 2 == 0, spaced).otherwise(told(SETS_SAID, F.col("k"))).alias("name"))
+    return said.withColumn("fold", fold).join(sets, "fold", "left").select("k", F.coalesce("own", v.canonical_set(F.col("name"))).alias("set_name"))
+
+
+BRANDS_SAID = (
+    ("Prizm", "Panini"), ("TOPPS  CHROME", "Topps"), ("SPx", "Upper Deck"), ("Pinnacle", None), ("allen & ginter", "Topps"),
+    ("National Treasures", "Panini"), ("Unknown Set", None), ("XR", "Panini"), ("Exquisite", "Upper Deck"),
+)
 
 
-@query("x_brand", "SELECT p_partkey AS k, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'Panini' ELSE 'Topps' END AS brand FROM part")
+@query("x_brand", f"SELECT p_partkey AS k, {meant(BRANDS_SAID, 'p_partkey')} AS brand FROM part")
 def x_brand(spark, sf):
-    brands = F.create_map(*(F.lit(w) for w in ("Brand#1", "Panini", "Brand#2", "Panini")))
-    return _part(spark, sf).select("k", F.coalesce(brands[F.col("p_brand")], F.lit("Topps")).alias("brand"))
+    return _part(spark, sf).select("k", v.brand_of(F.col("p_name"), told(BRANDS_SAID, F.col("k"))).alias("brand"))
+
+
+NAMESAKES_SAID = (
+    ("Josh Allen", "Jaguars", "Josh Hines-Allen"), ("Josh Allen", "Bills Jaguars", "Josh Allen"), ("JOSH ALLEN", "kentucky", "Josh Hines-Allen"),
+    ("Josh Allen", "", "Josh Allen"), ("Joe Doe", "Jaguars", "Joe Doe"), ("Josh Allen", "Jags Wyoming", "Josh Allen"), ("Josh Allen", "Jaguarsx", "Josh Allen"),
+)
 
 
-@query("x_namesake", "SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'Josh Allen (JAX)' ELSE 'Josh Allen' END AS player FROM part")
+@query("x_namesake", f"SELECT p_partkey AS k, {meant(NAMESAKES_SAID, 'p_partkey')} AS player FROM part")
 def x_namesake(spark, sf):
-    title = F.concat(F.lit("Josh Allen "), F.when(F.col("k") % 2 == 0, "Jaguars").otherwise("Bills Jaguars"))
-    return _part(spark, sf).select("k", F.when(title.rlike(r"(?i)\bjaguars\b") & ~title.rlike(r"(?i)\bbills\b"), "Josh Allen (JAX)").otherwise("Josh Allen").alias("player"))
+    said, team = told(NAMESAKES_SAID, F.col("k")), told([p[1:] for p in NAMESAKES_SAID], F.col("k"))
+    return _part(spark, sf).select("k", v.namesake(said, F.concat_ws(" ", "p_name", said, team)).alias("player"))
+
+
+PRINTINGS_SAID = (
+    ("Pink Prizm", "y"), ("Chrome", "n"), ("Retail", "n"), ("Gold Label", "n"), ("Tie-Dye", "y"), ("Rated Rookie", "n"), ("", "n"),
+    ("Sapphire", "y"), ("Cracked Ice", "y"), ("flagship", "n"), ("Gold Standard", "n"), ("Goldish", "n"), ("Press-Proof /99", "y"),
+)
 
 
-@query("x_names_printing", "SELECT p_partkey AS k, split_part(p_name, ' ', 1) IN ('red', 'blue') AS printing FROM part")
+@query("x_names_printing", f"""SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN split_part(p_name, ' ', 1) IN ('red', 'blue')
+  ELSE {meant(PRINTINGS_SAID, 'p_partkey')} = 'y' END AS printing FROM part""")
 def x_names_printing(spark, sf):
-    return _part(spark, sf).select("k", F.arrays_overlap(F.split(F.lower("p_name"), " "), F.array(F.lit("red"), F.lit("blue"), F.lit("silver"))).alias("printing"))
+    name = F.when(F.col("k") % 2 == 0, F.col("p_name")).otherwise(told(PRINTINGS_SAID, F.col("k")))
+    return _part(spark, sf).select("k", v.names_printing(name).alias("printing"))
 
 
 @query("x_normalise_set", "SELECT p_partkey AS k, replace(p_brand, '#', '') AS set_name FROM part")

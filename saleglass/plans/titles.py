@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from saleglass.functions import text as x
+from saleglass.functions import vocabulary as v
 from saleglass.operators.titles import Vocabulary, parse_titles
+from saleglass.plans.text import SPORTS_SAID, TEAMS_SAID, meant, told
 from saleglass.registry import query
 from saleglass.sources.bindings import FLAT_SQL, flat, table
 
@@ -48,7 +50,6 @@ _stage("t01_grade", "grader, grade", "grader", "grade")
 _stage("t02_card_number", "CASE WHEN n <> 5 THEN card_number END AS card_number", "card_number")
 _stage("t03_serial", "CASE WHEN n = 3 THEN 7 END AS serial, CASE WHEN n IN (2, 3) THEN year % 90 + 10 END AS print_run", "serial", "print_run")
 _stage("t04_year", "year", "year")
-_stage("t06_set", "set_name", "set_name")
 _stage("t09_parallel", f"{_capital('parallel')} || ' Prizm' AS parallel", "parallel")
 _stage("t10_flags", "is_rookie, is_auto, is_relic", "is_rookie", "is_auto", "is_relic")
 _stage("t11_player", f"CASE WHEN n <> 5 THEN {_capital('player')} END AS player", "player")
@@ -57,12 +58,40 @@ _stage("t15_unparsed", "CASE WHEN n = 4 THEN 'zesty' END AS unparsed", "unparsed
 _stage("t16_multi_card", "CAST(n = 5 AS INT) AS is_lot", "is_lot")
 
 
-@query("t05_team", "SELECT s_suppkey AS k, n_name AS team FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def said(spark, sf, pairs):
+    """item_id and a title of every sale: its year, a phrase by turns, and its player."""
+    f = flat(spark, sf)
+    phrase = told(pairs, F.split("item_id", "-")[0].cast("int"))
+    return f.select("item_id", F.concat_ws(" ", "year", phrase, F.initcap("player")).alias("title"))
+
+
+@query("t05_team", f"{W} SELECT item_id, {meant(TEAMS_SAID, 'o')} AS team FROM k")
 def t05_team(spark, sf):
-    nation = table(spark, sf, "nation")
-    teams = Vocabulary(teams=tuple(sorted(r[0] for r in nation.select("n_name").collect())))
-    rows = table(spark, sf, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-    return parse_titles(rows.select(F.col("s_suppkey").alias("k"), F.concat(F.lit("2020 Select "), F.lower("n_name"), F.lit(" Joe Doe")).alias("title")), teams).select("k", F.upper("team").alias("team"))
+    p = parse_titles(said(spark, sf, TEAMS_SAID), Vocabulary(teams=tuple(v.TEAM_NAMES)))
+    return p.select("item_id", v.looked_up(F.col("team"), v.TEAM_NAMES).alias("team"))
+
+
+#: Sets as titles write them: the first known name is taken, the longest that starts there; aliases become the set meant.
+SET_TITLES = (
+    ("Panini PRIZM", "Prizm", "Panini"), ("donruss  optic", "Donruss Optic", "Panini"), ("Topps Flagship Chrome", "Topps Chrome", "Topps"),
+    ("Flagship", "Topps", None), ("Prizm Draft Picks", "Prizm Draft Picks", "Panini"), ("PANINI Rookies & Stars", "Rookies & Stars", "Panini"),
+    ("Contenders Optic", "Contenders Optic", None), ("Nothing Known", None, None), ("Upper Deck SP Authentic", "Upper Deck", None),
+    ("Leaf Metal", None, "Leaf"), ("SPx", "SPx", "Upper Deck"), ("Playoff Absolute", "Absolute", "Playoff"), ("Philadelphia", "Philadelphia", None),
+)
+SET_VOCABULARY = Vocabulary(sets=(*v.SETS, *v.SET_ALIASES), brands=v.BRANDS)
+
+
+@query("t06_set", f"{W} SELECT item_id, {meant([p[:2] for p in SET_TITLES], 'o')} AS set_name FROM k")
+def t06_set(spark, sf):
+    p = parse_titles(said(spark, sf, SET_TITLES), SET_VOCABULARY)
+    return p.select("item_id", v.canonical_set(F.col("set_name")).alias("set_name"))
+
+
+@query("t08_brand", f"{W} SELECT item_id, {meant(SET_TITLES, 'o')} AS brand FROM k")
+def t08_brand(spark, sf):
+    """The brand still unclaimed after the set, else the maker of the set."""
+    p = parse_titles(said(spark, sf, SET_TITLES), SET_VOCABULARY)
+    return p.select("item_id", v.brand_of(F.col("brand"), v.canonical_set(F.col("set_name"))).alias("brand"))
 
 
 @query("t07_subset", "SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'Downtown' ELSE 'Color Blast' END AS subset FROM part")
@@ -72,11 +101,6 @@ def t07_subset(spark, sf):
     return parse_titles(rows, Vocabulary(sets=("Donruss",), subsets=("Downtown", "Color Blast", "Blast"))).select("k", "subset")
 
 
-@query("t08_brand", f"{W} SELECT item_id, CASE WHEN set_name IN ('Brand1', 'Brand2') THEN 'Panini' ELSE 'Topps' END AS brand FROM k")
-def t08_brand(spark, sf):
-    return parsed(spark, sf).select("item_id", F.when(F.col("set_name").isin("Brand1", "Brand2"), "Panini").otherwise("Topps").alias("brand"))
-
-
 @query(
     "t12_second_player",
     """SELECT p_partkey AS k, array_to_string(list_sort(['Joe Doe', array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')]), ' / ') AS players
@@ -89,12 +113,9 @@ def t12_second_player(spark, sf):
     return rows.select("k", F.array_join(F.array_sort(F.array_distinct(name_runs(F.col("title")))), " / ").alias("players"))
 
 
-@query("t14_sport", "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'football' WHEN 1 THEN 'basketball' END AS sport FROM part")
+@query("t14_sport", f"{W} SELECT item_id, {meant(SPORTS_SAID, 'o')} AS sport FROM k")
 def t14_sport(spark, sf):
-    from saleglass.plans.text import sport_of
-
-    league = F.element_at(F.array(*map(F.lit, (" NFL", " NBA", ""))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("k"), sport_of(F.concat("p_name", league)).alias("sport"))
+    return said(spark, sf, SPORTS_SAID).select("item_id", v.sport_of(F.col("title")).alias("sport"))
 
 
 _ID = "CASE WHEN n <> 5 THEN concat_ws('-', year, lower(set_name), coalesce('n' || card_number, replace(player, ' ', '') || CASE WHEN n IN (2, 3) THEN '-r' || (year % 90 + 10) ELSE '' END), lower(parallel) || '-prizm', CASE WHEN is_auto = 1 THEN 'auto' END, CASE WHEN is_relic = 1 THEN 'patch' END) END"

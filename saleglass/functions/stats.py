@@ -36,6 +36,12 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.when(n > 0, F.element_at(values, F.least(n - 1, F.rint((n - 1) * share).cast("int")) + 1))
 
 
+def floor_rank(values: Column, share: float) -> Column:
+    """Element at floor((n - 1) * share) of a sorted array; null if empty."""
+    n = F.size(values)
+    return F.when(n > 0, F.element_at(values, F.floor((n - 1) * share).cast("int") + 1))
+
+
 def middle(values: Column) -> Column:
     """Mean of the two middle elements of an array, sorted here."""
     s = F.array_sort(values)

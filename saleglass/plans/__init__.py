@@ -1 +1,3 @@
-"""See the package README for what lives here."""
+"""The registered queries by theme. They are loaded together and in order, whichever is asked for first."""
+
+from saleglass import registry  # noqa: F401

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from saleglass.functions import stats
 from saleglass.functions.text import folded_person, same_person
 from saleglass.operators import catalogue as cat
+from saleglass.operators.readings import learned_inserts, vocabulary_gaps
+from saleglass.operators.titles import parse_titles
 from saleglass.registry import query
 from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, cards, checklist, flat, table
 
@@ -81,10 +83,16 @@ def a_number_split(spark, sf):
     return g.agg(F.sum(F.when(F.col("numbers") == 1, F.col("missing"))).alias("recoverable"), F.sum(F.when(F.col("numbers") > 1, F.col("missing"))).alias("ambiguous"), F.count_if((F.col("missing") > 0) & (F.col("numbers") > 0)).alias("groups"))
 
 
-@query("a_vocab_gaps", f"{W} SELECT word, count(*) AS n FROM (SELECT unnest(string_split(player || ' ' || lower(parallel), ' ')) AS word FROM flat) WHERE length(word) >= 3 AND word NOT IN ('red', 'new', 'old') GROUP BY 1")
-def a_vocab_gaps(spark, sf, known=("red", "new", "old")):
-    words = flat(spark, sf).select(F.explode(F.split(F.concat_ws(" ", "player", F.lower("parallel")), " ")).alias("word"))
-    return words.where((F.length("word") >= 3) & ~F.col("word").isin(*known)).groupBy("word").agg(F.count("*").alias("n"))
+@query("a_vocab_gaps", f"""{W}, k AS (SELECT item_id, split_part(item_id, '-', 1)::INT AS o, split_part(item_id, '-', 2)::INT AS n FROM flat),
+  w AS (SELECT item_id, unnest(string_split(list_extract(['glossy', 'glossy variant', 'see photos'], o % 3 + 1), ' ')) AS word FROM k UNION ALL SELECT item_id, 'zesty' FROM k WHERE n = 4)
+  SELECT word, count(*) AS n, min(item_id) AS example_id FROM w GROUP BY 1""")
+def a_vocab_gaps(spark, sf):
+    from saleglass.plans import titles as t
+
+    order = F.split("item_id", "-")[0].cast("int")
+    left = F.element_at(F.array(*map(F.lit, ("glossy", "glossy variant", "see photos"))), (order % 3 + 1).cast("int"))
+    titled = t.titles(spark, sf).withColumn("title", F.concat_ws(" ", "title", left))
+    return vocabulary_gaps(parse_titles(titled, t.vocabulary(spark, sf))).select("word", "n", "example_id")
 
 
 @query("a_audit_report", f"""{W}, {LED_SQL}, d AS (SELECT card_key, sum(n) AS sales, sum(n) FILTER (WHERE (name = 'somebody else') <> (leader = 'somebody else')) AS dissent FROM k JOIN l USING (card_key) GROUP BY 1),
@@ -141,12 +149,6 @@ def margin_of_error(spark, sf):
     return flat(spark, sf).groupBy("set_name").agg(stats.rounded(1.96 * F.sqrt(p * (1 - p) / F.count("*")), 4).alias("margin"))
 
 
-@query("a_photo_agreement", f"{W} SELECT count(*) FILTER (WHERE price_cents % 13 = 0) AS no_label, count(*) FILTER (WHERE price_cents % 13 > 0 AND price_cents % 7 > 0) AS agreed, count(*) FILTER (WHERE price_cents % 13 > 0 AND price_cents % 7 = 0) AS conflicted FROM flat")
-def a_photo_agreement(spark, sf):
-    rows = flat(spark, sf).select("set_name", F.when(F.col("price_cents") % 13 > 0, F.when(F.col("price_cents") % 7 == 0, "Other").otherwise(F.col("set_name"))).alias("read"))
-    return rows.agg(F.count_if(F.col("read").isNull()).alias("no_label"), F.count_if(F.col("read") == F.col("set_name")).alias("agreed"), F.count_if(F.col("read") != F.col("set_name")).alias("conflicted"))
-
-
 @query("a_parser_delta", f"{W}, b AS (SELECT count(card_key) AS keyed, count(DISTINCT card_key) AS groups FROM flat), a AS (SELECT count(card_key) AS keyed, count(DISTINCT card_key) AS groups FROM flat WHERE price_cents % 4 > 0) SELECT b.keyed - a.keyed AS keyed_delta, b.groups - a.groups AS groups_delta, CASE WHEN b.keyed > a.keyed THEN 'better' WHEN b.keyed < a.keyed THEN 'worse' ELSE 'same' END AS verdict FROM a, b")
 def a_parser_delta(spark, sf):
     rows = flat(spark, sf)
@@ -164,11 +166,21 @@ def a_learn_names(spark, sf, contexts=3, sightings=8):
     return w.groupBy("name").agg(F.count("*").alias("sightings"), F.count_distinct(F.struct("year", "set_name")).alias("contexts")).where((F.col("contexts") >= contexts) & (F.col("sightings") >= sightings))
 
 
-@query("a_learn_inserts", f"{W} SELECT parallel AS phrase, count(*) AS seen, count(DISTINCT player) AS names FROM flat WHERE parallel IS NOT NULL GROUP BY 1 HAVING count(*) >= 6 AND count(DISTINCT player) >= 4")
+@query("a_learn_inserts", f"""{W} SELECT 'genies' AS phrase, count(*) AS sightings, 2 AS contexts, count(DISTINCT player) AS players FROM flat WHERE set_name = 'Brand1' AND split_part(item_id, '-', 2)::INT < 4
+  UNION ALL SELECT phrase, count(*), 1, count(DISTINCT player) FROM flat, (VALUES ('downtown'), ('kings'), ('downtown kings')) v(phrase) WHERE set_name = 'Brand2' AND split_part(item_id, '-', 1)::INT % 2 = 0 GROUP BY phrase""")
 def a_learn_inserts(spark, sf):
-    seen = flat(spark, sf).select("item_id", F.concat_ws(" ", "year", "parallel", "player").alias("title"), "player").select("player", F.regexp_extract("title", r"^\d+ (\S+)", 1).alias("phrase"))
-    known = table(spark, sf, "part").select(F.col("p_name").alias("phrase")).distinct()
-    return seen.join(known, "phrase", "left_anti").groupBy("phrase").agg(F.count("*").alias("seen"), F.count_distinct("player").alias("names")).where("seen >= 6 and names >= 4")
+    """Titles of two seasons: one insert in both of a product, one in a season, one that many products share, one beside a
+    single player."""
+    f = flat(spark, sf)
+    order, line = F.split("item_id", "-")[0].cast("int"), F.split("item_id", "-")[1].cast("int")
+    insert = (
+        F.when((F.col("set_name") == "Brand1") & (line < 4), "Genies").when((F.col("set_name") == "Brand2") & (order % 2 == 0), "Downtown Kings")
+        .when(F.col("set_name").isin("Brand3", "Brand4"), "Everywhere").when((F.col("set_name") == "Brand5") & (F.col("player") == "small ring"), "Kaboom")
+    )
+    title = F.concat_ws(" card ", "set_name", insert, "player")
+    titles = f.select("item_id", "set_name", (2020 + order % 2).alias("year"), title.alias("title"))
+    names = table(spark, sf, "part").select(F.lower("p_name").alias("name")).distinct()
+    return learned_inserts(titles, names, ["brand"], ["card", "cards", "free", "mint"]).select("phrase", "sightings", "contexts", "players")
 
 
 @query("a_facet_harvest", "SELECT event_type AS aspect, json_extract_string(props, '$.k') AS value, max(user_id) AS n FROM events GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from saleglass.functions import stats
 from saleglass.operators import catalogue as cat
+from saleglass.operators.readings import FIELDS, reconcile, second_players, word_windows
 from saleglass.registry import query
 from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, RUNS_SQL, SERIES_SQL, cards, checklist, flat, runs, sales, segments, table
 
@@ -145,41 +146,72 @@ def j_checklist_known_sales(spark, sf):
     return checklist(spark, sf).select("card_key").join(flat(spark, sf).select("card_key"), "card_key").groupBy("card_key").agg(F.count("*").alias("sales"))
 
 
-def word_windows(text, sizes):
-    """All runs of ``sizes`` words of a lower-cased text, once each."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
-    runs_ = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in sizes]
-    return F.array_distinct(F.concat(*runs_))
-
-
 @query("j_roster_contains", f"{W} SELECT item_id, player AS name FROM flat")
 def j_roster_contains(spark, sf):
     names = table(spark, sf, "part").select(F.lower("p_name").alias("name")).distinct()
     return flat(spark, sf).select("item_id", F.explode(word_windows(F.col("title"), (2, 3))).alias("name")).join(names, "name").select("item_id", "name")
 
 
-@query("j_second_player", f"{W}, p AS (SELECT DISTINCT lower(p_name) AS name FROM part) SELECT item_id, least(a, b) || ' / ' || greatest(a, b) AS players FROM (SELECT item_id, player AS a, (SELECT min(name) FROM p WHERE name > 'old') AS b FROM flat) WHERE a <> b")
+#: What stands behind the first player, by turns: known names, one too short, one unknown, none.
+SECOND_SAID = ("& Small Ring", "and LARGE WIDGET", "/ old rod", "& nobody here", "rookie", "with new plate & cold anvil", "x hot gizmo")
+SECOND_SQL = """x AS (SELECT key, player, unnest(CASE turn % 7 WHEN 0 THEN ['small ring'] WHEN 1 THEN ['large widget'] WHEN 5 THEN ['new plate', 'cold anvil'] WHEN 6 THEN ['hot gizmo'] ELSE [] END) AS name FROM said),
+  y AS (SELECT DISTINCT key, player, name FROM x WHERE name <> player AND name IN (SELECT lower(p_name) FROM part) UNION SELECT key, player, player FROM x WHERE name <> player AND name IN (SELECT lower(p_name) FROM part))"""
+
+
+@query("j_second_player", f"""{W}, said AS (SELECT item_id AS key, player, split_part(item_id, '-', 1)::INT AS turn FROM flat), {SECOND_SQL}
+  SELECT key AS item_id, string_agg(name, ' / ' ORDER BY name) AS players FROM y GROUP BY key""")
 def j_second_player(spark, sf):
     names = table(spark, sf, "part").select(F.lower("p_name").alias("name")).distinct()
-    other = names.where("name > 'old'").agg(F.min("name").alias("other"))
-    titles = flat(spark, sf).select("item_id", "player", "title").crossJoin(other).select("item_id", "player", F.concat_ws(" & ", "title", "other").alias("title"))  # one row
-    hits = titles.select("item_id", F.explode(word_windows(F.col("title"), (2,))).alias("name")).join(names, "name")
-    both = hits.groupBy("item_id").agg(F.array_sort(F.collect_set("name")).alias("n"))  # names of one title
-    return both.where(F.size("n") > 1).select("item_id", F.array_join("n", " / ").alias("players"))
+    turn = F.split("item_id", "-")[0].cast("int") % len(SECOND_SAID) + 1
+    title = F.concat_ws(" ", "title", F.element_at(F.array(*map(F.lit, SECOND_SAID)), turn.cast("int")))
+    return second_players(flat(spark, sf).select("item_id", "player", title.alias("title")), names, "item_id")
+
+
+#: Readings of photos by rule: which fields they say otherwise, leave out or add.
+READ_SQL = """rd AS (SELECT *, price_cents % 19 > 1 AS heard, price_cents % 11 = 0 AS y, price_cents % 7 = 0 AS s, price_cents % 13 = 0 AS p, price_cents % 17 = 0 AS g FROM flat),
+  re AS (SELECT *, CASE WHEN heard THEN (NOT y)::INT + (NOT s)::INT + (NOT p)::INT + (card_number IS NOT NULL)::INT + (grader IS NOT NULL AND NOT g)::INT + (grade IS NOT NULL)::INT ELSE 0 END AS agreements,
+    CASE WHEN heard THEN y::INT + s::INT + p::INT ELSE 0 END AS disagreements, CASE WHEN heard THEN (card_number IS NULL)::INT + (grade IS NULL AND price_cents % 3 = 0)::INT ELSE 0 END AS blanks FROM rd),
+  rc AS (SELECT *, CASE WHEN agreements > 0 THEN greatest(confidence, round(least(1.0, confidence + 0.05 * agreements), 2)) ELSE confidence END AS up FROM re)"""
+
+
+def photo_readings(spark, sf):
+    """What photos say: shouted sets, longer names, some other values, some blanks; some show no label, some are gone."""
+    c, cents = F.col, F.col("price_cents")
+    return flat(spark, sf).where(cents % 19 != 0).select(
+        "item_id",
+        F.when(cents % 11 == 0, c("year") + 1).otherwise(c("year")).alias("year"),
+        F.when(cents % 7 == 0, "Other").otherwise(F.upper("set_name")).alias("set_name"),
+        F.when(cents % 13 == 0, "somebody else").when(cents % 13 == 1, F.concat(F.lit("The "), "player")).otherwise(c("player")).alias("player"),
+        F.coalesce("card_number", F.lit("77")).alias("card_number"),
+        F.when(cents % 17 != 0, c("grader")).alias("grader"),
+        F.coalesce("grade", F.when(cents % 3 == 0, 8.0)).alias("grade"),
+        F.when(cents % 19 == 1, 0.0).otherwise(0.9).alias("confidence"),
+    )
+
+
+def reconciled(spark, sf):
+    return reconcile(flat(spark, sf).select("item_id", *FIELDS, "confidence"), photo_readings(spark, sf))
+
+
+@query("j_reconcile_readings", f"""{W}, {READ_SQL} SELECT item_id,
+  CASE WHEN heard THEN concat_ws(',', CASE WHEN NOT y THEN 'year' END, CASE WHEN NOT s THEN 'set_name' END, CASE WHEN NOT p THEN 'player' END, CASE WHEN card_number IS NOT NULL THEN 'card_number' END, CASE WHEN grader IS NOT NULL AND NOT g THEN 'grader' END, CASE WHEN grade IS NOT NULL THEN 'grade' END) ELSE '' END AS agreed,
+  CASE WHEN heard THEN concat_ws(',', CASE WHEN y THEN 'year' END, CASE WHEN s THEN 'set_name' END, CASE WHEN p THEN 'player' END) ELSE '' END AS conflicts,
+  CASE WHEN heard THEN concat_ws(',', CASE WHEN card_number IS NULL THEN 'card_number' END, CASE WHEN grade IS NULL AND price_cents % 3 = 0 THEN 'grade' END) ELSE '' END AS filled,
+  CASE WHEN heard AND p THEN 'somebody else' ELSE player END AS player, year, CASE WHEN heard THEN coalesce(card_number, '77') ELSE card_number END AS card_number,
+  CASE WHEN heard AND price_cents % 3 = 0 THEN coalesce(grade, 8.0) ELSE grade END AS grade,
+  CASE WHEN disagreements > 0 THEN round(greatest(0.1, up - 0.15), 2) ELSE up END AS confidence FROM rc""")
+def j_reconcile_readings(spark, sf):
+    lists = [F.array_join(c, ",").alias(c) for c in ("agreed", "conflicts", "filled")]
+    return reconciled(spark, sf).select("item_id", *lists, "player", "year", "card_number", "grade", "confidence")
 
 
-@query("j_reconcile_readings", f"""{W} SELECT item_id, (a_set = set_name)::INT + (a_year = year)::INT AS agreed, (a_set <> set_name)::INT + (a_year <> year)::INT AS conflicts,
-  CASE WHEN a_set <> set_name OR a_year <> year THEN greatest(0.1, round(confidence - 0.15, 3)) ELSE least(1.0, round(confidence + 0.05 * ((a_set = set_name)::INT + (a_year = year)::INT), 3)) END AS confidence
-  FROM (SELECT *, CASE WHEN price_cents % 7 = 0 THEN 'Other' ELSE set_name END AS a_set, CASE WHEN price_cents % 11 = 0 THEN year + 1 ELSE year END AS a_year FROM flat)""")
-def j_reconcile_readings(spark, sf):
-    rows = flat(spark, sf)
-    reading = rows.select("item_id", F.when(F.col("price_cents") % 7 == 0, "Other").otherwise(F.col("set_name")).alias("a_set"), F.when(F.col("price_cents") % 11 == 0, F.col("year") + 1).otherwise(F.col("year")).alias("a_year"))
-    both = rows.select("item_id", "set_name", "year", "confidence").join(reading, "item_id", "left")
-    fields = [("a_set", "set_name"), ("a_year", "year")]
-    agreed = sum(((F.col(a) == F.col(b)).cast("int") for a, b in fields), F.lit(0))
-    conflicts = sum(((F.col(a) != F.col(b)).cast("int") for a, b in fields), F.lit(0))
-    up = F.least(F.lit(1.0), F.round(F.col("confidence") + 0.05 * agreed, 3))
-    return both.select("item_id", agreed.alias("agreed"), conflicts.alias("conflicts"), F.when(conflicts > 0, F.greatest(F.lit(0.1), F.round(F.col("confidence") - 0.15, 3))).otherwise(up).alias("confidence"))
+@query("a_photo_agreement", f"""{W}, {READ_SQL} SELECT count(*) FILTER (WHERE heard) AS read, count(*) FILTER (WHERE price_cents % 19 = 1) AS no_label, count(*) FILTER (WHERE price_cents % 19 = 0) AS failed,
+  count(*) FILTER (WHERE agreements > 0) AS agreed, count(*) FILTER (WHERE blanks > 0) AS filled, count(*) FILTER (WHERE disagreements > 0) AS conflicted FROM rc""")
+def a_photo_agreement(spark, sf):
+    return reconciled(spark, sf).agg(
+        *(F.count_if(F.col("outcome") == o).alias(o.replace(" ", "_")) for o in ("read", "no label", "failed")),
+        *(F.count_if(F.size(c) > 0).alias(name) for c, name in (("agreed", "agreed"), ("filled", "filled"), ("conflicts", "conflicted"))),
+    )
 
 
 @query("j_parsed_vs_restored", f"{W} SELECT item_id, CASE WHEN price_cents % 5 = 0 THEN price_cents + 1 ELSE price_cents END AS price_cents FROM flat")
@@ -240,16 +272,26 @@ def b_band_suggestions(spark, sf):
 
 
 @query("b_adaptive_bands", """WITH RECURSIVE v AS (SELECT value FROM events), b AS (
-    SELECT 0 AS depth, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM (VALUES (0.0, 100.0), (100.0, 300.0), (300.0, 600.0)) t(lo, hi)
-    UNION ALL SELECT depth + 1, u.lo, u.hi FROM (SELECT b.*, sqrt(greatest(b.lo, 0.99) * b.hi) AS m FROM b WHERE depth < 3 AND (SELECT count(*) FROM v WHERE value >= b.lo AND value < b.hi) >= 1500) s, LATERAL (SELECT s.lo AS lo, s.m AS hi UNION ALL SELECT s.m, s.hi) u)
-  SELECT depth, round(lo, 4) AS lo, round(hi, 4) AS hi, n, n >= 1500 AS still_capped FROM (SELECT b.*, (SELECT count(*) FROM v WHERE value >= b.lo AND value < b.hi) AS n FROM b) WHERE n < 1500 OR depth = 3""")
+    SELECT 0 AS depth, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM (VALUES (0.0, 100.0), (100.0, 300.0), (300.0, NULL)) t(lo, hi)
+    UNION ALL SELECT depth + 1, u.lo, u.hi FROM (SELECT b.*, round(sqrt(greatest(b.lo, 0.99) * coalesce(b.hi, greatest(b.lo, 0.99) * 100)), 2) AS m FROM b WHERE depth < 3 AND (SELECT count(*) FROM v WHERE value >= b.lo AND (b.hi IS NULL OR value < b.hi)) >= 1500) s, LATERAL (SELECT s.lo AS lo, s.m AS hi UNION ALL SELECT s.m, s.hi) u)
+  SELECT depth, lo, hi, n, n >= 1500 AS still_capped FROM (SELECT b.*, (SELECT count(*) FROM v WHERE value >= b.lo AND (b.hi IS NULL OR value < b.hi)) AS n FROM b) WHERE n < 1500 OR depth = 3""")
 def b_adaptive_bands(spark, sf, threshold=1500, most_depth=3):
-    return adaptive_bands(table(spark, sf, "events").select("value"), [(0.0, 100.0), (100.0, 300.0), (300.0, 600.0)], threshold, most_depth)
+    return adaptive_bands(table(spark, sf, "events").select("value"), [(0.0, 100.0), (100.0, 300.0), (300.0, None)], threshold, most_depth)
+
+
+def halves(lo, hi):
+    """The two halves of a price band at its geometric middle, or at the plain one where they meet; None is an open end."""
+    floor = lo if lo and lo > 0 else 0.99
+    top = hi if hi else floor * 100
+    mid = round((floor * top) ** 0.5, 2)
+    if mid <= floor or mid >= top:
+        mid = round((floor + top) / 2, 2)
+    return (lo, mid), (mid, hi)
 
 
 def adaptive_bands(values, bands, threshold, most_depth):
-    """Split bands of ``threshold`` rows or more at their geometric middle, ``most_depth`` times at most. All sub-bands
-    that can arise are laid out first and counted in one pass; those whose parents weren't all full fall away."""
+    """Split bands of ``threshold`` rows or more in halves, ``most_depth`` times at most. All sub-bands that can arise are
+    laid out first and counted in one pass; those whose parents weren't all full fall away."""
     spark = values.sparkSession
     laid, level = [], [(lo, hi, None) for lo, hi in bands]
     for depth in range(most_depth + 1):
@@ -257,16 +299,14 @@ def adaptive_bands(values, bands, threshold, most_depth):
         for lo, hi, parent in level:
             i = len(laid)
             laid.append((i, parent, depth, lo, hi))
-            floor = max(lo, 0.99)
-            mid = (floor * hi) ** 0.5 if floor < hi else (lo + hi) / 2
-            nxt += [(lo, mid, i), (mid, hi, i)]
+            nxt += [(*half, i) for half in halves(lo, hi)]
         level = nxt
     frame = spark.createDataFrame(laid, "i int, parent int, depth int, lo double, hi double")
-    n = values.join(F.broadcast(frame), (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi"))).groupBy("i").agg(F.count("*").alias("n"))  # a few bands
+    n = values.join(F.broadcast(frame), (F.col("value") >= F.coalesce("lo", F.lit(float("-inf")))) & (F.col("value") < F.coalesce("hi", F.lit(float("inf"))))).groupBy("i").agg(F.count("*").alias("n"))  # a few bands
     counted = frame.join(n, "i", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     alive = counted.withColumn("ok", F.col("parent").isNull())
     for depth in range(1, most_depth + 1):
         up = alive.select(F.col("i").alias("parent"), (F.col("ok") & (F.col("n") >= threshold)).alias("full"))
         alive = alive.join(up, "parent", "left").withColumn("ok", F.when(F.col("depth") == depth, F.coalesce("full", F.lit(False))).otherwise(F.col("ok"))).drop("full")
     leaf = F.col("ok") & ((F.col("n") < threshold) | (F.col("depth") == most_depth))
-    return alive.where(leaf).select("depth", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), "n", (F.col("n") >= threshold).alias("still_capped"))
+    return alive.where(leaf).select("depth", "lo", "hi", "n", (F.col("n") >= threshold).alias("still_capped"))

@@ -139,9 +139,10 @@ def sink_roster(spark, sf):
     return _text(spark, audits.a_learn_names(spark, sf).select("name").distinct(), "roster")
 
 
-@query("sink_inserts_proposal", f"{W} SELECT parallel || '  # seen ' || count(*) || ', beside ' || count(DISTINCT player) || ' names' AS value FROM flat WHERE parallel IS NOT NULL GROUP BY parallel HAVING count(*) >= 6 AND count(DISTINCT player) >= 4")
+@query("sink_inserts_proposal", f"SELECT phrase || '  # seen ' || sightings || ' in ' || contexts || ', beside ' || players || ' names' AS value FROM ({SQL['a_learn_inserts']})")
 def sink_inserts_proposal(spark, sf):
-    return _text(spark, audits.a_learn_inserts(spark, sf).select(F.format_string("%s  # seen %d, beside %d names", "phrase", "seen", "names")), "inserts")
+    line = F.format_string("%s  # seen %d in %d, beside %d names", "phrase", "sightings", "contexts", "players")
+    return _text(spark, audits.a_learn_inserts(spark, sf).select(line), "inserts")
 
 
 def _new_terms(spark, sf, column, least_words=1):

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from saleglass.functions import text as x
 from saleglass.functions import vocabulary as v
+from saleglass.operators.readings import second_players
 from saleglass.operators.titles import Vocabulary, parse_titles
+from saleglass.plans.joins import SECOND_SAID, SECOND_SQL
 from saleglass.plans.text import SPORTS_SAID, TEAMS_SAID, meant, told
 from saleglass.registry import query
 from saleglass.sources.bindings import FLAT_SQL, flat, table
@@ -101,16 +103,15 @@ def t07_subset(spark, sf):
     return parse_titles(rows, Vocabulary(sets=("Donruss",), subsets=("Downtown", "Color Blast", "Blast"))).select("k", "subset")
 
 
-@query(
-    "t12_second_player",
-    """SELECT p_partkey AS k, array_to_string(list_sort(['Joe Doe', array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')]), ' / ') AS players
-       FROM part""",
-)
+@query("t12_second_player", f"""WITH said AS (SELECT p_partkey AS key, p_name AS player, p_partkey AS turn FROM part), {SECOND_SQL}
+  SELECT key AS k, string_agg(name, ' / ' ORDER BY name) AS players FROM y GROUP BY key""")
 def t12_second_player(spark, sf):
-    from saleglass.operators.titles import name_runs
-
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.concat(F.initcap("p_name"), F.lit(" / Joe Doe")).alias("title"))
-    return rows.select("k", F.array_join(F.array_sort(F.array_distinct(name_runs(F.col("title")))), " / ").alias("players"))
+    """Known names beside the first player; the first one is given, so that a name is looked up once a title."""
+    part = table(spark, sf, "part")
+    second = F.element_at(F.array(*map(F.lit, SECOND_SAID)), (F.col("p_partkey") % len(SECOND_SAID) + 1).cast("int"))
+    title = F.concat_ws(" ", F.lit("2020 Prizm"), F.initcap("p_name"), F.lit("#12"), second)
+    rows = part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("player"), title.alias("title"))
+    return second_players(rows, part.select(F.lower("p_name").alias("name")).distinct(), "k")
 
 
 @query("t14_sport", f"{W} SELECT item_id, {meant(SPORTS_SAID, 'o')} AS sport FROM k")

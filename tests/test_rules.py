@@ -150,3 +150,55 @@ def test_flagship(spark):
 
     assert entry.entry(spark).count() == 50
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ranks_of_groups_equal_sorted_lists(spark):
+    import random
+
+    from saleglass.operators import ranks
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, -5, 0, 7, rng.randrange(200_000)])) for k in ["a"] * 400 + ["b"] * 7 + [None] * 30]
+    rows += [("c", None), ("d", 9)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    picks = {"lower": ranks.LOWER_MIDDLE, "upper": ranks.UPPER_MIDDLE, "p90": ranks.nearest(0.9), "p10": ranks.floored(0.1)}
+    got = {r.k: r for r in ranks.profile(df, ["k"], "v", picks).collect()}
+    assert set(got) == {"a", "b", "c", "d", None}
+    for k, r in got.items():
+        held = sorted(v for g, v in rows if g == k and v is not None)
+        n = len(held)
+        assert (r.rows, r.valued, r.total) == (sum(g == k for g, _ in rows), n, sum(held) if n else None)
+        want = [held[i] for i in ((n - 1) // 2, n // 2, round((n - 1) * 0.9), int((n - 1) * 0.1))] if n else [None] * 4
+        assert [r.lower, r.upper, r.p90, r.p10] == want
+    assert ranks.profile(df.where("false"), ["k"], "v", picks).count() == 0
+    nothing = ranks.profile(df.where("false"), [], "v", picks).collect()
+    assert len(nothing) == 1 and nothing[0].lower is None
+
+
+def test_runs_of_words(spark):
+    from saleglass.operators.readings import word_windows
+
+    rows = spark.createDataFrame([("Joe A. Doe jr",), ("one",), ("",), (None,)], "t string")
+    got = [sorted(r[0]) if r[0] is not None else None for r in rows.select(word_windows(rows.t, (2, 3))).collect()]
+    assert got == [["a doe", "a doe jr", "doe jr", "joe a", "joe a doe"], [], [], None]
+
+
+def test_reconcile_follows_both_confidence_rules(spark):
+    from saleglass.operators.readings import reconcile
+
+    schema = "item_id int, year int, set_name string, player string, card_number string, grader string, grade double, confidence double"
+    titles = spark.createDataFrame([(1, 2020, "Prizm", "Downtown Joe Doe", None, "PSA", 10.0, 0.9), (2, 2020, "Prizm", "Joe Doe", "7", None, None, 0.2), (3, 2020, "Prizm", "Joe Doe", "7", None, None, 0.5)], schema)
+    photos = spark.createDataFrame([(1, 2021, "PRIZM", "Joe Doe", "9", "psa", 10.0, 0.8), (2, 2021, "", "Al Roe", "#7", None, None, 0.8), (3, 1999, "x", "y", "z", "w", 1.0, 0.0)], schema)
+    a, b, c = reconcile(titles, photos).orderBy("item_id").collect()
+    assert (a.agreed, a.filled, a.conflicts, a.card_number, a.year) == (["set_name", "player", "grader", "grade"], ["card_number"], ["year"], "9", 2020)
+    assert (a.player, a.confidence) == ("Downtown Joe Doe", 0.85)
+    assert (b.agreed, b.conflicts, b.player, b.confidence) == (["card_number"], ["year", "player"], "Al Roe", 0.1)
+    assert (c.outcome, c.confidence, c.year) == ("no label", 0.5, 2020)
+
+
+def test_open_bands_split_at_a_hundred_times_their_floor():
+    from saleglass.plans.joins import halves
+
+    assert halves(300.0, None) == ((300.0, 3000.0), (3000.0, None))
+    assert halves(0.0, 100.0) == ((0.0, 9.95), (9.95, 100.0))
+    assert halves(1.0, 1.01) == ((1.0, 1.0), (1.0, 1.01))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from saleglass.llm.alignment import find
 from saleglass.llm.common import documents, slices
@@ -185,14 +186,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_c
     """Leaks of benchmark items (item_id, text) into ``docs``.
 
     Returns id, item_id, n_edits, n_item_words, first_word, end_word: one row for each row of ``docs`` and item that
-    leaks, for the nearest part. Items without words (null, empty) leak nowhere, null and empty texts hold no leak.
+    leaks, for the nearest part. Ids are of any type; rows that repeat an item's id with another text are items of their
+    own. Items without words (null, empty) leak nowhere, null and empty texts hold no leak.
     Repeated rows are reported again, an empty table gives no rows. Other columns are ignored.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id {item_kind}, n_edits int, n_item_words int, first_word int, end_word int"
     out = None
     for shared in item_blocks(benchmark):
-        part = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_runner(shared, least), schema)
+        part = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_runner(shared, least, to_arrow_type(benchmark.schema["item_id"].dataType)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -225,14 +227,14 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, t
     return docs
 
 
-def _runner(shared, least: float):
+def _runner(shared, least: float, item_kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, least)
-        n_words = {i: len(w) for i, w in shared.value}
+        ids, patterns = zip(*shared.value, strict=True) if shared.value else ((), ())
+        index = Index(list(enumerate(patterns)), least)  # items by place, as ids may repeat
         for batch in batches:
-            found = [(t, item, d, n_words[item], lo, hi) for t, item, d, lo, hi in index.leaks(batch.column(1).to_pylist())]
+            found = [(t, ids[i], d, len(patterns[i]), lo, hi) for t, i, d, lo, hi in index.leaks(batch.column(1).to_pylist())]
             text, item, *numbers = zip(*found, strict=True) if found else ((),) * 6
-            columns = [batch.column(0).take(pa.array(text, pa.int64())), pa.array(item, pa.int64()), *(pa.array(x, pa.int32()) for x in numbers)]
+            columns = [batch.column(0).take(pa.array(text, pa.int64())), pa.array(item, item_kind), *(pa.array(x, pa.int32()) for x in numbers)]
             yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], "item_id", "n_edits", "n_item_words", "first_word", "end_word"])
 
     return run

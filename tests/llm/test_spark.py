@@ -239,6 +239,14 @@ def test_leaks(docs, spark):
     assert decontamination.find_leaks(empty(docs), benchmark).count() == 0
 
 
+def test_leaks_of_items_with_text_ids_that_repeat(docs, spark):
+    words = BASE.split()
+    rows = [("x", " ".join(words[20:60])), ("x", " ".join(words[60:90])), (None, " ".join(words[90:120])), ("y", prose(30))]
+    out = decontamination.find_leaks(docs.where("doc_id = 0"), spark.createDataFrame(rows, "item_id string, text string")).collect()
+    found = {(r["item_id"], r["n_item_words"], r["first_word"], r["end_word"]) for r in out}
+    assert found == {("x", 40, 20, 60), ("x", 30, 60, 90), (None, 30, 90, 120)}
+
+
 def test_licenses(docs, spark):
     one = spark.createDataFrame([(1, prose(50) + " Licensed under the Apache License, Version 2.0. " + prose(9), 5)], "doc_id long, text string, license int")
     assert [(r["license"], r["coverage"], r["first_word"]) for r in licenses.scan_licenses(one).collect()] == [("Apache-2.0-notice", 1.0, 50)]

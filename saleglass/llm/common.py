@@ -16,11 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of this machine serves a
+    local master; elsewhere executors would write to disks of their own, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.conf.get("spark.saleglass.shared", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="saleglass-")
             spark.conf.set("spark.saleglass.shared", base)
     own = f"{base.rstrip('/')}/saleglass-{spark.sparkContext.applicationId}"

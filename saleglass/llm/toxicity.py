@@ -294,8 +294,8 @@ def held_out(id_col: str):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Network:
     """Train on at most ``rows`` documents of each label that are not held out and have at most ``chars`` characters,
-    the first in the order of a hash of their id. Null labels and texts without a word teach nothing."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    the first in the order of a hash of their id. A document with several labels counts as toxic if one says so. Null labels and texts without a word teach nothing."""
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = docs.select("doc_id", F.length("text").alias("n")).where(F.col("n").between(1, chars)).join(known, "doc_id")
     sizes = sizes.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
     chosen = [sizes.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(rows) for label in (0, 1)]

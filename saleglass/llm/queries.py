@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from saleglass.llm import decontamination, html_main, licenses, mixing, near_dedup, quality, sharding, suffix_dedup, token_output, toxicity
+from saleglass.llm import decontamination, html_main, licenses, mixing, near_dedup, quality, sharding, suffix_dedup, token_output, top_search, toxicity
 from saleglass.llm.common import ship
 
 _RUN = {
@@ -16,6 +16,7 @@ _RUN = {
     "op8_token_output": token_output.op8_token_output,
     "op9_html_extraction": html_main.op9_html_extraction,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op13_top_search": top_search.op13_top_search,
 }
 
 
@@ -31,4 +32,5 @@ QUERIES = {name: _shipped(run) for name, run in _RUN.items()}
 
 SQL = {
     "op4_mixing": mixing.OP4_SQL,
+    "op13_top_search": top_search.OP13_SQL,
 }

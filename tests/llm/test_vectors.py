@@ -1,12 +1,16 @@
 """Operators on embeddings and on drawn documents: brute force, nulls, ties, repeated rows, clashing names, no rows."""
 
+import hashlib
 import math
+import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from saleglass.llm import common, top_search
+from saleglass.llm import common, importance, top_search
 
 ROWS = 230
 
@@ -76,3 +80,46 @@ def test_top_matches_of_odd_rows(vectors):
         assert Counter(map(tuple, out.collect())) == want
     assert top_search.top_matches(vectors.limit(0), 7, 64).count() == 0
     assert top_search.top_matches(vectors.where("vec_id = 20"), 7, 64).count() == 0
+
+
+def features_of(text, n):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return words, [zlib.crc32(" ".join(words[i : i + k]).encode()) % 500 for k in range(1, n + 1) for i in range(len(words) - k + 1)]
+
+
+def resampled(rows, target, n, percent):
+    held, goal = Counter(), Counter()
+    for _, t in rows:
+        held.update(features_of(t, n)[1])
+    for t in target:
+        goal.update(features_of(t, n)[1])
+    gain = {b: math.floor(1000 * math.log((goal[b] + 1) * (held.total() + 500) / ((held[b] + 1) * (goal.total() + 500)))) for b in held}
+    out = []
+    for i, t in rows:
+        words, f = features_of(t, n)
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        out.append((i, len(words), len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((r for r in out if r[1] >= 20), key=lambda r: (-r[4], math.inf if r[0] is None else r[0], r[3], r[2], r[1]))
+    drawn = len(able) * percent // 100
+    rest = [(*r, None) for r in out if r[1] < 20]
+    return Counter([(*r, k if k <= drawn else None) for k, r in enumerate(able, 1)] + rest)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_resampling_equals_brute_force(spark, monkeypatch, n):
+    monkeypatch.setattr(importance, "COUNTED", 50)  # the head is thinned all the time
+    monkeypatch.setattr(importance, "HEAD", 9)
+    r = random.Random(n)
+    words = ["The", "THE", "É", "ça", "x1", "don't", "a-b", "", "\t", "日本", "w" * 100, *map(str, range(40))]
+    rows = [(i, " ".join(r.choices(words, k=r.choice([3, 19, 20, 30, 90])))) for i in range(90)]
+    rows += [(7, rows[7][1])] * 30 + [(8, "20 words " * 10)] + [(200, None), (201, ""), (202, " .,\n"), (None, "one two " * 15), (203, "long text " * 40_000)]
+    target = [" ".join(r.choices(words, k=30)) for _ in range(5)] + [None, "", target_copy := "the ça the"] + [target_copy]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, score int, range int, n int").repartition(6)
+    goal = spark.createDataFrame([(t, 1) for t in target], "text string, weight int")
+    out = importance.resample(docs, goal, 30, n=n, buckets=500)
+    assert out.columns == ["doc_id", "n_words", "n_features", "weight", "score", "rank"]
+    assert Counter(map(tuple, out.collect())) == resampled(rows, target, n, 30)
+    assert importance.resample(docs.limit(0), goal, 30, n=n, buckets=500).count() == 0
+    alone = importance.resample(docs, goal.limit(0), 30, n=n, buckets=500).collect()
+    assert Counter(map(tuple, alone)) == resampled(rows, [], n, 30)

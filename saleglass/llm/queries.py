@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from saleglass.llm import decontamination, html_main, importance, licenses, mixing, near_dedup, quality, sharding, suffix_dedup, token_output, top_search, toxicity
+from saleglass.llm import decontamination, html_main, importance, licenses, mixing, near_dedup, quality, sharding, suffix_dedup, token_output, top_search, toxicity, vector_codes
 from saleglass.llm.common import ship
 
 _RUN = {
@@ -16,6 +16,7 @@ _RUN = {
     "op8_token_output": token_output.op8_token_output,
     "op9_html_extraction": html_main.op9_html_extraction,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_importance": importance.op12_importance,
     "op13_top_search": top_search.op13_top_search,
 }
@@ -33,6 +34,7 @@ QUERIES = {name: _shipped(run) for name, run in _RUN.items()}
 
 SQL = {
     "op4_mixing": mixing.OP4_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
     "op12_importance": importance.OP12_SQL,
     "op13_top_search": top_search.OP13_SQL,
 }

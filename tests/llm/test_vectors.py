@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from saleglass.llm import common, importance, top_search
+from saleglass.llm import common, importance, top_search, vector_codes
 
 ROWS = 230
 
@@ -123,3 +123,77 @@ def test_resampling_equals_brute_force(spark, monkeypatch, n):
     assert importance.resample(docs.limit(0), goal, 30, n=n, buckets=500).count() == 0
     alone = importance.resample(docs, goal.limit(0), 30, n=n, buckets=500).collect()
     assert Counter(map(tuple, alone)) == resampled(rows, [], n, 30)
+
+
+def lloyd(rows, parts, entries, rounds):
+    """Codes, errors and codebooks of (id, vector) rows, by comparing everything with everything in Python's numbers."""
+    longest = -(-max(len(v) for _, v in rows) // parts) * parts
+    width = longest // parts
+    cut = [[(v + [0] * (longest - len(v)))[p * width : (p + 1) * width] for p in range(parts)] for _, v in rows]
+    first = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1]))[:entries]
+    books = [[cut[i][p] for i in first] for p in range(parts)]
+
+    def assigned():
+        return [[min((sum((a - b) ** 2 for a, b in zip(c[p], e, strict=True)), j) for j, e in enumerate(books[p])) for p in range(parts)] for c in cut]
+
+    for _ in range(rounds):
+        near = assigned()
+        for p in range(parts):
+            for j in range(len(first)):
+                own = [c[p] for c, n in zip(cut, near, strict=True) if n[p][1] == j]
+                books[p][j] = [sum(x) // len(own) for x in zip(*own, strict=True)] if own else books[p][j]
+    near = assigned()
+    flat = ",".join(str(x) for p in books for e in p for x in e)
+    return ["".join(f"{j:02x}" for _, j in n) for n in near], [sum(d for d, _ in n) for n in near], hashlib.sha256(flat.encode()).hexdigest()
+
+
+def test_trees_settle_every_point_as_brute_force_does():
+    rng = np.random.default_rng(2)
+    for case in range(40):
+        width, n, k = (int(rng.integers(1, top)) for top in (9, 1500, 17))
+        most = [2, 50, 3000, 2**27][case % 4]
+        x = rng.integers(-most, most + 1, (n, width))
+        if case % 3 == 0:
+            x[rng.random(n) < 0.5] = x[0]
+        entries = x[rng.integers(0, n, k)] if case % 2 else rng.integers(-most, most + 1, (k, width))
+        want = vector_codes.squares(x, entries).argmin(1)
+        (_, points, inverse, counts), = vector_codes._parts(x, 1)
+        tree = vector_codes.cover_tree(points, counts)
+        assert (vector_codes.nearest(tree, entries)[inverse] == want).all()
+        total, right = (np.zeros((k, width + 1), np.int64) for _ in range(2))
+        again = vector_codes._loaded(vector_codes._stored(0, tree))
+        for at, best in vector_codes.descend(again, entries):
+            np.add.at(total, best, np.c_[again.sums[at], again.counts[at]])
+        np.add.at(right, want, np.c_[x, np.ones(n, np.int64)])
+        assert (total == right).all()
+
+
+def test_whole_subtrees_are_settled_at_once():
+    rng = np.random.default_rng(3)
+    middles = rng.integers(-9000, 9000, (16, 8))
+    x = np.unique(middles[rng.integers(0, 16, 4000)] + rng.integers(-60, 60, (4000, 8)), axis=0)
+    tree = vector_codes.cover_tree(x, np.ones(len(x), np.int64))
+    assert sum(len(at) for at, _ in vector_codes.descend(tree, middles)) < len(x) / 20
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_vector_codes_of_odd_rows(vectors, hot, monkeypatch):
+    monkeypatch.setattr(vector_codes.with_group_total, "__defaults__", (hot,))
+    monkeypatch.setattr(vector_codes, "TREE_ROWS", 64)
+    rows = whole(vectors.where("vec_id is null or vec_id <> 1120").collect(), 4096, vector_codes.LIMIT)
+    codes, errors, said = lloyd([(i, v) for i, v, _ in rows], 8, 16, 3)
+    of_label = Counter()
+    for (_, _, label), e in zip(rows, errors, strict=True):
+        of_label[label] += e
+    want = Counter((i, label, c, e, of_label[label], said) for (i, _, label), c, e in zip(rows, codes, errors, strict=True))
+    out = vector_codes.encode(vectors.where("vec_id is null or vec_id <> 1120"), rounds=3)
+    assert out.columns == ["vec_id", "label", "code", "error", "label_error", "codebooks_sha256"]
+    assert Counter(map(tuple, out.collect())) == want
+
+
+def test_vector_codes_of_few_or_no_rows(vectors):
+    assert vector_codes.encode(vectors.limit(0)).count() == 0
+    few = vector_codes.encode(vectors.where("vec_id in (3, 5)")).collect()
+    assert sorted((r["vec_id"], r["code"], r["error"]) for r in few) == [(3, "00" * 8, 0), (5, "01" * 8, 0)]
+    assert [(r["code"], r["error"]) for r in vector_codes.encode(vectors.where("vec_id = 1080")).collect()] == [("00" * 8, 0)]
+    assert vector_codes.encode(vectors.where("vec_id = 1120")).first()["error"] == 0  # far beyond the bounds

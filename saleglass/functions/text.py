@@ -21,10 +21,14 @@ def ascii_fold(c: str | Column) -> Column:
     return F.regexp_replace(F.translate(_col(c), "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED)), r"[^\x00-\x7F]", "")
 
 
+def folded_words(c: str | Column) -> Column:
+    """Words of a name without marks and suffixes, in lower case."""
+    return F.regexp_replace(F.regexp_replace(F.lower(ascii_fold(c)), "[^a-z0-9]+", " "), r"\b(jr|sr|ii|iii|iv|v)\b", " ")
+
+
 def folded_person(c: str | Column) -> Column:
     """One token for all spellings of a name."""
-    x = F.regexp_replace(F.lower(ascii_fold(c)), "[^a-z0-9]+", " ")
-    return F.regexp_replace(F.regexp_replace(x, r"\b(jr|sr|ii|iii|iv|v)\b", " "), " ", "")
+    return F.replace(folded_words(c), F.lit(" "), F.lit(""))
 
 
 def slug(c: str | Column) -> Column:

@@ -1,125 +1,257 @@
 """Listing titles to attributes: a chain of claims over a work column, all in one projection.
 
 Each stage takes its match out of the work column (blanks of the same length stay), so later stages can't read it again.
-Vocabularies are short lists from the data's metadata; they become alternations, longest first.
+Vocabularies are lists of words; they become patterns in which words share their beginnings. Known players come as a table
+(see ``roster``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleglass.functions.text import number_tail
-from saleglass.functions.vocabulary import any_of
+from saleglass.functions import vocabulary as v
+from saleglass.functions.text import folded_person, folded_words, number_tail
+from saleglass.operators.roster import LEAST, with_known
 
-# Graders, words of flags and lots, words that aren't names.
+# Graders, words of flags and lots, words behind a "#" that make it no card number.
 GRADERS = "PSA BGS BVG SGC CGC CSG HGA TAG ISA BECKETT".split()
-ROOKIE, AUTO, RELIC = r"(?i)\b(rc|rookie)\b", r"(?i)\b(auto|autograph(ed)?|signed)\b", r"(?i)\b(patch|relic|jersey|memorabilia|swatch)\b"
-LOT = r"(?i)\b(lot of \d+|\d+ card lot|pick your|team set|complete set)\b"
-NOISE = "the and card cards mint gem free shipping rare invest ssp sp lot of".split()
-#: Words behind a "#" that are no card number.
+ROOKIE = r"(?i)\b(RC|RY|ROOKIE|ROOKIE\s+CARD|1ST\s+YEAR)\b"
+AUTO = r"(?i)\b(AUTO(?:GRAPH(?:ED)?)?|SIGNED|ON[-\s]CARD)\b"
+RELIC = r"(?i)\b(PATCH|RELIC|JERSEY|RPA|MEM(?:ORABILIA)?|SWATCH|GLOVE|THREADS|GAME[-\s]?WORN|GAME[-\s]?USED|WORN)\b"
+LOT = (
+    r"(?i)\b(?:pick\s+your|you\s+pick|complete\s+your|choose\s+your|your\s+choice|build\s+your|lot\s+of\s+\(?\s*(?:\d+|cards?)"
+    r"|\(?\s*\d+\s*\)?\s*-?\s*cards?(?:\s+[a-z&']+){0,3}\s+lot|cards?\s+lot|rookie\s+lot|player\s+lot|mixed\s+lot|investor\s+lot"
+    r"|complete\s+(?:factory\s+|team\s+)?set|factory\s+set|team\s+set|set\s+of\s+\(?\s*\d+|\(?\s*\d+\s*\)?\s*-?\s*cards?\s+set)\b"
+)
+PLACE = r"(?:overall|draft\s+pick(?!s)|pick(?!s)|ranked|rank|seed|prospect)"
 NOT_A_NUMBER = "psa bgs sgc cgc csg hga tag isa rc ssp mint gem hot rare auto lot nfl psa10 new".split()
-SUFFIXES = "jr sr ii iii iv v".split()
+
+_NO = "|".join(NOT_A_NUMBER)
+NUMBER = rf"(?i)#\s?([A-Z]{{0,4}}-?\d{{1,4}}(?:-?[A-Z]{{1,3}})*)(?:-(\d{{1,4}}))?\b(?!/)(?!\s+{PLACE}\b)"
+WEAKER_NUMBERS = (
+    r"\b([A-Z]{2,4}-\d{1,4})\b",
+    rf"(?i)#\s?(?!(?:{_NO})-|[A-Z]{{1,5}}-(?:{_NO})\b)([A-Z]{{1,5}}-[A-Z]{{1,5}})\b(?!-?\d)",
+    rf"(?i)#\s?(?!(?:{_NO})\b)([A-Z]{{3,6}})\b(?!-?\d)",
+)
+YEAR = r"\b(19[5-9]\d|20[0-4]\d)(?:\s*[-/]\s*\d{2})?\b"
+#: Words that a title without the fragment of a name leaves behind.
+LEFT = r"[A-Za-z][A-Za-z'\-]{2,}"
+
+
+def sells_several(title: Column) -> Column:
+    """Whether a listing sells many cards at one price. Every such phrase holds one of three words, which are looked for first."""
+    low = F.lower(title)
+    return (F.contains(low, F.lit("lot")) | F.contains(low, F.lit("set")) | F.contains(low, F.lit("you"))) & title.rlike(LOT)
 
 
 @dataclass(frozen=True)
 class Vocabulary:
+    """Words of each class. ``inserts`` are part of a card, ``printings`` (learned) are parallels, ``designations`` are noted
+    as its variety. ``set_names`` and ``team_names`` say what a spelling in lower case means, itself where they don't."""
+
     sets: tuple[str, ...] = ()
     parallels: tuple[str, ...] = ()
     teams: tuple[str, ...] = ()
-    subsets: tuple[str, ...] = ()
+    inserts: tuple[str, ...] = ()
+    designations: tuple[str, ...] = ()
+    printings: tuple[str, ...] = ()
     brands: tuple[str, ...] = ()
+    set_names: dict[str, str] = field(default_factory=dict, hash=False)
+    team_names: dict[str, str] = field(default_factory=lambda: v.TEAM_NAMES, hash=False)
+
+    def pattern(self, *kinds: str) -> str | None:
+        words = [w for k in kinds for w in getattr(self, k)]
+        return v.any_of(words) if words else None
+
+    def spelling(self, *kinds: str) -> dict[str, str]:
+        return {w.lower(): w for k in kinds for w in getattr(self, k)}
+
+
+#: Everything that the library knows by itself.
+STANDARD = Vocabulary(
+    sets=(*v.SETS, *v.SET_ALIASES), parallels=v.PARALLELS, teams=tuple(v.TEAM_NAMES), inserts=v.INSERTS, designations=v.DESIGNATIONS, brands=v.BRANDS, set_names=dict(v.SET_ALIASES)
+)
 
-    def pattern(self, kind: str) -> str | None:
-        words = getattr(self, kind)
-        return any_of(words) if words else None
+
+def with_words(vocabulary: Vocabulary, **more: tuple[str, ...]) -> Vocabulary:
+    """``vocabulary`` with more words of some classes."""
+    return replace(vocabulary, **{k: (*getattr(vocabulary, k), *words) for k, words in more.items()})
 
 
 def claim(df: DataFrame, pattern: str | None, where: Column | None = None, **outputs: int) -> DataFrame:
-    """Groups of the first match as columns (null without one), and the match blanked in ``work``; in rows ``where`` only."""
+    """Groups of the first match as columns (null without one), and the match blanked in ``work``; in rows ``where`` only.
+
+    One scan of the title marks its matches; place and text of the first are read off the marks, groups from that text.
+    The marked text stays behind as ``_k`` for the next claim to replace."""
     if pattern is None:
         return df.withColumns({name: F.lit(None).cast("string") for name in outputs})
-    work = F.col("work")
-    at, m = F.regexp_instr(work, F.lit(pattern)), F.regexp_extract(work, pattern, 0)
-    at = at if where is None else F.when(where, at).otherwise(0)
-    found = df.withColumns({"_at": at, "_m": m, **{name: F.when(at > 0, F.nullif(F.regexp_extract(work, pattern, g), F.lit(""))) for name, g in outputs.items()}})
-    blank = F.expr("overlay(work placing repeat(' ', length(_m)) from _at)")
-    return found.withColumn("work", F.when(F.col("_at") > 0, blank).otherwise(work)).drop("_at", "_m")
+    marked = F.regexp_replace("work", pattern, "\x01$0\x02")
+    df = df.withColumn("_k", marked if where is None else F.when(where, marked).otherwise(F.col("work")))
+    at = F.instr("_k", "\x01")
+    m = F.substring_index(F.substring_index("_k", "\x02", 1), "\x01", -1)
+    work = F.when(at > 0, F.overlay("work", F.repeat(F.lit(" "), F.length(m)), at)).otherwise(F.col("work"))
+    found = {name: F.when(at > 0, m if g == 0 else F.nullif(F.regexp_extract(m, pattern, g), F.lit(""))) for name, g in outputs.items()}
+    return df.withColumns({**found, "work": work})
 
 
 def flag(df: DataFrame, name: str, pattern: str) -> DataFrame:
     return claim(df, pattern, _f=0).withColumn(name, F.col("_f").isNotNull().cast("int")).drop("_f")
 
 
+def subsets(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Up to two phrases, each by its class: ``subset`` (an insert), ``_printings``, ``variety`` (designations in alphabetical
+    order); and the flags that the first phrase speaks of, since the flags' own words are gone with it."""
+    kinds = ("inserts", "designations", "printings")
+    pattern = vocabulary.pattern(*kinds)
+    out = claim(claim(df, pattern, _s1=0), pattern, _s2=0)
+    said = F.array(F.col("_s1"), F.col("_s2"))
+
+    def of(kind: str) -> Column:
+        spelling = vocabulary.spelling(kind)
+        return F.array_compact(F.transform(said, lambda s: v.spelled(s, spelling))) if spelling else F.array().cast("array<string>")
+
+    variety = F.array_join(F.array_sort(F.array_distinct(of("designations"))), " ")
+    out = out.withColumns({"subset": F.try_element_at(of("inserts"), F.lit(-1)), "variety": F.nullif(variety, F.lit("")), "_printings": of("printings")})
+    spoken = {"_says_rookie": "(?i)rookie", "_says_relic": RELIC, "_says_auto": AUTO}
+    return out.withColumns({name: F.coalesce(F.col("_s1").rlike(p), F.lit(False)) for name, p in spoken.items()}).drop("_s1", "_s2")
+
+
 def parallels(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Up to three parallels in the vocabulary's spelling, each once, in alphabetical order."""
+    """The printings claimed and up to three parallels in the vocabulary's spelling, each once, in alphabetical order."""
     found, out = ["_p1", "_p2", "_p3"], df
-    for name in found:
-        out = claim(out, vocabulary.pattern("parallels"), **{name: 1})
-    if not vocabulary.parallels:
-        return out.withColumn("parallel", F.lit(None).cast("string")).drop(*found)
-    spelling = F.create_map(*(F.lit(x) for p in sorted({p.lower(): p for p in vocabulary.parallels}.items()) for x in p))
-    each = F.array_compact(F.array(*(F.try_element_at(spelling, F.lower(name)) for name in found)))
-    return out.withColumn("parallel", F.nullif(F.array_join(F.array_sort(F.array_distinct(each)), " "), F.lit(""))).drop(*found)
+    if vocabulary.parallels:
+        for i, name in enumerate(found):
+            out = claim(out, vocabulary.pattern("parallels"), F.col(found[i - 1]).isNotNull() if i else None, **{name: 0})
+        spelling = vocabulary.spelling("parallels")
+        each = F.concat("_printings", F.array_compact(F.array(*(v.spelled(F.col(name), spelling) for name in found))))
+    else:
+        each = F.col("_printings")
+    return out.withColumn("parallel", F.nullif(F.array_join(F.array_sort(F.array_distinct(each)), " "), F.lit(""))).drop("_printings", *found)
 
 
 def name_runs(work: Column) -> Column:
-    """Runs of name-shaped words, as an array of texts."""
-    words = F.filter(F.split(F.regexp_replace(work, r"\s{2,}", " | "), r"\s+"), lambda w: w != "")
-    good = lambda w: w.rlike(r"^[A-Z][A-Za-z'’.\-]*$") & ~F.lower(w).isin(*NOISE)
+    """Runs of name-shaped words, as an array of texts. Noise, numbers and other words end a run; claimed text doesn't."""
+    words = F.filter(F.split(F.regexp_replace(work, r"(?U)[^\w\s'’.\-]", " "), r"(?U)\s+"), lambda w: w != "")
+
+    def good(w: Column) -> Column:
+        bare = F.lower(F.regexp_replace(w, r"^[.,\-'’]+|[.,\-'’]+$", ""))
+        named = w.rlike(r"^[A-Z][A-Za-z'’.\-]*$") | bare.rlike(v.SUFFIX_PATTERN)
+        return named & (bare != "") & ~v.is_noise(bare) & ~bare.rlike(r"^\d+$")
+
     marked = F.array_join(F.transform(words, lambda w: F.when(good(w), w).otherwise("|")), " ")
     return F.filter(F.transform(F.split(marked, r"\|"), lambda r: F.trim(r)), lambda r: r != "")
 
 
-def player(work: Column) -> Column:
-    """The best run: two or three words before four, longer before shorter, then a single word; SHOUTED names are folded."""
-    runs = name_runs(work)
-    scored = F.transform(runs, lambda r, i: F.struct(F.when(F.size(F.split(r, " ")).between(2, 3), 2).when(F.size(F.split(r, " ")) == 4, 1).otherwise(0).alias("kind"), F.length(r).alias("n"), (-i).alias("i"), r.alias("r")))
-    best = F.array_max(scored)["r"]
-    return F.when(best.rlike("[a-z]"), best).otherwise(F.initcap(best))
+def windows(words: Column, size: int, between: str = " ") -> Column:
+    """All runs of ``size`` neighbouring words, as texts."""
+    at = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(size)), between))
 
 
-def parse_titles(df: DataFrame, vocabulary: Vocabulary, title: str = "title") -> DataFrame:
-    """``df`` with grader, grade, card_number, serial, print_run, year, team, set_name, subset, brand, parallel, flags, player,
-    is_lot, confidence and unparsed. A null title gives nulls."""
+def titled(name: Column) -> Column:
+    """Each letter that follows none is a capital, all others are small."""
+    return F.replace(F.initcap(F.regexp_replace(name, "([^A-Za-z])(?=[A-Za-z])", "$1\x01 ")), F.lit("\x01 "), F.lit(""))
+
+
+def shouted(name: Column) -> Column:
+    return name.rlike("[A-Z]") & ~name.rlike("[a-z]")
+
+
+def best_run(runs: Column) -> Column:
+    """Two or three words before four, three before two, then a single word; the first of equals."""
+    def kind(n: Column) -> Column:
+        return F.when(n == 3, 4).when(n == 2, 3).when(n == 4, 2).when(n == 1, 1).otherwise(0)
+
+    scored = F.transform(runs, lambda r, i: F.struct(kind(F.size(F.split(r, " "))).alias("kind"), (-i).alias("i"), r.alias("r")))
+    best = F.array_max(F.filter(scored, lambda s: s["kind"] > 0))["r"]
+    return F.nullif(F.regexp_replace(best, r"^[ .,\-]+|[ .,\-]+$", ""), F.lit(""))
+
+
+def players(df: DataFrame, roster: DataFrame | None) -> DataFrame:
+    """``player`` and ``_known``: a known name of three, then two words in the first run that holds one, else the best run;
+    known names elsewhere in the words left stand beside it, in alphabetical order."""
+    out = df.withColumn("_runs", name_runs(F.col("work")))
+    guess = best_run(F.col("_runs"))
+    if roster is None:
+        return out.withColumns({"player": F.when(shouted(guess), titled(guess)).otherwise(guess), "_known": F.lit(False)}).drop("_runs")
+    each = F.transform("_runs", lambda r: F.concat(windows(F.split(r, " "), 3), windows(F.split(r, " "), 2)))
+    out = out.withColumn("_left", F.filter(F.split(folded_words("work"), " "), lambda w: w != ""))
+    folds = F.concat(*(windows(F.col("_left"), n, "") for n in (2, 3, 4, 5)))
+    out = out.withColumns({"_windows": F.flatten(each), "_folds": F.filter(folds, lambda f: F.length(f) >= LEAST)})
+    out = with_known(out, roster, "_windows", "_folds", "_hit", "_also")
+    first = F.coalesce("_hit", guess)
+    out = out.withColumn("_first", F.when(shouted(first), titled(first)).otherwise(first))
+    others = F.filter("_also", lambda n: ~F.contains(folded_person("_first"), folded_person(n)))
+    out = out.withColumn("_others", F.when(F.col("_first").isNotNull(), F.transform(others, titled)))
+    both = F.array_join(F.array_sort(F.concat(F.array(F.when(F.col("_first") == F.lower("_first"), titled(F.col("_first"))).otherwise(F.col("_first"))), "_others")), " / ")
+    more = F.coalesce(F.size("_others") > 0, F.lit(False))
+    return out.withColumns({"player": F.when(more, both).otherwise(F.col("_first")), "_known": F.col("_hit").isNotNull() | more}).drop("_runs", "_left", "_windows", "_folds", "_hit", "_also", "_first", "_others")
+
+
+def numbered(df: DataFrame, title: str = "title") -> DataFrame:
+    """``df`` with ``work`` and all that no vocabulary decides: grader, grade, card_number, serial, print_run and year."""
     graders = "|".join(GRADERS)
     out = df.withColumn("work", F.coalesce(title, F.lit("")))
-    out = claim(out, rf"(?i)\b({graders})\s*(?:gem\s*mint|gem\s*mt|mint)?\s*(10(?:\.0)?|[1-9](?:\.[05])?)\b", _g=1, _v=2)
-    out = claim(out, rf"(?i)\b({graders})\b", _alone=1)
+    out = claim(out, rf"(?i)\b({graders})\s*(?:GEM\s*-?\s*MT|GEM\s*MINT|MINT|AUTH(?:ENTIC)?)?\s*(10(?:\.0)?|[1-9](?:\.5|\.0)?)\b", _g=1, _v=2)
+    out = claim(out, rf"(?i)\b({graders})\b", F.col("_g").isNull(), _alone=1)
     grader = F.upper(F.coalesce("_g", "_alone"))
     out = out.withColumns({"grader": F.when(grader == "BECKETT", "BGS").otherwise(grader), "grade": F.col("_v").cast("double")}).drop("_g", "_v", "_alone")
-    out = claim(out, r"(?i)#\s?([A-Z]{0,4}-?\d{1,4}[A-Z]{0,3})(?:-(\d{1,4}))?\b(?!/)(?!\s+(?:overall|draft|pick|ranked|seed)\b)", _n=1, _t=2)
-    out = out.withColumn("card_number", number_tail("_n", "_t")).drop("_n", "_t")
-    no = "|".join(NOT_A_NUMBER)
-    for weaker in (
-        r"\b([A-Z]{2,4}-\d{1,4})\b",
-        rf"(?i)#\s?(?!(?:{no})-|[A-Z]{{1,5}}-(?:{no})\b)([A-Z]{{1,5}}-[A-Z]{{1,5}})\b(?!-?\d)",
-        rf"(?i)#\s?(?!(?:{no})\b)([A-Z]{{3,6}})\b(?!-?\d)",
-    ):
+    out = claim(out, NUMBER, _n=1, _t=2)
+    out = out.withColumn("card_number", F.upper(number_tail("_n", "_t"))).drop("_n", "_t")
+    for weaker in WEAKER_NUMBERS:
         out = claim(out, weaker, F.col("card_number").isNull(), _n=1).withColumn("card_number", F.coalesce("card_number", F.upper("_n"))).drop("_n")
     out = claim(out, r"\b(\d{1,4})\s*/\s*(\d{1,5})\b", _a=1, _b=2)
-    out = claim(out, r"(?<![\d/])/\s*(\d{1,5})\b", _c=1)
+    out = claim(out, r"(?<![\d/])/\s*(\d{1,5})\b", F.col("_b").isNull(), _c=1)
     a, b = F.col("_a").cast("int"), F.col("_b").cast("int")
     out = out.withColumns(
         {"serial": F.when(a <= b, a), "print_run": F.coalesce(b, F.col("_c").cast("int")), "card_number": F.coalesce("card_number", F.when(a > b, F.col("_a")))}
     ).drop("_a", "_b", "_c")
-    out = claim(out, r"\b(19[5-9]\d|20[0-4]\d)(?:\s*[-/]\s*\d{2})?\b", _y=1).withColumn("year", F.col("_y").cast("int")).drop("_y")
-    out = claim(out, vocabulary.pattern("teams"), team=1)
-    out = claim(out, vocabulary.pattern("sets"), set_name=1)
-    out = claim(out, vocabulary.pattern("subsets"), subset=1)
-    out = claim(out, vocabulary.pattern("brands"), brand=1)
+    return claim(out, YEAR, _y=1).withColumn("year", F.col("_y").cast("int")).drop("_y")
+
+
+def parse_titles(df: DataFrame, vocabulary: Vocabulary, title: str = "title", roster: DataFrame | None = None) -> DataFrame:
+    """``df`` with grader, grade, card_number, serial, print_run, year, team, set_name, subset, variety, brand, parallel, flags,
+    player, is_lot, confidence and unparsed.
+
+    Teams, sets and brands leave as they are printed. ``roster`` (name) holds known players. A null title gives nulls; a lot
+    of cards has no number and no player. Columns of ``df`` with these names are replaced.
+    """
+    return worded(numbered(df, title), vocabulary, title, roster)
+
+
+def worded(df: DataFrame, vocabulary: Vocabulary, title: str = "title", roster: DataFrame | None = None) -> DataFrame:
+    """The rest of ``parse_titles`` for the rows of ``numbered``, so that several vocabularies can share those."""
+    out = claim(df, vocabulary.pattern("teams"), team=0)
+    out = claim(out, vocabulary.pattern("sets"), set_name=0)
+    out = out.withColumns({"team": F.coalesce(v.spelled(F.col("team"), vocabulary.spelling("teams") | vocabulary.team_names), v.collapsed(F.col("team"))), "set_name": meant_set(vocabulary)})
+    out = subsets(out, vocabulary)
+    out = claim(out, vocabulary.pattern("brands"), brand=0)
+    makers = {s.lower(): brand for brand, held in v.SETS_BY_BRAND.items() if brand for s in held}
+    out = out.withColumn("brand", F.coalesce(v.spelled(F.col("brand"), vocabulary.spelling("brands") or {"": ""}), v.spelled(F.col("set_name"), makers)))
     out = parallels(out, vocabulary)
-    for name, pattern in (("is_rookie", ROOKIE), ("is_auto", AUTO), ("is_relic", RELIC), ("is_lot", LOT)):
-        out = flag(out, name, pattern)
-    out = out.withColumn("player", player(F.col("work")))
+    for name, pattern in (("rookie", ROOKIE), ("auto", AUTO), ("relic", RELIC)):
+        out = flag(out, f"is_{name}", pattern).withColumn(f"is_{name}", F.greatest(f"is_{name}", F.col(f"_says_{name}").cast("int"))).drop(f"_says_{name}")
+    out = out.withColumn("is_lot", F.coalesce(sells_several(F.col(title)), F.lit(False)).cast("int"))
+    out = players(out, roster)
     score = sum(
         (F.when(test, F.lit(w)).otherwise(0) for test, w in (
-            (F.col("player").isNotNull(), 45), (F.col("year").isNotNull(), 20), (F.col("set_name").isNotNull(), 20), (F.col("card_number").isNotNull(), 10), (F.col("grade").isNotNull(), 5))),
+            (F.col("player").isNotNull(), 35), (F.col("_known"), 10), (F.col("year").isNotNull(), 20), (F.col("set_name").isNotNull(), 20), (F.col("card_number").isNotNull(), 10), (F.col("grader").isNotNull(), 5))),
         F.lit(0),
     )
     lot = F.col("is_lot") == 1
-    left = F.filter(F.split(F.lower("work"), r"[^a-z]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*NOISE, *SUFFIXES) & ~F.contains(F.lower(F.coalesce("player", F.lit(""))), w))
+    own = F.split(F.lower(F.coalesce("player", F.lit(""))), r"\s+")
+    own = F.when(F.col("_known"), own).otherwise(F.slice(own, 1, 2))
+    left = F.filter(F.regexp_extract_all("work", F.lit(LEFT), F.lit(0)), lambda w: ~v.is_noise(F.lower(w)) & ~F.lower(w).rlike(v.SUFFIX_PATTERN) & ~F.array_contains(own, F.lower(w)))
     out = out.withColumns({"confidence": F.when(lot, F.least(score, F.lit(30))).otherwise(score) / 100.0, "unparsed": F.nullif(F.array_join(F.array_distinct(left), " "), F.lit(""))})
-    return out.withColumns({"card_number": F.when(~lot, F.col("card_number")), "player": F.when(~lot, F.col("player"))}).drop("work")
+    one = v.namesake(F.col("player"), F.col(title))
+    out = out.withColumns({"card_number": F.when(~lot, F.col("card_number")), "player": F.when(~lot, one)}).drop("work", "_k", "_known")
+    return out.select(F.inline(F.array(F.struct("*"))))  # a filter on a parsed column isn't taken apart into all claims before it
+
+
+def meant_set(vocabulary: Vocabulary) -> Column:
+    """The set that the claimed spelling means: by ``set_names``, else as the vocabulary writes it."""
+    said = F.col("set_name")
+    return F.coalesce(v.spelled(said, vocabulary.spelling("sets") | vocabulary.set_names or {"": ""}), v.collapsed(said))

@@ -10,6 +10,7 @@ from saleglass.functions.text import folded_person, same_person
 from saleglass.operators import catalogue as cat
 from saleglass.operators.readings import learned_inserts, vocabulary_gaps
 from saleglass.operators.titles import parse_titles
+from saleglass.plans import titles as t
 from saleglass.registry import query
 from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, cards, checklist, flat, table
 
@@ -83,16 +84,16 @@ def a_number_split(spark, sf):
     return g.agg(F.sum(F.when(F.col("numbers") == 1, F.col("missing"))).alias("recoverable"), F.sum(F.when(F.col("numbers") > 1, F.col("missing"))).alias("ambiguous"), F.count_if((F.col("missing") > 0) & (F.col("numbers") > 0)).alias("groups"))
 
 
-@query("a_vocab_gaps", f"""{W}, k AS (SELECT item_id, split_part(item_id, '-', 1)::INT AS o, split_part(item_id, '-', 2)::INT AS n FROM flat),
-  w AS (SELECT item_id, unnest(string_split(list_extract(['glossy', 'glossy variant', 'see photos'], o % 3 + 1), ' ')) AS word FROM k UNION ALL SELECT item_id, 'zesty' FROM k WHERE n = 4)
-  SELECT word, count(*) AS n, min(item_id) AS example_id FROM w GROUP BY 1""")
+@query("a_vocab_gaps", f"""WITH {FLAT_SQL}, {t.K_SQL}, said AS ({t.TITLE_SQL}),
+  s AS (SELECT item_id, o, n, concat_ws(' ', said, list_extract(['glossy', 'glossy variant', 'see photos'], o % 3 + 1)) AS title FROM said),
+  w AS (SELECT item_id, title, unnest(string_split(list_extract(['glossy', 'glossy variant', 'see photos'], o % 3 + 1), ' ')) AS word FROM s
+    UNION ALL SELECT item_id, title, CASE WHEN n = 4 THEN 'zesty' WHEN n = 6 THEN 'Wyvernhide' WHEN n = 5 AND o % 4 = 3 THEN 'Set' END FROM s WHERE n IN (4, 6) OR n = 5 AND o % 4 = 3)
+  SELECT word, count(*) AS n, min(item_id) AS example_id, arg_min(title, item_id) AS example FROM w GROUP BY 1""")
 def a_vocab_gaps(spark, sf):
-    from saleglass.plans import titles as t
-
     order = F.split("item_id", "-")[0].cast("int")
     left = F.element_at(F.array(*map(F.lit, ("glossy", "glossy variant", "see photos"))), (order % 3 + 1).cast("int"))
     titled = t.titles(spark, sf).withColumn("title", F.concat_ws(" ", "title", left))
-    return vocabulary_gaps(parse_titles(titled, t.vocabulary(spark, sf))).select("word", "n", "example_id")
+    return vocabulary_gaps(parse_titles(titled, t.vocabulary(spark, sf), roster=t.roster(spark, sf)))
 
 
 @query("a_audit_report", f"""{W}, {LED_SQL}, d AS (SELECT card_key, sum(n) AS sales, sum(n) FILTER (WHERE (name = 'somebody else') <> (leader = 'somebody else')) AS dissent FROM k JOIN l USING (card_key) GROUP BY 1),

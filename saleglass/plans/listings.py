@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from saleglass.functions import stats
 from saleglass.operators import catalogue as cat
+from saleglass.operators.titles import sells_several
 from saleglass.registry import query
 from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, cards, checklist, flat, sales, table
 
@@ -82,15 +83,17 @@ def f_catalogue_cli(spark, sf):
     return catalogue_search(rows, sport="football", qualities=["clean"], least_sales=3, least_trend_sales=4).select("card_key", "sales")
 
 
-LOT = r"(?i)\b(pick your|choose your|lot of \d+|\d+ card lot|team set|factory set|complete set)\b"
+#: Listings of several cards, by turns, and one that only sounds like one.
+SAID_LOTS = ("Lot of 5 ", "Lot of (25) ", "7 Card Rookie Lot ", "Set of 12 ", "(4) Cards Football Lot ", "Complete Team Set ", "pick your card ", "Sunset of fire ")
 
 
-@query("f_multi_lot", f"""{W}, t AS (SELECT item_id, CASE WHEN CAST(split_part(item_id, '-', 3) AS INT) % 17 = 0 THEN 'Lot of 5 ' || title WHEN CAST(split_part(item_id, '-', 3) AS INT) % 19 = 0 THEN title || ' pick your card' ELSE title END AS title FROM flat)
-  SELECT item_id FROM t WHERE title NOT ILIKE 'lot of 5 %' AND title NOT ILIKE '% pick your card'""")
+@query("f_multi_lot", f"""{W}, t AS (SELECT item_id, CAST(split_part(item_id, '-', 3) AS INT) AS p FROM flat)
+  SELECT item_id, p % 17 = 0 AS sounds FROM t WHERE p % 17 <> 0 OR p // 17 % {len(SAID_LOTS)} = {len(SAID_LOTS) - 1}""")
 def f_multi_lot(spark, sf):
     part = F.split("item_id", "-")[2].cast("int")
-    title = F.when(part % 17 == 0, F.concat(F.lit("Lot of 5 "), "title")).when(part % 19 == 0, F.concat("title", F.lit(" pick your card"))).otherwise(F.col("title"))
-    return flat(spark, sf).where(~title.rlike(LOT)).select("item_id")
+    turn = F.floor(part / 17) % len(SAID_LOTS) + 1
+    title = F.when(part % 17 == 0, F.concat(F.element_at(F.array(*map(F.lit, SAID_LOTS)), turn.cast("int")), "title")).otherwise(F.col("title"))
+    return flat(spark, sf).where(~sells_several(title)).select("item_id", (part % 17 == 0).alias("sounds"))
 
 
 @query("f_table_search", f"{W} SELECT item_id FROM flat WHERE contains(lower(title), 'nation_7') OR contains(lower(player), 'nation_7') OR contains(lower(set_name), 'nation_7') OR contains(lower(team), 'nation_7')")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from saleglass.functions import stats
 from saleglass.functions import text as x
 from saleglass.operators import catalogue as cat
-from saleglass.operators import merges
-from saleglass.operators.titles import Vocabulary, parse_titles
+from saleglass.operators import learned, merges, roster
+from saleglass.operators import titles as tt
+from saleglass.operators.titles import STANDARD, Vocabulary, parse_titles
 from saleglass.plans import joins, pages, rollups
 
 
@@ -109,6 +110,73 @@ def test_parallels_stack_in_one_order(spark):
     assert [(r["parallel"], r["player"], r["unparsed"]) for r in p] == [("Lazer Orange", "Joe Doe", None)] * 2 + [(None, "Joe Doe", None)]
 
 
+#: Titles and what they say beside nulls and zeros; the roster knows the players of ``KNOWN``.
+KNOWN = ["Tom Brady", "cj stroud", "CAM WARD", "Bo Nix", "courtland sutton", "Ja'Marr Chase", "Jamarr Chase", "# none", "Joe Burrow", "Josh Allen"]
+TOLD = [
+    ("2024 Contenders Lot of (25) cards Mahomes", {"set_name": "Contenders", "is_lot": 1, "confidence": 0.3, "player": None, "card_number": None}),
+    ("7 Card Rookie Lot Prizm Football #12", {"is_lot": 1, "player": None, "card_number": None, "set_name": "Prizm"}),
+    ("Sunset of Glory 2021 Prizm Bo Nix", {"is_lot": 0, "player": "Bo Nix", "confidence": 0.85}),
+    ("2020 Prizm Joe Burrow Game-Worn #7", {"is_relic": 1, "player": "Joe Burrow", "confidence": 0.95}),
+    ("2026 Topps Flagship #25gh-lb Luther Burden", {"card_number": "25GH-LB", "set_name": "Topps", "player": "Luther Burden", "confidence": 0.85}),
+    ("2025 Prizm Cam Ward #1 Overall Pick RY", {"card_number": None, "is_rookie": 1, "player": "Cam Ward", "confidence": 0.85}),
+    ("2024 Prizm #25 Draft Picks Caleb Williams", {"card_number": "25", "player": "Caleb Williams", "set_name": "Prizm Draft Picks", "variety": None}),
+    ("2025 Prizm #1-330 Base Arch Manning", {"card_number": None, "player": "Arch Manning"}),
+    ("2024 Legacy Wyvernhide TOM BRADY Silver #12", {"player": "Tom Brady", "unparsed": "Wyvernhide", "parallel": "Silver", "confidence": 0.95}),
+    ("Aidan Hutchinson Dragonhide 2022 Mosaic", {"player": "Aidan Hutchinson Dragonhide", "unparsed": "Dragonhide", "confidence": 0.75}),
+    ("Oversized Patrick Mahomes II 2020 PRIZM", {"parallel": "Oversized", "player": "Patrick Mahomes II", "set_name": "Prizm", "unparsed": None}),
+    ("2023 Select Brock Purdy On-Card Auto RPA", {"player": "Brock Purdy", "is_auto": 1, "is_relic": 1}),
+    ("C.J. Stroud Cam Ward 2025 Mosaic #12", {"player": "Cam Ward / Cj Stroud", "unparsed": None, "confidence": 0.95}),
+    ("Courtland Sutton & BO NIX 2025 Mosaic", {"player": "Courtland Sutton", "unparsed": "NIX"}),
+    ("Ja’Marr Chase Joe Burrow 2022 Mosaic", {"player": "Ja'Marr Chase / Joe Burrow"}),
+    ("2025 Phoenix GENIES Bo Nix Denver Broncos #8", {"subset": "Genies", "team": "Denver Broncos", "player": "Bo Nix", "brand": "Panini"}),
+    ("2022 National Treasures Brock Purdy Rookie Patch Auto /99", {"subset": "Rookie Patch", "is_rookie": 1, "is_relic": 1, "is_auto": 1, "print_run": 99}),
+    ("2024 Donruss Optic Caleb Williams Rated Rookie #201 Aqua", {"variety": "Rated Rookie", "subset": None, "is_rookie": 1, "player": "Caleb Williams"}),
+    ("1975 Topps #416 Joe Theismann (EX-EXMINT)", {"set_name": "Topps", "year": 1975, "player": "Joe Theismann", "unparsed": None}),
+    ("2019 Prizm Josh Allen Jaguars #310", {"player": "Josh Hines-Allen", "team": "Jacksonville Jaguars"}),
+    ("HOT INVEST Card Rare SSP Mint Free Shipping", {"player": None, "confidence": 0.0, "unparsed": None}),
+    ("2021 Score Ja'Marr Chase Touchdown", {"set_name": "Score", "brand": "Panini", "unparsed": "Touchdown"}),
+]
+
+
+@pytest.mark.parametrize("in_row", [roster.IN_ROW, 3])
+def test_what_titles_tell(spark, monkeypatch, in_row):
+    """The roster stands in the plan or, beyond a size, meets the windows by joins: the same results."""
+    monkeypatch.setattr(tt.with_known, "__defaults__", (in_row,))
+    rows = spark.createDataFrame(list(enumerate(t for t, _ in TOLD)), "i int, title string")
+    names = spark.createDataFrame([(n,) for n in KNOWN], "name string")
+    got = parse_titles(rows, STANDARD, roster=names).orderBy("i").collect()
+    assert [(title, {k: r[k] for k in want}) for (title, want), r in zip(TOLD, got, strict=True)] == TOLD
+
+
+def test_a_filter_on_a_parsed_column_leaves_the_claims_alone(spark):
+    rows = spark.createDataFrame([("2020 Prizm Joe Doe",), (None,)], "title string")
+    plan = parse_titles(rows, STANDARD).where("player like '%Doe'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 60
+
+
+def test_known_names_of_nothing(spark):
+    names = spark.createDataFrame([], "name string")
+    df = spark.createDataFrame([(["a b"], ["abcdefgh"]), (None, None), ([], [])], "w array<string>, f array<string>")
+    for most in (0, -1):
+        out = roster.with_known(df, names, "w", "f", "hit", "also", most).collect()
+        assert [r["hit"] for r in out] == [None] * 3 and all(not r["also"] for r in out)
+
+
+def test_learned_words_are_replaced_and_keep_known_meanings(spark, tmp_path):
+    def publish(version, rows):
+        learned.publish(spark.createDataFrame(rows, "kind string, name string"), str(tmp_path), version)
+
+    publish(1, [("insert", "Widget Kings"), ("set", "Panini Donruss"), ("set", "Vault Nine"), ("insert", " ")])
+    publish(2, [("insert", "Rated Rookie"), ("designation", "Silver"), ("designation", "Retail"), ("designation", "Pink Scales"), ("insert", "Joker")])
+    publish(2, [("designation", "Pink Scales"), ("designation", "Retail"), ("insert", "Rated Rookie"), ("insert", "New One"), ("other", "x")])
+    words = learned.table_of(spark, str(tmp_path))
+    one, two = learned.read(words, 1), learned.read(words)
+    assert set(one.inserts) - set(STANDARD.inserts) == {"Widget Kings"} and one.set_names["panini donruss"] == "Donruss" and "vault nine" in one.sets
+    assert set(two.inserts) - set(STANDARD.inserts) == {"New One"} and two.printings == ("Pink Scales",)
+    assert set(two.designations) - set(STANDARD.designations) == {"Retail"} and two.sets == STANDARD.sets
+    assert learned.read(words.limit(0)) == STANDARD and learned.read(words, 9) == STANDARD
+
+
 @pytest.mark.parametrize(("day", "want"), [("2023-01-01", "2023-W00"), ("2024-01-01", "2024-W01"), ("2023-01-02", "2023-W01")])
 def test_week_labels(spark, day, want):
     from saleglass.plans.coverage import week

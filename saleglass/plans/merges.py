@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleglass.functions import stats
 from saleglass.operators import catalogue as cat
+from saleglass.operators import exports, partitions
 from saleglass.operators import merges as m
 from saleglass.plans import audits, rollups
 from saleglass.registry import SQL, query
@@ -80,11 +83,40 @@ def m_checklist_upsert(spark, sf):
     return m.merge(c, c.where("year > 2000").withColumn("print_run", F.lit(1)), "card_key", {}).groupBy("year", "set_name").agg(F.count("*").alias("cards"))
 
 
-@query("m_incremental_export", f"{WC} SELECT card_key, sales, median_cents, quality FROM cat WHERE card_key IN (SELECT card_key FROM flat WHERE sold_date > DATE '2001-10-01')")
-def m_incremental_export(spark, sf, since="2001-10-01"):
-    rows = flat(spark, sf)
-    touched = rows.where(F.col("sold_date") > F.lit(since).cast("date")).select("card_key").distinct()
-    return cat.catalogue(rows.join(touched, "card_key", "left_semi")).select("card_key", "sales", "median_cents", "quality")
+def _dated(spark, sf):
+    """Sales with the times they were written and parsed: noon of their day, and an hour later."""
+    return flat(spark, sf).withColumns({"updated_at": F.col("sold_date").cast("timestamp") + F.expr("interval 12 hours"), "parsed_at": F.when(~F.col("item_id").startswith("7"), F.col("sold_date").cast("timestamp") + F.expr("interval 13 hours"))})
+
+
+def _moved(rows):
+    """Some sales are written again at another price, others are parsed to another card while the sale stays as it was."""
+    late, again = F.col("price_cents") % 7 == 0, (F.col("price_cents") % 11 == 0) & F.col("card_key").isNotNull()
+    return rows.withColumns({
+        "price_cents": F.when(late, F.col("price_cents") + 100).otherwise(F.col("price_cents")), "updated_at": F.when(late, F.lit("2030-01-01").cast("timestamp")).otherwise(F.col("updated_at")),
+        "card_key": F.when(again, F.concat("card_key", F.lit("x"))).otherwise(F.col("card_key")), "parsed_at": F.when(again, F.lit("2030-01-02").cast("timestamp")).otherwise(F.col("parsed_at")),
+    })
+
+
+#: Sales before and after, as views that the sums of the catalogue stand on.
+MOVED_SQL = f"""{FLAT_SQL.strip().split("cards AS (SELECT")[0].rstrip().rstrip(",").replace("flat AS (", "f0 AS (", 1)},
+flat AS (SELECT * REPLACE (CASE WHEN price_cents % 7 = 0 THEN price_cents + 100 ELSE price_cents END AS price_cents, CASE WHEN price_cents % 11 = 0 THEN card_key || 'x' ELSE card_key END AS card_key) FROM f0),
+labelled AS (SELECT *, coalesce(grader || ' ' || regexp_replace(CAST(grade AS VARCHAR), '\\.0$', ''), grader, 'Raw') AS grade_label FROM flat)"""
+_USED = "price_cents IS NOT NULL AND currency = 'USD' AND card_key IS NOT NULL"
+_CHANGED = "price_cents % 7 = 0 OR price_cents % 11 = 0 AND card_key IS NOT NULL"
+_DAYS = "SELECT sold_date, count(*) AS n, count(*) FILTER (WHERE currency = 'USD') AS p, median(price_cents) FILTER (WHERE currency = 'USD') AS m, sum(price_cents) FILTER (WHERE currency = 'USD') AS t"
+
+
+@query("m_incremental_export", f"""WITH {MOVED_SQL}, keys AS (SELECT card_key FROM f0 WHERE {_CHANGED} UNION SELECT card_key || 'x' FROM f0 WHERE price_cents % 11 = 0 UNION SELECT card_key FROM flat WHERE item_id IN (SELECT item_id FROM f0 WHERE {_CHANGED})),
+  l0 AS (SELECT *, coalesce(grader || ' ' || CAST(grade AS VARCHAR), grader, 'Raw') AS grade_label FROM f0), d AS (SELECT DISTINCT sold_date FROM f0 WHERE price_cents % 7 = 0)
+  SELECT 1 AS run, (SELECT count(*) FROM f0) AS sales, (SELECT count(DISTINCT sold_date) FROM f0) AS daily, (SELECT count(DISTINCT card_key) FROM f0 WHERE {_USED}) AS cards, (SELECT count(DISTINCT (card_key, grade_label)) FROM l0 WHERE {_USED}) AS card_grades
+  UNION ALL SELECT 2, (SELECT count(*) FROM f0 WHERE {_CHANGED}), (SELECT count(*) FROM ({_DAYS} FROM flat GROUP BY 1 EXCEPT {_DAYS} FROM f0 GROUP BY 1)), (SELECT count(DISTINCT card_key) FROM flat WHERE {_USED} AND card_key IN (SELECT card_key FROM keys)),
+    (SELECT count(DISTINCT (card_key, grade_label)) FROM labelled WHERE {_USED} AND card_key IN (SELECT card_key FROM keys)) UNION ALL SELECT 3, 0, 0, 0, 0""")
+def m_incremental_export(spark, sf):
+    """Rows written by three exports: of everything, of what was written or parsed since, and without a change."""
+    path, rows = new_path(spark, "export"), partitions.settled(_dated(spark, sf), "sales")
+    moved = partitions.settled(_moved(rows), "moved")
+    runs = [exports.export(r, path) for r in (rows, moved, moved)]
+    return spark.createDataFrame([(i, *(r[c] for c in ("sales", "daily", "cards", "card_grades"))) for i, r in enumerate(runs, 1)], "run int, sales long, daily long, cards long, card_grades long")
 
 
 def _through(spark, df, name, kind="parquet", **options):
@@ -115,13 +147,19 @@ def sink_dashboard_json(spark, sf):
     return out
 
 
-@query("sink_upsert_export", f"{W} SELECT card_key, grade_label, count(*) AS sales FROM labelled WHERE price_cents IS NOT NULL AND currency = 'USD' AND card_key IS NOT NULL GROUP BY 1, 2")
+@query("sink_upsert_export", f"""WITH {MOVED_SQL}, {cat.CATALOGUE_SQL} SELECT 'sales' AS kind, item_id AS key, 1 AS n, price_cents AS cents FROM flat
+  UNION ALL SELECT 'daily', strftime(sold_date, '%Y-%m-%d'), count(*), (sum(price_cents) FILTER (WHERE currency = 'USD'))::BIGINT FROM flat GROUP BY sold_date
+  UNION ALL SELECT 'cards', card_key, sales, median_cents FROM cat UNION ALL SELECT 'card_grades', card_key || '|' || grade_label, count(*), trunc(median(price_cents))::BIGINT FROM labelled WHERE {_USED} GROUP BY card_key, grade_label""")
 def sink_upsert_export(spark, sf):
-    """Exported twice: the second run replaces rows of the first by key."""
-    rows = cat.card_grades(flat(spark, sf)).withColumn("id", F.concat_ws("|", "card_key", "grade_label"))
-    first = spark.read.parquet(_through(spark, rows, "grades"))
-    again = spark.read.parquet(_through(spark, m.merge(first, rows, "id", {}), "grades"))
-    return again.select("card_key", "grade_label", "sales")
+    """The four tables after an export, a change and another export: as if all had been exported at the end."""
+    path, rows = new_path(spark, "export"), partitions.settled(_dated(spark, sf), "sales")
+    for r in (rows, _moved(rows)):
+        exports.export(r, path)
+    one = F.lit(1).cast("long")
+    kinds = (("sales", F.col("item_id"), one, "price_cents"), ("daily", F.date_format("sold_date", "yyyy-MM-dd"), F.col("sales"), "total_cents"),
+             ("cards", F.col("card_key"), F.col("sales"), "median_cents"), ("card_grades", F.concat_ws("|", "card_key", "grade_label"), F.col("sales"), "median_cents"))
+    tables = [spark.read.parquet(f"{path}/{kind}").select(F.lit(kind).alias("kind"), key.alias("key"), n.alias("n"), F.col(cents).alias("cents")) for kind, key, n, cents in kinds]
+    return functools.reduce(DataFrame.unionByName, tables)
 
 
 @query("sink_review_sample", f"{W} SELECT item_id, '' AS correct, '' AS notes FROM flat WHERE card_key IS NOT NULL AND confidence >= 0.4 ORDER BY md5(item_id || ':1'), item_id LIMIT 100")

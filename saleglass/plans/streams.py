@@ -44,16 +44,8 @@ def stream_usage_quota(spark, sf, quota=5):
 
 @query("stream_touched_catalogue", f"{WC} SELECT card_key, sales, median_cents FROM cat")
 def stream_touched_catalogue(spark, sf):
-    """Cards touched by a micro-batch are computed anew from all sales so far."""
-    landed = _landed(spark, flat(spark, sf), "landed")
-    path, known = new_path(spark, "cards"), []
-
-    def step(batch, n):
-        batch.write.mode("overwrite").parquet(f"{path}/in{n}")
-        known.append(f"{path}/in{n}")
-        so_far = spark.read.parquet(*known)
-        touched = spark.read.parquet(f"{path}/in{n}").select("card_key").distinct()
-        cat.catalogue(so_far.join(touched, "card_key", "left_semi")).select("card_key", "sales", "median_cents", F.lit(n).alias("batch")).write.mode("append").parquet(f"{path}/out")
-
-    jobs.each_batch(jobs.file_stream(spark, landed, 4), path, step)
-    return spark.read.parquet(f"{path}/out").groupBy("card_key").agg(F.max_by("sales", "batch").alias("sales"), F.max_by("median_cents", "batch").alias("median_cents"))
+    """Cards touched by a micro-batch are computed anew from their sales so far, which stand in partitions by card."""
+    rows = flat(spark, sf).where("card_key is not null")
+    stream = jobs.file_stream(spark, _landed(spark, rows, "landed"), 4)
+    cards = jobs.per_key(stream, new_path(spark, "cards"), "item_id", "card_key", cat.catalogue)
+    return cards.select("card_key", "sales", "median_cents")

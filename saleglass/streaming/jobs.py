@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saleglass.operators import partitions
 from saleglass.operators.merges import last_by
 
 
@@ -24,27 +25,54 @@ def each_batch(stream: DataFrame, path: str, step: Callable[[DataFrame, int], No
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
 
 
+#: Partitions of a keyed state table.
+BUCKETS = 16
+
+
+def _held(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of the state table in the partitions that ``rows`` touch."""
+    touched = [r[0] for r in rows.select("bucket").distinct().collect()]
+    return partitions.read(rows.sparkSession, path, rows.schema).where(F.col("bucket").isin(touched))
+
+
 def last_of_each(stream: DataFrame, path: str, key: str, order: str) -> DataFrame:
-    """The last row of each key over all batches. A batch adds its own last rows as one partition, which a repeated batch
-    replaces; the batches meet when they are read."""
+    """The last row of each key over all batches, kept as one row a key: a batch replaces the partitions that it touches."""
+
+    def step(batch: DataFrame, n: int) -> None:
+        rows = partitions.settled(last_by(batch, key, order).withColumn("bucket", partitions.bucket(key, BUCKETS)), "batch")
+        known = _held(rows, f"{path}/rows").join(rows.select(key), key, "left_semi")
+        partitions.upsert(f"{path}/rows", last_by(known.unionByName(rows), key, order), [key], "bucket")
+
+    each_batch(stream, path, step)
+    return stream.sparkSession.read.parquet(f"{path}/rows").select(*stream.columns)
+
+
+def per_key(stream: DataFrame, path: str, item: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``compute`` (a row a ``key``) over all rows so far, kept up to date: a batch computes its own keys anew.
+
+    Rows stand in partitions by key, one an ``item``; a batch reads and replaces the partitions of its keys and no other
+    ones, so what it reads follows the keys it touches. An item stays with its key. A repeated batch changes nothing.
+    """
 
     def step(batch: DataFrame, n: int) -> None:
-        last_by(batch, key, order).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+        rows = partitions.settled(batch.withColumn("bucket", partitions.bucket(key, BUCKETS)), "batch")
+        partitions.upsert(f"{path}/rows", rows, [item], "bucket")
+        own = _held(rows, f"{path}/rows").join(rows.select(key).distinct(), key, "left_semi")
+        partitions.upsert(f"{path}/keys", compute(own).withColumn("bucket", partitions.bucket(key, BUCKETS)), [key], "bucket")
 
     each_batch(stream, path, step)
-    return last_by(stream.sparkSession.read.parquet(f"{path}/rows").select(*stream.columns), key, order)
+    return stream.sparkSession.read.parquet(f"{path}/keys").drop("bucket")
 
 
 def windowed(stream: DataFrame, path: str, time: str, keys: list[str], aggregates: list, length: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Tumbling windows with a watermark. Updates are appended; of each window the last one counts."""
+    """Tumbling windows with a watermark. An update takes the place of the window's earlier one, in partitions by month."""
     spark = stream.sparkSession
     rows = stream.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), *keys).agg(*aggregates)
+    values = [c for c in rows.columns if c not in ("w", *keys)]
+    days = rows.select(F.col("w.start").cast("date").alias("day"), *keys, *values)
 
     def step(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/updates")
+        partitions.upsert(f"{path}/windows", batch.withColumn("month", F.date_format("day", "yyyy-MM")), ["day", *keys], "month")
 
-    writer = rows.select(F.col("w.start").cast("date").alias("day"), *keys, *[c for c in rows.columns if c not in ("w", *keys)]).writeStream.outputMode("update")
-    writer.foreachBatch(step).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
-    updates = spark.read.parquet(f"{path}/updates")
-    values = [c for c in updates.columns if c not in ("day", "batch", *keys)]
-    return updates.groupBy("day", *keys).agg(*(F.max_by(c, "batch").alias(c) for c in values))
+    days.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/windows").select(*days.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from saleglass.functions import stats
 from saleglass.functions import text as x
 from saleglass.operators import catalogue as cat
-from saleglass.operators import learned, merges, roster
+from saleglass.operators import exports, learned, merges, partitions, roster
 from saleglass.operators import titles as tt
 from saleglass.operators.titles import STANDARD, Vocabulary, parse_titles
 from saleglass.plans import joins, pages, rollups
@@ -270,3 +270,48 @@ def test_open_bands_split_at_a_hundred_times_their_floor():
     assert halves(300.0, None) == ((300.0, 3000.0), (3000.0, None))
     assert halves(0.0, 100.0) == ((0.0, 9.95), (9.95, 100.0))
     assert halves(1.0, 1.01) == ((1.0, 1.0), (1.0, 1.01))
+
+
+def files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_upsert_replaces_only_touched_partitions(spark, tmp_path):
+    at, part = f"{tmp_path}/t", "id string, v int, p int"
+    assert partitions.upsert(at, spark.createDataFrame([("a", 1, 1), ("b", 1, 2), ("c", 1, 3)], part), ["id"], "p") == 3
+    before = files(tmp_path)
+    assert partitions.upsert(at, spark.createDataFrame([], part), ["id"], "p") == 0 and files(tmp_path) == before
+    partitions.upsert(at, spark.createDataFrame([("a", 2, 1), ("d", 2, 1)], part), ["id"], "p")
+    after = files(tmp_path)
+    assert {k for k in before if "p=1" not in k} == {k for k in after if "p=1" not in k} and all(after[k] == before[k] for k in before if "p=1" not in k)
+    partitions.upsert(at, spark.createDataFrame([("b", 3, 3)], part), ["id"], "p", moves=True)
+    partitions.upsert(at, spark.createDataFrame([], part), ["id"], "p", gone=spark.createDataFrame([("d", 1)], "id string, p int"))
+    assert sorted(map(tuple, spark.read.schema(part).parquet(at).collect())) == [("a", 2, 1), ("b", 3, 3), ("c", 1, 3)]
+    assert not (tmp_path / "t" / "p=2").exists()
+
+
+def test_export_of_no_change_writes_nothing(spark, tmp_path):
+    def rows(*changes):
+        base = [{"item_id": f"i{i}", "card_key": f"k{i % 5}" if i % 7 else None, "price_cents": 1000 + i, "day": i % 3 + 1} for i in range(40)]
+        for i, c in changes:
+            base[i] |= c
+        out = [{"updated_at": dt.datetime(2024, 1, 1), "parsed_at": dt.datetime(2024, 1, 2) if r["card_key"] else None, **r} for r in base]
+        df = spark.createDataFrame(out, "item_id string, card_key string, price_cents long, day int, updated_at timestamp, parsed_at timestamp")
+        fixed = {"currency": "USD", "best_offer": 0, "is_rookie": 0, "is_auto": 0, "is_relic": 0, "confidence": 1.0, "year": 2020, "bids": 1, "grade": None, "shipping_cents": 0, "ask_cents": None}
+        texts = [c for c in (*exports.SALE_COLUMNS, "offer_status") if c not in (*fixed, *df.columns, "sold_date", "offer_known")]
+        kinds = {"grade": "double", "confidence": "double", "shipping_cents": "long", "ask_cents": "long", "currency": "string"}
+        df = df.withColumns({c: F.lit(x).cast(kinds.get(c, "int")) for c, x in fixed.items()} | {c: F.lit(None).cast("string") for c in texts})
+        return df.withColumn("sold_date", F.expr("make_date(2024, 1, day)"))
+
+    at = tmp_path / "out"
+    assert exports.export(rows(), str(at)) == {"cards": 5, "card_grades": 5, "daily": 3, "sales": 40}
+    before = files(at)
+    assert exports.export(rows(), str(at)) == {"cards": 0, "card_grades": 0, "daily": 0, "sales": 0} and files(at) == before
+    late = {"updated_at": dt.datetime(2024, 2, 1)}
+    parsed = {"card_key": "k9", "parsed_at": dt.datetime(2024, 2, 2)}
+    assert exports.export(rows((1, {"price_cents": 5, **late}), (2, parsed)), str(at)) == {"cards": 3, "card_grades": 3, "daily": 1, "sales": 2}
+    got = {r["card_key"]: (r["sales"], r["low_cents"]) for r in spark.read.parquet(f"{at}/cards").collect()}
+    assert got["k1"][1] == 5 and got["k9"] == (1, 1002) and sum(n for n, _ in got.values()) == 34
+    only = [{"card_key": None, "parsed_at": dt.datetime(2024, 3, 1)} if f"k{i % 5}" == "k4" or i == 2 else {} for i in range(40)]
+    exports.export(rows((1, {"price_cents": 5, **late}), *enumerate(only)), str(at))
+    assert {"k4", "k9"}.isdisjoint(r["card_key"] for r in spark.read.parquet(f"{at}/cards").collect())

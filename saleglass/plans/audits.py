@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from saleglass.functions import stats
 from saleglass.functions.text import folded_person, same_person
 from saleglass.operators import catalogue as cat
+from saleglass.operators.grids import by_leader, contradictory, delta, parse_grid, scored
+from saleglass.operators.partitions import settled
 from saleglass.operators.readings import learned_inserts, vocabulary_gaps
-from saleglass.operators.titles import parse_titles
+from saleglass.operators.titles import STANDARD, parse_titles, with_words
 from saleglass.plans import titles as t
-from saleglass.registry import query
+from saleglass.registry import SQL, query
 from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, cards, checklist, flat, table
 
 W = f"WITH {FLAT_SQL}"
@@ -49,25 +53,21 @@ NAMED_SQL = "named AS (SELECT card_key, item_id, title, CASE WHEN split_part(ite
 LED_SQL = f"""{NAMED_SQL}, k AS (SELECT card_key, name, any_value(player) AS player, count(*) AS n FROM named GROUP BY 1, 2), l AS (SELECT card_key, arg_max(name, (n, -length(name))) AS leader, any_value(player) AS player FROM k GROUP BY 1)"""
 
 
-def by_leader(rows):
-    """(key, folded name, n) with the most frequent folded name of its key; ties to the shortest."""
-    k = rows.withColumn("fold", folded_person("name")).groupBy("card_key", "fold").agg(F.count("*").alias("n"))
-    top = k.groupBy("card_key").agg(F.max_by("fold", F.struct("n", -F.length("fold"))).alias("leader"))
-    return k.join(top, "card_key")
-
-
 @query("a_contradictory", f"""{W}, {LED_SQL}, d AS (SELECT card_key, sum(n) AS sales, sum(n) FILTER (WHERE (name = 'somebody else') <> (leader = 'somebody else')) AS dissent FROM k JOIN l USING (card_key) GROUP BY 1)
   SELECT card_key, sales::BIGINT AS sales, dissent::BIGINT AS dissent, floor(dissent / sales::DOUBLE * 100 + 0.5) / 100.0 AS share FROM d WHERE dissent > 0 AND dissent / sales::DOUBLE >= 0.1""")
 def a_contradictory(spark, sf):
-    d = by_leader(_named(spark, sf)).groupBy("card_key").agg(F.sum("n").alias("sales"), F.sum(F.when(~same_person(F.col("fold"), F.col("leader")), F.col("n"))).alias("dissent"))
-    return d.where((F.col("dissent") > 0) & (F.col("dissent") / F.col("sales") >= 0.1)).withColumn("share", stats.rounded(F.col("dissent") / F.col("sales"), 2))
+    return contradictory(by_leader(_named(spark, sf))).withColumn("share", stats.rounded(F.col("dissent") / F.col("sales"), 2))
 
 
 @query("a_messy_names", f"{W}, {NAMED_SQL} SELECT card_key, count(*) AS sales, count(DISTINCT name) AS variants FROM named GROUP BY 1 HAVING count(DISTINCT name) >= 2 AND bool_and(name <> 'somebody else')")
 def a_messy_names(spark, sf):
-    rows = _named(spark, sf)
-    led = by_leader(rows).groupBy("card_key").agg(F.sum("n").alias("sales"), F.count("*").alias("variants"), F.bool_and(same_person(F.col("fold"), F.col("leader"))).alias("one"))
-    return led.where("one and variants >= 2").select("card_key", "sales", "variants")
+    return messy(by_leader(_named(spark, sf))).select("card_key", "sales", "variants")
+
+
+def messy(led):
+    """Keys of several spellings that are all one person's."""
+    k = led.groupBy("card_key").agg(F.sum("n").alias("sales"), F.count("*").alias("variants"), F.bool_and(same_person(F.col("fold"), F.col("leader"))).alias("one"))
+    return k.where("one and variants >= 2")
 
 
 @query("a_wide_spread", f"{W} SELECT card_key, grade_label, count(*) AS sales, max(price_cents) / 100.0 AS high, floor(max(price_cents) / median(price_cents) * 10 + 0.5) / 10.0 AS ratio FROM labelled WHERE card_key IS NOT NULL AND best_offer = 0 AND currency = 'USD' GROUP BY 1, 2 HAVING count(*) >= 5 AND max(price_cents) / median(price_cents) >= 2.5")
@@ -96,12 +96,18 @@ def a_vocab_gaps(spark, sf):
     return vocabulary_gaps(parse_titles(titled, t.vocabulary(spark, sf), roster=t.roster(spark, sf)))
 
 
-@query("a_audit_report", f"""{W}, {LED_SQL}, d AS (SELECT card_key, sum(n) AS sales, sum(n) FILTER (WHERE (name = 'somebody else') <> (leader = 'somebody else')) AS dissent FROM k JOIN l USING (card_key) GROUP BY 1),
-  b AS (SELECT sum(dissent) AS bad, count(*) AS groups FROM d WHERE dissent > 0 AND dissent / sales::DOUBLE >= 0.1) SELECT groups AS contradictory_groups, bad::BIGINT AS bad_sales, floor(bad / (SELECT count(*) FROM named)::DOUBLE * 10000 + 0.5) / 10000.0 AS known_bad_rate FROM b""")
+_BAD = f"{W}, {LED_SQL}, d AS (SELECT card_key, sum(n) AS sales, sum(n) FILTER (WHERE (name = 'somebody else') <> (leader = 'somebody else')) AS dissent FROM k JOIN l USING (card_key) GROUP BY 1) SELECT sales FROM d WHERE dissent > 0 AND dissent / sales::DOUBLE >= 0.1"
+
+
+@query("a_audit_report", f"""SELECT c.*, s.recoverable, s.ambiguous, s.groups AS split_groups, (SELECT count(*) FROM ({SQL['a_messy_names']})) AS messy_groups, (SELECT count(*) FROM ({SQL['a_wide_spread']})) AS wide_spread_groups,
+  b.n AS contradictory_groups, floor(b.sales / c.keyed::DOUBLE * 10000 + 0.5) / 10000.0 AS known_bad_rate FROM ({SQL['a_audit_coverage']}) c, ({SQL['a_number_split']}) s, (SELECT count(*) AS n, sum(sales) AS sales FROM ({_BAD})) b""")
 def a_audit_report(spark, sf):
-    bad = a_contradictory(spark, sf).agg(F.count("*").alias("contradictory_groups"), F.sum("dissent").alias("bad_sales"))
-    total = _named(spark, sf).agg(F.count("*").alias("n"))
-    return bad.crossJoin(total).select("contradictory_groups", "bad_sales", stats.rounded(F.col("bad_sales") / F.col("n"), 4).alias("known_bad_rate"))  # one row each
+    """Every measure that needs no marked rows in one row; the names of cards are folded once for both that compare them."""
+    led = settled(by_leader(_named(spark, sf)), "led")
+    bad = contradictory(led).agg(F.count("*").alias("contradictory_groups"), F.coalesce(F.sum("sales"), F.lit(0)).alias("bad"))
+    parts = [audit_coverage(flat(spark, sf)), a_number_split(spark, sf).withColumnRenamed("groups", "split_groups"), messy(led).agg(F.count("*").alias("messy_groups")), a_wide_spread(spark, sf).agg(F.count("*").alias("wide_spread_groups")), bad]
+    row = functools.reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+    return row.withColumn("known_bad_rate", stats.rounded(F.col("bad") / F.nullif("keyed", F.lit(0)), 4)).drop("bad")
 
 
 TRIAGE = "SELECT card_key, count(card_number) = 0 AS numberless, count(*) AS sales, count(*) FILTER (WHERE grader IS NOT NULL AND image_url IS NOT NULL) AS readable, count(image_url) AS photos FROM flat WHERE card_key IS NOT NULL GROUP BY 1"
@@ -150,12 +156,39 @@ def margin_of_error(spark, sf):
     return flat(spark, sf).groupBy("set_name").agg(stats.rounded(1.96 * F.sqrt(p * (1 - p) / F.count("*")), 4).alias("margin"))
 
 
-@query("a_parser_delta", f"{W}, b AS (SELECT count(card_key) AS keyed, count(DISTINCT card_key) AS groups FROM flat), a AS (SELECT count(card_key) AS keyed, count(DISTINCT card_key) AS groups FROM flat WHERE price_cents % 4 > 0) SELECT b.keyed - a.keyed AS keyed_delta, b.groups - a.groups AS groups_delta, CASE WHEN b.keyed > a.keyed THEN 'better' WHEN b.keyed < a.keyed THEN 'worse' ELSE 'same' END AS verdict FROM a, b")
+#: Titles of the grid: two of three have a word behind the name, one that a list calls an insert, one that nobody knows; four
+#: of five a number, shared by several.
+GRID_SQL = f"""p AS (SELECT p_partkey AS k, p_size + 1990 AS year, replace(p_brand, '#', '') AS brand, {t.WHO_SQL.replace('player', 'p_name')} AS who, NOT starts_with(p_name, 'old ') AS listed, CASE WHEN p_partkey % 5 > 0 THEN (p_partkey % 3)::VARCHAR END AS num FROM part),
+  c(config, listed_all, keyed_words, all_sets) AS (SELECT CASE WHEN a THEN 'all' ELSE 'few' END || CASE WHEN w THEN ' keyed' ELSE ' claimed' END || CASE WHEN s THEN ' + sets' ELSE '' END, a, w, s FROM (VALUES (true), (false)) x(a), (VALUES (true), (false)) y(w), (VALUES (true), (false)) z(s)),
+  g AS (SELECT config, k, CASE WHEN k % 3 = 2 AND NOT (listed_all AND listed) THEN who || ' Dragonbone' ELSE who END AS player, year, brand, num, CASE WHEN k % 3 = 0 AND keyed_words THEN 'wyvernhide' END AS subset FROM p, c WHERE all_sets OR replace(brand, 'Brand', '')::INT <= 12),
+  keys AS (SELECT config, lower(replace(player, ' ', '')) AS fold, concat_ws('-', year, lower(brand), subset, coalesce('n' || num, lower(replace(player, ' ', '')))) AS key FROM g),
+  n AS (SELECT config, key, count(*) AS n FROM keys GROUP BY 1, 2), f AS (SELECT config, key, fold, count(*) AS n FROM keys GROUP BY 1, 2, 3),
+  l AS (SELECT config, key, arg_min(fold, (-n, length(fold), fold)) AS leader FROM f GROUP BY 1, 2),
+  d AS (SELECT config, key, sum(n) AS sales, sum(n) FILTER (WHERE NOT (contains(fold, leader) OR contains(leader, fold) OR length(fold) >= 8 AND length(leader) >= 8 AND damerau_levenshtein(fold, leader) <= 1)) AS dissent FROM f JOIN l USING (config, key) GROUP BY 1, 2),
+  s AS (SELECT config, sum(n)::BIGINT AS keyed, count(*) AS groups, count(*) FILTER (WHERE n > 1) AS grouped, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS grouped_sales, floor(count(*) FILTER (WHERE n = 1) / count(*)::DOUBLE * 10000 + 0.5) / 10000.0 AS rate FROM n GROUP BY 1),
+  grid AS (SELECT s.*, coalesce(w.wrong, 0)::BIGINT AS wrong FROM s LEFT JOIN (SELECT config, sum(sales) AS wrong FROM d WHERE dissent > 0 AND dissent / sales::DOUBLE >= 0.1 GROUP BY 1) w USING (config))"""
+
+
+def _grid(spark, sf, only=None):
+    """Each roster, way with the listed words and list of sets, as one parse."""
+    part = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    behind = F.when(k % 3 == 0, "Wyvernhide").when(k % 3 == 2, "Dragonbone")
+    title = F.concat_ws(" ", F.col("p_size") + 1990, F.regexp_replace("p_brand", "#", ""), t.who("p_name"), behind, F.when(k % 5 > 0, F.concat(F.lit("#"), k % 3)))
+    titles = part.select(k.cast("string").alias("item_id"), title.alias("title"))
+    rosters = {"all": t.roster(spark, sf), "few": t.roster(spark, sf).limit(0)}
+    modes, sets = {"claimed": "designations", "keyed": "inserts"}, {"": 12, " + sets": 25}
+    configs = [(f"{r} {m}{s}", with_words(STANDARD, sets=tuple(f"Brand{i}" for i in range(1, n + 1)), **{kind: ("Wyvernhide",)}), names) for r, names in rosters.items() for m, kind in modes.items() for s, n in sets.items()]
+    return scored(parse_grid(titles, [c for c in configs if only is None or c[0] in only]))
+
+
+@query("a_parser_delta", f"""WITH {GRID_SQL}, m AS (UNPIVOT (SELECT config, keyed::DOUBLE AS keyed, grouped::DOUBLE AS grouped, grouped_sales::DOUBLE AS grouped_sales, rate::DOUBLE AS rate FROM grid) ON keyed, grouped, grouped_sales, rate INTO NAME metric VALUE v),
+  b AS (SELECT metric, max(v) FILTER (WHERE config = 'few claimed') AS before, max(v) FILTER (WHERE config = 'all keyed + sets') AS after FROM m GROUP BY 1)
+  SELECT *, CASE WHEN abs(after - before) < CASE metric WHEN 'rate' THEN 0.0005 ELSE 0.5 END THEN 'no change' WHEN (after > before) <> (metric = 'rate') THEN 'better' ELSE 'worse' END AS verdict FROM b""")
 def a_parser_delta(spark, sf):
-    rows = flat(spark, sf)
-    both = rows.select(F.col("card_key").alias("new"), F.when(F.col("price_cents") % 4 > 0, F.col("card_key")).alias("old")).agg(F.count("new").alias("kn"), F.count("old").alias("ko"), F.count_distinct("new").alias("gn"), F.count_distinct("old").alias("go"))
-    d = F.col("kn") - F.col("ko")
-    return both.select(d.alias("keyed_delta"), (F.col("gn") - F.col("go")).alias("groups_delta"), F.when(d > 0, "better").when(d < 0, "worse").otherwise("same").alias("verdict"))
+    """One table parsed before and after a larger vocabulary, in a single job."""
+    before, after = "few claimed", "all keyed + sets"
+    return delta(_grid(spark, sf, (before, after)), before, after)
 
 
 @query("a_learn_names", f"""{W}, w AS (SELECT year, set_name, unnest(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS name FROM (SELECT year, set_name, string_split(player, ' ') AS x FROM flat))
@@ -223,9 +256,8 @@ def a_checklist_sets(spark, sf):
     return checklist(spark, sf).groupBy("year", "set_name").agg(F.count("*").alias("cards"))
 
 
-@query("a_vocab_grid", f"""{W}, g AS (SELECT c.config, card_key, count(*) AS n FROM flat JOIN (VALUES ('short', 3), ('long', 9)) c(config, most) ON split_part(item_id, '-', 2)::INT <= c.most GROUP BY 1, 2) SELECT config, sum(n) FILTER (WHERE card_key IS NOT NULL)::BIGINT AS keyed, count(card_key) FILTER (WHERE n > 1) AS grouped FROM g GROUP BY 1""")
+@query("a_vocab_grid", f"WITH {GRID_SQL} SELECT *, row_number() OVER (ORDER BY grouped DESC, config) = 1 AS best FROM grid")
 def a_vocab_grid(spark, sf):
-    configs = F.explode(F.array(*(F.struct(F.lit(n).alias("config"), F.lit(m).alias("most")) for n, m in (("short", 3), ("long", 9)))))
-    rows = flat(spark, sf).select("card_key", F.split("item_id", "-")[1].cast("int").alias("line"), configs.alias("c")).where("line <= c.most")
-    g = rows.groupBy("c.config", "card_key").agg(F.count("*").alias("n"))
-    return g.groupBy("config").agg(F.sum(F.when(F.col("card_key").isNotNull(), F.col("n"))).alias("keyed"), F.count_if(F.col("card_key").isNotNull() & (F.col("n") > 1)).alias("grouped"))
+    scores = _grid(spark, sf)
+    first = F.row_number().over(Window.orderBy(F.desc("grouped"), "config"))  # one row a configuration
+    return scores.withColumn("best", first == 1)

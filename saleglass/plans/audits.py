@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from saleglass.functions import stats
+from saleglass.functions import vocabulary as v
 from saleglass.functions.text import folded_person, same_person
 from saleglass.operators import catalogue as cat
 from saleglass.operators.grids import by_leader, contradictory, delta, parse_grid, scored
@@ -15,6 +16,7 @@ from saleglass.operators.partitions import settled
 from saleglass.operators.readings import learned_inserts, vocabulary_gaps
 from saleglass.operators.titles import STANDARD, parse_titles, with_words
 from saleglass.plans import titles as t
+from saleglass.plans.text import meant, told
 from saleglass.registry import SQL, query
 from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, cards, checklist, flat, table
 
@@ -222,11 +224,24 @@ def a_facet_harvest(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("aspect"), F.get_json_object("props", "$.k").alias("value")).agg(F.max("user_id").alias("n"))
 
 
-@query("a_facet_vocab", "SELECT CASE WHEN event_type IN ('click', 'view') THEN 'sets' ELSE 'names' END AS bucket, json_extract_string(props, '$.k') AS value, max(user_id) AS n FROM events GROUP BY 1, 2 HAVING max(user_id) >= 20")
-def a_facet_vocab(spark, sf, least=20):
-    buckets = F.create_map(*(F.lit(x) for pair in (("click", "sets"), ("view", "sets")) for x in pair))
-    rows = a_facet_harvest(spark, sf).withColumn("bucket", F.coalesce(buckets[F.col("aspect")], F.lit("names")))
-    return rows.groupBy("bucket", "value").agg(F.max("n").alias("n")).where(F.col("n") >= least)
+#: Aspects as listings name them, by turns, and what they feed.
+SAID_FACETS = (
+    ("Player/Athlete", "players"), ("Set", "sets"), ("PARALLEL / VARIETY", "parallels"), ("Insert Set", "parallels"), ("Season", "seasons"), ("Year Manufactured", "seasons"), ("Colour", None),
+    ("Card Number", "card_numbers"), ("Manufacturer", "brands"), ("team", "teams"), ("Country of Origin", "countries"),
+)
+
+
+def vocabulary_facets(rows, least):
+    """bucket, value and the highest n of values of ``rows`` (aspect, value, n) whose aspect feeds a vocabulary."""
+    bucket = v.spelled(F.regexp_replace(F.lower("aspect"), "[^a-z0-9]", ""), v.FACETS)
+    return rows.withColumn("bucket", bucket).where("bucket is not null").groupBy("bucket", "value").agg(F.max("n").alias("n")).where(F.col("n") >= least)
+
+
+@query("a_facet_vocab", f"""SELECT bucket, value, max(user_id) AS n FROM (SELECT {meant(SAID_FACETS, 'user_id')} AS bucket, json_extract_string(props, '$.k') AS value, user_id FROM events)
+  WHERE bucket IS NOT NULL GROUP BY 1, 2 HAVING max(user_id) >= 5""")
+def a_facet_vocab(spark, sf, least=5):
+    rows = table(spark, sf, "events").select(told(SAID_FACETS, F.col("user_id")).alias("aspect"), F.get_json_object("props", "$.k").alias("value"), F.col("user_id").alias("n"))
+    return vocabulary_facets(rows, least)
 
 
 @query("w_facet_topk", "SELECT aspect, value, n FROM (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY n DESC, value) AS r FROM (SELECT event_type AS aspect, json_extract_string(props, '$.k') AS value, max(user_id) AS n FROM events GROUP BY 1, 2)) WHERE r <= 5")

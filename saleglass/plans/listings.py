@@ -8,6 +8,7 @@ from saleglass.functions import stats
 from saleglass.operators import catalogue as cat
 from saleglass.operators.titles import sells_several
 from saleglass.registry import query
+from saleglass.sources import saved
 from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, cards, checklist, flat, sales, table
 
 W = f"WITH {FLAT_SQL}"
@@ -195,9 +196,21 @@ def src_sales_view(spark, sf):
     return rows.select("item_id", (F.col("price_cents") / 100.0).alias("price"), (F.col("shipping_cents") / 100.0).alias("shipping"), "card_key", "player")
 
 
-@query("src_aspect_json", "SELECT event_type AS aspect, json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 1, 2")
+@query("src_aspect_json", """WITH p AS (SELECT * FROM part WHERE p_partkey % 7 <> 0)
+  SELECT p_partkey AS k, 'Brand' AS aspect, p_brand AS value, p_size::BIGINT AS n FROM p UNION ALL SELECT p_partkey, 'Brand', p_type, CASE WHEN p_partkey % 2 = 0 THEN 12 END FROM p UNION ALL SELECT p_partkey, 'Empty', NULL, NULL FROM p
+  UNION ALL SELECT p_partkey, 'Set/Insert', p_name, NULL FROM p""")
 def src_aspect_json(spark, sf):
-    return table(spark, sf, "events").select(F.col("event_type").alias("aspect"), F.get_json_object("props", "$.k").alias("value")).groupBy("aspect", "value").agg(F.count("*").alias("n"))
+    """Nested payloads with counts as numbers and text, malformed ones, an aspect without values, one without a name, and
+    texts that are no payload."""
+    k = F.col("p_partkey")
+    entry = '{"localizedAspectValue": "%s", "matchCount": %s}'
+    values = [F.format_string(entry, "p_brand", F.col("p_size").cast("string")), F.format_string(entry, "p_type", F.when(k % 2 == 0, '"12"').otherwise('"12x"')), F.lit('{"localizedAspectValue": "", "matchCount": 4}')]
+    payload = F.concat(
+        F.lit('{"refinement": {"aspectDistributions": [{"localizedAspectName": "Brand", "aspectValueDistributions": ['), F.concat_ws(", ", *values), F.lit(']}, {"localizedAspectName": "Empty", "aspectValueDistributions": []}, '),
+        F.format_string('{"localizedAspectName": "Set/Insert", "aspectValueDistributions": [{"localizedAspectValue": "%s", "matchCount": 3.5}]}, {"aspectValueDistributions": [{"localizedAspectValue": "x"}]}]}}', "p_name"),
+    )
+    rows = table(spark, sf, "part").select(k.alias("k"), F.when(k % 7 == 0, "{oops").otherwise(payload).alias("payload"))
+    return saved.aspects(rows, "payload")
 
 
 @query("src_roster", "SELECT DISTINCT lower(p_name) AS name FROM part")

@@ -11,7 +11,9 @@ from saleglass.operators import catalogue as cat
 from saleglass.operators import exports, partitions
 from saleglass.operators import merges as m
 from saleglass.plans import audits, rollups
+from saleglass.plans.text import meant
 from saleglass.registry import SQL, query
+from saleglass.sources import saved
 from saleglass.sources.bindings import CHECKLIST_SQL, FLAT_SQL, RUNS_SQL, cards, checklist, flat, runs, sales, segments, table
 from saleglass.sources.files import new_path
 
@@ -138,13 +140,33 @@ def sink_catalogue_csv(spark, sf):
     return spark.read.schema(rows.schema).csv(_through(spark, rows, "catalogue", "csv", header=True), header=True)
 
 
-@query("sink_dashboard_json", f"{W} SELECT 'sets' AS dataset, count(*) AS rows FROM (SELECT DISTINCT set_name FROM flat WHERE price_cents IS NOT NULL AND currency = 'USD' LIMIT 60) UNION ALL SELECT 'grades', count(DISTINCT grade_label) FROM labelled WHERE price_cents IS NOT NULL AND currency = 'USD' UNION ALL SELECT 'meta', 1")
+#: Datasets of the dashboard: what makes them of sales, the key, the count and the amount that are read back.
+DASHBOARD = {
+    "daily": (rollups.daily, "sold_date", "n", "median"), "players": (rollups.players, "player", "n", "median"), "sets": (rollups.sets, "set_name", "n", "median"), "grades": (rollups.grades, "grade_label", "n", "median"),
+    "recent": (rollups.recent, "item_id", "price_cents", "price_cents"), "top": (rollups.top, "item_id", "price_cents", "price_cents"), "cards": (rollups.cards, "card_key", "size(points)", "points[0].price"), "meta": (rollups.meta, "last_day", "total", "median"),
+}
+_FIRST_SALES = "(SELECT card_key, arg_min(price_cents, (sold_date, item_id)) / 100.0 AS first FROM flat WHERE price_cents IS NOT NULL AND currency = 'USD' GROUP BY 1)"
+
+
+def _dashboard_sql():
+    parts = []
+    for name, (_, key, n, amount) in DASHBOARD.items():
+        source = f"({SQL['a_card_histories']}) h JOIN {_FIRST_SALES} f USING (card_key)" if name == "cards" else f"({SQL[{'recent': 'w_recent', 'top': 'w_top_sales'}.get(name, 'a_' + name)]})"
+        n, amount = ("n", "first") if name == "cards" else (n, amount)
+        parts.append(f"SELECT '{name}' AS dataset, {key}::VARCHAR AS key, {n}::BIGINT AS n, {amount}::DOUBLE AS amount FROM {source}")
+    return f"{W} " + " UNION ALL ".join(parts)
+
+
+@query("sink_dashboard_json", _dashboard_sql())
 def sink_dashboard_json(spark, sf):
-    out = None
-    for name, rows in (("sets", rollups.a_sets(spark, sf)), ("grades", rollups.a_grades(spark, sf)), ("meta", rollups.a_meta(spark, sf))):
-        back = spark.read.schema(rows.schema).json(_through(spark, rows, name, "json")).agg(F.lit(name).alias("dataset"), F.count("*").alias("rows"))
-        out = back if out is None else out.unionByName(back)
-    return out
+    """Eight datasets as JSON, cards with their sales nested, all made of sales that are materialised once; what they hold is
+    read back."""
+    rows, out = partitions.settled(flat(spark, sf), "dashboard"), []
+    for name, (make, key, n, amount) in DASHBOARD.items():
+        made = make(rows)
+        back = spark.read.schema(made.schema).json(_through(spark, made, name, "json"))
+        out.append(back.select(F.lit(name).alias("dataset"), F.col(key).cast("string").alias("key"), F.expr(n).cast("long").alias("n"), F.expr(amount).cast("double").alias("amount")))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 @query("sink_upsert_export", f"""WITH {MOVED_SQL}, {cat.CATALOGUE_SQL} SELECT 'sales' AS kind, item_id AS key, 1 AS n, price_cents AS cents FROM flat
@@ -195,13 +217,28 @@ for _name, _column, _words in (("sink_vocab_roster", "p_name", 1), ("sink_vocab_
     )
 
 
-@query("src_checklist_csv", "SELECT p_partkey::VARCHAR AS number, CASE WHEN p_partkey % 3 > 0 THEN 'Inserts' END AS subset, CAST(p_partkey % 5 = 0 AS INT) AS is_auto FROM part")
+#: Sections and categories of a checklist, by turns, and brands as it writes them.
+SECTIONS = (("Base Set", "Base"), ("Rookies", "Insert"), ("Downtown", "Insert"), ("Rookie Ink", "Autograph"), ("Patches", "Memorabilia"), ("base – rookies", ""), ("", "Insert"))
+CHECKED_BRANDS = (("Panini Prizm", "Prizm"), ("Topps Chrome", "Topps Chrome"), ("Flagship", "Topps"), ("Panini New Kind", "Panini New Kind"))
+
+
+def _by_turn(values, index="p_partkey"):
+    return F.element_at(F.array(*(F.lit(x) for x in values)), (F.col(index) % len(values) + 1).cast("int"))
+
+
+@query("src_checklist_csv", f"""WITH s AS (SELECT *, {meant(SECTIONS, 'p_partkey')} AS category, {meant([(x,) for x, _ in SECTIONS], 'p_partkey')} AS section, {meant(CHECKED_BRANDS, 'p_partkey')} AS brand FROM part WHERE p_partkey % 11 <> 0)
+  SELECT 2000 + p_size AS year, brand AS set_name, CASE WHEN p_partkey % 7 IN (2, 3, 4) THEN section END AS subset, CASE WHEN p_partkey % 5 > 0 THEN p_partkey::VARCHAR END AS card_number, p_name AS player,
+    CASE WHEN p_partkey % 3 = 1 THEN p_type END AS parallel, CASE WHEN p_partkey % 2 = 0 THEN 99 END AS print_run, category = 'Autograph' AS is_auto, category = 'Memorabilia' AS is_relic FROM s WHERE p_partkey % 13 <> 0""")
 def src_checklist_csv(spark, sf):
+    """A compressed checklist with another sport, rows without a year, base sections and parallels, and brands before sets."""
     k = F.col("p_partkey")
-    rows = table(spark, sf, "part").select(F.concat(F.lit("#"), k).alias("number"), F.when(k % 3 > 0, "Inserts").otherwise("Base Set").alias("section"), F.when(k % 5 == 0, "Autographs").otherwise("Cards").alias("category"))
+    rows = table(spark, sf, "part").select(
+        F.when(k % 11 == 0, "Baseball").otherwise(" FOOTBALL").alias("sport"), F.when(k % 13 != 0, (2000 + F.col("p_size")).cast("string")).otherwise("n/a").alias("year"), _by_turn([b for b, _ in CHECKED_BRANDS]).alias("brand"),
+        F.when(k % 5 > 0, F.concat(F.lit("#"), k)).alias("card_number"), F.col("p_name").alias("player"), _by_turn([c for _, c in SECTIONS]).alias("category"), _by_turn([x for x, _ in SECTIONS]).alias("set"),
+        F.when(k % 3 == 1, F.col("p_type")).when(k % 3 == 2, "Base").alias("parallel"), F.when(k % 2 == 0, "99").otherwise("none").alias("print_run"),
+    )
     path = _through(spark, rows, "checklist", "csv", header=True, compression="gzip")
-    back = spark.read.schema(rows.schema).csv(path, header=True)
-    return back.select(F.regexp_replace("number", "#", "").alias("number"), F.when(~F.lower("section").isin("base", "base set"), F.col("section")).alias("subset"), F.lower("category").contains("auto").cast("int").alias("is_auto"))
+    return saved.checklist_rows(spark.read.schema(rows.schema).csv(path, header=True))
 
 
 @query("src_capture_json", "SELECT (900000000000 + p_partkey)::VARCHAR AS item_id, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents FROM part WHERE p_partkey % 7 > 0")
@@ -227,20 +264,32 @@ def src_checklist_json(spark, sf):
     return rows.select("k", f("athlete", "player", "playername").alias("player"), F.regexp_replace(number, r"/\d+$", "").alias("number"), F.nullif(run, F.lit("")).cast("int").alias("print_run"), F.regexp_extract("set", r"\b(\d{4})\b", 1).cast("int").alias("year"))
 
 
-@query("src_index_entries", "SELECT p_partkey AS k, p_name AS name FROM part")
+@query("src_index_entries", "SELECT p_partkey::VARCHAR AS id, p_name AS name FROM part WHERE p_partkey % 5 <> 4")
 def src_index_entries(spark, sf):
+    """Products as a list, wrapped under two names, by id, and as something else."""
     k = F.col("p_partkey")
-    payload = F.when(k % 2 == 0, F.to_json(F.create_map(k.cast("string"), F.struct(F.col("p_name").alias("name"))))).otherwise(F.to_json(F.array(F.struct(k.cast("string").alias("id"), F.col("p_name").alias("name")))))
-    rows = table(spark, sf, "part").select(payload.alias("p"))
-    as_list = rows.where("p like '[%'").select(F.explode(F.from_json("p", "array<struct<id:string,name:string>>")).alias("e")).select(F.col("e.id").cast("long").alias("k"), "e.name")
-    as_map = rows.where("p like '{%'").select(F.explode(F.map_entries(F.from_json("p", "map<string,struct<name:string>>"))).alias("e")).select(F.col("e.key").cast("long").alias("k"), "e.value.name")
-    return as_list.unionByName(as_map)
+    one = F.array(F.struct(k.cast("string").alias("id"), F.col("p_name").alias("name")))
+    by_id = F.create_map(k.cast("string"), F.struct(F.col("p_name").alias("name")))
+    shapes = F.when(k % 5 == 0, F.to_json(one)).when(k % 5 == 1, F.to_json(F.struct(one.alias("items")))).when(k % 5 == 2, F.to_json(by_id))
+    payload = shapes.when(k % 5 == 3, F.to_json(F.struct(F.array().cast("array<int>").alias("products"), one.alias("data")))).otherwise('{"pages": 3}')
+    return saved.index_entries(table(spark, sf, "part").select(payload.alias("p")), "p")
 
 
-@query("src_saved_files", "SELECT count(*) AS pages, sum(length(html))::BIGINT AS chars FROM pages WHERE html IS NOT NULL")
+@query("src_saved_files", """WITH p AS (SELECT page_id % 8 AS g, length(to_json({'html': html})::VARCHAR) AS chars, html FROM pages WHERE html IS NOT NULL)
+  SELECT kind AS suffix, count(DISTINCT g) AS files, count(*) AS pages, sum(length(html))::BIGINT AS chars FROM p, (VALUES ('txt'), ('json')) k(kind) GROUP BY 1""")
 def src_saved_files(spark, sf):
-    """Saved pages below a folder, of known suffixes only, read back with the file they came from."""
-    rows = table(spark, sf, "pages").where("html is not null").select(F.to_json(F.struct("html")).alias("value"))
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(_through(spark, rows, "pages", "text"))
-    pages = files.select(F.input_file_name().alias("file"), F.get_json_object("value", "$.html").alias("html")).where("file <> ''")
-    return pages.agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))
+    """Whole files of two kinds below folders and by pattern, some named twice, some copied, one kind unknown: each once."""
+    rows = table(spark, sf, "pages").where("html is not null").select((F.col("page_id") % 8).alias("g"), "page_id", "html")
+    lines = rows.select("g", "page_id", F.to_json(F.struct("html")).alias("value"))
+
+    def put(df, name, kind):
+        path = new_path(spark, name)
+        df.repartition(8, "g").sortWithinPartitions("g", "page_id").drop("page_id").write.partitionBy("g").format(kind).save(path)
+        return path
+
+    text, copy, other = put(lines, "pages", "text"), put(lines, "copies", "text"), put(lines, "tables", "csv")
+    json = put(rows.withColumn("kind", F.lit("json")), "pages", "json")
+    files = saved.saved_files(spark, [text, f"{text}/g=1", copy, f"{json}/*/*.json", f"{json}/*", other, f"{text}/none"], ("txt", "json"))
+    pages = files.select("suffix", "path", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    html = F.get_json_object("line", "$.html")
+    return pages.groupBy("suffix").agg(F.count_distinct("path").alias("files"), F.count("*").alias("pages"), F.sum(F.length(html)).alias("chars"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from saleglass.functions import text as x
+from saleglass.functions import vocabulary as v
+from saleglass.operators.labels import group_rows, label_attrs
+from saleglass.plans import titles
+from saleglass.plans.text import told
 from saleglass.registry import query
 from saleglass.sources.bindings import FLAT_SQL, flat, table
 
@@ -88,35 +91,27 @@ def g_page_state(spark, sf):
     return table(spark, sf, "pages").select("page_id", state.alias("state"))
 
 
-def group_rows(lines, item="item_id", gap=0.02):
-    """Text detections (text, top, confidence) on one visual row, within ``gap`` of the row's first. One item's
-    detections are few; the fold keeps the row's anchor, which a gap between neighbours wouldn't."""
-    kind = "array<struct<top:double,text:string,confidence:double>>"
-    held = lines.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("top", "text", "confidence"))).cast(kind).alias("d"))
-
-    def step(acc, d):
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last["top"].alias("top"), F.concat_ws(" ", last["text"], d["text"]).alias("text"), F.least(last["confidence"], d["confidence"]).alias("confidence"))
-        return F.when((F.size(acc) > 0) & (d["top"] - last["top"] <= gap + 1e-9), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(d))).cast(kind)
-
-    return held.select(item, F.explode(F.aggregate("d", F.array().cast(kind), step)).alias("r")).select(item, "r.top", "r.text", "r.confidence")
-
-
 @query("w_group_rows", "SELECT p_partkey AS item_id, t AS top, x AS text, c AS confidence FROM part, LATERAL (VALUES (0.1::DOUBLE, p_brand || ' ' || p_type, 0.8::DOUBLE), (0.13::DOUBLE, p_name, 0.7::DOUBLE)) v(t, x, c)")
 def w_group_rows(spark, sf):
     d = F.explode(F.array(*(F.struct(F.lit(t).alias("top"), F.col(c).alias("text"), F.lit(k).alias("confidence")) for t, c, k in ((0.1, "p_brand", 0.9), (0.115, "p_type", 0.8), (0.13, "p_name", 0.7)))))
     return group_rows(table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), d.alias("d")).select("item_id", "d.*"))
 
 
-@query("x_label_attrs", "SELECT p_partkey AS item_id, 1990 + p_size AS year, p_partkey::VARCHAR AS number, 10.0::DOUBLE AS grade, 0.75::DOUBLE AS confidence FROM part")
+#: Label lines by turns: grader and grade as printed, what they mean.
+SAID_GRADES = (("GEM MT 10", "PSA", 10.0), ("SGC 9.5", "SGC", 9.5), ("NM-MT", "PSA", 8.0), ("BGS", "BGS", None), ("", None, None), ("CGC MINT", "CGC", 9.0))
+_LABEL = {name: f"list_extract([{', '.join('NULL' if g[i] is None else repr(g[i]) for g in SAID_GRADES)}], CAST(p_partkey % {len(SAID_GRADES)} + 1 AS BIGINT))" for i, name in ((1, "grader"), (2, "grade"))}
+
+
+@query("x_label_attrs", f"""WITH p AS (SELECT *, {titles.WHO_SQL.replace('player', 'p_name')} AS who, {_LABEL['grader']} AS grader, {_LABEL['grade']}::DOUBLE AS grade FROM part)
+  SELECT p_partkey AS item_id, 1990 + p_size AS year, 'Donruss Optic' AS set_name, CASE WHEN NOT starts_with(p_name, 'old ') THEN who END AS player, (p_partkey % 1000)::VARCHAR AS card_number, grader, grade,
+    CASE WHEN NOT starts_with(p_name, 'old ') THEN CASE WHEN grader IS NULL THEN 0.8 ELSE 0.95 END WHEN grader IS NULL THEN 0.6 ELSE 0.75 END::DOUBLE AS confidence FROM p""")
 def x_label_attrs(spark, sf):
-    lines = F.explode(F.array(F.struct(F.lit(0.1).alias("top"), F.concat((F.lit(1990) + F.col("p_size")).cast("string"), F.lit(" BRAND #"), F.col("p_partkey").cast("string")).alias("text")), F.struct(F.lit(0.2).alias("top"), F.lit("GEM MT 10").alias("text"))))
-    d = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), lines.alias("l")).select("item_id", "l.top", "l.text", F.lit(0.9).alias("confidence"))
-    label = group_rows(d).groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "text"))), lambda s: s["text"]), "\n").alias("t"))
-    year, number = F.nullif(F.regexp_extract("t", r"\b(19[5-9]\d|20[0-4]\d)\b", 1), F.lit("")).cast("int"), F.nullif(F.regexp_extract("t", r"#(\w+)", 1), F.lit(""))
-    grade = F.nullif(F.regexp_extract("t", r"(?i)\b(?:gem mt|gem mint|mint|nm-mt)\s*(10|[1-9](?:\.5)?)\b", 1), F.lit("")).cast("double")
-    n = year.isNotNull().cast("int") + number.isNotNull().cast("int") + grade.isNotNull().cast("int")
-    return label.select("item_id", year.alias("year"), number.alias("number"), grade.alias("grade"), F.round(0.2 * n + 0.15, 2).alias("confidence"))
+    """Labels with letters read as digits and words run together, lines below the label, and uncertain ones."""
+    k = F.col("p_partkey")
+    first = F.concat((F.lit(1990) + F.col("p_size")).cast("string"), F.lit("PANINI D0NRUSS 0PTIC #"), k % 1000, F.lit("R00KIE"))
+    lines = [(0.1, first, 0.9), (0.15, F.upper(titles.who("p_name")), 0.8), (0.2, told([(g[0],) for g in SAID_GRADES], k), 0.7), (0.5, F.lit("SGC 1999 #5 MOSAIC"), 0.9), (0.12, F.lit("BGS 2"), 0.3)]
+    d = F.explode(F.array(*(F.struct(F.lit(t).alias("top"), text.alias("text"), F.lit(c).alias("confidence")) for t, text, c in lines))).alias("d")
+    return label_attrs(table(spark, sf, "part").select(k.alias("item_id"), d).select("item_id", "d.*"), "item_id", v.SETS, titles.roster(spark, sf))
 
 
 @query("a_title_words", "SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1 HAVING count(*) >= 50")
@@ -128,5 +123,4 @@ def a_title_words(spark, sf, least=50):
 
 @query("w_last_turn", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
 def w_last_turn(spark, sf):
-    r = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return table(spark, sf, "conversations").withColumn("r", r).where("r = 1").select("conv_id", "turn", "role")
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))

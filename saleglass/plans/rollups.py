@@ -47,7 +47,11 @@ P90_SQL = "list_sort(list(price_cents) FILTER (WHERE {ok}))[CAST(round_even((cou
 @query("a_daily", f"""{W} SELECT * FROM (SELECT sold_date, count(*) AS n, count(*) FILTER (WHERE {OK}) AS priced, floor(median(price_cents) FILTER (WHERE {OK}) + 0.5) / 100.0 AS median,
   floor({P90_SQL} + 0.5) / 100.0 AS p90, coalesce(sum(price_cents) FILTER (WHERE {OK}), 0)::BIGINT / 100.0 AS total FROM flat GROUP BY sold_date) ORDER BY sold_date DESC LIMIT 400""", dates="sold_date")
 def a_daily(spark, sf):
-    return day_rollup(flat(spark, sf)).orderBy(F.desc("sold_date")).limit(400).orderBy("sold_date")
+    return daily(flat(spark, sf))
+
+
+def daily(rows):
+    return day_rollup(rows).orderBy(F.desc("sold_date")).limit(400).orderBy("sold_date")
 
 
 @query("a_daily_cents", f"""{W} SELECT sold_date, count(*) AS n, count(*) FILTER (WHERE {OK}) AS priced, trunc(median(price_cents) FILTER (WHERE {OK}))::BIGINT AS median_cents,
@@ -81,7 +85,11 @@ def a_daily_summary(spark, sf, day="1998-06-01"):
   SELECT player, any_value(t.team) AS team, count(*) AS n, {USD_MEDIAN} AS median, max(price_cents) / 100.0 AS max, sum(price_cents)::BIGINT / 100.0 AS total FROM p JOIN t USING (player)
   GROUP BY player ORDER BY n DESC, median DESC, player LIMIT 250""")
 def a_players(spark, sf):
-    p = flat(spark, sf).where(stats.priced() & (F.col("confidence") >= 0.5) & F.col("player").isNotNull())
+    return players(flat(spark, sf))
+
+
+def players(rows):
+    p = rows.where(stats.priced() & (F.col("confidence") >= 0.5) & F.col("player").isNotNull())
     out = p.groupBy("player").agg(F.count("*").alias("n"), stats.usd(F.median("price_cents")).alias("median"), (F.max("price_cents") / 100.0).alias("max"), (F.sum("price_cents") / 100.0).alias("total"))
     return out.join(cat.group_name(p, "player", "team"), "player", "left").orderBy(F.desc("n"), F.desc("median"), "player").limit(250).select("player", "team", "n", "median", "max", "total")
 
@@ -101,12 +109,20 @@ def a_players_avg(spark, sf):
 
 @query("a_sets", f"{W} SELECT set_name, count(*) AS n, {USD_MEDIAN} AS median FROM flat WHERE {OK} GROUP BY 1 ORDER BY n DESC, set_name LIMIT 60")
 def a_sets(spark, sf):
-    return flat(spark, sf).where(stats.priced()).groupBy("set_name").agg(F.count("*").alias("n"), stats.usd(F.median("price_cents")).alias("median")).orderBy(F.desc("n"), "set_name").limit(60)
+    return sets(flat(spark, sf))
+
+
+def sets(rows):
+    return rows.where(stats.priced()).groupBy("set_name").agg(F.count("*").alias("n"), stats.usd(F.median("price_cents")).alias("median")).orderBy(F.desc("n"), "set_name").limit(60)
 
 
 @query("a_grades", f"{W} SELECT grade_label, count(*) AS n, {USD_MEDIAN} AS median FROM labelled WHERE {OK} GROUP BY 1 ORDER BY n DESC, grade_label LIMIT 24")
 def a_grades(spark, sf):
-    rows = flat(spark, sf).where(stats.priced()).withColumn("grade_label", stats.grade_label())
+    return grades(flat(spark, sf))
+
+
+def grades(rows):
+    rows = rows.where(stats.priced()).withColumn("grade_label", stats.grade_label())
     return rows.groupBy("grade_label").agg(F.count("*").alias("n"), stats.usd(F.median("price_cents")).alias("median")).orderBy(F.desc("n"), "grade_label").limit(24)
 
 
@@ -154,6 +170,10 @@ def histories(rows, most):
     return top.join(points, "card_key").join(cat.judged(shown), "card_key", "left")
 
 
+def cards(rows):
+    return histories(rows, 2500)
+
+
 @query("a_card_histories", f"""{WC}, h AS (SELECT card_key, count(*) AS n, {USD_MEDIAN} AS median, min(price_cents) / 100.0 AS low, max(price_cents) / 100.0 AS high, min(sold_date) AS first_sold, max(sold_date) AS last_sold,
    md5(string_agg(strftime(sold_date, '%Y-%m-%d') || ' ' || price_cents || ' ' || grade_label, ',' ORDER BY sold_date, item_id)) AS points_md5 FROM u GROUP BY 1 HAVING count(*) >= 2)
   SELECT h.*, spread, trend_pct FROM h LEFT JOIN jd USING (card_key) ORDER BY n DESC, median DESC, card_key LIMIT 2500""", dates="first_sold last_sold")
@@ -204,7 +224,10 @@ def a_price_stats(spark, sf, player="widget", grader="PSA"):
 @query("a_meta", f"""{W} SELECT count(*) AS total, count(*) FILTER (WHERE {OK}) AS priced, sum(best_offer)::BIGINT AS best_offers, count(*) FILTER (WHERE currency <> 'USD') AS non_usd, count(*) FILTER (WHERE confidence >= 0.5) AS confident,
   count(DISTINCT sold_date) AS days, min(sold_date) AS first_day, max(sold_date) AS last_day, count(*) FILTER (WHERE sold_date = (SELECT max(sold_date) FROM flat)) AS latest_sales, floor(median(price_cents) FILTER (WHERE {OK}) + 0.5) / 100.0 AS median FROM flat""", dates="first_day last_day")
 def a_meta(spark, sf):
-    rows = flat(spark, sf)
+    return meta(flat(spark, sf))
+
+
+def meta(rows):
     ok = F.when(stats.priced(), F.col("price_cents"))
     by_day = rows.groupBy("sold_date").agg(
         F.count("*").alias("total"),
@@ -340,12 +363,20 @@ def w_player_value(spark, sf, player="small ring"):
 
 @query("w_recent", f"{W} SELECT item_id, sold_date, price_cents FROM flat ORDER BY sold_date DESC, price_cents DESC, item_id LIMIT 1500", dates="sold_date")
 def w_recent(spark, sf):
-    return flat(spark, sf).orderBy(F.desc("sold_date"), F.desc("price_cents"), "item_id").limit(1500).select("item_id", "sold_date", "price_cents")
+    return recent(flat(spark, sf))
+
+
+def recent(rows):
+    return rows.orderBy(F.desc("sold_date"), F.desc("price_cents"), "item_id").limit(1500).select("item_id", "sold_date", "price_cents")
 
 
 @query("w_top_sales", f"{W} SELECT item_id, sold_date, price_cents FROM flat WHERE {OK} ORDER BY price_cents DESC, item_id LIMIT 100", dates="sold_date")
 def w_top_sales(spark, sf):
-    return flat(spark, sf).where(stats.priced()).orderBy(F.desc("price_cents"), "item_id").limit(100).select("item_id", "sold_date", "price_cents")
+    return top(flat(spark, sf))
+
+
+def top(rows):
+    return rows.where(stats.priced()).orderBy(F.desc("price_cents"), "item_id").limit(100).select("item_id", "sold_date", "price_cents")
 
 
 @query("w_latest_runs", f"WITH {RUNS_SQL} SELECT run_id, status, pages_fetched FROM runs ORDER BY target_date DESC LIMIT 7")

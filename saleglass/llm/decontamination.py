@@ -4,15 +4,19 @@ Benchmark items and texts are sequences of lower-cased words; a leak is a part o
 item's words in edits. A CGK walk reads a window from its start: at each step it writes the word under its pointer,
 and a random function of step and word decides whether the pointer moves on. Edit distance thus becomes Hamming
 distance between walks, and sampled coordinates of them, hashed, meet in a table. ``WALKS`` walks of ``SAMPLES``
-tables each reach the target recall. Windows have the sizes of the items. Candidates are verified exactly.
+tables each reach the target recall; the longer the item, the more walks and the fewer samples a table (``effort``),
+because walks that slipped out of step agree in fewer places. Windows have the sizes of the items. Candidates are
+verified exactly.
 
 A window is walked only where it can be a leak at all: by the q-gram lemma, a part within the allowed edits of an item
 of m words keeps at least m - q + 1 - q * edits of its q-grams, so windows with fewer q-grams of any item are left
-out without loss. Items are sent to the tasks in blocks of at most ``BLOCK_WORDS`` words; each block is a pass.
+out without loss. Items are sent to the tasks in blocks of about ``BLOCK_WORDS`` words; each block is a pass, and with
+more than one, a block is let go of once its pass is written.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from saleglass.llm.alignment import find
-from saleglass.llm.common import documents, slices
+from saleglass.llm.common import documents, keep, slices
 from saleglass.llm.near_dedup import mixed, words_of
 
 LEAST = 0.8
-WALKS, SAMPLES, PICKS, REACH = 6, 5, 3, 2
+WALKS, SAMPLES, REACH = 6, 5, 2
+SHORT, LONG = 40, 120  # item words: above SHORT two samples a table, above LONG more walks
 GRAM, BLOCK_WORDS = 3, 2_000_000
+WALK_CELLS = 3_000_000
 
 _rng = np.random.default_rng(2)
 _FACTORS = _rng.integers(1, 2**62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,6 +51,13 @@ def edits(n_words: int, least: float) -> int:
     return int(n_words * (1 - least) + 1e-9)
 
 
+def effort(n_words: int) -> tuple[int, int]:
+    """Walks and samples a table for items of a size, from measured recall at the limit of edits."""
+    if n_words <= SHORT:
+        return WALKS, 3
+    return WALKS * max(1, -(-n_words // LONG)), 2
+
+
 @dataclass(frozen=True)
 class Size:
     """What items of one size ask of a window: q-grams of length ``gram``, ``needed`` of them in ``reach`` words."""
@@ -92,18 +105,20 @@ class Index:
             g = self.sizes[len(w)].gram
             by_gram[g].append(grams(hashes(w), g)[: len(w) - g + 1])
         self.gate = {g: np.unique(np.concatenate(x)) for g, x in by_gram.items()}
-        self.steps = REACH * max(self.sizes, default=0)
         members = defaultdict(list)
         for k, (_, w) in enumerate(self.items):
             members[len(w)].append(k)
         self.tables: list[dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]] = []
-        for seed in range(WALKS):
+        for seed in range(max((effort(n)[0] for n in members), default=0)):
             by_size = {}
             for n, ks in members.items():
+                walks, picked = effort(n)
+                if seed >= walks:
+                    continue
                 h = hashes([x for k in ks for x in self.items[k][1]])
                 starts = np.arange(len(ks)) * n
                 written, _ = walk(h, starts, starts + n, REACH * n, seed)
-                picks = np.random.default_rng([3, seed, n]).integers(0, REACH * n, (SAMPLES, PICKS))
+                picks = np.random.default_rng([3, seed, n]).integers(0, REACH * n, (SAMPLES, picked))
                 tables = []
                 for p in picks:
                     keys = self._key(written[p])
@@ -136,13 +151,14 @@ class Index:
         """(start, item) of windows that meet an item in a table."""
         windows = self.windows(h, ends)
         found: set[tuple[int, int]] = set()
-        if not windows:
-            return found
-        starts = np.unique(np.concatenate(list(windows.values())))
-        for part in np.array_split(starts, -(-len(starts) // 20_000)):
-            for seed, by_size in enumerate(self.tables):
-                written, pointer = walk(h, part, ends[part], self.steps, seed)
-                for n, own in windows.items():
+        for seed, by_size in enumerate(self.tables):
+            own_windows = {n: x for n, x in windows.items() if n in by_size}
+            if not own_windows:
+                break
+            starts, steps = np.unique(np.concatenate(list(own_windows.values()))), REACH * max(own_windows)
+            for part in np.array_split(starts, -(-len(starts) * steps // WALK_CELLS)):
+                written, pointer = walk(h, part, ends[part], steps, seed)
+                for n, own in own_windows.items():
                     col = np.flatnonzero(np.isin(part, own, assume_unique=True))
                     if not len(col):
                         continue
@@ -182,6 +198,19 @@ class Index:
                     yield a + t, item_id, *best
 
 
+_HELD: dict[tuple[str, float], Index] = {}
+
+
+def held_index(shared: Broadcast, least: float) -> Index:
+    """The index of a block, built once in each Python worker; the last one stays for the worker's next task.
+    Its items are numbered by place, as ids may repeat."""
+    name, items = shared.value
+    if (name, least) not in _HELD:
+        _HELD.clear()
+        _HELD[name, least] = Index([(i, w) for i, (_, w) in enumerate(items)], least)
+    return _HELD[name, least]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Leaks of benchmark items (item_id, text) into ``docs``.
 
@@ -192,29 +221,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_c
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id {item_kind}, n_edits int, n_item_words int, first_word int, end_word int"
-    out = None
-    for shared in item_blocks(benchmark):
-        part = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_runner(shared, least, to_arrow_type(benchmark.schema["item_id"].dataType)), schema)
+    out, item_kind = None, to_arrow_type(benchmark.schema["item_id"].dataType)
+    for shared, alone in item_blocks(benchmark):
+        part = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_runner(shared, least, item_kind), schema)
+        if not alone:
+            part = keep(part, "leaks")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[Broadcast]:
-    """Items as (id, words), in broadcasts of about ``BLOCK_WORDS`` words."""
+def item_blocks(benchmark: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """(name of the block, its items as (id, words)) in broadcasts of about ``BLOCK_WORDS`` words, and whether there is but
+    one. The driver holds one block at a time, if the taker destroys each of many once its pass is written."""
     items = benchmark.select("item_id", "text").dropDuplicates().where("text is not null")
     n_blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (5 * BLOCK_WORDS)))
     for block in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], words_of(r["text"])) for r in rows])
+        held = uuid.uuid4().hex, [(r["item_id"], words_of(r["text"])) for r in rows]
+        yield benchmark.sparkSession.sparkContext.broadcast(held), n_blocks == 1
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item, with all their columns."""
+    """Rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Null and empty texts hold none and stay; repeated rows stay or go alike; an empty benchmark or one of items without
+    words takes nothing; an empty table gives no rows. Other columns may have any name, also those of ``find_leaks``.
+    """
     at = docs.columns.index(text_col)
 
     def filtered(shared: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, least)
+            index = held_index(shared, least)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[t for t, *_ in index.leaks(batch.column(at).to_pylist())]] = False
@@ -222,15 +260,18 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, t
 
         return run
 
-    for shared in item_blocks(benchmark):
+    for shared, alone in item_blocks(benchmark):
         docs = docs.mapInArrow(filtered(shared), docs.schema)
+        if not alone:
+            docs = keep(docs, "clean")
+            shared.destroy()
     return docs
 
 
 def _runner(shared, least: float, item_kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, patterns = zip(*shared.value, strict=True) if shared.value else ((), ())
-        index = Index(list(enumerate(patterns)), least)  # items by place, as ids may repeat
+        items, index = shared.value[1], held_index(shared, least)
+        ids, patterns = zip(*items, strict=True) if items else ((), ())
         for batch in batches:
             found = [(t, ids[i], d, len(patterns[i]), lo, hi) for t, i, d, lo, hi in index.leaks(batch.column(1).to_pylist())]
             text, item, *numbers = zip(*found, strict=True) if found else ((),) * 6

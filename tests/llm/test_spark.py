@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from saleglass.llm import common, decontamination, html_main, licenses, mixing, near_dedup, quality, sharding, suffix_dedup, token_output, toxicity
 from saleglass.llm.alignment import similarity
@@ -239,6 +240,18 @@ def test_leaks(docs, spark):
     assert decontamination.find_leaks(empty(docs), benchmark).count() == 0
 
 
+def test_leaks_in_several_blocks(docs, spark, monkeypatch):
+    words = BASE.split()
+    benchmark = spark.createDataFrame([(i, " ".join(words[i : i + 30])) for i in range(0, 90, 10)] + [(99, prose(30))], "item_id long, text string")
+    clash = docs.withColumn("item_id", F.lit(7)).withColumn("n_edits", F.lit(None).cast("int"))
+    whole = decontamination.find_leaks(clash, benchmark).collect()
+    clean = decontamination.without_leaks(clash, benchmark).collect()
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 60)
+    assert sum(1 for shared, alone in decontamination.item_blocks(benchmark) if not alone) > 2
+    assert sorted(map(str, decontamination.find_leaks(clash, benchmark).collect())) == sorted(map(str, whole)) and whole
+    assert sorted(map(str, decontamination.without_leaks(clash, benchmark).collect())) == sorted(map(str, clean)) and clean
+
+
 def test_leaks_of_items_with_text_ids_that_repeat(docs, spark):
     words = BASE.split()
     rows = [("x", " ".join(words[20:60])), ("x", " ".join(words[60:90])), (None, " ".join(words[90:120])), ("y", prose(30))]

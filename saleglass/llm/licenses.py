@@ -5,12 +5,17 @@ Words are runs of letters and digits in lower case. Fingerprints are hashes of `
 ``GRAM + SPAN - 1`` (five) words always has a fingerprint in common. Fingerprints that meet give candidate places;
 an alignment in a band around them finds which words of the template stand in the text, and where.
 
+Versions and the words that tell kin apart ("Lesser", "NonCommercial") must agree: a place with other such words is no
+match, one with another version is reported as ``<family>-other-version``, unless a template of its own fits it.
+
 Templates are a parameter: pairs of a name and a text of any length. Those given are whole texts of short licenses and the
-notices by which files name long ones; names ending in -grant or -opening are parts that often stand alone.
+notices by which files name long ones; names ending in -grant or -opening are parts that often stand alone. What share of
+its whole license a part makes up is reported too.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,6 +31,11 @@ from saleglass.llm.toxicity import words_of
 GRAM, SPAN, BAND = 3, 3, 12
 LEAST_WORDS, LEAST = 5, 0.8
 
+# Words that tell kin apart, words that a version follows, and the whole license of each part.
+KIN = frozenset(b"lesser affero nc sa nd noncommercial sharealike noderivatives noderivs".split())
+BEFORE_VERSION = frozenset(b"version v by nc sa nd zero cc0 attribution noncommercial sharealike noderivatives gpl lgpl agpl mpl epl apache".split())
+WHOLE = {"MIT-grant": "MIT", "ISC-grant": "ISC", "BSD-opening": "BSD-2-Clause", "Unlicense-opening": "Unlicense"}
+
 # Whole texts of short licenses, and the notices that stand for long ones, as their publishers word them.
 TEMPLATES = (
     ('MIT-notice', 'Released under the MIT License.'),
@@ -64,9 +74,37 @@ TEMPLATES = (
     ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
     ('CC-BY-4.0', 'Licensed under CC BY 4.0.'),
     ('CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0.'),
+    ('CC-BY-ND-4.0', 'Licensed under CC BY-ND 4.0.'),
+    ('CC-BY-NC-SA-4.0', 'Licensed under CC BY-NC-SA 4.0.'),
+    ('CC-BY-NC-ND-4.0', 'Licensed under CC BY-NC-ND 4.0.'),
     ('CC-BY-4.0', 'This work is licensed under a Creative Commons Attribution 4.0 International License.'),
     ('CC-BY-NC-4.0', 'This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.'),
     ('CC-BY-SA-4.0', 'This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.'),
+    ('CC-BY-ND-4.0', 'This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.'),
+    ('CC-BY-NC-SA-4.0', 'This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.'),
+    ('CC-BY-NC-ND-4.0', 'This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.'),
+    ('CC0-1.0-notice', 'This work is marked with CC0 1.0 Universal.'),
+    (
+        'CC0-1.0-notice',
+        'To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this '
+        'software to the public domain worldwide. This software is distributed without any warranty. You should have received a '
+        'copy of the CC0 Public Domain Dedication along with this software. If not, see '
+        '<http://creativecommons.org/publicdomain/zero/1.0/>.',
+    ),
+    (
+        'EPL-2.0-notice',
+        'This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is '
+        'available at https://www.eclipse.org/legal/epl-2.0/',
+    ),
+    (
+        'LGPL-2.1-notice',
+        'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public '
+        'License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later '
+        'version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the '
+        'implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for '
+        'more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, '
+        'write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA',
+    ),
     (
         'BSD-opening',
         'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the '
@@ -204,6 +242,9 @@ TEMPLATES = (
 )
 
 
+COLUMNS = (("license", "string"), ("n_words", "int"), ("n_matched", "int"), ("coverage", "double"), ("first_word", "int"), ("end_word", "int"), ("whole_coverage", "double"))
+
+
 def winnowed(keys: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Places of fingerprints that are smallest among ``SPAN`` neighbours of one text. ``last``: last place of the
     text that each place lies in; texts of fewer fingerprints keep their smallest."""
@@ -239,9 +280,32 @@ def align(pattern: list[bytes], text: list[bytes], shift: int, band: int) -> tup
     return best[1:] if best[0] else None
 
 
+def marks(words: list[bytes]) -> tuple[frozenset[bytes], frozenset[tuple[bytes, ...]]]:
+    """Words that tell kin apart, and versions: the numbers that follow a word of ``BEFORE_VERSION`` directly."""
+    versions = set()
+    for i, w in enumerate(words):
+        if w in BEFORE_VERSION:
+            end = i + 1
+            while end < len(words) and words[end].isdigit() and len(words[end]) <= 2:
+                end += 1
+            if end > i + 1:
+                versions.add(tuple(words[i + 1 : end]))
+    return KIN.intersection(words), frozenset(versions)
+
+
+def family(name: str) -> str:
+    """The name up to its version."""
+    return re.split(r"-v?\d", name, maxsplit=1)[0]
+
+
 class Templates:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> None:
         self.rows = [(name, w) for name, text in templates if len(w := words_of(text)) >= LEAST_WORDS]
+        self.marks = [marks(w) for _, w in self.rows]
+        sizes: dict[str, int] = {}
+        for name, w in self.rows:
+            sizes[name] = max(len(w), sizes.get(name, 0))
+        self.whole = {name: sizes.get(WHOLE.get(name, name), n) for name, n in sizes.items() if name in WHOLE}
         places = defaultdict(list)
         for t, (_, w) in enumerate(self.rows):
             keys = grams(hashes(w), GRAM)[: len(w) - GRAM + 1]
@@ -251,8 +315,8 @@ class Templates:
         self.keys = np.array(sorted(places), np.uint64)
 
     def matches(self, words: list[bytes], hits: list[tuple[int, int]]) -> list[tuple[str, int, int, int, int]]:
-        """(name, template words, matched, start, end) in one text, the best where spans overlap.
-        ``hits``: place and fingerprint."""
+        """(name, template words, matched, start, end) in one text, the best where spans overlap; other versions come
+        last. ``hits``: place and fingerprint."""
         shifts = defaultdict(set)
         for place, key in hits:
             for t, i in self.index[key]:
@@ -268,12 +332,19 @@ class Templates:
                 lo = max(0, s - BAND)
                 hit = align(pattern, words[lo : s + len(pattern) + BAND + 1], s - lo, 2 * BAND)
                 if hit and hit[0] >= LEAST_WORDS and hit[0] >= LEAST * len(pattern):
-                    found.append((name, len(pattern), hit[0], lo + hit[1], lo + hit[2]))
-        found.sort(key=lambda x: (-x[2], x[1], x[3], x[0]))
+                    end = lo + hit[2]
+                    if words[end - 1] in BEFORE_VERSION:  # another version follows the last word that fits
+                        end += 2
+                    kin, versions = marks(words[lo + hit[1] : end])
+                    if kin != self.marks[t][0]:
+                        continue
+                    other = versions != self.marks[t][1] and self.marks[t][1] != frozenset()
+                    found.append((other, f"{family(name)}-other-version" if other else name, len(pattern), hit[0], lo + hit[1], lo + hit[2]))
+        found.sort(key=lambda x: (x[0], -x[3], x[2], x[4], x[1]))
         chosen: list[tuple[str, int, int, int, int]] = []
-        for x in found:
+        for _, *x in found:
             if all(x[4] <= y[3] or x[3] >= y[4] for y in chosen):
-                chosen.append(x)
+                chosen.append(tuple(x))
         return sorted(chosen, key=lambda x: x[3])
 
     def scan(self, texts: list) -> Iterator[tuple[int, tuple[str, int, int, int, int]]]:
@@ -300,7 +371,8 @@ class Templates:
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """License texts found in ``docs``: id, license, n_words (of the template), n_matched, coverage, first_word, end_word.
+    """License texts found in ``docs``: id, license, n_words (of the template), n_matched, coverage, first_word, end_word,
+    whole_coverage (words matched for each word of the whole license, where the template is a part of one).
 
     One row for each place whose best template is covered to ``LEAST`` or more, in words. Null, empty and short texts
     have none; repeated rows are reported again; an empty table gives no rows; other columns are ignored. The templates
@@ -314,10 +386,11 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
             at = pa.array([t for t, _ in rows], pa.int64())
             cols = [pa.array([m[i] for _, m in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))]
             cover = pa.array([m[2] / m[1] for _, m in rows], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *cols[:3], cover, *cols[3:]], names=[id_col, "license", "n_words", "n_matched", "coverage", "first_word", "end_word"])
+            whole = pa.array([m[2] / known.whole.get(m[0], m[1]) for _, m in rows], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *cols[:3], cover, *cols[3:], whole], names=[id_col, *(name for name, _ in COLUMNS)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, license string, n_words int, n_matched int, coverage double, first_word int, end_word int")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{name} {own}" for name, own in COLUMNS))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,6 +184,54 @@ def test_whole_licenses_against_brute_force():
             assert all(m[1] < len(words) for m in half)
 
 
+def test_versions_and_kin_are_told_apart():
+    t = licenses.Templates()
+    texts = {" ".join(w.decode() for w in words): name for name, words in t.rows}
+    lesser = next(x for x, name in texts.items() if name == "LGPL-2.1-notice")
+    mit = next(w for name, w in t.rows if name == "MIT")
+    cases = {
+        lesser: "LGPL-2.1-notice",
+        lesser.replace("2 1 of", "4 of"): "LGPL-other-version",
+        lesser.replace("lesser ", ""): "GPL-other-version",
+        "licensed under CC BY 4.0. 12 more": "CC-BY-4.0",
+        "licensed under CC BY 3.0": "CC-BY-other-version",
+        "licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License": "CC-BY-other-version",
+        "This work is licensed under the GNU General Public License, version 3": "GPL-3.0-notice",
+        "This work is licensed under the GNU General Public License, version 1": "GPL-other-version",
+        "Licensed under the Apache License, Version 1.1": "Apache-other-version",
+        "This work is marked with CC0 1.0 Universal": "CC0-1.0-notice",
+        " ".join(w.decode() for w in mit[: len(mit) * 7 // 10]): "MIT-grant",
+    }
+    for text, name in cases.items():
+        found = [m[0] for _, m in t.scan([f"some words before it {text} and some after it"])]
+        assert found == [name], (text, found)
+    assert t.whole["MIT-grant"] == len(mit)
+
+
+def test_banded_alignment_against_the_whole_table():
+    """Score of the best local alignment, where the band holds every cell; matched words and span as one of the best."""
+
+    def whole(a, b):
+        best, rows = 0, [[0] * (len(b) + 1)]
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(max(0, rows[-1][j] + (2 if x == y else -1), rows[-1][j + 1] - 1, row[-1] - 1))
+            rows.append(row)
+            best = max(best, *row)
+        return best
+
+    for _ in range(150):
+        a, b = ([R.choice("abcd") for _ in range(R.randrange(1, 14))] for _ in range(2))
+        want, got = whole(a, b), licenses.align(a, b, 0, 20)
+        if not want:
+            assert got is None
+            continue
+        matched, start, end = got
+        assert whole(a, b[start:end]) == want and 2 * matched >= want and matched <= end - start
+
+
 def test_coder_round_trips_and_blocks_are_independent():
     rng = np.random.default_rng(3)
     blocks = [np.zeros(0, np.uint32), np.full(500, 49407, np.uint32), rng.integers(0, 65535, 333).astype(np.uint32), np.tile(rng.integers(0, 99, 40), 20).astype(np.uint32)]

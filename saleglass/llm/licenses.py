@@ -6,7 +6,8 @@ Words are runs of letters and digits in lower case. Fingerprints are hashes of `
 an alignment in a band around them finds which words of the template stand in the text, and where.
 
 Versions and the words that tell kin apart ("Lesser", "NonCommercial") must agree: a place with other such words is no
-match, one with another version is reported as ``<family>-other-version``, unless a template of its own fits it.
+match, one with another version is reported as ``<family>-other-version``, unless a template of its own fits it. (A notice
+of so few words that another version leaves no run of five in common is not met at all.)
 
 Templates are a parameter: pairs of a name and a text of any length. Those given are whole texts of short licenses and the
 notices by which files name long ones; names ending in -grant or -opening are parts that often stand alone. What share of
@@ -74,6 +75,10 @@ TEMPLATES = (
     ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
     ('CC-BY-4.0', 'Licensed under CC BY 4.0.'),
     ('CC-BY-SA-4.0', 'Licensed under CC BY-SA 4.0.'),
+    ('CC-BY-3.0', 'Licensed under CC BY 3.0.'),
+    ('CC-BY-SA-3.0', 'Licensed under CC BY-SA 3.0.'),
+    ('CC-BY-3.0', 'This work is licensed under a Creative Commons Attribution 3.0 Unported License.'),
+    ('CC-BY-SA-3.0', 'This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.'),
     ('CC-BY-ND-4.0', 'Licensed under CC BY-ND 4.0.'),
     ('CC-BY-NC-SA-4.0', 'Licensed under CC BY-NC-SA 4.0.'),
     ('CC-BY-NC-ND-4.0', 'Licensed under CC BY-NC-ND 4.0.'),

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 from itertools import pairwise
 
@@ -188,18 +189,19 @@ def test_versions_and_kin_are_told_apart():
     t = licenses.Templates()
     texts = {" ".join(w.decode() for w in words): name for name, words in t.rows}
     lesser = next(x for x, name in texts.items() if name == "LGPL-2.1-notice")
+    apache = max((x for x, name in texts.items() if name == "Apache-2.0-notice"), key=len)
     mit = next(w for name, w in t.rows if name == "MIT")
     cases = {
         lesser: "LGPL-2.1-notice",
         lesser.replace("2 1 of", "4 of"): "LGPL-other-version",
         lesser.replace("lesser ", ""): "GPL-other-version",
         "licensed under CC BY 4.0. 12 more": "CC-BY-4.0",
-        "licensed under CC BY 3.0": "CC-BY-other-version",
+        "licensed under CC BY 3.0": "CC-BY-3.0",
         "licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
-        "This work is licensed under a Creative Commons Attribution 3.0 International License": "CC-BY-other-version",
+        "This work is licensed under a Creative Commons Attribution 2.5 International License": "CC-BY-other-version",
         "This work is licensed under the GNU General Public License, version 3": "GPL-3.0-notice",
         "This work is licensed under the GNU General Public License, version 1": "GPL-other-version",
-        "Licensed under the Apache License, Version 1.1": "Apache-other-version",
+        apache.replace("version 2 0", "version 1 1"): "Apache-other-version",
         "This work is marked with CC0 1.0 Universal": "CC0-1.0-notice",
         " ".join(w.decode() for w in mit[: len(mit) * 7 // 10]): "MIT-grant",
     }
@@ -232,6 +234,31 @@ def test_banded_alignment_against_the_whole_table():
         assert whole(a, b[start:end]) == want and 2 * matched >= want and matched <= end - start
 
 
+def test_class_words_drop_no_paragraph_of_an_article():
+    for word in "promotion related-work share-price social notice-board-history banner-headline widget-theory copyright-note".split():
+        assert html_main.main_text(f"<article><p>Lead.</p><p class={word}>Body text.</p></article>", None) == "Lead.\nBody text.", word
+    for word in "feedback discussion user-reviews thread kommentare".split():
+        for page in (f"<article><p>Lead.</p><div class={word}><p>Nice</p></div></article>", f"<body><div><p>Lead.</p></div><div class={word}><div><p>Nice</p></div></div></body>"):
+            assert html_main.main_text(page, None) == "Lead.", word
+    assert html_main.main_text('<article><p>Lead.</p><p class="ad">Buy</p><section class=discussion><p>Found.</p></section></article>', None) == "Lead.\nFound."
+
+
+def test_many_stray_end_tags_take_linear_time():
+    start = time.perf_counter()
+    assert html_main.main_text("<main>" + "<div>" * 20_000 + "word" + "</section>" * 20_000, None) == "word"
+    assert time.perf_counter() - start < 3
+
+
+def test_long_rows_of_elements_are_aligned_exactly():
+    for n in (0, 1, 7, 60, 120):
+        x, y = ([R.choice("abcd") for _ in range(n)] for _ in range(2))
+        pairs = html_main._long_common(x, y)
+        assert all(x[i] == y[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in pairwise(pairs))
+        assert len(pairs) == len(html_main.aligned(x, y))
+    x = [R.choice("abcd") for _ in range(900)]
+    assert html_main.aligned(x, x[:300] + ["z"] + x[350:]) and len(html_main.aligned(x + ["q"], ["r", *x, "s"])) == 900
+
+
 def test_coder_round_trips_and_blocks_are_independent():
     rng = np.random.default_rng(3)
     blocks = [np.zeros(0, np.uint32), np.full(500, 49407, np.uint32), rng.integers(0, 65535, 333).astype(np.uint32), np.tile(rng.integers(0, 99, 40), 20).astype(np.uint32)]

@@ -9,6 +9,9 @@ The element that holds the host's articles is an article or main element with te
 most of the slot text; constant text doesn't count (but where a host has one page, all text does). What a host of three
 pages or more repeats in every page, element and text alike, is not part of an article and goes too, headings apart.
 
+Words of class names tell containers apart only. A paragraph, item, cell or heading of the article stays whatever its
+class speaks of, unless the whole name says advert or comment.
+
 Wrappers are inferred within tasks, then merged by salted host and by host; no page leaves its task for that, and what
 is merged has the size of a template. Pages then go through their host's wrapper.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from saleglass.llm.common import keep
 
 SALTS, HELD_HOSTS, BROADCAST_BYTES = 16, 5000, 8_000_000
-ALIGNED, NEAR, TEMPLATE_PAGES = 250_000, 50, 3
+ALIGNED, TEMPLATE_PAGES = 250_000, 3
 
 # Names of HTML elements and usual words of class names.
 BLOCKS = frozenset(
@@ -48,6 +52,10 @@ BOILERPLATE = frozenset(
     "recommendations pagination pager toolbar widget copyright disclaimer".split()
 )
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+TALK = frozenset("feedback discussion discussions thread threads reviews responses talkback kommentar kommentare commentaires comentarios commenti".split())  # of lists
+LISTS = frozenset("div ul ol dl".split())
+FLOW = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption address summary".split())
+NO_FLOW = frozenset("ad ads advert adverts advertisement advertising sponsored breadcrumb breadcrumbs pagination comment comments reply".split())
 STATES = frozenset("has with no without open opened closed enabled disabled on off allowed".split())  # of a name such as comments-open
 ARTICLES = frozenset("article content entry post story text".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -64,7 +72,12 @@ class Element:
         self.sign = name + "".join(f".{w}" for w in words)
         parts = [[x for x in re.split(r"[^a-z]+", w) if x] for w in words]
         told = {x for own in parts if not STATES.intersection(own) for x in own}  # has-sidebar speaks of a neighbour
-        named = bool(told & (BOILERPLATE | COMMENTS)) if name not in KEPT else name == "article" and any(w in COMMENTS for w in words)
+        if name in KEPT:
+            named = name == "article" and any(w in COMMENTS for w in words)
+        elif name in FLOW:
+            named = any(w in NO_FLOW for w in words)
+        else:
+            named = bool(told & (BOILERPLATE | COMMENTS)) or name in LISTS and bool(told & TALK) and not told & ARTICLES
         self.dropped = name in DROPPED or named
         self.spared = name not in DROPPED and bool(told & ARTICLES) and not told & COMMENTS  # kept where nothing else is left
 
@@ -81,6 +94,13 @@ def parse(page: str | None) -> Element:
     page = page or ""
     root = Element("#root")
     stack, at = [root], 0
+    opened: Counter[str] = Counter()
+
+    def close() -> str:
+        name = stack.pop().name
+        opened[name] -= 1
+        return name
+
     while m := TOKEN.match(page, at):
         at = m.end()
         if not m[2]:
@@ -91,10 +111,8 @@ def parse(page: str | None) -> Element:
             continue
         name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+            while opened[name] and close() != name:
+                pass
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -111,14 +129,15 @@ def parse(page: str | None) -> Element:
         else:
             new = Element(name, words)
             while len(stack) > 1 and stack[-1].name == "p":
-                stack.pop()
+                close()
             if name in CLOSES and stack[-1].name in CLOSES[name]:
-                stack.pop()
+                close()
                 if name == "tr" and stack[-1].name == "tr":
-                    stack.pop()
+                    close()
         stack[-1].items.append(new)
         if name not in VOID and not m[3].endswith("/"):
             stack.append(new)
+            opened[name] += 1
     return root
 
 
@@ -198,14 +217,9 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
         end += 1
     x, y = a[start : len(a) - end], b[start : len(b) - end]
-    if len(x) * len(y) > ALIGNED:  # very many children: each to the next one of its sign
-        i = 0
-        for j, sign in enumerate(y):
-            if sign in x[i : i + NEAR]:
-                i = x.index(sign, i)
-                pairs.append((start + i, start + j))
-                i += 1
-        return pairs + [(len(a) - end + k, len(b) - end + k) for k in range(end)]
+    tail = [(len(a) - end + k, len(b) - end + k) for k in range(end)]
+    if len(x) * len(y) > ALIGNED:
+        return pairs + [(start + i, start + j) for i, j in _long_common(x, y)] + tail
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -219,7 +233,30 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             i += 1
         else:
             j += 1
-    return pairs + [(len(a) - end + k, len(b) - end + k) for k in range(end)]
+    return pairs + tail
+
+
+def _long_common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence of long lists. A row of the table is one number with a bit a column: 0 where the length
+    grows by one, so a table of n by m cells takes n * m / 8 bytes and n operations on whole rows."""
+    at: dict[str, int] = {}
+    for j, sign in enumerate(y):
+        at[sign] = at.get(sign, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    rows = [full]
+    for sign in x:
+        row, same = rows[-1], at.get(sign, 0)
+        rows.append((row + (row & same) | row & ~same) & full)
+    pairs, i, j = [], len(x), len(y)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:  # no longer for this column
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:  # nor for this row
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
 
 
 def slot_text(wrapper: list) -> dict[int, int]:

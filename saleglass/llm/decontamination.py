@@ -20,6 +20,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -151,23 +152,24 @@ class Index:
         """(start, item) of windows that meet an item in a table."""
         windows = self.windows(h, ends)
         found: set[tuple[int, int]] = set()
-        for seed, by_size in enumerate(self.tables):
-            own_windows = {n: x for n, x in windows.items() if n in by_size}
-            if not own_windows:
-                break
-            starts, steps = np.unique(np.concatenate(list(own_windows.values()))), REACH * max(own_windows)
+        efforts = sorted({0, *(effort(n)[0] for n in windows)})
+        for before, last in pairwise(efforts):  # walks that the same sizes ask for
+            own = {n: x for n, x in windows.items() if effort(n)[0] >= last}
+            starts, steps = np.unique(np.concatenate(list(own.values()))), REACH * max(own)
             for part in np.array_split(starts, -(-len(starts) * steps // WALK_CELLS)):
-                written, pointer = walk(h, part, ends[part], steps, seed)
-                for n, own in own_windows.items():
-                    col = np.flatnonzero(np.isin(part, own, assume_unique=True))
-                    if not len(col):
-                        continue
-                    for picks, keys, items in by_size[n]:
-                        w = np.where(pointer[picks][:, col] < part[col] + n, written[picks][:, col], np.uint64(0))
-                        k = self._key(w)
-                        lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
-                        for c in np.flatnonzero(hi > lo):
-                            found.update((int(part[col[c]]), int(i)) for i in items[lo[c] : hi[c]])
+                columns = {n: col for n, x in own.items() if len(col := np.flatnonzero(np.isin(part, x, assume_unique=True)))}
+                for seed in range(before, last):
+                    written, pointer = walk(h, part, ends[part], steps, seed)
+                    for n, col in columns.items():
+                        stop = part[col] + n
+                        for picks, keys, items in self.tables[seed][n]:
+                            at = picks[:, None], col
+                            k = self._key(np.where(pointer[at] < stop, written[at], np.uint64(0)))
+                            lo = np.searchsorted(keys, k)
+                            hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == k)
+                            hi = np.searchsorted(keys, k[hit], "right")
+                            for c, end in zip(hit.tolist(), hi.tolist(), strict=True):
+                                found.update((int(part[col[c]]), int(i)) for i in items[lo[c] : end])
         return found
 
     def leaks(self, texts: list) -> Iterator[tuple[int, int, int, int, int]]:
@@ -186,7 +188,7 @@ class Index:
             for (t, item), starts in sorted(at.items()):
                 item_id, pattern = self.items[item]
                 k, best, done = self.sizes[len(pattern)].edits, None, -1
-                for s in sorted(starts):
+                for s in starts:
                     lo, hi = max(first[t], s - k), min(first[t] + sizes[t], s + len(pattern) + 2 * k)
                     if hi <= done:
                         continue

@@ -148,10 +148,11 @@ class Index:
                     found[n] = np.flatnonzero(total[np.maximum(reach, place)] - total[:-1] >= s.needed)
         return {n: x for n, x in found.items() if len(x)}
 
-    def candidates(self, h: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) of windows that meet an item in a table."""
-        windows = self.windows(h, ends)
-        found: set[tuple[int, int]] = set()
+    def candidates(self, h: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+        """(start, item) of windows that meet an item in a table, by start."""
+        windows, found = self.windows(h, ends), []
+        if not windows:
+            return []
         efforts = sorted({0, *(effort(n)[0] for n in windows)})
         for before, last in pairwise(efforts):  # walks that the same sizes ask for
             own = {n: x for n, x in windows.items() if effort(n)[0] >= last}
@@ -167,10 +168,10 @@ class Index:
                             k = self._key(np.where(pointer[at] < stop, written[at], np.uint64(0)))
                             lo = np.searchsorted(keys, k)
                             hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == k)
-                            hi = np.searchsorted(keys, k[hit], "right")
-                            for c, end in zip(hit.tolist(), hi.tolist(), strict=True):
-                                found.update((int(part[col[c]]), int(i)) for i in items[lo[c] : end])
-        return found
+                            count = np.searchsorted(keys, k[hit], "right") - lo[hit]
+                            place = np.arange(count.sum()) + np.repeat(lo[hit] - np.cumsum(count) + count, count)
+                            found.append(np.repeat(part[col[hit]], count) * len(self.items) + items[place])
+        return [divmod(x, len(self.items)) for x in np.unique(np.concatenate(found)).tolist()]
 
     def leaks(self, texts: list) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item id, distance, first word, end word) for the best part of each text for each item that leaks."""

@@ -154,6 +154,16 @@ def test_a_filter_on_a_parsed_column_leaves_the_claims_alone(spark):
     assert plan.count("regexp_replace") < 60
 
 
+def test_titles_that_differ_in_numbers_are_read_once(spark, monkeypatch):
+    seen, read = [], tt.words_read
+    monkeypatch.setattr(tt, "words_read", lambda works, *more: seen.append(sorted(r["work"] for r in works.collect())) or read(works, *more))
+    titles = [f"PSA {i % 10 + 1} {1990 + i}  Prizm #{i} Joe Doe {i}/{i + 50}" for i in range(1, 30)] + ["2020 Prizm Josh Allen Jaguars", "1999 Prizm  Josh Allen \t\t Jaguars #4", "Game 12/99 Worn"]
+    got = parse_titles(spark.createDataFrame(list(enumerate(titles)), "i int, title string"), STANDARD).orderBy("i").collect()
+    assert seen == [["Game  Worn", "Prizm  Joe Doe", "Prizm  Josh Allen  Jaguars", "Prizm Josh Allen Jaguars"]]
+    assert [(r["card_number"], r["year"], r["player"], r["serial"]) for r in got[:29]] == [(str(i), 1990 + i, "Joe Doe", i) for i in range(1, 30)]
+    assert [r["player"] for r in got[29:31]] == ["Josh Hines-Allen"] * 2 and got[31]["is_relic"] == 1
+
+
 def test_known_names_of_nothing(spark):
     names = spark.createDataFrame([], "name string")
     df = spark.createDataFrame([(["a b"], ["abcdefgh"]), (None, None), ([], [])], "w array<string>, f array<string>")

@@ -8,9 +8,10 @@ also holds the class of the length (and of the next one). Texts of a band are co
 A band is settled once its texts lie in one component. Every other band goes on with two leaders more: the text that has
 most links so far (the original of many variants, which aren't alike among themselves, has links from the leaders of all
 its bands, the middle of a chain from both its ends) and the first in one order of all texts. A band whose leaders found
-a link goes on for as long as it stays unsettled; one whose leaders found nothing more is left. So the work stays in
-proportion to the rows of the bands, also where thousands of unlike texts share a passage and with it their bands;
-similar texts meet in several bands, each with leaders of its own.
+a link goes on for as long as it stays unsettled. What leaders leave is compared exactly: in every band whose texts still
+lie in several components, all pairs of different components are held against each other, in blocks of ``BLOCK`` by
+``BLOCK`` texts dealt over all tasks; only pairs that their bags don't rule out become rows. So no pair that shares a band
+is left out, whatever the size of the band; this part grows with the square of a band's unlike texts.
 
 Pairs are first held against each other by bags of words, which rule out most unlike texts before any text is read. A
 link is a word edit similarity of ``LEAST`` or more. Classes are the connected components of links.
@@ -32,6 +33,8 @@ from saleglass.llm.components import components
 
 KMER, PICKS, BANDS, LEAST = 3, 2, 40, 0.8
 BAG, SALTS = 512, 64
+#: Texts in a block of a large band.
+BLOCK = 64
 
 _rng = np.random.default_rng(5)
 _WORD = _rng.integers(1, 2**62, KMER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,7 +213,48 @@ def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _degree(links: DataFrame) -> DataFrame:
-    return links.select(F.explode(F.array("leader", "node")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    ends = (links.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n")) for end in ("leader", "node"))
+    return next(ends).unionByName(next(ends)).groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def _unlike(of: pa.Table, least: float) -> pa.Table:
+    """Pairs of a block pair (rows as in ``_rest``) that lie in different components and may be similar."""
+    node, side, group, n = (of.column(c).to_numpy() for c in ("node", "first", "class", "n_words"))
+    bag = np.frombuffer(b"".join(of.column("bag").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+    alone = of.column("i")[0].as_py() == of.column("j")[0].as_py()
+    pairs = []
+    for x in range(len(node)) if alone else np.flatnonzero(side):
+        edits = (np.maximum(n, n[x]) * (1 - least) + 1e-9).astype(np.int64)
+        other = np.flatnonzero((node > node[x] if alone else ~side) & (group != group[x]) & (np.abs(n - n[x]) <= edits))
+        other = other[np.abs(bag[other] - bag[x]).sum(1, dtype=np.int64) <= 2 * edits[other]]
+        pairs += [(min(node[x], node[y]), max(node[x], node[y])) for y in other]
+    return pa.table({"leader": pa.array([p[0] for p in pairs], pa.int64()), "node": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _rest(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """All pairs (leader, node) of different components within the keys of ``rows`` (key, node, class) that may be similar."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.select("key", "node", "class", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    met = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), "node", "class")
+    met = met.join(texts.select("node", "n_words", "bag"), "node").select("key", "i", "j", "first", "node", "class", "n_words", "bag")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            of = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(0)) + 1)]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                yield from _unlike(held.slice(begin, end - begin), least).to_batches()
+            held = held.slice(cuts[-1])
+        if held is not None:
+            yield from _unlike(held, least).to_batches()
+
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "leader long, node long").distinct()
 
 
 def _next_led(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -265,6 +309,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     banded = banded.select("node", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"), "k.band", "k.key")
     banded = banded.withColumn("key", F.xxhash64("key", "size_class")).select("node", "key")
     led = keep(_led(banded), "near-bands")
+    bands = led.select("key", "node")  # their first leader has met them all
 
     wanted = led.select(F.explode(F.array("node", "leader")).alias("node")).distinct().join(nodes.select("node", "atom", "n_words", "bag"), "node")
     chosen = source.select("id", "atom").groupBy("atom").agg(F.min("id").alias("one")).join(wanted, "atom")
@@ -286,6 +331,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         of_use = led.join(found, ["leader", "node"], "left_semi").select("key").distinct()
         rows = led.where("not was_led").select("key", "node").distinct().join(of_use, "key", "left_semi")
 
+    met = tested.unionByName(tested.select(F.col("node").alias("leader"), F.col("leader").alias("node")))
+    left = keep(_rest(_mixed(bands, classes), texts, least).join(met, ["leader", "node"], "left_anti"), "near-left")
+    found = keep(_verified(left, texts, least), "near-links")
+    if not found.isEmpty():
+        links, classes = links.unionByName(found), _joined(classes, found)
+
     links = keep(links.distinct(), "near-links")
     classed = nodes.select("node", "atom").join(classes, "node", "left").join(_degree(links), "node", "left")
     classed = classed.select("atom", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

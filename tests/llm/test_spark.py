@@ -363,3 +363,24 @@ def test_pipeline_stages(spark, sf_dir):
     tokens = p.STAGES[-1][1](spark, docs, sf_dir)
     assert tokens.count() == docs.count() and tokens.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert p.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("block", [64, 7])
+def test_all_pairs_of_a_band_are_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    texts = [" ".join(f"w{i // 3}x{k}" for k in range(40)) + f" end{i}" for i in range(60)]
+    n_words, _, bag = near_dedup.sketch(texts)
+    held = spark.createDataFrame([(i, int(n_words[i]), bytearray(bag[i].tobytes())) for i in range(60)], "node long, n_words long, bag binary")
+    rows = spark.createDataFrame([(i % 2, i, 0 if i < 6 else i) for i in range(60)], "key long, node long, class long")
+    got = near_dedup._rest(rows, held, 0.8).collect()
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a // 3 == b // 3 and a % 2 == b % 2 and b >= 6}
+    assert len(got) == len(want) and {(r["leader"], r["node"]) for r in got} == want
+
+
+def test_what_leaders_of_a_band_leave_is_compared_too(spark, monkeypatch):
+    """All texts share one band: three pairs of similar texts among many unlike ones, which leaders don't meet."""
+    sketched = near_dedup._sketched
+    monkeypatch.setattr(near_dedup, "_sketched", lambda docs: sketched(docs).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    rows = [(2 * i + j, " ".join(f"w{i}x{k}" for k in range(40)) + f" end{j}") for i in range(90) for j in range(2 if i % 30 == 0 else 1)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}

@@ -12,7 +12,7 @@ from saleglass.functions import stats
 from saleglass.functions import text as x
 from saleglass.functions.text import folded_person, same_person
 from saleglass.operators.partitions import settled
-from saleglass.operators.titles import Vocabulary, numbered, worded, works_of
+from saleglass.operators.titles import Vocabulary, numbers_of, shaped, with_read, worded, works_of
 
 #: Share of a card's sales that name others than its leader, from which it counts as contradictory.
 DISSENT = 0.1
@@ -21,10 +21,11 @@ DISSENT = 0.1
 def parse_grid(titles: DataFrame, configs: Iterable[tuple[str, Vocabulary, DataFrame | None]], sport: str = "football") -> DataFrame:
     """config, item_id, player, card_key of each title (item_id, title) under each (name, vocabulary, roster). What no
     vocabulary decides is read once, and so is what is left of equal titles."""
-    early = settled(numbered(titles), "numbered")
+    rows = settled(shaped(titles), "shaped")
+    early = numbers_of(rows)
     works, each = works_of(early), []
     for name, vocabulary, roster in configs:
-        p = worded(early, vocabulary, roster, works).withColumns({"sport": F.lit(sport), "print_run": F.col("print_run").cast("string")})
+        p = with_read(rows, worded(early, vocabulary, roster, works)).withColumns({"sport": F.lit(sport), "print_run": F.col("print_run").cast("string")})
         each.append(p.select(F.lit(name).alias("config"), "item_id", "player", x.card_key(sport).alias("card_key")))
     return functools.reduce(DataFrame.unionByName, each)
 

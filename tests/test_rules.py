@@ -164,6 +164,22 @@ def test_titles_that_differ_in_numbers_are_read_once(spark, monkeypatch):
     assert [r["player"] for r in got[29:31]] == ["Josh Hines-Allen"] * 2 and got[31]["is_relic"] == 1
 
 
+def test_numbers_are_taken_out_once_a_shape(spark, monkeypatch):
+    """Titles that differ only in a certain number are one shape, and every title reads as it does by itself."""
+    seen, once = [], tt.numbers_of
+    monkeypatch.setattr(tt, "numbers_of", lambda rows: seen.append(sorted(r["_shape"] for r in rows.select("_shape").distinct().collect())) or once(rows))
+    alike = [f"2020 Prizm Joe Doe {text}" for n in (1, 12, 1999, 2020) for text in (f"#{n} PSA 10", f"#{n}gh-lb", f"TRC-{n} RC", f"card #NFS-{n} 7/99")]
+    odd = [
+        "2020 Prizm #12 overall pick Joe Doe", "2020 Prizm #12 PSA10 #13", "2020 Prizm #PSA-9 Joe Doe", "2020 Prizm Joe Doe #12-PSA", "Joe Doe #12345 2020", "#49ers Josh Allen Prizm #4",
+        "Josh Allen #49ers", "Prizm #2021/99", "PSA # 10 Prizm", "TRC-12 AB-13 2020", "PSA-10 Prizm 2020", "#10 card lot Prizm", "lot of #12", "TRC-4 cards lot", "Prizm -2020 TRC-12", "#12\tPrizm", None, "#1-330 Prizm", "#12abcd-e",
+    ]
+    df = spark.createDataFrame(list(enumerate(alike + odd)), "i int, title string")
+    got = parse_titles(df, STANDARD).orderBy("i").collect()
+    assert len([x for x in seen[0] if x.startswith("2020 Prizm Joe Doe ")]) == 5  # four shapes, and one that is odd
+    whole = df.withColumns({"_shape": F.coalesce("title", F.lit("")), "_number": F.lit(None).cast("string")})
+    assert got == tt.with_read(whole, tt.worded(once(whole), STANDARD)).orderBy("i").collect()
+
+
 def test_known_names_of_nothing(spark):
     names = spark.createDataFrame([], "name string")
     df = spark.createDataFrame([(["a b"], ["abcdefgh"]), (None, None), ([], [])], "w array<string>, f array<string>")

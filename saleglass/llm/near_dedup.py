@@ -9,9 +9,9 @@ A band is settled once its texts lie in one component. Every other band goes on
 most links so far (the original of many variants, which aren't alike among themselves, has links from the leaders of all
 its bands, the middle of a chain from both its ends) and the first in one order of all texts. A band whose leaders found
 a link goes on for as long as it stays unsettled. What leaders leave is compared exactly: in every band whose texts still
-lie in several components, all pairs of different components are held against each other, in blocks of ``BLOCK`` by
-``BLOCK`` texts dealt over all tasks; only pairs that their bags don't rule out become rows. So no pair that shares a band
-is left out, whatever the size of the band; this part grows with the square of a band's unlike texts.
+lie in several components, the texts outside of the largest one are held against all texts of other components, in blocks of
+``BLOCK`` by ``BLOCK`` texts dealt over all tasks; only pairs that their bags don't rule out become rows. So no pair that shares a
+band is left out, whatever the size of the band; this part grows with a band's texts times those outside of its largest component.
 
 Pairs are first held against each other by bags of words, which rule out most unlike texts before any text is read. A
 link is a word edit similarity of ``LEAST`` or more. Classes are the connected components of links.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saleglass.llm.alignment import similarity
@@ -206,10 +206,10 @@ def _led(rows: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (key, node) of keys whose nodes lie in several components, with the component as class."""
-    classed = keep(rows.join(classes, "node"), "near-rest")
-    several = classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
-    return classed.join(several, "key", "left_semi")
+    """Rows (key, node) of keys whose nodes lie in several components, with the component as class. Only these are written."""
+    of_key = Window.partitionBy("key")
+    classed = rows.join(classes, "node").withColumns({"a": F.min("class").over(of_key), "b": F.max("class").over(of_key)})
+    return keep(classed.where("a < b").select("key", "node", "class"), "near-rest")
 
 
 def _degree(links: DataFrame) -> DataFrame:
@@ -221,23 +221,37 @@ def _unlike(of: pa.Table, least: float) -> pa.Table:
     """Pairs of a block pair (rows as in ``_rest``) that lie in different components and may be similar."""
     node, side, group, n = (of.column(c).to_numpy() for c in ("node", "first", "class", "n_words"))
     bag = np.frombuffer(b"".join(of.column("bag").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
-    alone = of.column("i")[0].as_py() == of.column("j")[0].as_py()
     pairs = []
-    for x in range(len(node)) if alone else np.flatnonzero(side):
+    for x in np.flatnonzero(side):
         edits = (np.maximum(n, n[x]) * (1 - least) + 1e-9).astype(np.int64)
-        other = np.flatnonzero((node > node[x] if alone else ~side) & (group != group[x]) & (np.abs(n - n[x]) <= edits))
+        other = np.flatnonzero(~side & (group != group[x]) & (np.abs(n - n[x]) <= edits))
         other = other[np.abs(bag[other] - bag[x]).sum(1, dtype=np.int64) <= 2 * edits[other]]
         pairs += [(min(node[x], node[y]), max(node[x], node[y])) for y in other]
     return pa.table({"leader": pa.array([p[0] for p in pairs], pa.int64()), "node": pa.array([p[1] for p in pairs], pa.int64())})
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, class) in pairs of blocks (key, i, j): those that are ``first`` are to meet the others of their pair.
+
+    Of two nodes in different components one at least stands outside the key's largest component. So those outside, which
+    leaders leave few of, meet all nodes, in blocks: the largest component is never held against itself."""
+    of_key, all_of_key = Window.partitionBy("key"), F.count("*").over(Window.partitionBy("key"))
+    sized = rows.withColumn("n", F.count("*").over(Window.partitionBy("key", "class")))
+    sized = sized.withColumns({"outside": F.col("class") != F.max_by("class", F.struct("n", "class")).over(of_key), "js": F.ceil(all_of_key / F.lit(BLOCK))})
+    sized = sized.withColumn("is", F.ceil(F.count_if("outside").over(of_key) / F.lit(BLOCK)))
+    at = F.xxhash64("node")
+
+    def blocks(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    one = sized.where("outside").select("key", F.pmod(at, F.col("is")).alias("i"), blocks("js").alias("j"), F.lit(True).alias("first"), "node", "class")
+    two = sized.select("key", blocks("is").alias("i"), F.pmod(at, F.col("js")).alias("j"), F.lit(False).alias("first"), "node", "class")
+    return one.unionByName(two)
+
+
 def _rest(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """All pairs (leader, node) of different components within the keys of ``rows`` (key, node, class) that may be similar."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.select("key", "node", "class", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    met = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), "node", "class")
-    met = met.join(texts.select("node", "n_words", "bag"), "node").select("key", "i", "j", "first", "node", "class", "n_words", "bag")
+    met = _dealt(rows).join(texts.select("node", "n_words", "bag"), "node").select("key", "i", "j", "first", "node", "class", "n_words", "bag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -262,10 +276,10 @@ def _next_led(rows: DataFrame, links: DataFrame) -> DataFrame:
     of many variants has, and the first in one order of all texts."""
     of_key, of_all = F.xxhash64("key", "node"), F.xxhash64("node")
     ranked = rows.join(_degree(links), "node", "left").select("key", "node", "class", F.struct(F.coalesce("n_links", F.lit(0)), of_key).alias("rank"), of_all.alias("chance"))
-    one = F.struct("node", "class")
-    led = ranked.groupBy("key").agg(F.array_distinct(F.array(F.max_by(one, "rank"), F.min_by(one, "chance"))).alias("leds"))
+    one, group = F.struct("node", "class"), Window.partitionBy("key")
+    led = ranked.withColumn("leds", F.array_distinct(F.array(F.max_by(one, "rank").over(group), F.min_by(one, "chance").over(group))))
     was_led = F.array_contains(F.transform("leds", lambda x: x["node"]), F.col("node"))
-    both = rows.join(led, "key").select("key", "node", "class", was_led.alias("was_led"), F.col("leds")[0]["node"].alias("first"), F.explode("leds").alias("led"))
+    both = led.select("key", "node", "class", was_led.alias("was_led"), F.col("leds")[0]["node"].alias("first"), F.explode("leds").alias("led"))
     both = both.select("key", "node", "class", "was_led", "first", F.col("led.node").alias("leader"), F.col("led.class").alias("leader_class"))
     return both.where("node <> leader and (not was_led or leader = first)").drop("first")
 
@@ -320,8 +334,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links, tested = _links(led, texts, least)
     found = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
     classes = keep(texts.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("class")), "near-classes")
-    unsettled = led.join(links, ["leader", "node"], "left_anti").select("key").distinct()
-    rows = led.join(unsettled, "key", "left_semi").select("key", "node")
+    rows = bands
     while True:
         led = keep(_next_led(_mixed(rows, classes), links), "near-led")
         found, pairs = _links(led.where("class <> leader_class"), texts, least, tested)

@@ -377,6 +377,12 @@ def test_all_pairs_of_a_band_are_compared(spark, monkeypatch, block):
     assert len(got) == len(want) and {(r["leader"], r["node"]) for r in got} == want
 
 
+def test_the_largest_component_of_a_band_is_not_held_against_itself(spark):
+    rows = spark.createDataFrame([(1, i, 0 if i < 640 else i) for i in range(644)], "key long, node long, class long")
+    dealt = near_dedup._dealt(rows).collect()
+    assert len(dealt) == 644 + 4 * 11 and {r["node"] for r in dealt if r["first"]} == {640, 641, 642, 643} and {r["node"] for r in dealt if not r["first"]} == set(range(644))
+
+
 def test_what_leaders_of_a_band_leave_is_compared_too(spark, monkeypatch):
     """All texts share one band: three pairs of similar texts among many unlike ones, which leaders don't meet."""
     sketched = near_dedup._sketched

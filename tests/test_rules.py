@@ -1,6 +1,7 @@
 """The rules that results hang on, on a few literal rows."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -376,3 +377,34 @@ def test_streams_settle_once_a_run(spark, tmp_path):
     land([("b", "x", 16), ("d", "z", 32)])
     assert run() == ([("x", 24, 2), ("y", 4, 1), ("z", 32, 1)], [("a", "x", 8), ("b", "x", 16), ("c", "y", 4), ("d", "z", 32)]) and calls == [3, 3]
     assert run()[0] == [("x", 24, 2), ("y", 4, 1), ("z", 32, 1)] and calls == [3, 3]
+
+
+def test_candidates_agree_with_every_pair_looked_at(spark):
+    some = lambda i, *values: values[i % len(values)]
+    parses = [(f"i{i}", some(i, 2000, 2001, None), "S", some(i // 2, "1", "x-2", "", None), some(i // 3, "Ann Lee", "", None), some(i // 5, "gold", "red", None)) for i in range(180)]
+    cards = [(some(i, 2000, 2000, 2001, None), "S", some(i // 3, "1", "X2", None, "9"), some(i // 2, "ann lee", "Bo", None, ""), some(i // 7, "gold", None, "red"), some(i, "Inserts", None), i, f"k{i}") for i in range(90)]
+    p = spark.createDataFrame(parses, "item_id string, year int, set_name string, card_number string, player string, parallel string")
+    check = spark.createDataFrame(cards, "year int, set_name string, card_number string, player string, parallel string, subset string, print_run int, card_key string")
+
+    def fold(c, name=False):
+        x = None if c is None else re.sub("[^a-z0-9]", "", c.lower())
+        return x if name or x else None
+
+    def meet(a, b):
+        if a[1] is None or a[1] != b[0]:
+            return False
+        ours = fold(a[3]) == fold(b[2]) if fold(a[3]) else a[5] is None or a[5] == b[4]
+        return ours and (a[4] is None or fold(a[4], True) == fold(b[3], True))
+
+    want = sorted((a[0], b[7]) for a in parses for b in cards if meet(a, b))
+    assert want and sorted((r["item_id"], r["printed"]) for r in joins.candidates(p, check).collect()) == want
+    ends = {r["item_id"]: (r["low_printed"], r["high_printed"]) for r in joins.summaries(p, check, "printed").collect()}
+    assert ends == {i: (min(k for j, k in want if j == i), max(k for j, k in want if j == i)) for i in {i for i, _ in want}}
+
+
+def test_candidates_meet_by_all_that_a_parse_says(spark):
+    p = spark.createDataFrame([("a", 2000, "S", None, "Ann", "gold")], "item_id string, year int, set_name string, card_number string, player string, parallel string")
+    check = spark.createDataFrame([(2000, "S", "1", "Ann", "gold", None, 1, "k1")], "year int, set_name string, card_number string, player string, parallel string, subset string, print_run int, card_key string")
+    for df in (joins.candidates(p, check), joins.verified(p, check)):
+        join = next(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_r_" in line)
+        assert all(f"<=> _r_{c}" in join for c in ("year", "set_name", "number", "who", "print"))  # not only by year and set

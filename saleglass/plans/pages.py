@@ -44,15 +44,24 @@ def g_listing_fields(spark, sf):
 AMOUNT = r"(?:[A-Z]{1,2} )?\$[0-9][0-9,]*(?:\.[0-9]{2})?"
 
 
+def _with_amounts(pages, text):
+    """``pages`` with ``_cut``: every dollar amount of a text, with the texts before and after it up to its neighbours."""
+    # cut the text at amounts: piece i stands before amount i; each is read once, as a column of its own
+    out = pages.withColumns({"_amounts": F.regexp_extract_all(text, F.lit(f"({AMOUNT})"), F.lit(1)), "_pieces": F.split(text, AMOUNT)})
+    n = F.size("_amounts")
+    cut = F.arrays_zip(F.col("_amounts").alias("amount"), F.slice("_pieces", F.lit(1), n).alias("before"), F.slice("_pieces", F.lit(2), n).alias("after"))
+    return out.withColumn("_cut", cut).drop("_amounts", "_pieces")
+
+
+def _kind(c):
+    before, after, amount = F.right(c["before"], F.lit(70)), F.left(c["after"], F.lit(30)), c["amount"]
+    return F.when(amount.rlike(r"^[A-Z]"), "foreign").when(F.concat(before, F.lit(" "), after).rlike(r"(?i)shipping|\btax\b"), "shipping").when(before.rlike(r"(?i)\b(was|list price)\b[^$]*$"), "struck").when(before.rlike(r"(?i)best offer accepted"), "accepted").otherwise("other")
+
+
 def money_candidates(pages, id_col, text):
     """Every dollar amount with up to 70 characters before it (not past the amount before) and 30 after, and its kind."""
-    # cut the text at amounts: piece i stands before amount i
-    amounts = F.regexp_extract_all(text, F.lit(f"({AMOUNT})"), F.lit(1))
-    pieces = F.split(text, AMOUNT)
-    rows = pages.select(F.col(id_col), F.posexplode(F.arrays_zip(amounts.alias("amount"), F.slice(pieces, 1, F.size(amounts)).alias("before"), F.slice(pieces, 2, F.size(amounts)).alias("after"))).alias("pos", "c"))
-    before, after, amount = F.right(F.col("c.before"), F.lit(70)), F.left(F.col("c.after"), F.lit(30)), F.col("c.amount")
-    kind = F.when(amount.rlike(r"^[A-Z]"), "foreign").when(F.concat(before, F.lit(" "), after).rlike(r"(?i)shipping|\btax\b"), "shipping").when(before.rlike(r"(?i)\b(was|list price)\b[^$]*$"), "struck").when(before.rlike(r"(?i)best offer accepted"), "accepted").otherwise("other")
-    return rows.select(id_col, "pos", x.money_cents(amount).alias("cents"), kind.alias("kind"))
+    rows = _with_amounts(pages, text).select(F.col(id_col), F.posexplode("_cut").alias("pos", "c"))
+    return rows.select(id_col, "pos", x.money_cents("c.amount").alias("cents"), _kind(F.col("c")).alias("kind"))
 
 
 def _offers(spark, sf):
@@ -67,20 +76,22 @@ def g_money_candidates(spark, sf):
     return money_candidates(_offers(spark, sf), "item_id", F.col("text"))
 
 
-def read_offers(pages, candidates, id_col):
-    """Exactly one accepted amount from a fifth of the ask up to it: found. More: ambiguous. None: not shown."""
-    ok = (F.col("kind") == "accepted") & (F.col("cents") >= 0.2 * F.col("ask_cents")) & (F.col("cents") < F.col("ask_cents"))
-    seen = candidates.join(pages.select(id_col, "ask_cents"), id_col).groupBy(id_col).agg(F.min(F.when(ok, F.col("cents"))).alias("low"), F.max(F.when(ok, F.col("cents"))).alias("high"))
-    both = pages.join(seen, id_col, "left")
+def read_offers(pages, id_col):
+    """Exactly one accepted amount from a fifth of the ask up to it: found. More: ambiguous. None: not shown.
+
+    ``pages``: id, text, ask_cents, gone. The amounts of a page are read within its row, and only those behind the words."""
+    said = F.filter("_cut", lambda c: F.contains(F.lower(c["before"]), F.lit("best offer accepted")) & (_kind(c) == "accepted"))
+    read = _with_amounts(pages, F.col("text")).select(id_col, "gone", "ask_cents", F.when(F.col("gone"), None).otherwise(F.transform(said, lambda c: x.money_cents(c["amount"]))).alias("cents"))
+    fit = read.select(id_col, "gone", F.filter("cents", lambda c: (c >= 0.2 * F.col("ask_cents")) & (c < F.col("ask_cents"))).alias("cents"))
+    both = fit.select(id_col, "gone", F.array_min("cents").alias("low"), F.array_max("cents").alias("high"))
     state = F.when(F.col("gone"), "gone").when(F.col("low").isNull(), "not_shown").when(F.col("low") == F.col("high"), "found").otherwise("ambiguous")
     return both.select(id_col, state.alias("state"), F.when(state == "found", F.col("low")).alias("cents"))
 
 
 @query("g_read_offer", f"{W} SELECT item_id, CASE WHEN price_cents % 10 = 0 THEN 'gone' WHEN price_cents % 10 = 1 THEN 'not_shown' ELSE 'found' END AS state, CASE WHEN price_cents % 10 > 1 THEN price_cents - 100 END AS cents FROM flat")
 def g_read_offer(spark, sf):
-    o = _offers(spark, sf)
-    pages = o.select("item_id", F.when(F.col("price_cents") % 10 == 1, F.lit(1)).otherwise(F.col("price_cents")).alias("ask_cents"), (F.col("price_cents") % 10 == 0).alias("gone"))
-    return read_offers(pages, money_candidates(o, "item_id", F.col("text")), "item_id")
+    pages = _offers(spark, sf).select("item_id", "text", F.when(F.col("price_cents") % 10 == 1, F.lit(1)).otherwise(F.col("price_cents")).alias("ask_cents"), (F.col("price_cents") % 10 == 0).alias("gone"))
+    return read_offers(pages, "item_id")
 
 
 @query("g_page_state", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'signed_out' WHEN 1 THEN 'bot_check' WHEN 2 THEN 'no_listing' ELSE 'ok' END AS state FROM pages")

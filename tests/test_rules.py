@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from saleglass.functions import stats
 from saleglass.functions import text as x
 from saleglass.operators import catalogue as cat
-from saleglass.operators import exports, learned, merges, partitions, roster
+from saleglass.operators import exports, learned, merges, partitions, readings, roster
 from saleglass.operators import titles as tt
 from saleglass.operators.titles import STANDARD, Vocabulary, parse_titles
 from saleglass.plans import joins, pages, rollups
@@ -408,3 +408,29 @@ def test_candidates_meet_by_all_that_a_parse_says(spark):
     for df in (joins.candidates(p, check), joins.verified(p, check)):
         join = next(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_r_" in line)
         assert all(f"<=> _r_{c}" in join for c in ("year", "set_name", "number", "who", "print"))  # not only by year and set
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_offers_are_read_within_the_row_of_their_page(spark, sf_dir):
+    assert _plan(pages.g_read_offer(spark, sf_dir)).count("l_shipdate") and "Generate" not in _plan(pages.g_read_offer(spark, sf_dir))
+    rows = [("a", "Was $9.00. Best offer accepted: $5.00 now", 900, False), ("b", "Best offer accepted: $5.00", 900, True), ("c", "Best offer accepted: $5.00. Best offer accepted: $6.00", 900, False), ("d", "Was $5.00", 900, False),
+            ("e", "Best offer accepted: $1.00", 900, False), ("f", None, 900, False), ("g", "BEST OFFER ACCEPTED: C $5.00 and best offer accepted: $4.00 shipping", 900, False), ("h", "best offer accepted $5.00", None, False)]
+    got = pages.read_offers(spark.createDataFrame(rows, "id string, text string, ask_cents long, gone boolean"), "id").collect()
+    assert {r["id"]: (r["state"], r["cents"]) for r in got} == {
+        "a": ("found", 500), "b": ("gone", None), "c": ("ambiguous", None), "d": ("not_shown", None), "e": ("not_shown", None), "f": ("not_shown", None), "g": ("not_shown", None), "h": ("not_shown", None),
+    }
+
+
+def test_second_players_are_looked_up_within_the_row_or_by_joins(spark):
+    titles = spark.createDataFrame([("a", "Ann Example", "Ann Example & Bob O'Tester rookie"), ("a", "Ann Example", "Ann Example, Carl Another"), ("b", "Bob Tester Sr", "Bob Tester and nobody"), ("c", None, "Ann Example"), ("d", "Zed Zedder", "Ann Éxample, ann example, carl another")], "id string, player string, title string")
+    names = spark.createDataFrame([("ann example",), ("bob tester",), ("bob o'tester",), ("carl another",), ("al bo",), ("carl another jr",)], "name string")
+    small, large = readings.second_players(titles, names, "id"), readings.second_players(titles, names, "id", in_row=2)
+    assert "Generate" not in _plan(small) and "Generate" in _plan(large)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) == [("a", "ann example / bob o'tester / carl another jr"), ("d", "ann example / carl another jr / zed zedder")]
+
+
+def test_reconciled_names_are_folded_once(spark, sf_dir):
+    assert _plan(joins.j_reconcile_readings(spark, sf_dir)).count("translate(") == 2

@@ -434,3 +434,19 @@ def test_second_players_are_looked_up_within_the_row_or_by_joins(spark):
 
 def test_reconciled_names_are_folded_once(spark, sf_dir):
     assert _plan(joins.j_reconcile_readings(spark, sf_dir)).count("translate(") == 2
+
+
+def test_the_catalogue_reads_and_deals_sales_once(spark, sf_dir):
+    plan = _plan(rollups.w_movers(spark, sf_dir))
+    assert sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
+    assert plan.count("RepartitionByExpression") == 1
+
+
+def test_the_catalogue_takes_names_and_medians_over_all_grades(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [("a", f"i{i}", day, 100 * (i + 1), "USD", "PSA" if i % 2 else None, 9.0 if i % 2 else None, None if i == 4 else "Long name" if i in (0, 1) else "Short" if i in (2, 3) else None, "P" if i == 0 else None, None, None) for i in range(5)] + [("b", "j", day, 10, "USD", None, None, None, None, "7", ""), ("b", "k", day, None, "USD", None, None, "x", None, None, None)]
+    flat = spark.createDataFrame(rows, "card_key string, item_id string, sold_date date, price_cents long, currency string, grader string, grade double, card_name string, player string, card_number string, image_url string")
+    none = {c: F.lit(None).cast("string") for c in ("team", "set_name", "parallel", "sport")} | {"year": F.lit(2000)} | {c: F.lit(0) for c in ("is_auto", "is_rookie", "is_relic")}
+    a, b = cat.catalogue(flat.withColumns(none)).orderBy("card_key").collect()
+    assert (a["name"], a["player"], a["sales"], a["median_cents"], a["raw_sales"], a["raw_median_cents"], a["trend_sales"], a["quality"], a["low_cents"], a["high_cents"]) == ("Short", "P", 5, 300, 3, 300, 0, "bucket", 100, 500)
+    assert (b["name"], b["sales"], b["median_cents"], b["card_number"], b["image_url"], b["spread"], b["quality"]) == ("b", 1, 10, "7", None, None, "unproven")

@@ -6,12 +6,14 @@ equal picks in equal order make a candidate. Lengths may differ by the similarit
 also holds the class of the length (and of the next one). Texts of a band are compared with the smallest of them.
 
 A band is settled once its texts lie in one component. Every other band goes on with two leaders more: the text that has
-most links so far (the original of many variants, which aren't alike among themselves, has links from the leaders of all
-its bands, the middle of a chain from both its ends) and the first in one order of all texts. A band whose leaders found
-a link goes on for as long as it stays unsettled. What leaders leave is compared exactly: in every band whose texts still
-lie in several components, the texts outside of the largest one are held against all texts of other components, in blocks of
-``BLOCK`` by ``BLOCK`` texts dealt over all tasks; only pairs that their bags don't rule out become rows. So no pair that shares a
-band is left out, whatever the size of the band; this part grows with a band's texts times those outside of its largest component.
+most links so far (the original of many variants, which aren't alike among themselves, has links from the leaders of
+its bands, the middle of a chain from both its ends) and the first in one order of all texts; only texts of other components
+meet them. Bands whose leaders found a link go on for as long as a round finds many (``FEW``). What leaders leave is compared
+exactly: in every band whose texts still lie in several components, the texts outside of the largest one meet all texts of other
+components, in blocks of at most some ``LARGE`` texts dealt over all tasks. Bands with the same largest component meet as one group
+where that makes fewer pairs. Pairs that share a band are verified where they meet, so only links become rows. So no pair that
+shares a band is left out, whatever the size of the band; this part grows with a band's texts times those outside of its
+largest component.
 
 Pairs are first held against each other by bags of words, which rule out most unlike texts before any text is read. A
 link is a word edit similarity of ``LEAST`` or more. Classes are the connected components of links.
@@ -33,8 +35,10 @@ from saleglass.llm.components import components
 
 KMER, PICKS, BANDS, LEAST = 3, 2, 40, 0.8
 BAG, SALTS = 512, 64
-#: Texts in a block of a large band.
-BLOCK = 64
+#: Texts in a block of all texts of a band. Where more than that stand outside, blocks are larger, of ``LARGE`` texts at most (those outside, all).
+BLOCK, LEAST_BLOCKS, LARGE = 64, 4, (512, 256)
+#: A round of leaders that finds less than one link for so many rows of unsettled bands is the last one.
+FEW = 100
 
 _rng = np.random.default_rng(5)
 _WORD = _rng.integers(1, 2**62, KMER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -200,9 +204,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _led(rows: DataFrame) -> DataFrame:
-    """Rows (node, key) of keys with two nodes or more against the key's smallest node: node, key, leader."""
-    led = rows.withColumn("leader", F.min("node").over(Window.partitionBy("key")))
-    return led.where("node <> leader").select("node", "key", "leader")
+    """Rows (node, key, own) of keys with two nodes or more against the key's smallest node: node, key, leader. Keys without a
+    row of their ``own`` length hold texts that all meet under the key of theirs, and are left out."""
+    led = rows.withColumns({"leader": F.min("node").over(Window.partitionBy("key")), "any_own": F.max("own").over(Window.partitionBy("key"))})
+    return led.where("any_own and node <> leader").select("node", "key", "leader")
 
 
 def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -218,15 +223,24 @@ def _degree(links: DataFrame) -> DataFrame:
 
 
 def _unlike(of: pa.Table, least: float) -> pa.Table:
-    """Pairs of a block pair (rows as in ``_rest``) that lie in different components and may be similar."""
-    node, side, group, n = (of.column(c).to_numpy() for c in ("node", "first", "class", "n_words"))
+    """Pairs of a block pair (rows as in ``_rest``) that lie in different components and may be similar, or if texts are
+    given, are. Only pairs that share one of ``keys`` count; where both are ``outside``, once."""
+    node, side, outside, group, n = (of.column(c).to_numpy() for c in ("node", "first", "outside", "class", "n_words"))
     bag = np.frombuffer(b"".join(of.column("bag").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16)
+    keys, words = [frozenset(k) for k in of.column("keys").to_pylist()], {}
+
+    def alike(x: int, y: int) -> bool:
+        for at in (x, y):
+            if at not in words:
+                words[at] = words_of(of.column("text")[at].as_py())
+        return similarity(words[x], words[y], least) is not None
+
     pairs = []
     for x in np.flatnonzero(side):
         edits = (np.maximum(n, n[x]) * (1 - least) + 1e-9).astype(np.int64)
-        other = np.flatnonzero(~side & (group != group[x]) & (np.abs(n - n[x]) <= edits))
+        other = np.flatnonzero(~side & (group != group[x]) & (np.abs(n - n[x]) <= edits) & (~outside | (node > node[x])))
         other = other[np.abs(bag[other] - bag[x]).sum(1, dtype=np.int64) <= 2 * edits[other]]
-        pairs += [(min(node[x], node[y]), max(node[x], node[y])) for y in other]
+        pairs += [(min(node[x], node[y]), max(node[x], node[y])) for y in other if not keys[x].isdisjoint(keys[y]) and ("text" not in of.column_names or alike(x, y))]
     return pa.table({"leader": pa.array([p[0] for p in pairs], pa.int64()), "node": pa.array([p[1] for p in pairs], pa.int64())})
 
 
@@ -237,21 +251,39 @@ def _dealt(rows: DataFrame) -> DataFrame:
     leaders leave few of, meet all nodes, in blocks: the largest component is never held against itself."""
     of_key, all_of_key = Window.partitionBy("key"), F.count("*").over(Window.partitionBy("key"))
     sized = rows.withColumn("n", F.count("*").over(Window.partitionBy("key", "class")))
-    sized = sized.withColumns({"outside": F.col("class") != F.max_by("class", F.struct("n", "class")).over(of_key), "js": F.ceil(all_of_key / F.lit(BLOCK))})
-    sized = sized.withColumn("is", F.ceil(F.count_if("outside").over(of_key) / F.lit(BLOCK)))
+    sized = sized.withColumn("outside", F.col("class") != F.max_by("class", F.struct("n", "class")).over(of_key))
+    n_outside, large = F.count_if("outside").over(of_key), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(all_of_key / F.lit(LARGE[1])))
+    small = F.ceil(all_of_key / F.lit(BLOCK))
+    sized = sized.withColumns({"is": F.ceil(n_outside / F.lit(LARGE[0])), "js": F.when(n_outside > BLOCK, F.least(small, large)).otherwise(small)})
     at = F.xxhash64("node")
 
     def blocks(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    one = sized.where("outside").select("key", F.pmod(at, F.col("is")).alias("i"), blocks("js").alias("j"), F.lit(True).alias("first"), "node", "class")
-    two = sized.select("key", blocks("is").alias("i"), F.pmod(at, F.col("js")).alias("j"), F.lit(False).alias("first"), "node", "class")
+    rest = ["outside", *(c for c in rows.columns if c != "key")]
+    one = sized.where("outside").select("key", F.pmod(at, F.col("is")).alias("i"), blocks("js").alias("j"), F.lit(True).alias("first"), *rest)
+    two = sized.select("key", blocks("is").alias("i"), F.pmod(at, F.col("js")).alias("j"), F.lit(False).alias("first"), *rest)
     return one.unionByName(two)
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, class) with ``keys``, in groups: near copies share most of their keys, so keys with the same largest
+    component become one, with each node once, where all its pairs are fewer than those of its keys one by one."""
+    of_key = Window.partitionBy("key")
+    topped = rows.withColumn("n", F.count("*").over(Window.partitionBy("key", "class"))).withColumn("top", F.max_by("class", F.struct("n", "class")).over(of_key))
+    met = F.when(F.col("class") != F.col("top"), F.count("*").over(of_key))
+    nodes = topped.withColumn("met", met).groupBy("top", "node").agg(F.first("class").alias("class"), F.collect_list("key").alias("keys"), F.sum("met").alias("met"))
+    tops = nodes.groupBy("top").agg((F.count("*") * F.count_if(F.col("class") != F.col("top"))).alias("at_once"), F.sum("met").alias("by_key"))
+    one = F.array(F.struct(F.xxhash64("top").alias("key"), "keys"))
+    each = F.transform("keys", lambda k: F.struct(k.alias("key"), F.array(k).alias("keys")))
+    groups = nodes.join(tops, "top").select("node", "class", F.explode(F.when(F.col("at_once") <= F.col("by_key"), one).otherwise(each)).alias("group"))
+    return groups.select("group.key", "node", "class", "group.keys")
+
+
 def _rest(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """All pairs (leader, node) of different components within the keys of ``rows`` (key, node, class) that may be similar."""
-    met = _dealt(rows).join(texts.select("node", "n_words", "bag"), "node").select("key", "i", "j", "first", "node", "class", "n_words", "bag")
+    """All pairs (leader, node) of different components within the keys of ``rows`` (key, node, class) that may be similar, or
+    that are, if ``texts`` have a text."""
+    met = _dealt(_grouped(rows)).join(texts.select("node", "n_words", "bag", *(c for c in texts.columns if c == "text")), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -272,16 +304,23 @@ def _rest(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _next_led(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (key, node, class, and whether it leads now) against the next two leaders of their key: the text with most links so far, as the original
+    """Rows (key, node, class) with the next two leaders of their key as leds (node, class): the text with most links so far, as the original
     of many variants has, and the first in one order of all texts."""
     of_key, of_all = F.xxhash64("key", "node"), F.xxhash64("node")
     ranked = rows.join(_degree(links), "node", "left").select("key", "node", "class", F.struct(F.coalesce("n_links", F.lit(0)), of_key).alias("rank"), of_all.alias("chance"))
     one, group = F.struct("node", "class"), Window.partitionBy("key")
-    led = ranked.withColumn("leds", F.array_distinct(F.array(F.max_by(one, "rank").over(group), F.min_by(one, "chance").over(group))))
-    was_led = F.array_contains(F.transform("leds", lambda x: x["node"]), F.col("node"))
-    both = led.select("key", "node", "class", was_led.alias("was_led"), F.col("leds")[0]["node"].alias("first"), F.explode("leds").alias("led"))
-    both = both.select("key", "node", "class", "was_led", "first", F.col("led.node").alias("leader"), F.col("led.class").alias("leader_class"))
-    return both.where("node <> leader and (not was_led or leader = first)").drop("first")
+    return ranked.select("key", "node", "class", F.array_distinct(F.array(F.max_by(one, "rank").over(group), F.min_by(one, "chance").over(group))).alias("leds"))
+
+
+def _against(led: DataFrame) -> DataFrame:
+    """Rows of ``_next_led`` against those of their leaders that lie in other components: key, node, leader. Of two leaders, the second meets the first."""
+    first = F.col("leds")[0]["node"]
+    other = F.filter("leds", lambda x: (x["class"] != F.col("class")) & (~F.col("was_led") | (x["node"] == first)))
+    return led.withColumn("was_led", _was_led()).select("key", "node", F.explode(F.transform(other, lambda x: x["node"])).alias("leader"))
+
+
+def _was_led() -> Column:
+    return F.array_contains(F.transform("leds", lambda x: x["node"]), F.col("node"))
 
 
 def _links(led: DataFrame, texts: DataFrame, least: float, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -320,8 +359,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     banded = nodes.where("n_words > 0").select(
         "node", F.explode(F.transform("keys", lambda k, i: F.struct(i.alias("band"), k.alias("key")))).alias("k"), length.alias("size_class")
     )
-    banded = banded.select("node", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)).alias("size_class"), "k.band", "k.key")
-    banded = banded.withColumn("key", F.xxhash64("key", "size_class")).select("node", "key")
+    sizes = F.array(F.struct("size_class", F.lit(True).alias("own")), F.struct((F.col("size_class") + 1).alias("size_class"), F.lit(False).alias("own")))
+    banded = banded.select("node", F.explode(sizes).alias("size"), "k.key")
+    banded = banded.select("node", F.xxhash64("key", "size.size_class").alias("key"), "size.own")
     led = keep(_led(banded), "near-bands")
     bands = led.select("key", "node")  # their first leader has met them all
 
@@ -337,20 +377,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = bands
     while True:
         led = keep(_next_led(_mixed(rows, classes), links), "near-led")
-        found, pairs = _links(led.where("class <> leader_class"), texts, least, tested)
-        if found.isEmpty():
+        found, pairs = _links(_against(led), texts, least, tested)
+        n_found = found.count()
+        if n_found:
+            links, tested, classes = links.unionByName(found), tested.unionByName(pairs), _joined(classes, found)
+        if n_found * FEW <= led.count():
             break
-        links, tested, classes = links.unionByName(found), tested.unionByName(pairs), _joined(classes, found)
-        of_use = led.join(found, ["leader", "node"], "left_semi").select("key").distinct()
-        rows = led.where("not was_led").select("key", "node").distinct().join(of_use, "key", "left_semi")
+        of_use = _against(led).join(found, ["leader", "node"], "left_semi").select("key").distinct()
+        rows = led.where(~_was_led()).select("key", "node").join(of_use, "key", "left_semi")
 
-    met = tested.unionByName(tested.select(F.col("node").alias("leader"), F.col("leader").alias("node")))
-    left = keep(_rest(_mixed(bands, classes), texts, least).join(met, ["leader", "node"], "left_anti"), "near-left")
-    found = keep(_verified(left, texts, least), "near-links")
+    found = keep(_rest(_mixed(bands, classes), texts, least), "near-links")
     if not found.isEmpty():
         links, classes = links.unionByName(found), _joined(classes, found)
 
-    links = keep(links.distinct(), "near-links")
+    links = keep(links.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct(), "near-links")
     classed = nodes.select("node", "atom").join(classes, "node", "left").join(_degree(links), "node", "left")
     classed = classed.select("atom", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     members = keep(source.select("id", "atom").withColumn("nth", F.monotonically_increasing_id()).join(classed, "atom"), "near-members")

@@ -390,3 +390,28 @@ def test_what_leaders_of_a_band_leave_is_compared_too(spark, monkeypatch):
     rows = [(2 * i + j, " ".join(f"w{i}x{k}" for k in range(40)) + f" end{j}") for i in range(90) for j in range(2 if i % 30 == 0 else 1)]
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_next_leaders_are_met_by_texts_of_other_components_only(spark):
+    rows = spark.createDataFrame([(1, i, 0 if i < 200 else i) for i in range(202)], "key long, node long, class long")
+    links = spark.createDataFrame([(0, i) for i in range(1, 200)], "leader long, node long")
+    led = near_dedup._against(near_dedup._next_led(rows, links)).collect()
+    assert {r["node"] for r in led} == {200, 201} and 2 <= len(led) <= 4 and all((r["leader"] == 0) or (r["leader"] != r["node"]) for r in led)
+
+
+def test_bands_of_one_component_meet_as_one_group(spark):
+    """Twenty bands of the same near copies and two strays: each text once, and links only, each once."""
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join([*base, f"end{i}"]) for i in range(100)] + [" ".join([*base[:36], *(f"s{j}x{k}" for k in range(4 + 8 * j))]) for j in range(2)]
+    n_words, _, bag = near_dedup.sketch(texts)
+    held = spark.createDataFrame([(i, int(n_words[i]), bytearray(bag[i].tobytes()), t) for i, t in enumerate(texts)], "node long, n_words long, bag binary, text string")
+    rows = spark.createDataFrame([(k, i, 0 if i < 100 else i) for k in range(20) for i in range(102)], "key long, node long, class long")
+    assert near_dedup._grouped(rows).count() == 102
+    got = near_dedup._rest(rows, held, 0.8).collect()
+    want = {(i, j) for i in range(102) for j in (100, 101) if i < j and similarity(texts[i].split(), texts[j].split(), 0.8) is not None}
+    assert 100 <= len(want) < 201 and len(got) == len(want) and {(r["leader"], r["node"]) for r in got} == want
+
+
+def test_texts_of_one_length_share_one_key_of_a_band(spark):
+    rows = spark.createDataFrame([(1, 1, True), (2, 1, True), (1, 2, False), (2, 2, False), (3, 3, True), (4, 3, False)], "node long, key long, own boolean")
+    assert [tuple(r) for r in near_dedup._led(rows).orderBy("key").collect()] == [(2, 1, 1), (4, 3, 3)]

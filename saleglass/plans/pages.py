@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from saleglass.functions import text as x
@@ -54,13 +57,23 @@ def _with_amounts(pages, text):
 
 
 def _kind(c):
-    before, after, amount = F.right(c["before"], F.lit(70)), F.left(c["after"], F.lit(30)), c["amount"]
-    return F.when(amount.rlike(r"^[A-Z]"), "foreign").when(F.concat(before, F.lit(" "), after).rlike(r"(?i)shipping|\btax\b"), "shipping").when(before.rlike(r"(?i)\b(was|list price)\b[^$]*$"), "struck").when(before.rlike(r"(?i)best offer accepted"), "accepted").otherwise("other")
+    """Each pattern is looked for only where words stand that it can't do without."""
+    before, after = F.right(c["before"], F.lit(70)), F.left(c["after"], F.lit(30))
+    near = F.concat(before, F.lit(" "), after)
+
+    def has(text, *words):
+        return functools.reduce(Column.__or__, (F.contains(F.lower(text), F.lit(w)) for w in words))
+
+    shipping = has(near, "shipping", "tax") & near.rlike(r"(?i)shipping|\btax\b")
+    struck = has(before, "was", "list price") & before.rlike(r"(?i)\b(was|list price)\b[^$]*$")
+    accepted = has(before, "best offer accepted") & before.rlike("(?i)best offer accepted")
+    return F.when(~F.startswith(c["amount"], F.lit("$")), "foreign").when(shipping, "shipping").when(struck, "struck").when(accepted, "accepted").otherwise("other")
 
 
 def money_candidates(pages, id_col, text):
     """Every dollar amount with up to 70 characters before it (not past the amount before) and 30 after, and its kind."""
-    rows = _with_amounts(pages, text).select(F.col(id_col), F.posexplode("_cut").alias("pos", "c"))
+    # an outer explode: for a plain one Spark adds a filter on the cut array's size and takes it below the joins, so all texts are cut twice
+    rows = _with_amounts(pages, text).select(F.col(id_col), F.posexplode_outer("_cut").alias("pos", "c")).where("pos is not null")
     return rows.select(id_col, "pos", x.money_cents("c.amount").alias("cents"), _kind(F.col("c")).alias("kind"))
 
 
@@ -68,7 +81,7 @@ def _offers(spark, sf):
     usd = lambda c: F.concat(F.lit("$"), F.format_number(c / 100.0, 2))
     c = F.col("price_cents")
     text = F.concat(F.lit("Was "), usd(c), F.lit(". Best offer accepted: "), usd(c - 100), F.lit(" and then a longer line of words that says nothing at all. Next "), usd(c + 7), F.lit(" is it. + "), usd(F.lit(450)), F.lit(" shipping"))
-    return flat(spark, sf).select("item_id", text.alias("text"), "price_cents")
+    return flat(spark, sf, dealt=True).select("item_id", text.alias("text"), "price_cents")
 
 
 @query("g_money_candidates", f"{W} SELECT item_id, p AS pos, CASE p WHEN 0 THEN price_cents WHEN 1 THEN price_cents - 100 WHEN 2 THEN price_cents + 7 ELSE 450 END AS cents, CASE p WHEN 0 THEN 'struck' WHEN 1 THEN 'accepted' WHEN 2 THEN 'other' ELSE 'shipping' END AS kind FROM flat, (VALUES (0), (1), (2), (3)) t(p)")

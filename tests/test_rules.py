@@ -424,6 +424,18 @@ def test_offers_are_read_within_the_row_of_their_page(spark, sf_dir):
     }
 
 
+def test_amounts_are_cut_once_a_page(spark, sf_dir):
+    """No filter made of the texts stands below the joins, where each of them would be made and cut another time."""
+    plan = _plan(pages.g_money_candidates(spark, sf_dir))
+    assert plan.count("regexp_extract_all(") == plan.count("split(") == 1 and plan.count("format_number(") == 3
+    rows = [("a", "Was $1,234.50, Tax: $2 C $3.00 Best Offer ACCEPTED: $4 then $5.55 Shipping"), ("b", None), ("c", "no amount"), ("d", "was a thing, $7"), ("e", "list price $8 taxi $9"), ("f", "$10 TAX")]
+    got = pages.money_candidates(spark.createDataFrame(rows, "id string, text string"), "id", F.col("text")).collect()
+    assert sorted(map(tuple, got)) == [
+        ("a", 0, 123450, "shipping"), ("a", 1, 200, "shipping"), ("a", 2, 300, "foreign"), ("a", 3, 400, "accepted"), ("a", 4, 555, "shipping"),
+        ("d", 0, 700, "struck"), ("e", 0, 800, "struck"), ("e", 1, 900, "other"), ("f", 0, 1000, "shipping"),
+    ]
+
+
 def test_second_players_are_looked_up_within_the_row_or_by_joins(spark):
     titles = spark.createDataFrame([("a", "Ann Example", "Ann Example & Bob O'Tester rookie"), ("a", "Ann Example", "Ann Example, Carl Another"), ("b", "Bob Tester Sr", "Bob Tester and nobody"), ("c", None, "Ann Example"), ("d", "Zed Zedder", "Ann Éxample, ann example, carl another")], "id string, player string, title string")
     names = spark.createDataFrame([("ann example",), ("bob tester",), ("bob o'tester",), ("carl another",), ("al bo",), ("carl another jr",)], "name string")

@@ -13,6 +13,7 @@ from saleglass.operators import exports, learned, merges, partitions, readings,
 from saleglass.operators import titles as tt
 from saleglass.operators.titles import STANDARD, Vocabulary, parse_titles
 from saleglass.plans import joins, pages, rollups
+from saleglass.plans import titles as said
 
 
 def one(spark, column, **values):
@@ -181,6 +182,37 @@ def test_numbers_are_taken_out_once_a_shape(spark, monkeypatch):
     assert got == tt.with_read(whole, tt.worded(once(whole), STANDARD)).orderBy("i").collect()
 
 
+def test_titles_are_not_written_beside_their_shapes(spark, monkeypatch):
+    """What is written of the rows are the columns kept, the shape and the number; words that no number changes are added once a shape."""
+    wrote, seen, settled = {}, [], tt.settled
+    monkeypatch.setattr(tt, "settled", lambda df, name: settled(wrote.setdefault(name, df), name))
+    rows = spark.createDataFrame([(i, f"2020 Prizm Joe Doe #{i % 9} Silver", "more") for i in range(40)] + [(40, None, "more"), (41, "2020 Prizm Joe Doe /99", "more")], "i int, title string, more string")
+    each = lambda read: seen.append(read.count()) or said._football(read).withColumn("_ends", x.key_ends())
+    got = parse_titles(rows, STANDARD, keep=("i",), each=each)
+    assert wrote["shaped"].columns == ["i", "_shape", "_number"] and "title" not in got.columns and "more" not in got.columns and seen == [3]
+    keys = {r["i"]: r["k"] for r in got.select("i", x.keyed("_ends", "card_number").alias("k")).collect()}
+    assert keys == {i: f"2020-prizm-n{i % 9}-silver" for i in range(40)} | {40: None, 41: "2020-prizm-joedoe-r99"}
+    assert keys == {r["i"]: r["card_key"] for r in said.identified(parse_titles(rows, STANDARD)).collect()}
+
+
+def test_titles_meet_their_shapes_in_the_only_shuffle_of_whole_rows(spark, sf_dir):
+    assert _plan(said.titles(spark, sf_dir)).count("RepartitionByExpression [l_orderkey") == 1
+    assert "RepartitionByExpression [item_id" not in _plan(said.titles(spark, sf_dir))
+
+
+def test_settled_tables_leave_no_shuffle_behind(spark, tmp_path, monkeypatch):
+    seen, path = [], partitions.new_path
+    monkeypatch.setattr(partitions, "new_path", lambda *a: seen.append(path(*a)) or seen[-1])
+    held = spark.conf.get(partitions.SWEEP, "false")
+    df = spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count()
+    with partitions.swept(spark):
+        assert spark.conf.get(partitions.SWEEP) == "true"
+    assert partitions.settled(df, "x").count() == 7 and spark.conf.get(partitions.SWEEP) == held == "false"
+    with pytest.raises(ValueError), partitions.swept(spark):
+        raise ValueError
+    assert spark.conf.get(partitions.SWEEP) == "false" and spark.read.format("binaryFile").load(seen[0]).where("path like '%.zstd.parquet'").count() > 0
+
+
 def test_known_names_of_nothing(spark):
     names = spark.createDataFrame([], "name string")
     df = spark.createDataFrame([(["a b"], ["abcdefgh"]), (None, None), ([], [])], "w array<string>, f array<string>")

@@ -385,6 +385,40 @@ def test_an_export_writes_whole_rows_only_once(spark, sf_dir, tmp_path, monkeypa
     assert exports.export(rows, str(tmp_path / "x"))["sales"] == rows.count() and not wide
 
 
+def test_rows_that_stay_are_told_by_their_place(spark, tmp_path):
+    """An upsert finds the rows it replaces by key, file and place, and moves no whole row of the table by a shuffle."""
+    at, schema, n = f"{tmp_path}/t", "id string, wide string, p int", 100_000
+    rows = spark.range(n).select(F.concat(F.lit("i"), "id").alias("id"), F.lit("w").alias("wide"), (F.col("id") % 2).cast("int").alias("p"))
+    rows.coalesce(1).write.partitionBy("p").parquet(at)
+    rows.where("false").write.mode("append").partitionBy("p").parquet(at)
+    late = spark.range(0, n, 3).select(F.concat(F.lit("i"), "id").alias("id"), F.lit("late").alias("wide"), F.lit(2).alias("p"))
+    held = spark.read.schema(schema).parquet(at)
+    spots = partitions.found(at, held.schema, late.select("id"), "p")
+    kept = partitions.without(held, spots)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and kept.columns == held.columns
+    many = partitions.without(held, spots, most=0)
+    assert all({int(r["id"][1:]) for r in k.collect()} == {i for i in range(n) if i % 3} for k in (kept, many)) and "wide" not in spots.columns
+    assert partitions.without(held, spots.where("false")).count() == n
+    assert partitions.upsert(at, late, ["id"], "p", moves=True, staged=True) == late.count()
+    got = spark.read.schema(schema).parquet(at).groupBy("p", "wide").count().collect()
+    assert sorted(map(tuple, got)) == [(0, "w", sum(i % 3 > 0 for i in range(0, n, 2))), (1, "w", sum(i % 3 > 0 for i in range(1, n, 2))), (2, "late", late.count())]
+
+
+def test_cards_and_grades_of_an_export_come_from_one_deal(spark, sf_dir, tmp_path, monkeypatch):
+    from saleglass.plans import merges as plans
+
+    rows, made, settled = plans._dated(spark, sf_dir).cache(), [], partitions.settled
+    assert "RepartitionByExpression [item_id" not in _plan(plans._dated(spark, sf_dir))  # lines are dealt, not whole sales
+    monkeypatch.setattr(partitions, "settled", lambda df, name: made.append((name, df)) or settled(df, name))
+    exports.export(rows, str(tmp_path / "x"))
+    assert not {"changed", "touched-sales", "card_grades", "upsert"} & {name for name, _ in made}
+    assert sum(_plan(df).count("RepartitionByExpression [card_key") for _, df in made) == 1
+    for kind, want in (("cards", cat.catalogue(rows)), ("card_grades", cat.card_grades(rows))):
+        got = spark.read.parquet(str(tmp_path / "x" / kind)).select(*want.columns)
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
 def test_streams_settle_once_a_run(spark, tmp_path):
     """Batches are noted only; keys are computed once a run, over all rows so far, and a later row of an item takes its place."""
     from saleglass.streaming import jobs
